@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread:
 def steps(batch: pa.RecordBatch, text: int = 1, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``most`` bytes in column ``text``, one row at least."""
     column = batch.column(text)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > most:
