@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalode.llm import byte_bpe, decontaminate, token_counts, url_filter
+from stratalode.llm import byte_bpe, decontaminate, token_counts, token_store, url_filter
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,12 @@ SELECT page_id, host, path, best.r AS rule,
 FROM judged
 """
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document written to a content-addressed store and read back."""
+    store = token_store.write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return token_store.read_store(spark, store)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether they are over 4096."""
     counted = token_counts.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -88,5 +94,5 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(coded, with_bytes=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {"op7_token_counts": op7_token_counts, "op8_byte_bpe": op8_byte_bpe, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op4_url_filters": op4_url_filters}
+QUERIES = {"op6_token_store": op6_token_store, "op7_token_counts": op7_token_counts, "op8_byte_bpe": op8_byte_bpe, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op4_url_filters": op4_url_filters}
 SQL = {"op3_benchmark_decontamination": OP3_SQL, "op4_url_filters": OP4_SQL}
