@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalode.llm import byte_bpe, decontaminate, token_counts, token_store, url_filter
+from stratalode.llm import byte_bpe, decontaminate, token_counts, token_store, url_filter, warc
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,22 @@ SELECT page_id, host, path, best.r AS rule,
 FROM judged
 """
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every page written to archives and read back."""
+    archives = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH whole AS (SELECT page_id, coalesce(html, '') AS p, strlen(coalesce(html, '')) AS n FROM pages),
+firsts AS (SELECT p, min(page_id) AS first FROM whole WHERE n >= 100 GROUP BY p)
+SELECT page_id, n AS payload_bytes, sha256(p) AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM whole LEFT JOIN firsts USING (p)
+"""
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document written to a content-addressed store and read back."""
     store = token_store.write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -94,5 +110,5 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(coded, with_bytes=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {"op6_token_store": op6_token_store, "op7_token_counts": op7_token_counts, "op8_byte_bpe": op8_byte_bpe, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op4_url_filters": op4_url_filters}
-SQL = {"op3_benchmark_decontamination": OP3_SQL, "op4_url_filters": OP4_SQL}
+QUERIES = {"op5_warc": op5_warc, "op6_token_store": op6_token_store, "op7_token_counts": op7_token_counts, "op8_byte_bpe": op8_byte_bpe, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op4_url_filters": op4_url_filters}
+SQL = {"op5_warc": OP5_SQL, "op3_benchmark_decontamination": OP3_SQL, "op4_url_filters": OP4_SQL}
