@@ -28,7 +28,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from stratalode.llm._shared import steps
+from stratalode.llm._shared import bound_batches, steps
 
 #: Pieces that a worker keeps; the table starts anew when it is full.
 KEPT_PIECES = 300_000
@@ -107,6 +107,7 @@ def encode(
     """One row per text: id, n_tokens, ids (array of ints), ids_sha256 (of the ids as
     little-endian unsigned 32-bit integers) and, if asked for, starts and ends: the
     tokens' character offsets. ``ranks`` is the table's path on every machine."""
+    bound_batches(df.sparkSession)
     path = ranks or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

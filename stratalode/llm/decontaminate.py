@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from stratalode.llm._shared import bound_batches
+
 #: Cuts a normalised benchmark: bytes of patterns in one automaton.
 BLOCK_BYTES = 16 << 20
 WINDOW = 13
@@ -118,6 +120,7 @@ def find_contamination(
     (ids as sorted strings) and spans (character offsets into the original text and
     word numbers). With ``keep_text`` the text follows the id."""
     spark = documents.sparkSession
+    bound_batches(spark)
     items = benchmark.select(item_col, item_text_col).toLocalIterator()
     cast = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in blocks(patterns(((r[0], r[1]) for r in items), window), block_bytes)]
     shape = pa.schema([

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalode.llm._shared import steps, written
+from stratalode.llm._shared import bound_batches, steps, written
 from stratalode.llm._words import BASES, Sums, mix, words_of
 
 WINDOW, ANCHOR = 50, 12
@@ -161,6 +161,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by one space) and spans (first and end word of what goes)."""
     if not anchor < window <= anchor + 51:
         raise ValueError("a window may have up to 51 words more than an anchor, and one more at least")
+    bound_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).bitwiseAND(F.lit(CRC)))
     lists = duplicate_factors(docs, window, anchor).groupBy("id", crc_of(F.col("place")).alias("crc")).agg(F.collect_list("place").alias("places"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from stratalode.llm._shared import steps
+from stratalode.llm._shared import bound_batches, steps
 
 MODEL = "piece_bpe_32k.model"
 KEPT_WORDS = 400_000
@@ -171,6 +171,7 @@ def merges(path: str) -> Merges:
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """One row per text: id, n_bytes (UTF-8) and n_tokens. ``model`` is the model's path on every machine."""
+    bound_batches(df.sparkSession)
     path = model or public_tokenizers.path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
