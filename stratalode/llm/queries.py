@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalode.llm import byte_bpe, decontaminate, substring_dedup, token_counts, token_store, url_filter, warc
+from stratalode.llm import byte_bpe, decontaminate, jaccard_join, substring_dedup, token_counts, token_store, url_filter, warc
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,5 +135,31 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(coded, with_bytes=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op5_warc": op5_warc, "op6_token_store": op6_token_store, "op7_token_counts": op7_token_counts, "op8_byte_bpe": op8_byte_bpe, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op4_url_filters": op4_url_filters}
-SQL = {"op1_substring_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op3_benchmark_decontamination": OP3_SQL, "op4_url_filters": OP4_SQL}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by a similarity of 0.8 over five-word shingles."""
+    return jaccard_join.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM cut WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT a AS node, b AS seen FROM links UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.seen = links.a
+), lowest AS (SELECT node, min(seen) AS m FROM reach GROUP BY node)
+SELECT cut.doc_id, coalesce(n, 0) AS n_shingles, least(cut.doc_id, coalesce(m, cut.doc_id)) AS component_id
+FROM cut LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON node = cut.doc_id
+"""
+
+
+QUERIES = {"op10_jaccard_join": op10_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op5_warc": op5_warc, "op6_token_store": op6_token_store, "op7_token_counts": op7_token_counts, "op8_byte_bpe": op8_byte_bpe, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op4_url_filters": op4_url_filters}
+SQL = {"op10_jaccard_join": OP10_SQL, "op1_substring_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op3_benchmark_decontamination": OP3_SQL, "op4_url_filters": OP4_SQL}
