@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalode.llm import byte_bpe, decontaminate, jaccard_join, substring_dedup, token_counts, token_store, url_filter, warc
+from stratalode.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, substring_dedup, token_counts, token_store, url_filter, warc
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,30 @@ FROM cut LEFT JOIN kept USING (doc_id)
 """
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors of one label linked by a cosine of 0.98."""
+    return embedding_dedup.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT a AS node, b AS seen FROM links UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.seen = links.a
+), lowest AS (SELECT node, min(seen) AS m FROM reach GROUP BY node
+), counts AS (SELECT a AS node, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN lowest ON lowest.node = vec_id LEFT JOIN counts ON counts.node = vec_id
+"""
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every 13-word window of the benchmark."""
     found = decontaminate.find_contamination(
@@ -161,5 +185,5 @@ FROM cut LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON node = cut.doc_id
 """
 
 
-QUERIES = {"op10_jaccard_join": op10_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op5_warc": op5_warc, "op6_token_store": op6_token_store, "op7_token_counts": op7_token_counts, "op8_byte_bpe": op8_byte_bpe, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op4_url_filters": op4_url_filters}
-SQL = {"op10_jaccard_join": OP10_SQL, "op1_substring_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op3_benchmark_decontamination": OP3_SQL, "op4_url_filters": OP4_SQL}
+QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op10_jaccard_join": op10_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op5_warc": op5_warc, "op6_token_store": op6_token_store, "op7_token_counts": op7_token_counts, "op8_byte_bpe": op8_byte_bpe, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op4_url_filters": op4_url_filters}
+SQL = {"op2_embedding_dedup": OP2_SQL, "op10_jaccard_join": OP10_SQL, "op1_substring_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op3_benchmark_decontamination": OP3_SQL, "op4_url_filters": OP4_SQL}
