@@ -26,7 +26,8 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from stratalode.llm._shared import bound_batches
 
@@ -114,11 +115,11 @@ def find_contamination(
     item_text_col: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
-    keep_text: bool = False,
+    keep: bool = False,
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit (words inside occurrences), items
     (ids as sorted strings) and spans (character offsets into the original text and
-    word numbers). With ``keep_text`` the text follows the id."""
+    word numbers). With ``keep`` all other columns of documents stay, but for any of these names."""
     spark = documents.sparkSession
     bound_batches(spark)
     items = benchmark.select(item_col, item_text_col).toLocalIterator()
@@ -140,10 +141,14 @@ def find_contamination(
                 spans = [{"start": at[a][0], "end": at[b - 1][1], "first_word": a, "end_word": b} for a, b in ranges]
                 rows.append({"n_words": len(ws), "n_hit": sum(b - a for a, b in ranges), "items": held, "spans": spans})
             out = pa.RecordBatch.from_pylist(rows, shape)
-            kept = batch.columns if keep_text else batch.columns[:1]
-            names = batch.schema.names if keep_text else batch.schema.names[:1]
-            yield pa.RecordBatch.from_arrays([*kept, *out.columns], [*names, *shape.names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *out.columns], [id_col, *others, *shape.names])
 
-    narrow = documents.select(id_col, text_col)
-    kinds = [f"`{c}` {t}" for c, t in narrow.dtypes[: 2 if keep_text else 1]]
-    return narrow.mapInArrow(scan, ", ".join([*kinds, SCHEMA]))
+    others = [c for c in documents.columns if c != id_col and c not in shape.names] if keep else []
+    whole = documents.select(id_col, F.col(text_col).alias("_text"), *others)
+    kinds = dict(documents.dtypes)
+    return whole.mapInArrow(scan, ", ".join([*(f"`{c}` {kinds[c]}" for c in [id_col, *others]), SCHEMA]))
+
+
+def contaminated(n_hit: Column, n_words: Column) -> Column:
+    """A twentieth of the words, at least, stand in occurrences."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalode.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, substring_dedup, token_counts, token_store, url_filter, warc
+from stratalode.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, substring_dedup, token_counts, token_store, toxicity, url_filter, warc
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
 
 
@@ -159,6 +159,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(coded, with_bytes=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from labelled rows that are not held out."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.train_on(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= toxicity.REJECT, 1).otherwise(0).alias("predicted"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by a similarity of 0.8 over five-word shingles."""
     return jaccard_join.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -185,5 +193,5 @@ FROM cut LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON node = cut.doc_id
 """
 
 
-QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op10_jaccard_join": op10_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op5_warc": op5_warc, "op6_token_store": op6_token_store, "op7_token_counts": op7_token_counts, "op8_byte_bpe": op8_byte_bpe, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op4_url_filters": op4_url_filters}
+QUERIES = {"op9_toxicity": op9_toxicity, "op2_embedding_dedup": op2_embedding_dedup, "op10_jaccard_join": op10_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op5_warc": op5_warc, "op6_token_store": op6_token_store, "op7_token_counts": op7_token_counts, "op8_byte_bpe": op8_byte_bpe, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op4_url_filters": op4_url_filters}
 SQL = {"op2_embedding_dedup": OP2_SQL, "op10_jaccard_join": OP10_SQL, "op1_substring_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op3_benchmark_decontamination": OP3_SQL, "op4_url_filters": OP4_SQL}

@@ -110,7 +110,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """(id, text, factors) -> id, n_words, n_removed, kept, spans."""
+    """(id, text, factors, rest) -> id, n_words, n_removed, kept, spans, rest."""
     for batch in (s for b in batches for s in steps(b)):
         rows = []
         for text, places in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -130,7 +130,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, names: list[str]) -> It
                 kept = b" ".join(words)
             rows.append((len(words), gone, kept.decode(), spans))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)), *batch.columns[3:]], names)
 
 
 def duplicate_factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -156,15 +156,25 @@ def crc_of(place: Column) -> Column:
     return place.bitwiseAND(F.lit(CRC))
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def substring_dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, keep: bool = False
+) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept (the words that stay, joined
-    by one space) and spans (first and end word of what goes)."""
+    by one space) and spans (first and end word of what goes). With ``keep`` all other
+    columns stay, the text among them, but for any of these names."""
     if not anchor < window <= anchor + 51:
         raise ValueError("a window may have up to 51 words more than an anchor, and one more at least")
     bound_batches(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).bitwiseAND(F.lit(CRC)))
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).bitwiseAND(F.lit(CRC))
+    made = [id_col, "n_words", "n_removed", "kept", "spans"]
+    others = [c for c in df.columns if c not in made] if keep else []
+    rest = F.struct(*others).alias("rest") if others else F.lit(0).alias("rest")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), crc.alias("crc"), rest)
+    docs = rows.select("id", "text", "crc")
     lists = duplicate_factors(docs, window, anchor).groupBy("id", crc_of(F.col("place")).alias("crc")).agg(F.collect_list("place").alias("places"))
-    ready = docs.join(lists.hint("shuffle_hash"), ["id", "crc"], "left").select("id", "text", "places")
-    names = [id_col, "n_words", "n_removed", "kept", "spans"]
-    return ready.mapInArrow(lambda b: _cut(b, window, names), f"`{id_col}` long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>")
+    ready = rows.join(lists.hint("shuffle_hash"), ["id", "crc"], "left").select("id", "text", "places", *(["rest"] if others else []))
+    shape = f"`{id_col}` long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>"
+    if others:
+        kind = dict(ready.dtypes)["rest"]
+        return ready.mapInArrow(lambda b: _cut(b, window, [*made, "rest"]), f"{shape}, rest {kind}").select(*made, "rest.*")
+    return ready.mapInArrow(lambda b: _cut(b, window, made), shape)
