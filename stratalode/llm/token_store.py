@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalode.llm._shared import shared_path, steps, written
+from stratalode.llm._shared import bound_batches, shared_path, steps, written
 
 MAGIC = b"IDSTORE1"
 HEAD, ENTRY = "<?qQI", "<IQI32s"  # of a document, of a chunk
@@ -54,7 +54,8 @@ VOCABULARY = "word_bpe_49k.json"
 KEPT_WORDS = 600_000
 SPAN, LEAST, MOST, MASK = 16, 256, 16_384, np.uint64(1023 << 40)
 _ASCII_LOWER = bytes(ord(chr(b).lower()) if b < 128 else b for b in range(256))
-_apart = re.compile(rb"(?<=[a-z])(?=[,.!?;:])").sub
+#: A mark other than an apostrophe after a letter: a-z, or one from U+00C0 to U+00FF.
+_apart = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))").sub
 _words: dict[str, Words] = {}
 
 
@@ -62,7 +63,7 @@ class Words:
     """Ids of whole texts from the ids of their words.
 
     Holds for vocabularies that drop white space, lower-case, and split off runs of
-    marks: no token then spans ASCII white space, or a letter a-z and a mark after it."""
+    marks: no token then spans ASCII white space, or a Latin letter and the ASCII mark after it."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,31 +72,42 @@ class Words:
         self.model = Tokenizer.from_file(path)
         vocabulary = self.model.get_vocab(with_added_tokens=True)
         self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        # the same model without the steps that leave runs of a-z as they are
+        bare = json.loads(self.model.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.kept: dict[bytes, bytes] = {}
 
-    def learn(self, new: list[bytes]) -> None:
-        kind = f"<u{self.width}"
-        plain = [w for w in new if w.decode().isalpha()]
-        for i in range(0, len(plain), 256):  # one word is one run of letters: its last token alone ends a word
-            some = plain[i : i + 256]
-            ids = np.array(self.model.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, kind)
+    def learn_letters(self, words: list[bytes], model: object) -> list[bytes]:
+        """Learns words that are one run of letters each: only its last token ends a word. Returns those left over."""
+        over = []
+        for i in range(0, len(words), 256):
+            some = words[i : i + 256]
+            ids = np.array(model.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, f"<u{self.width}")
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(some) and last[-1] == len(ids):
-                data = ids.tobytes()
-                cuts = [0, *(last * self.width).tolist()]
-                self.kept.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
-        rest = [w for w in new if w not in self.kept]
+                data, cuts = ids.tobytes(), (last * self.width).tolist()
+                self.kept.update(zip(some, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+            else:
+                over += some
+        return over
+
+    def learn(self, new: list[bytes]) -> None:
+        kinds: tuple[list[bytes], list[bytes], list[bytes]] = ([], [], [])
+        for w in new:
+            kinds[2 * (not w.isalpha() or not w.islower()) and (1 if not w.isascii() and w.decode().isalpha() else 2)].append(w)
+        rest = [*kinds[2], *self.learn_letters(kinds[0], self.bare), *self.learn_letters(kinds[1], self.model)]
         for w, e in zip(rest, self.model.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            self.kept[w] = np.array(e.ids, kind).tobytes()
+            self.kept[w] = np.array(e.ids, f"<u{self.width}").tobytes()
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         parts = []
         for t in texts:
             data = (t or "").encode()
-            # a special token's own string is matched before lower-casing, so such texts keep their case
-            parts.append(data.split() if b"<|" in data else _apart(b" ", data.translate(_ASCII_LOWER)).split())
+            # special tokens' strings are matched, and letters composed with marks from U+0300 on, before the
+            # library lower-cases; texts that may have them keep their case
+            parts.append(data.split() if b"<|" in data or b"\xcc" in data or b"\xcd" in data else _apart(rb" \g<0>", data.translate(_ASCII_LOWER)).split())
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
         if new := list(set().union(*parts).difference(self.kept)):
@@ -162,6 +174,7 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 def write_store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = 2) -> Store:
     """Writes the ids of every text, each followed by ``end``, under the shared folder."""
     spark = df.sparkSession
+    bound_batches(spark)
     model = vocabulary or public_tokenizers.path(VOCABULARY)
     folder = shared_path(spark, "ids")
 
