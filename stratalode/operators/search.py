@@ -12,8 +12,9 @@ _ITEM = "full_name string, html_url string, stargazers_count long, description s
 def parse_response(body: Column) -> Column:
     """array<struct<project>> of a search response; items without name, address or stars, and
     responses that are no objects, give nothing."""
-    items = F.from_json(body, f"items array<struct<{', '.join(x.replace(' ', ':', 1) for x in _ITEM.split(', '))}>>")["items"]
-    sound = F.filter(F.coalesce(items, F.array()), lambda i: i["full_name"].isNotNull() & i["html_url"].isNotNull() & i["stargazers_count"].isNotNull())
+    raw = F.coalesce(F.from_json(body, "items array<string>")["items"], F.array().cast("array<string>"))
+    items = F.transform(raw, lambda i: F.from_json(i, _ITEM))  # one by one: a broken item spoils no other
+    sound = F.filter(items, lambda i: i["full_name"].isNotNull() & i["html_url"].isNotNull() & i["stargazers_count"].isNotNull())
     return F.transform(sound, lambda i: F.struct(
         i["full_name"].alias("full_name"), i["html_url"].alias("html_url"), i["stargazers_count"].alias("stars"),
         F.trim(F.coalesce(i["description"], F.lit(""))).alias("description"), F.substring(F.coalesce(i["pushed_at"], F.lit("")), 1, 10).alias("pushed_at"),
