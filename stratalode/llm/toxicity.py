@@ -35,7 +35,9 @@ WINDOW, STRIDE = 48, 36
 WORD_SLOTS, GRAM_SLOTS, GRAMS = 1 << 16, 1 << 17, (3, 4, 5, 6)
 WIDTH, HIDDEN = 6, 8
 KEPT_WORDS = 150_000
-CLEAN_ROWS, TOXIC_ROWS, MOST_BYTES = 3600, 1200, 100_000
+#: Words whose grams are worked on at a time.
+MANY_WORDS = 20_000
+CLEAN_ROWS, TOXIC_ROWS, MOST_BYTES = 2700, 900, 60_000
 #: From this score on a text is rejected.
 REJECT = 0.7
 _CUT = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -71,6 +73,13 @@ def slots(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (mix(whole) & np.uint64(WORD_SLOTS - 1)).astype(np.int64), grams[order], np.searchsorted(owners[order], np.arange(len(ws)))
 
 
+def all_slots(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``slots`` of many words, a part at a time."""
+    parts = [slots(ws[i : i + MANY_WORDS]) for i in range(0, len(ws), MANY_WORDS)]
+    starts = np.cumsum([0, *(len(p[1]) for p in parts)])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int32) for p in parts]), np.concatenate([p[2] + s for p, s in zip(parts, starts, strict=False)])
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -83,9 +92,13 @@ class Model:
     weights: dict[str, np.ndarray] = field(default_factory=dict)
 
     def inputs(self, word: np.ndarray, grams: np.ndarray, first: np.ndarray) -> np.ndarray:
-        table = self.weights["gram"]
-        top = np.maximum.reduceat(table[grams], first) if len(first) else np.zeros((0, WIDTH), np.float32)
-        return np.concatenate([self.weights["word"][word], top], 1)
+        table, out = self.weights["gram"], np.empty((len(word), 2 * WIDTH), np.float32)
+        out[:, :WIDTH] = self.weights["word"][word]
+        ends = np.append(first[1:], len(grams))
+        for i in range(0, len(word), MANY_WORDS):
+            part = slice(i, i + MANY_WORDS)
+            out[part, WIDTH:] = np.maximum.reduceat(table[grams[first[i] : ends[part][-1]]], first[part] - first[i])
+        return out
 
     def gates(self, x: np.ndarray) -> list[np.ndarray]:
         """What inputs give to the gates of either direction; computed once for each word."""
@@ -179,9 +192,10 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 5, least_ste
         return model
     parts = [words(t) for t in texts]
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
-    word, grams, first = slots([*vocabulary])
+    word, grams, first = all_slots([*vocabulary])
     counts = np.array([len(p) for p in parts])
-    ids = np.fromiter((vocabulary[w] for p in parts for w in p), np.int64, counts.sum())
+    ids = np.fromiter((vocabulary[w] for p in parts for w in p), np.int32, counts.sum())
+    del parts
     at, mask, text = cut_windows(ids, counts)
     rng = np.random.default_rng(seed)
     w = model.weights
@@ -254,8 +268,8 @@ class Reader:
         if len(self.number) > KEPT_WORDS:
             self.clear()
         if new := list(set().union(*parts).difference(self.number)):
-            for i in range(0, len(new), 20_000):
-                more = self.model.gates(self.model.inputs(*slots(new[i : i + 20_000])))
+            for i in range(0, len(new), MANY_WORDS):
+                more = self.model.gates(self.model.inputs(*slots(new[i : i + MANY_WORDS])))
                 self.gates = [np.concatenate(g) for g in zip(self.gates, more, strict=True)]
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
