@@ -126,7 +126,8 @@ def detect(files: DataFrame, has_license: DataFrame | None = None, whole: DataFr
         .when(col("filename_score") < -0.5, "Filename is a framework entry point")
         .when(F.size("missing_siblings") > 0, F.concat(F.lit("References missing sibling(s): "), F.array_join("missing_siblings", ", ")))
     )
-    row = row.withColumn("skip_reason", gate)
+    # written: the gate's expressions are not repeated in every column that depends on it
+    row = graph.cut_lineage(row.withColumn("skip_reason", gate).drop("roots", "own_lines", "tested", "missing", "relative"))
     active, blocked = col("skip_reason").isNull(), col("skip_reason").startswith("References missing")
     on = lambda value, otherwise: F.when(active, value).otherwise(otherwise)
     weight = L.dependency_weight(fam, col("imports"))
@@ -149,4 +150,4 @@ def detect(files: DataFrame, has_license: DataFrame | None = None, whole: DataFr
     everything = late.unionByName(early.withColumns(none))
     licenses = scan.licenses(whole) if has_license is None else has_license
     out = everything.join(licenses, "repo", "left").withColumn("source_has_license", F.coalesce("has_license", F.lit(False))).drop("has_license")
-    return out.withColumn("why_extractable", F.when(col("skipped"), empty).otherwise(reasons()))
+    return graph.cut_lineage(out).withColumn("why_extractable", F.when(col("skipped"), empty).otherwise(reasons()))
