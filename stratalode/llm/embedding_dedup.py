@@ -10,7 +10,7 @@ Vectors with equal labels link when their cosine, in double precision, is at lea
     plane between its own cell and one with a smaller number also visits that cell.
     Two linked vectors are thus compared once, in the smaller of their cells' numbers.
 4.  A cell of more than ``BLOCK`` rows is cut into blocks, dealt as pairs of blocks; a
-    task holds two blocks. It counts links and returns a row for each vector that has
+    task holds two blocks and multiplies them in pieces. It counts links and returns a row for each vector that has
     one (its links, the smallest id it is joined to there), never pairs.
 5.  Those rows are edges of a graph whose components are the groups.
 
@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 from stratalode.llm._components import components
 from stratalode.llm._shared import bound_batches, written
 
-THRESHOLD, SAMPLE, CELLS, BLOCK = 0.98, 4096, 32, 512
+THRESHOLD, SAMPLE, CELLS, BLOCK = 0.98, 4096, 32, 2048
+#: Rows of a product computed at a time.
+CHUNK = 512
 #: Far above what rounding in double precision can shift a product of unit vectors.
 SLACK = 1e-9
 
@@ -96,20 +98,23 @@ def _products(table: pa.Table, threshold: float) -> pa.Table:
     table = table.combine_chunks()
     first, n = table.column("first").to_numpy(), table.column("n").to_numpy()
     native, block = table.column("native").to_numpy(zero_copy_only=False), table.column("block").to_numpy()
-    x = unit(_matrix(table.column("vector").chunk(0) if table.num_rows else pa.array([], pa.list_(pa.float32()))))
+    x = unit(_matrix(table.column("vector").chunk(0)))
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-    linked = (x @ x.T >= threshold) & (native[:, None] | native[None])
-    if low != high:  # pairs inside a block are another task's
-        linked &= block[:, None] != block[None]
+    linked = np.empty((len(x), len(x)), bool)
+    for i in range(0, len(x), CHUNK):
+        part = slice(i, i + CHUNK)
+        linked[part] = (x[part] @ x.T >= threshold) & (native[part, None] | native[None])
+        if low != high:  # pairs inside a block are another task's
+            linked[part] &= block[part, None] != block[None]
     np.fill_diagonal(linked, False)
     at = np.flatnonzero(linked.any(1))
     linked = linked[np.ix_(at, at)]
-    links = linked @ n[at]
+    links = np.array([n[at][row].sum() for row in linked], np.int64)
     least, before = first[at].copy(), None
     while before is None or (least != before).any():
         before = least
-        least = np.minimum(least, np.where(linked, least[None], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max))
-    return pa.table({"first": first[at], "links": links.astype(np.int64), "least": least})
+        least = np.array([min(m, before[row].min()) for m, row in zip(before, linked, strict=True)], np.int64)
+    return pa.table({"first": pa.array(first[at], pa.int64()), "links": pa.array(links, pa.int64()), "least": pa.array(least, pa.int64())})
 
 
 def link_vectors(
