@@ -159,7 +159,7 @@ def test_scores(spark):
 
 def test_names_and_tags(spark):
     name = lambda p, d="", f=(): spark.createDataFrame([(p, d, list(f))], "p string, d string, f array<string>").select(naming.suggest_name(F.col("p"), F.col("d"), F.col("f"))).first()[0]
-    assert [name("slugify.py"), name("lib/StringUtils.java"), name("src/network/mod.rs"), name("crates/mycrate/src/lib.rs"), name("utils.py"), name("foo.d.ts"), name("people_data/models.py", f=["Data"]), name("billing/utils.py", f=["Invoice"])] == ["slugify", "string-utils", "network", "mycrate", "extracted-utility", "foo", "people-data", "billing-invoice"]
+    assert [name("slugify.py"), name("lib/StringUtils.java"), name("src/network/mod.rs"), name("crates/mycrate/src/lib.rs"), name("utils.py"), name("foo.d.ts"), name("staff_data/models.py", f=["Data"]), name("billing/utils.py", f=["Invoice"])] == ["slugify", "string-utils", "network", "mycrate", "extracted-utility", "foo", "staff-data", "billing-invoice"]
     tags = spark.createDataFrame([("a/parse_util.py", "Python", "Fast parsing of numbers, safely.")], "p string, l string, d string").select(naming.suggest_tags(F.col("p"), F.col("l"), F.col("d"))).first()[0]
     assert tags == ["python", "utility", "parser", "library", "open-source"]
     query = spark.createDataFrame([("a/cache.py", "", ["do", "fetch_all", "Store"], "")], "p string, d string, f array<string>, x string").select(naming.search_query(F.col("p"), F.col("d"), F.col("f"), F.col("x"))).first()[0]
