@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,13 +30,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends here, and
-    a lost executor costs no more than the tasks that read it."""
+    a lost executor costs no more than the tasks that read it. With ``free`` the shuffle
+    files behind it, which nothing needs any more, go at once and not when the driver
+    happens to collect its garbage."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    shape = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if free:
+        del df
+        gc.collect()
+        spark._jvm.System.gc()
+    return spark.read.schema(shape).parquet(path)
 
 
 def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
@@ -45,6 +55,26 @@ def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system; Python workers stay alive between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after which its task leaves no spare memory in the worker."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return held
+
+
 def salt(key: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
 

@@ -46,12 +46,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalode.llm._shared import bound_batches, shared_path, steps, written
+from stratalode.llm._shared import bound_batches, lean, shared_path, steps, written
 
 MAGIC = b"IDSTORE1"
 HEAD, ENTRY = "<?qQI", "<IQI32s"  # of a document, of a chunk
 VOCABULARY = "word_bpe_49k.json"
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_000_000
 SPAN, LEAST, MOST, MASK = 16, 256, 16_384, np.uint64(1023 << 40)
 _ASCII_LOWER = bytes(ord(chr(b).lower()) if b < 128 else b for b in range(256))
 #: A mark other than an apostrophe after a letter: a-z, or one from U+00C0 to U+00FF.
@@ -230,8 +230,8 @@ def write_store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     files.create_dir(base, recursive=True)
     narrow = df.select(F.col(id_col).cast("long"), text_col)
     # by name: chunks meet their equals; the sort puts them side by side
-    dealt = narrow.mapInArrow(chunked, "deal long, name binary, data binary, id long, n_ids long, recipe binary").repartition("deal").sortWithinPartitions("name")
-    placed = written(dealt.mapInArrow(packed, "name binary, pack string, at long, size long, id long, n_ids long, recipe binary"), "placed")
+    dealt = narrow.mapInArrow(lean(chunked), "deal long, name binary, data binary, id long, n_ids long, recipe binary").repartition("deal").sortWithinPartitions("name")
+    placed = written(dealt.mapInArrow(lean(packed), "name binary, pack string, at long, size long, id long, n_ids long, recipe binary"), "placed")
     places = placed.filter("pack IS NOT NULL").select("name", "pack", "at", "size")
     recipes = placed.filter("pack IS NULL").groupBy("id", F.col("name").alias("doc_name"), "n_ids", "recipe").count()
     parts = recipes.select("*", F.explode(F.sequence(F.lit(0), (F.length("recipe") / 32 - 1).cast("int"))).alias("k"))
@@ -259,7 +259,7 @@ def write_store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
             out.close()
             yield pa.RecordBatch.from_pydict({"no": [TaskContext.get().partitionId()], "file": [name], "documents": [len(digests)], "ids": [total], "root": [root]})
 
-    manifest = ordered.mapInArrow(recorded, "no long, file string, documents long, ids long, root string").collect()  # a row for each file
+    manifest = ordered.mapInArrow(lean(recorded), "no long, file string, documents long, ids long, root string").collect()  # a row for each file
     listed = [(r["file"], r["documents"], r["ids"], r["root"]) for r in sorted(manifest, key=lambda r: r["no"])]
     root = merkle([bytes.fromhex(r[3]) for r in listed]).hex()
     with files.open_output_stream(f"{base}/manifest.json") as out:
@@ -331,4 +331,4 @@ def read_store(spark: SparkSession, store: Store, with_ids: bool = False, group:
                     raise ValueError(f"{file}: its documents don't match the Merkle root")
 
     shape = f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return todo.repartition(max(1, len(store.files))).mapInArrow(rebuilt, shape)
+    return todo.repartition(max(1, len(store.files))).mapInArrow(lean(rebuilt), shape)
