@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalode.llm._shared import bound_batches, steps, written
+from stratalode.llm._shared import bound_batches, lean, steps, written
 from stratalode.llm._words import BASES, Sums, mix, words_of
 
 WINDOW, ANCHOR = 50, 12
@@ -136,7 +136,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, names: list[str]) -> It
 def duplicate_factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(id, text, crc) -> (id, place): phrases and windows that an earlier document has."""
     shape = "anchor long, phrase long, id long, place long"
-    parsed = docs.filter("id IS NOT NULL AND text IS NOT NULL").mapInArrow(lambda b: _parse(b, window, anchor), shape)
+    parsed = docs.filter("id IS NOT NULL AND text IS NOT NULL").mapInArrow(lean(lambda b: _parse(b, window, anchor)), shape)
     # anchors that two documents have, and whether their phrases differ
     span = parsed.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), (F.min("phrase") != F.max("phrase")).alias("differ"))
     shared = written(span.filter("a < b").select("anchor", "differ"), "anchors")
@@ -147,7 +147,7 @@ def duplicate_factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     # boundaries: the first document with a phrase stands for all; only it is asked window by window
     asked = looked_up.filter("id = first AND differ").groupBy("id", crc_of(F.col("place")).alias("crc")).agg(F.collect_list("place").alias("places"))
     texts = docs.join(asked.hint("shuffle_hash"), ["id", "crc"]).select("id", "text", "crc", "places")
-    windows = written(texts.mapInArrow(lambda b: _windows(b, window), shape), "windows")
+    windows = written(texts.mapInArrow(lean(lambda b: _windows(b, window)), shape), "windows")
     first = windows.groupBy("anchor", "phrase").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
     return factors.unionByName(windows.join(written(first, "first-windows"), ["anchor", "phrase"]).filter("id > first").select("id", "place"))
 
@@ -176,5 +176,5 @@ def substring_dedup(
     shape = f"`{id_col}` long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>"
     if others:
         kind = dict(ready.dtypes)["rest"]
-        return ready.mapInArrow(lambda b: _cut(b, window, [*made, "rest"]), f"{shape}, rest {kind}").select(*made, "rest.*")
-    return ready.mapInArrow(lambda b: _cut(b, window, made), shape)
+        return ready.mapInArrow(lean(lambda b: _cut(b, window, [*made, "rest"])), f"{shape}, rest {kind}").select(*made, "rest.*")
+    return ready.mapInArrow(lean(lambda b: _cut(b, window, made)), shape)
