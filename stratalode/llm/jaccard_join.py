@@ -11,13 +11,15 @@ Jaccard similarity is at least ``percent`` / 100.
     are the join's keys.
 4.  Candidates pass the length filter, the positional filter (what can follow the
     shared n-gram is not more than the shorter rest) and the suffix filter (n-grams
-    counted by eight ranges of hashes differ by no more than the two sets may).
-    Each pair is verified once, on the whole sets.
+    counted by ranges of hashes differ by no more than the two sets may; eight ranges
+    or 64 before pairs are gathered, 256 after). Each pair that is left is verified once, on
+    the whole sets, which are made for such pairs' nodes only.
 5.  Only what decides components is compared. Under each key, all nodes are first
-    compared with few leaders, and linked ones joined to components; pairs inside a
-    component need no more. This repeats with other leaders while keys have many pairs
-    between components, then all such pairs that are left are verified. A group of
-    copies costs rows in proportion to its size, and no link between components is lost.
+    compared with two leaders, and linked ones joined to components; pairs inside a
+    component need no more, so a group of copies costs rows in proportion to its size.
+    Then every pair between components is a candidate: of keys with few nodes by a join,
+    of the others in blocks of nodes, two blocks to a task, where a pair is filtered in
+    arrays and, of frequent keys that it shares, handed on under the smallest.
 
 Rows are dealt by hashes and pre-aggregated. Sets compare by 56-bit hashes of n-grams,
 nodes by a 64-bit hash of the set; a second hash tells if two sets share the first one,
@@ -31,7 +33,8 @@ gives an empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +42,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalode.llm._components import components
-from stratalode.llm._shared import bound_batches, steps, written
-from stratalode.llm._words import Words, mix, words_of, Sums
+from stratalode.llm._shared import bound_batches, lean, steps, written
+from stratalode.llm._words import Sums, Words, mix, words_of
 
-#: Counters of the sketch; a shared n-gram is frequent from this many times their mean.
-SKETCH_BITS, FREQUENT = 18, 4
+#: Counters of the sketch; an n-gram is frequent if its counter is over the mean by this many deviations.
+SKETCH_BITS, DEVIATIONS = 20, 6
 BLOCKS = 256
-#: Pairs between components for each row of the keys, up to which all are verified.
-PAIRS_PER_ROW = 16
-RANGES = 8
+#: Keys of up to FEW nodes are joined; others are compared in blocks of BLOCK nodes. Nodes know which
+#: keys of over HOT nodes they have, so a pair is handed on under one of those at most.
+FEW, HOT, BLOCK, CHUNK = 16, 64, 2048, 256
+RANGES, FINE, FINEST = 8, 64, 256
 
 
 def grams(w: Words, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,31 +69,33 @@ def bucket(hashes: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch], n: int, seed: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch in (s for b in batches for s in steps(b)):
-        counts += np.bincount(bucket(grams(words_of(batch.column(1), lower=True), n, seed)[0]), minlength=len(counts))
-    parts = counts.astype("<i8").reshape(BLOCKS, -1)
+        found, times = np.unique(bucket(grams(words_of(batch.column(1), lower=True), n, seed)[0]), return_counts=True)
+        counts[found] += times.astype(np.uint32)
+    parts = counts.reshape(BLOCKS, -1)
     used = np.flatnonzero(parts.any(1))
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["block", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([zlib.compress(parts[i].astype("<u4").tobytes(), 1) for i in used], pa.binary())], ["block", "counts"])
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            total[block] = total.get(block, 0) + np.frombuffer(counts, "<i8")
-    yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+            total[block] = total.get(block, 0) + np.frombuffer(zlib.decompress(counts), "<u4").astype(np.uint64)
+    yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([zlib.compress(x.astype("<u8").tobytes(), 1) for x in total.values()], pa.binary())], ["block", "counts"])
 
 
 def levels(docs: DataFrame, n: int, seed: int) -> np.ndarray:
-    """For each counter of the sketch 0, or more the more frequent its n-grams are: 256 KB, whatever the input."""
+    """For each counter of the sketch 0, or more the more frequent its n-grams are: 1 MB, whatever the input."""
     shape = "block long, counts binary"
-    rows = docs.mapInArrow(lambda b: _counted(b, n, seed), shape).repartition("block").mapInArrow(_added, shape).collect()
-    counts = np.zeros((BLOCKS, (1 << SKETCH_BITS) // BLOCKS))
+    rows = docs.mapInArrow(lean(lambda b: _counted(b, n, seed)), shape).repartition("block").mapInArrow(_added, shape).collect()
+    counts = np.zeros((BLOCKS, (1 << SKETCH_BITS) // BLOCKS), np.float32)
     for r in rows:
-        counts[r["block"]] = np.frombuffer(r["counts"], "<i8")
+        counts[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), "<u8")
     counts = counts.ravel()
-    return np.clip(np.floor(np.log2(np.maximum(counts / (FREQUENT * max(1.0, counts.mean())), 0.25))) + 1, 0, 127).astype(np.uint8)
+    over = counts - counts.mean() - DEVIATIONS * np.sqrt(counts.mean() + 1)
+    return np.where(over > 0, 1 + np.floor(np.log2(np.maximum(over, 1))), 0).astype(np.uint8)
 
 
 class Sets:
@@ -112,39 +118,56 @@ class Sets:
 
 
 def _described(batches: Iterator[pa.RecordBatch], n: int, seed: int, level: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> id, node, second hash, size, counts by ranges of hashes."""
+    """(id, text) -> id, node, second hash, size, counts by 8, 64 and 256 ranges of hashes, a byte each."""
     for batch in (s for b in batches for s in steps(b)):
         x = Sets(batch, n, seed, level)
-        size = [len(s) for s in x.sets]
-        # eight counts of 0 to 255, a byte each
-        ranges = [int.from_bytes(np.minimum(np.bincount((s >> np.uint64(53) & np.uint64(7)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes(), "little", signed=True) for s in x.sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(x.nodes()), pa.array(x.nodes(True)), pa.array(size, pa.int64()), pa.array(ranges, pa.int64())], ["id", "node", "other", "size", "ranges"]
-        )
+        finest = [np.bincount((s >> np.uint64(48)).astype(np.int64) & (FINEST - 1), minlength=FINEST) for s in x.sets]
+        byte = lambda counts, n: np.minimum(counts.reshape(n, -1).sum(1), 255).astype(np.uint8).tobytes()
+        some = [int.from_bytes(byte(f, RANGES), "little", signed=True) for f in finest]
+        columns = [
+            batch.column(0), pa.array(x.nodes()), pa.array(x.nodes(True)), pa.array([len(s) for s in x.sets], pa.int64()),
+            pa.array(some, pa.int64()), *(pa.array([byte(f, n) for f in finest], pa.binary()) for n in (FINE, FINEST)),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "node", "other", "size", "ranges", "fine", "finest"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], n: int, seed: int, level: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> token, node, place of each prefix n-gram; place is size << 32 | position."""
+    """(id, text) -> token, node, place of each prefix n-gram, once for copies in one task;
+    place is size << 32 | position."""
+    sent: set[int] = set()
     for batch in (s for b in batches for s in steps(b)):
         x = Sets(batch, n, seed, level)
         size = np.array([len(s) for s in x.sets], np.int64)
-        length = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
+        nodes = x.nodes()
+        fresh = np.zeros(len(size), bool)
+        for i, node in enumerate(nodes.tolist()):
+            fresh[i] = size[i] > 0 and node not in sent
+            sent.add(node)
+        if len(sent) > 1 << 20:
+            sent.clear()
+        length = np.where(fresh, size - (percent * size + 99) // 100 + 1, 0)
         if not length.sum():
             continue
         token = np.concatenate([s[:k] for s, k in zip(x.sets, length.tolist(), strict=True)])
         position = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(token.view(np.int64)), pa.array(np.repeat(x.nodes(), length)), pa.array(np.repeat(size << 32, length) | position)], ["token", "node", "place"]
+            [pa.array(token.view(np.int64)), pa.array(np.repeat(nodes, length)), pa.array(np.repeat(size << 32, length) | position)], ["token", "node", "place"]
         )
 
 
 def _whole(batches: Iterator[pa.RecordBatch], n: int, seed: int, level: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> node and its set."""
+    """(id, text) -> id and its set, once for repeated rows in one task."""
+    sent: set[tuple[int, int]] = set()
     for batch in (s for b in batches for s in steps(b)):
         x = Sets(batch, n, seed, level)
-        bounds = np.concatenate([[0], np.cumsum([len(s) for s in x.sets])]).astype(np.int32)
-        flat = np.concatenate(x.sets) if x.sets else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(x.nodes()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.view(np.int64)))], ["node", "set"])
+        rows = [*dict.fromkeys(zip(batch.column(0).to_pylist(), x.nodes().tolist(), strict=True))]
+        at = {r: i for i, r in enumerate(zip(batch.column(0).to_pylist(), x.nodes().tolist(), strict=True))}
+        fresh = [at[r] for r in rows if r not in sent]
+        sent.update(rows)
+        kept = [x.sets[i] for i in fresh]
+        bounds = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
+        flat = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fresh, pa.int64())), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.view(np.int64)))], ["id", "set"])
 
 
 def candidates(pairs: DataFrame, percent: int) -> DataFrame:
@@ -163,48 +186,115 @@ def candidates(pairs: DataFrame, percent: int) -> DataFrame:
     return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, size_a, finest_a, b, size_b, finest_b) -> the pairs (a, b) whose counts may belong to similar sets."""
+    for batch in batches:
+        total = batch.column(1).to_numpy() + batch.column(4).to_numpy()
+        counts = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, FINEST).astype(np.int64) for i in (2, 5)]
+        least = -(-percent * total // (100 + percent))
+        fits = np.flatnonzero(np.abs(counts[0] - counts[1]).sum(1) <= total - 2 * least)
+        yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(fits)) for i in (0, 3)], ["a", "b"])
+
+
+def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    for s in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("id").alias(s), F.col("size").alias(f"size_{s}"), F.col("finest").alias(f"finest_{s}")), s)
+    return pairs.select("a", "size_a", "finest_a", "b", "size_b", "finest_b").mapInArrow(lean(lambda b: _near(b, percent)), "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-    both = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    both = one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return both.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def _linked(keys: DataFrame, sets: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
-    """keys (token, node, place, ranges), ends (token, low, high: two of the token's nodes)
-    -> (node, component) for all nodes that have a link."""
-    side = lambda s: [F.col(c).alias(f"{c}_{s}" if c != "node" else s) for c in ("node", "place", "ranges")]
-    leaders = ends.select("token", F.explode(F.array_distinct(F.array("low", "high"))).alias("node"))
-    links, done, parts, round_no = None, None, None, 0
-    while True:
-        lead = leaders.join(keys, ["token", "node"]).select("token", *side("b"))
-        pairs = candidates(keys.select("token", *side("a")).join(written(lead, "leaders"), "token"), percent)
-        fresh = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
-        fresh = written(fresh, "pairs")
-        found = written(verified(fresh, sets, percent), "links")
-        done = fresh if done is None else done.unionByName(fresh)
-        links = found if links is None else links.unionByName(found)
-        parts = written(components(links), "components")
-        # pairs that lie under one key and in different components
-        placed = keys.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        spread = placed.groupBy("token", "component").count().groupBy("token").agg(F.count("*").alias("n"), F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        open_keys = written(spread.filter("n > 1"), "open-keys")
-        total = open_keys.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
-        if not total["rows"]:
-            return parts
-        keys_now = written(placed.join(open_keys.select("token"), "token"), "keys")
-        if total["pairs"] <= PAIRS_PER_ROW * total["rows"]:
-            break
-        round_no += 1
-        # another leader under each key: any order of the nodes that differs from round to round
-        mixed = F.xxhash64("node", F.lit(round_no))
-        leaders = keys_now.groupBy("token").agg(F.min_by("node", mixed).alias("node"))
-        keys = keys_now.drop("component")
-    a = keys_now.select("token", *side("a"), F.col("component").alias("part_a"))
-    b = keys_now.select("token", *side("b"), F.col("component").alias("part_b"))
-    last = candidates(a.join(b, "token").filter("a < b AND part_a != part_b"), percent).join(done, ["a", "b"], "left_anti")
-    return written(components(links.unionByName(written(verified(written(last, "pairs"), sets, percent), "links"))), "components")
+class Judge:
+    """Verifies pairs of nodes, each once; makes the sets it has not yet had to look at."""
+
+    def __init__(self, nodes: DataFrame, docs: DataFrame, whole: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], percent: int) -> None:
+        self.nodes, self.docs, self.whole, self.percent = nodes, docs, whole, percent
+        self.done: DataFrame | None = None
+        self.sets: DataFrame | None = None
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        fresh = written(pairs if self.done is None else pairs.join(self.done, ["a", "b"], "left_anti"), "pairs", free=True)
+        self.done = fresh if self.done is None else self.done.unionByName(fresh)
+        left = written(near(fresh, self.nodes, self.percent), "near")
+        ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = written(ids if self.sets is None else ids.join(self.sets.select("id"), "id", "left_anti"), "wanted")
+        made = written(self.docs.join(ids, "id").mapInArrow(lean(self.whole), "id long, set array<long>"), "sets", free=True)
+        self.sets = made if self.sets is None else self.sets.unionByName(made)
+        return written(verified(left, self.sets, self.percent).distinct(), "links", free=True)
+
+
+def _between(table: pa.Table, percent: int) -> pa.Table:
+    """Rows (token, hot, low, high, block, id, component, place, fine, mine) of one or two blocks
+    -> the pairs (a, b) between components that pass the filters; those that share a hot key
+    only under the smallest of them."""
+    table = table.combine_chunks()
+    get = lambda c: table.column(c).to_numpy()
+    ids, part, place, block = get("id"), get("component"), get("place"), get("block")
+    token, two = table.column("token")[0].as_py(), table.column("low")[0].as_py() != table.column("high")[0].as_py()
+    size, at = place >> 32, place & ((1 << 32) - 1)
+    fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE).astype(np.int16)
+    lists = table.column("mine").to_pylist()
+    hot = table.column("hot")[0].as_py()
+    smaller = {t: i for i, t in enumerate(sorted({t for x in lists for t in x if not hot or t < token}))}
+    held = np.zeros((len(ids), len(smaller)), np.float32)
+    for i, x in enumerate(lists):
+        held[i, [smaller[t] for t in x if t in smaller]] = 1
+    found_a, found_b = [], []
+    for k in range(0, len(ids), CHUNK):
+        c = slice(k, k + CHUNK)
+        n, m = size[c, None], size[None]
+        least = -(-percent * (n + m) // (100 + percent))
+        fits = (ids[c, None] < ids[None]) & (part[c, None] != part[None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        fits &= np.minimum(at[c, None], at[None]) + 1 + np.minimum(n - at[c, None] - 1, m - at[None] - 1) >= least
+        if two:
+            fits &= block[c, None] != block[None]
+        if smaller:
+            fits &= held[c] @ held.T == 0
+        x, y = np.nonzero(fits)
+        for i in range(0, len(x), 100_000):
+            p, q = x[i : i + 100_000], y[i : i + 100_000]
+            near = np.abs(fine[p + k] - fine[q]).sum(1) <= (n[p, 0] + m[0, q]) - 2 * least[p, q]
+            found_a.append(ids[p[near] + k])
+            found_b.append(ids[q[near]])
+    joined = [np.concatenate([*f, np.zeros(0, np.int64)]) for f in (found_a, found_b)]
+    return pa.table({"a": joined[0], "b": joined[1]})
+
+
+def _across(placed: DataFrame, counts: DataFrame, nodes: DataFrame, percent: int, side: Callable[[str], list[Column]]) -> DataFrame:
+    """placed (token, id, place, ranges, component), counts (token, m) of keys with nodes of
+    two components or more -> all candidates (a, b) between components."""
+    few = placed.join(counts.filter(F.col("m") <= FEW).select("token"), "token")
+    a = few.select("token", *side("a"), F.col("component").alias("part_a"))
+    b = few.select("token", *side("b"), F.col("component").alias("part_b"))
+    pairs = candidates(a.join(b, "token").filter("a < b AND part_a != part_b"), percent)
+    many = written(placed.join(counts.filter(F.col("m") > FEW).select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), (F.col("m") > HOT).alias("hot")), "token"), "many")
+    mine = many.filter("hot").groupBy("id").agg(F.collect_set("token").alias("mine"))  # no more than its prefix
+    rows = many.join(nodes.select("id", "fine"), "id").join(mine, "id", "left").withColumn("mine", F.coalesce("mine", F.array().cast("array<long>")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    dealt = rows.select("token", "hot", "low", "high", "block", "id", "component", "place", "fine", "mine").groupBy("token", "low", "high")
+    return pairs.unionByName(dealt.applyInArrow(lambda t: _between(t, percent), "a long, b long")).distinct()
+
+
+def _linked(keys: DataFrame, judge: Judge) -> DataFrame:
+    """keys (token, id, place, ranges) -> (node, component) for all ids that have a link."""
+    row = F.struct("id", "place", "ranges")
+    side = lambda s: [F.col(c).alias(f"{c}_{s}" if c != "id" else s) for c in ("id", "place", "ranges")]
+    both = keys.groupBy("token").agg(F.min(row).alias("low"), F.max(row).alias("high")).select("token", F.explode(F.array("low", "high")).alias("row"))
+    lead = written(both.select("token", "row.*").select("token", *side("b")), "leaders")
+    links = judge.links(candidates(keys.select("token", *side("a")).join(lead, "token"), judge.percent))
+    parts = written(components(links), "components")
+    placed = written(keys.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed", free=True)
+    counts = placed.groupBy("token").agg(F.count("*").alias("m"), (F.min("component") != F.max("component")).alias("open"))
+    counts = written(counts.filter("open").select("token", "m"), "open")
+    last = judge.links(_across(placed, counts, judge.nodes, judge.percent, side))
+    return written(components(links.unionByName(last)), "components")
 
 
 def jaccard_components(
@@ -215,24 +305,21 @@ def jaccard_components(
     bound_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     docs = rows.filter("id IS NOT NULL AND text IS NOT NULL")
-    level = levels(docs, n, seed)
-    described = written(rows.mapInArrow(lambda b: _described(b, n, seed, level), "id long, node long, other long, size long, ranges long"), "described")
-    nodes = described.filter("size > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.first("ranges").alias("ranges"), (F.min("other") != F.max("other")).alias("clash"))
-    nodes = written(nodes, "nodes")
+    cast = df.sparkSession.sparkContext.broadcast(levels(docs, n, seed))
+    shape = "id long, node long, other long, size long, ranges long, fine binary, finest binary"
+    described = written(rows.mapInArrow(lean(lambda b: _described(b, n, seed, cast.value)), shape), "described")
+    nodes = described.filter("size > 0 AND id IS NOT NULL").groupBy("node").agg(
+        F.min("id").alias("id"), F.first("size").alias("size"), F.first("ranges").alias("ranges"), F.first("fine").alias("fine"), F.first("finest").alias("finest"), (F.min("other") != F.max("other")).alias("clash")
+    )
+    nodes = written(nodes, "nodes", free=True)
     if nodes.filter("clash").limit(1).count():  # two sets under one hash: once in very many runs
         return jaccard_components(df, id_col, text_col, n, percent, seed + 1)
-    prefixes = docs.mapInArrow(lambda b: _prefixes(b, n, seed, level, percent), "token long, node long, place long")
-    ends = written(prefixes.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high"), "ends")
-    shared = prefixes.join(ends.select("token"), "token").distinct()
-    keys = written(shared.join(nodes.select("node", "ranges"), "node"), "keys")
-    wanted = keys.select("node").distinct().join(nodes.select("node", "first"), "node").select(F.col("first").alias("id")).distinct()
-    texts = docs.join(wanted.hint("shuffle_hash"), "id")
-    sets = written(texts.mapInArrow(lambda b: _whole(b, n, seed, level), "node long, set array<long>").dropDuplicates(["node"]), "sets")
-    parts = _linked(keys, sets, ends, percent)
-    firsts = parts.join(nodes.select("node", "first"), "node")
-    lowest = written(firsts.groupBy("component").agg(F.min("first").alias("lowest")), "lowest")
-    named = written(firsts.join(lowest, "component").select("node", "lowest"), "named")
-    known = written(nodes.select("node", "first").join(named, "node", "left").select("node", F.coalesce("lowest", "first").alias("component_id")), "known")
+    prefixes = docs.mapInArrow(lean(lambda b: _prefixes(b, n, seed, cast.value, percent)), "token long, node long, place long")
+    shared = written(prefixes.groupBy("token").agg((F.min("node") != F.max("node")).alias("shared")).filter("shared").select("token"), "shared", free=True)
+    found = prefixes.join(shared, "token").distinct()
+    keys = written(found.join(nodes.select("node", "id", "ranges"), "node").select("token", "id", "place", "ranges"), "keys", free=True)
+    parts = _linked(keys, Judge(nodes, docs, lambda b: _whole(b, n, seed, cast.value), percent))
+    known = written(nodes.select("node", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("component", "id").alias("component_id")), "known")
     out = described.filter("size > 0 AND id IS NOT NULL").join(known, "node").select("id", "size", "component_id")
     rest = described.filter("size = 0 OR id IS NULL").select("id", "size", F.col("id").alias("component_id"))
     return out.unionByName(rest).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")

@@ -97,6 +97,7 @@ def groups(rows: list[tuple]) -> list[tuple]:
 def test_jaccard_components_equal_brute_force(spark, monkeypatch, seed, few, block):
     monkeypatch.setattr(jaccard_join, "FEW", few)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "HOT", 4)
     rows = corpus(seed)
     out = jaccard_join.jaccard_components(spark.createDataFrame(rows, SHAPE))
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(groups(rows), key=repr)
