@@ -28,7 +28,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from stratalode.llm._shared import bound_batches, steps
+from stratalode.llm._shared import bound_batches, lean, steps
 
 #: Pieces that a worker keeps; the table starts anew when it is full.
 KEPT_PIECES = 300_000
@@ -125,10 +125,11 @@ def encode(
                 spans = [c.offsets(t, np.frombuffer(x, "<u4")) for t, x in zip(texts, coded, strict=True)]
                 out |= {k: lists(np.concatenate([s[i] for s in spans] or [np.zeros(0)])) for i, k in enumerate(("starts", "ends"))}
             yield pa.RecordBatch.from_pydict(out)
+        c.kept.clear()  # the worker may serve another operator next
 
     narrow = df.select(id_col, text_col)
     spans = ", starts array<int>, ends array<int>" if with_offsets else ""
-    return narrow.mapInArrow(run, f"`{id_col}` {narrow.dtypes[0][1]}, n_tokens long, ids array<int>, ids_sha256 string{spans}")
+    return narrow.mapInArrow(lean(run), f"`{id_col}` {narrow.dtypes[0][1]}, n_tokens long, ids array<int>, ids_sha256 string{spans}")
 
 
 def decode(
@@ -151,4 +152,4 @@ def decode(
 
     kinds = dict(df.dtypes)
     shape = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "decoded_sha256 string", *["decoded binary"] * with_bytes])
-    return df.select(ids_col, *others).mapInArrow(run, shape)
+    return df.select(ids_col, *others).mapInArrow(lean(run), shape)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalode.llm._shared import bound_batches, steps
+from stratalode.llm._shared import bound_batches, lean, steps
 from stratalode.llm._words import mix
 
 WINDOW, STRIDE = 48, 36
@@ -314,9 +314,10 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             texts = batch.column(0).to_pylist()
             scores = r.score(texts) if r.model.weights else np.full(len(texts), r.model.share)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores.astype(np.float64))], [*others, "score"])
+        r.clear()  # the worker may serve another operator next
 
     kinds = dict(df.dtypes)
-    return whole.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "score double"]))
+    return whole.mapInArrow(lean(run), ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "score double"]))
 
 
 def reader(key: str, model: Model) -> Reader:
