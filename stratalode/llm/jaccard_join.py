@@ -50,7 +50,7 @@ SKETCH_BITS, DEVIATIONS = 20, 6
 BLOCKS = 256
 #: Keys of up to FEW nodes are joined; others are compared in blocks of BLOCK nodes. Nodes know which
 #: keys of over HOT nodes they have, so a pair is handed on under one of those at most.
-FEW, HOT, BLOCK, CHUNK = 16, 64, 2048, 256
+FEW, HOT, BLOCK, CHUNK = 16, 32, 2048, 256
 RANGES, FINE, FINEST = 8, 64, 256
 
 
