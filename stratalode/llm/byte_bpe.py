@@ -132,6 +132,25 @@ def encode(
     return narrow.mapInArrow(lean(run), f"`{id_col}` {narrow.dtypes[0][1]}, n_tokens long, ids array<int>, ids_sha256 string{spans}")
 
 
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """One row per text: id, n_tokens, ids_sha256 and decoded_sha256, as ``decode`` gives them for what
+    ``encode`` makes. Both run in one Python worker, so no ids travel between two."""
+    bound_batches(df.sparkSession)
+    path = ranks or public_tokenizers.path(RANKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        for batch in (s for b in batches for s in steps(b)):
+            coded = c.encode([t or "" for t in batch.column(1).to_pylist()])
+            made = (hashlib.sha256(c.decode(np.frombuffer(x, "<u4").tolist())).hexdigest() for x in coded)
+            columns = [pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string()), pa.array(made, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [batch.schema.names[0], "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.kept.clear()  # the worker may serve another operator next
+
+    narrow = df.select(id_col, text_col)
+    return narrow.mapInArrow(lean(run), f"`{id_col}` {narrow.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def decode(
     df: DataFrame, ids_col: str = "ids", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN, with_bytes: bool = True
 ) -> DataFrame:

@@ -155,8 +155,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the ranks and decoded again."""
-    coded = byte_bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return byte_bpe.decode(coded, with_bytes=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return byte_bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
