@@ -59,8 +59,8 @@ def byte_symbols(lower: bool) -> np.ndarray:
 
 
 _SYMBOLS = {lower: byte_symbols(lower) for lower in (False, True)}
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[list(BLANKS)] = False
+IS_WORD = np.ones(256, bool)
+IS_WORD[list(BLANKS)] = False
 
 
 @dataclass
@@ -79,21 +79,42 @@ class Words:
         return np.repeat(self.first[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
-    """Words are runs of bytes other than ASCII blanks; with ``lower``, A-Z count as a-z. A null has none."""
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 of texts on end, a null's empty, and the first byte of each text (one more at the end)."""
     column = pc.fill_null(column, "")
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     if not len(column) or offsets[-1] == offsets[0]:
-        return Words(np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64))
-    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    offsets -= offsets[0]
-    inside = _IS_WORD[data]
-    edge = np.empty(len(data) + 1, bool)  # a word can't go on over these places
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def bounds(inside: np.ndarray, offsets: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of each run of bytes ``inside``; none goes on over a text's end or a place in ``more``."""
+    if not len(inside):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.empty(len(inside) + 1, bool)
     edge[1:-1] = inside[1:] != inside[:-1]
+    if more is not None:
+        edge[more] = True
     edge[[0, -1]] = True
     edge[offsets] = True
     at = np.flatnonzero(edge)
     runs = inside[at[:-1]]
-    starts, ends = at[:-1][runs], at[1:][runs]
-    hashes = Sums(_SYMBOLS[lower][data]).runs(starts, ends)
-    return Words(hashes, np.searchsorted(starts, offsets))
+    return at[:-1][runs], at[1:][runs]
+
+
+def different(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The different words among runs that hold all bytes ``inside``, and the number of each run's word."""
+    places = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=places[1:])
+    runs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(data[inside])]).dictionary_encode()
+    return runs.dictionary.to_pylist(), runs.indices.to_numpy()
+
+
+def words_of(column: pa.Array, lower: bool = False) -> Words:
+    """Words are runs of bytes other than ASCII blanks; with ``lower``, A-Z count as a-z. A null has none."""
+    data, offsets = bytes_of(column)
+    starts, ends = bounds(IS_WORD[data], offsets)
+    if not len(starts):
+        return Words(np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64))
+    return Words(Sums(_SYMBOLS[lower][data]).runs(starts, ends), np.searchsorted(starts, offsets))

@@ -3,10 +3,11 @@
 Writing. Each text becomes ids (tokenizers library) and an end id. A rolling hash
 over the last ``SPAN`` ids of a document cuts its stream where the hash has a given
 pattern, so equal passages are cut alike wherever they stand. Chunks are named by
-the SHA-256 of their ids. One shuffle by name brings equal chunks together; each
-is compressed and stored once, in pack files. Recipes (a document's chunks in
-order) are joined with the places of their chunks, dealt by ranges of ids and
-written in ascending order of id. Every recipe file ends with the Merkle root of
+the SHA-256 of their ids and leave a task once. One shuffle by name brings equal
+chunks together; each is stored once, in pack files, and its place goes back to the
+tasks that sent it, where recipes (a document's chunks in order) get the places of
+their chunks. No key has more rows than there are tasks, however many documents
+share a chunk. Recipes are dealt by ranges of ids and written in ascending order of id. Every recipe file ends with the Merkle root of
 its documents; the manifest lists the files with their roots and its own root.
 
 Reading. A task takes a recipe file, fetches its chunks from the packs by place,
@@ -31,7 +32,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -47,15 +47,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalode.llm._shared import bound_batches, lean, shared_path, steps, written
+from stratalode.llm._words import IS_WORD, bounds, bytes_of, different
 
 MAGIC = b"IDSTORE1"
 HEAD, ENTRY = "<?qQI", "<IQI32s"  # of a document, of a chunk
+PLACE = "<16sQI32s"  # of a chunk: pack, offset, size, name
+#: Bytes of text that are encoded at a time, unless one text alone is longer.
+WIDE_STEP = 4 << 20
 VOCABULARY = "word_bpe_49k.json"
 KEPT_WORDS = 1_000_000
 SPAN, LEAST, MOST, MASK = 16, 256, 16_384, np.uint64(1023 << 40)
-_ASCII_LOWER = bytes(ord(chr(b).lower()) if b < 128 else b for b in range(256))
-#: A mark other than an apostrophe after a letter: a-z, or one from U+00C0 to U+00FF.
-_apart = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))").sub
+_BYTES = np.arange(256, dtype=np.uint8)
+_ASCII_LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 0x20, _BYTES).astype(np.uint8)
+_MARKS = np.isin(_BYTES, [b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27])
+#: Second bytes of the letters from U+00C0 to U+00FF.
+_LATIN = (_BYTES >= 0x80) & (_BYTES <= 0xBF) & (_BYTES != 0x97) & (_BYTES != 0xB7)
 _words: dict[str, Words] = {}
 
 
@@ -101,19 +107,55 @@ class Words:
         for w, e in zip(rest, self.model.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
             self.kept[w] = np.array(e.ids, f"<u{self.width}").tobytes()
 
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        parts = []
-        for t in texts:
-            data = (t or "").encode()
-            # special tokens' strings are matched, and letters composed with marks from U+0300 on, before the
-            # library lower-cases; texts that may have them keep their case
-            parts.append(data.split() if b"<|" in data or b"\xcc" in data or b"\xcd" in data else _apart(rb" \g<0>", data.translate(_ASCII_LOWER)).split())
+    def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, each text's followed by ``end``, and the first id of each text (one more at the end)."""
+        data, offsets = bytes_of(column)
+        cased = self.cased(data, offsets)
+        data = np.where(cased, data, _ASCII_LOWER[data]) if cased.any() else _ASCII_LOWER[data]
+        inside = IS_WORD[data]
+        starts, ends = bounds(inside, offsets, np.flatnonzero(apart(data) & ~cased))
+        words, number = different(data, inside, starts, ends)
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
-        if new := list(set().union(*parts).difference(self.kept)):
+        found = [*map(self.kept.get, words)]
+        if new := [w for w, x in zip(words, found, strict=True) if x is None]:
             self.learn(new)
-        look_up, last = self.kept.__getitem__, end.to_bytes(self.width, "little")
-        return [b"".join([*map(look_up, p), last]) for p in parts]
+            found = [*map(self.kept.__getitem__, words)]
+        flat = np.frombuffer(b"".join(found), f"<u{self.width}")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        # each word's ids, and one place after each text's last word
+        of_word = size[number]
+        first = np.searchsorted(starts, offsets)
+        begin = np.concatenate([[0], np.cumsum(of_word)])
+        texts = np.arange(len(offsets))
+        ids = np.empty(begin[-1] + len(column), f"<u{self.width}")
+        own = np.ones(len(ids), bool)
+        begins = begin[first] + texts
+        own[begins[1:] - 1] = False
+        ids[~own] = end
+        ids[own] = flat[np.repeat((np.cumsum(size) - size)[number] - begin[:-1], of_word) + np.arange(begin[-1])]
+        return ids, begins
+
+    def cased(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Bytes of texts that keep their case and are cut at blanks alone: special tokens' strings are matched, and
+        letters composed with marks from U+0300 on, before the library lower-cases; a text may have them if it holds
+        ``<|`` or a first byte of such marks."""
+        odd = (data == 0xCC) | (data == 0xCD)
+        odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+        out = np.zeros(len(data), bool)
+        for i in np.unique(np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1).tolist():
+            out[offsets[i] : offsets[i + 1]] = True
+        return out
+
+
+def apart(data: np.ndarray) -> np.ndarray:
+    """Marks other than an apostrophe after a letter: a-z, or one from U+00C0 to U+00FF."""
+    letter = (data >= 0x61) & (data <= 0x7A)
+    letter[1:] |= (data[:-1] == 0xC3) & _LATIN[data[1:]]
+    out = _MARKS[data]
+    out[1:] &= letter[:-1]
+    out[:1] = False
+    return out
 
 
 def words_of(path: str) -> Words:
@@ -178,80 +220,89 @@ def write_store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     model = vocabulary or public_tokenizers.path(VOCABULARY)
     folder = shared_path(spark, "ids")
 
+    none = None
+
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, press, sent = words_of(model), zstandard.ZstdCompressor(level=1), set()
-        kind, none = f"<u{w.width}", None
-        for no, batch in enumerate(s for b in batches for s in steps(b)):
-            coded = w.encode(batch.column(1).to_pylist(), end)
-            bounds = np.cumsum([0, *(len(x) // w.width for x in coded)])
-            data = b"".join(coded)
+        """(id, text) -> a row for each different chunk of the task, numbered, and one for each document with
+        the numbers of its chunks."""
+        w, press, sent = words_of(model), zstandard.ZstdCompressor(level=1), {}
+        task = TaskContext.get().partitionId()
+        for step, batch in enumerate(s for b in batches for s in steps(b, most=WIDE_STEP)):
+            ids, starts = w.encode(batch.column(1), end)
+            data = ids.tobytes()
             rows: list[tuple] = []
-            for doc, ends, a in zip(batch.column(0).to_pylist(), cuts(np.frombuffer(data, kind), bounds), bounds[:-1].tolist(), strict=True):
+            for doc, ends, a in zip(batch.column(0).to_pylist(), cuts(ids, starts), starts[:-1].tolist(), strict=True):
                 names, begin = [], a
                 for e in ends:
                     chunk = data[begin * w.width : e * w.width]
                     names.append(hashlib.sha256(chunk).digest())
                     if names[-1] not in sent:  # each name leaves a task once
-                        sent.add(names[-1])
-                        rows.append((int.from_bytes(names[-1][:8], "little", signed=True), names[-1], press.compress(chunk), none, none, none))
+                        sent[names[-1]] = len(sent)
+                        rows.append((int.from_bytes(names[-1][:8], "little", signed=True), names[-1], press.compress(chunk), sent[names[-1]], none, none, none))
                     begin = e
-                if len(sent) > 1 << 18:
-                    sent.clear()
-                recipe = b"".join(names)
+                recipe = np.fromiter(map(sent.__getitem__, names), "<i4", len(names)).tobytes()
                 # copies of one text have one recipe: recipes are dealt by their own place instead
-                rows.append((len(rows) * 7919 + no, hashlib.sha256(recipe).digest(), none, doc, begin - a, recipe))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["deal", "name", "data", "id", "n_ids", "recipe"])
+                rows.append((len(rows) * 7919 + step, hashlib.sha256(b"".join(names)).digest(), none, none, doc, begin - a, recipe))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), task, np.int32)), *columns], ["task", "deal", "name", "data", "no", "id", "n_ids", "recipe"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Stores the chunks of a partition, equal names side by side; recipes pass through."""
+        """Stores the chunks of a partition, equal names side by side, and tells each task that sent one its
+        place; recipes pass through."""
         files, base = _opened(folder)
-        name, out, at, last = "", None, 0, None
+        name, out, at, last, size = b"", None, 0, None, 0
         for batch in batches:
             rows = []
-            for _, chunk, data, doc, n, recipe in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for task, chunk, data, no, doc, n, recipe in zip(*(batch.column(c).to_pylist() for c in ("task", "name", "data", "no", "id", "n_ids", "recipe")), strict=True):
                 if data is None:
-                    rows.append((chunk, None, None, None, doc, n, recipe))
-                elif chunk != last:
-                    last = chunk
+                    rows.append((task, chunk, none, none, doc, n, recipe))
+                    continue
+                if chunk != last:
                     if out is None:
-                        name = f"pack-{uuid.uuid4().hex}"
-                        out = files.open_output_stream(f"{base}/{name}")
+                        name = uuid.uuid4().bytes
+                        out = files.open_output_stream(f"{base}/pack-{name.hex()}")
                     out.write(data)
-                    rows.append((chunk, name, at, len(data), None, None, None))
-                    at += len(data)
+                    at, last, size = at + size, chunk, len(data)
+                rows.append((task, chunk, no, struct.pack(PLACE, name, at, size, chunk), none, none, none))
             if rows:
-                kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["name", "pack", "at", "size", "id", "n_ids", "recipe"])
+                kinds = (pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["task", "name", "no", "place", "id", "n_ids", "recipe"])
         if out is not None:
             out.close()
 
+    def looked_up(recipes: pa.Table, places: pa.Table) -> pa.Table:
+        """One task's recipes with the places of their chunks."""
+        place = dict(zip(places.column("no").to_pylist(), places.column("place").to_pylist(), strict=True))
+        chunks = [b"".join(map(place.__getitem__, np.frombuffer(r, "<i4").tolist())) for r in recipes.column("recipe").to_pylist()]
+        return pa.table({"id": recipes.column("id"), "doc_name": recipes.column("name"), "n_ids": recipes.column("n_ids"), "chunks": pa.array(chunks, pa.binary())})
+
     files, base = _opened(folder)
     files.create_dir(base, recursive=True)
     narrow = df.select(F.col(id_col).cast("long"), text_col)
     # by name: chunks meet their equals; the sort puts them side by side
-    dealt = narrow.mapInArrow(lean(chunked), "deal long, name binary, data binary, id long, n_ids long, recipe binary").repartition("deal").sortWithinPartitions("name")
-    placed = written(dealt.mapInArrow(lean(packed), "name binary, pack string, at long, size long, id long, n_ids long, recipe binary"), "placed")
-    places = placed.filter("pack IS NOT NULL").select("name", "pack", "at", "size")
-    recipes = placed.filter("pack IS NULL").groupBy("id", F.col("name").alias("doc_name"), "n_ids", "recipe").count()
-    parts = recipes.select("*", F.explode(F.sequence(F.lit(0), (F.length("recipe") / 32 - 1).cast("int"))).alias("k"))
-    parts = parts.select("id", "doc_name", "n_ids", "count", "k", F.substring("recipe", F.col("k") * 32 + 1, F.lit(32)).alias("name"))
-    found = parts.join(places, "name").groupBy("id", "doc_name", "n_ids", "count").agg(F.array_sort(F.collect_list(F.struct("k", "pack", "at", "size", "name"))).alias("chunks"))
-    ordered = found.select("id", "doc_name", "n_ids", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"), "chunks").repartitionByRange("id").sortWithinPartitions("id", "doc_name", "copy")
+    dealt = narrow.mapInArrow(lean(chunked), "task int, deal long, name binary, data binary, no int, id long, n_ids long, recipe binary").repartition("deal").sortWithinPartitions("name")
+    placed = written(dealt.mapInArrow(lean(packed), "task int, name binary, no int, place binary, id long, n_ids long, recipe binary"), "placed", free=True)
+    # back to the tasks that sent the chunks: a chunk that all documents share has a row for each task, not for each document
+    places = placed.filter("place IS NOT NULL").select("task", "no", "place").groupBy("task")
+    recipes = placed.filter("place IS NULL").select("task", "id", "name", "n_ids", "recipe").groupBy("task")
+    found = recipes.cogroup(places).applyInArrow(looked_up, "id long, doc_name binary, n_ids long, chunks binary")
+    ordered = found.repartitionByRange("id").sortWithinPartitions("id", "doc_name")
     width = words_of(model).width
 
     def recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _opened(folder)
         name, out, packs, digests, total = f"recipes-{uuid.uuid4().hex}", None, {}, [], 0
         for batch in batches:
-            for row in batch.select(["id", "n_ids", "chunks"]).to_pylist():
+            for doc, n_ids, chunks in zip(*(batch.column(c).to_pylist() for c in ("id", "n_ids", "chunks")), strict=True):
                 if out is None:
                     out = files.open_output_stream(f"{base}/{name}")
                     out.write(MAGIC)
-                chunks = b"".join(struct.pack(ENTRY, packs.setdefault(c["pack"], len(packs)), c["at"], c["size"], c["name"]) for c in row["chunks"])
-                out.write(struct.pack(HEAD, row["id"] is None, row["id"] or 0, row["n_ids"], len(row["chunks"])) + chunks)
-                digests.append(hashlib.sha256(b"".join(c["name"] for c in row["chunks"])).digest())
-                total += row["n_ids"]
+                entries = [*struct.iter_unpack(PLACE, chunks)]
+                out.write(struct.pack(HEAD, doc is None, doc or 0, n_ids, len(entries)))
+                out.write(b"".join(struct.pack(ENTRY, packs.setdefault(f"pack-{pack.hex()}", len(packs)), *rest) for pack, *rest in entries))
+                digests.append(hashlib.sha256(b"".join(e[3] for e in entries)).digest())
+                total += n_ids
         if out is not None:
             root = merkle(digests).hex()
             foot = json.dumps({"packs": [*packs], "documents": len(digests), "ids": total, "width": width, "root": root}).encode()
