@@ -54,12 +54,24 @@ def test_token_counts_as_sentencepiece(spark):
     assert {i: (r["n_bytes"], r["n_tokens"]) for i, r in got.items()} == {i: (len((t or "").encode()), len(model.encode(t or ""))) for i, t in enumerate(rows)}
 
 
-def test_long_words_have_the_same_merges_by_either_way():
-    m = token_counts.merges(P.path(token_counts.MODEL))
-    rnd = random.Random(4)
-    for _ in range(200):
-        word = token_counts.BLANK + "".join(rnd.choice("ertionst▁é中") for _ in range(rnd.randint(1, 60)))
-        assert m.count_long(word) == m.count_rows([word])[0]
+def test_token_counts_of_long_words_and_empty_tables(spark):
+    import sentencepiece
+
+    m, rnd = token_counts.merges(P.path(token_counts.MODEL)), random.Random(4)
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path(token_counts.MODEL))
+    rows = ["".join(rnd.choice("ertionst▁é中") for _ in range(rnd.randint(1, 60))) for _ in range(200)]
+    rows += ["a" * 20_000, "ab" * 9_000, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzAB01+/") for _ in range(50_000)), "中国人民" * 5000]
+    import pyarrow as pa
+
+    assert m.count(pa.array(rows)).tolist() == [len(model.encode(t)) for t in rows]
+    assert token_counts.count_tokens(table(spark, rows).limit(0)).count() == 0
+
+
+def test_round_trip_equals_encode_and_decode(spark):
+    df = table(spark, texts(5))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, byte_bpe.round_trip(df).select(names).collect())) == sorted(map(tuple, byte_bpe.decode(byte_bpe.encode(df)).select(names).collect()))
+    assert byte_bpe.round_trip(df.limit(0)).count() == 0
 
 
 def test_store_round_trip(spark):
