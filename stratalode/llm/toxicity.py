@@ -25,11 +25,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalode.llm._shared import bound_batches, lean, steps
-from stratalode.llm._words import mix
+from stratalode.llm._words import bounds, bytes_of, different, mix
 
 WINDOW, STRIDE = 48, 36
 WORD_SLOTS, GRAM_SLOTS, GRAMS = 1 << 16, 1 << 17, (3, 4, 5, 6)
@@ -37,15 +38,22 @@ WIDTH, HIDDEN = 6, 8
 KEPT_WORDS = 150_000
 #: Words whose grams are worked on at a time.
 MANY_WORDS = 20_000
+#: Bytes of text that are cut at a time, unless one text alone is longer.
+WIDE_STEP = 2 << 20
 CLEAN_ROWS, TOXIC_ROWS, MOST_BYTES = 2700, 900, 60_000
 #: From this score on a text is rejected.
 REJECT = 0.7
-_CUT = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
+_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _readers: dict[str, Reader] = {}
 
 
-def words(text: str | None) -> list[bytes]:
-    return text.lower().encode().translate(_CUT).split() if text else []
+def cut_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different lower-case words of all texts, the numbers of all words on end, and how many each text has.
+    Words are runs of ASCII letters and digits and of everything beyond ASCII."""
+    data, offsets = bytes_of(pc.utf8_lower(texts))
+    inside = _WORD[data]
+    starts, ends = bounds(inside, offsets)
+    return *different(data, inside, starts, ends), np.diff(np.searchsorted(starts, offsets))
 
 
 def slots(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,12 +198,8 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 5, least_ste
     model = Model(float(truth.mean()) if len(truth) else 0.0)
     if not 0 < model.share < 1:
         return model
-    parts = [words(t) for t in texts]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
-    word, grams, first = all_slots([*vocabulary])
-    counts = np.array([len(p) for p in parts])
-    ids = np.fromiter((vocabulary[w] for p in parts for w in p), np.int32, counts.sum())
-    del parts
+    vocabulary, ids, counts = cut_words(pa.array(texts, pa.string()))
+    word, grams, first = all_slots(vocabulary)
     at, mask, text = cut_windows(ids, counts)
     rng = np.random.default_rng(seed)
     w = model.weights
@@ -263,18 +267,26 @@ class Reader:
         self.number: dict[bytes, int] = {}
         self.gates = [np.zeros((0, 3 * HIDDEN), np.float32) for _ in "fb"]
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        parts = [words(t) for t in texts]
+    def learn(self, new: list[bytes]) -> None:
+        """Gate inputs of new words, after those of the words known already."""
+        at, end = len(self.number), len(self.number) + len(new)
+        if end > len(self.gates[0]):  # room for twice as many, so rows are copied a few times at most
+            self.gates = [np.concatenate([g[:at], np.empty((max(end, 2 * at) - at, 3 * HIDDEN), np.float32)]) for g in self.gates]
+        for i in range(0, len(new), MANY_WORDS):
+            more = self.model.gates(self.model.inputs(*slots(new[i : i + MANY_WORDS])))
+            for g, m in zip(self.gates, more, strict=True):
+                g[at + i : at + i + len(m)] = m
+        self.number.update(zip(new, range(at, end), strict=True))
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        ws, number, counts = cut_words(texts)
         if len(self.number) > KEPT_WORDS:
             self.clear()
-        if new := list(set().union(*parts).difference(self.number)):
-            for i in range(0, len(new), MANY_WORDS):
-                more = self.model.gates(self.model.inputs(*slots(new[i : i + MANY_WORDS])))
-                self.gates = [np.concatenate(g) for g in zip(self.gates, more, strict=True)]
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        ids = np.fromiter(map(self.number.__getitem__, (w for p in parts for w in p)), np.int64, counts.sum())
-        at, mask, text = cut_windows(ids, counts)
+        found = [*map(self.number.get, ws)]
+        if new := [w for w, x in zip(ws, found, strict=True) if x is None]:
+            self.learn(new)
+            found = [*map(self.number.__getitem__, ws)]
+        at, mask, text = cut_windows(np.array(found, np.int64)[number], counts)
         out = np.zeros(len(texts))
         for i in range(0, len(at), 4096):
             np.maximum.at(out, text[i : i + 4096], self.model.score(self.gates, at[i : i + 4096], mask[i : i + 4096]))
@@ -310,9 +322,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = reader(key, cast.value)
-        for batch in (s for b in batches for s in steps(b, 0)):
-            texts = batch.column(0).to_pylist()
-            scores = r.score(texts) if r.model.weights else np.full(len(texts), r.model.share)
+        for batch in (s for b in batches for s in steps(b, 0, WIDE_STEP)):
+            scores = r.score(batch.column(0)) if r.model.weights else np.full(batch.num_rows, r.model.share)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores.astype(np.float64))], [*others, "score"])
         r.clear()  # the worker may serve another operator next
 
