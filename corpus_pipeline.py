@@ -51,8 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = byte_bpe.encode(docs)
-    return byte_bpe.decode(coded, with_bytes=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return byte_bpe.round_trip(docs)
 
 
 STAGES = [
