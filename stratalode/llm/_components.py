@@ -1,7 +1,7 @@
 """Connected components of a graph of links, by alternating stars.
 
-Edges are first joined inside each partition of the table, so only links between
-partitions are left to travel. Then each round makes every node point to the smallest
+Edges are first joined inside each partition of the table, up to ``MANY`` nodes at a
+time, so few links between partitions are left to travel. Then each round makes every node point to the smallest
 node it sees: first its larger neighbours do (large star), then its smaller ones (small
 star). The number of edges never grows, whatever the degrees, and after few rounds each
 component is a star around its smallest node. Rounds end in written tables, so a lost
@@ -16,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalode.llm._shared import written
+from stratalode.llm._shared import dropped, written
+
+#: Nodes that a task holds at a time.
+MANY = 1 << 19
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,22 +35,24 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root[y] = x
         return x
 
+    def joined() -> pa.RecordBatch:
+        ends = [(x, find(x)) for x in [*root]]
+        ends = [e for e in ends if e[0] != e[1]]
+        root.clear()
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], pa.int64()) for i in (0, 1)], ["a", "b"])
+
     for batch in batches:
         for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
-    ends = [(x, find(x)) for x in [*root]]
-    ends = [e for e in ends if e[0] != e[1]]
-    yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], pa.int64()) for i in (0, 1)], ["a", "b"])
+        if len(root) > MANY:
+            yield joined()
+    yield joined()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (a, b) with a > b -> the same after one star step."""
-    if large:
-        seen = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        seen = edges
-    least = written(seen.groupBy("a").agg(F.min("b").alias("m")), "least").withColumn("m", F.least("a", "m"))
+def _star(edges: DataFrame, large: bool, least: DataFrame) -> DataFrame:
+    """Edges (a, b) with a > b -> the same after one star step; ``least`` (a, m) is the smallest node each sees."""
+    seen = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     met = seen.join(least, "a")
     if large:
         new = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -56,15 +61,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return new.filter("a > b")
 
 
+def _least(edges: DataFrame, large: bool) -> DataFrame:
+    seen = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
+    return seen.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, component): the smallest node reachable, for every node that has
     an edge. Null ends and loops are left out; direction and repeats don't matter."""
-    now = written(edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).filter("a > b"), "edges")
+    now = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).filter("a > b")
+    last: list[DataFrame] = []
     while True:
         now = written(now.mapInArrow(_forest, "a long, b long"), "edges")
+        dropped(*last)
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up")))
         seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("low"))
         # done when every node points up once at most, and those pointed to nowhere
         if not seen.filter("up > 1 OR (up > 0 AND low = 0)").limit(1).count():
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component")))
-        now = written(_star(_star(now, True), False), "edges")
+        first = written(_least(now, True), "least")
+        large = written(_star(now, True, first), "edges")
+        second = written(_least(large, False), "least")
+        last = [now, first, large, second]
+        now = _star(large, False, second)

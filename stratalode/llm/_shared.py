@@ -30,22 +30,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends here, and
-    a lost executor costs no more than the tasks that read it. With ``free`` the shuffle
-    files behind it, which nothing needs any more, go at once and not when the driver
-    happens to collect its garbage."""
+#: Spark removes the shuffle files of a job as soon as it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: its lineage ends here, a lost executor
+    costs no more than the tasks that read it, and the shuffle files behind it go at once."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     shape = df.schema
-    df.write.parquet(path)
-    if free:
-        del df
-        gc.collect()
-        spark._jvm.System.gc()
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(shape).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` made, once all that is made from them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """From now on Spark hands texts to Python in Arrow batches of at most ``most`` bytes;
     its own bound, over ten times that, costs several copies in each task."""

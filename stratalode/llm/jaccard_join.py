@@ -21,7 +21,8 @@ Jaccard similarity is at least ``percent`` / 100.
     of the others in blocks of nodes, two blocks to a task, where a pair is filtered in
     arrays and, of frequent keys that it shares, handed on under the smallest.
 
-Rows are dealt by hashes and pre-aggregated. Sets compare by 56-bit hashes of n-grams,
+Rows are dealt by hashes and pre-aggregated; each intermediate table goes as soon as what
+replaces it is written, but for two that the result is read from. Sets compare by 56-bit hashes of n-grams,
 nodes by a 64-bit hash of the set; a second hash tells if two sets share the first one,
 and the run starts anew with another seed.
 
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalode.llm._components import components
-from stratalode.llm._shared import bound_batches, lean, steps, written
+from stratalode.llm._shared import bound_batches, dropped, lean, salted_left_join, steps, written
 from stratalode.llm._words import Sums, Words, mix, words_of
 
 #: Counters of the sketch; an n-gram is frequent if its counter is over the mean by this many deviations.
@@ -117,48 +118,30 @@ class Sets:
         return mix(sums[first[1:]] - sums[first[:-1]] + salt).view(np.int64)
 
 
-def _described(batches: Iterator[pa.RecordBatch], n: int, seed: int, level: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> id, node, second hash, size, counts by 8, 64 and 256 ranges of hashes, a byte each."""
+def _described(batches: Iterator[pa.RecordBatch], n: int, seed: int, level: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> id, node, second hash, size, counts by 8, 64 and 256 ranges of hashes, a byte each, and the prefix."""
     for batch in (s for b in batches for s in steps(b)):
         x = Sets(batch, n, seed, level)
         finest = [np.bincount((s >> np.uint64(48)).astype(np.int64) & (FINEST - 1), minlength=FINEST) for s in x.sets]
         byte = lambda counts, n: np.minimum(counts.reshape(n, -1).sum(1), 255).astype(np.uint8).tobytes()
         some = [int.from_bytes(byte(f, RANGES), "little", signed=True) for f in finest]
+        size = np.array([len(s) for s in x.sets], np.int64)
+        length = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
+        rare = np.concatenate([s[:k] for s, k in zip(x.sets, length.tolist(), strict=True)])
         columns = [
-            batch.column(0), pa.array(x.nodes()), pa.array(x.nodes(True)), pa.array([len(s) for s in x.sets], pa.int64()),
-            pa.array(some, pa.int64()), *(pa.array([byte(f, n) for f in finest], pa.binary()) for n in (FINE, FINEST)),
+            batch.column(0), pa.array(x.nodes()), pa.array(x.nodes(True)), pa.array(size), pa.array(some, pa.int64()),
+            *(pa.array([byte(f, n) for f in finest], pa.binary()) for n in (FINE, FINEST)),
+            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(rare.view(np.int64))),
         ]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "node", "other", "size", "ranges", "fine", "finest"])
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch], n: int, seed: int, level: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> token, node, place of each prefix n-gram, once for copies in one task;
-    place is size << 32 | position."""
-    sent: set[int] = set()
-    for batch in (s for b in batches for s in steps(b)):
-        x = Sets(batch, n, seed, level)
-        size = np.array([len(s) for s in x.sets], np.int64)
-        nodes = x.nodes()
-        fresh = np.zeros(len(size), bool)
-        for i, node in enumerate(nodes.tolist()):
-            fresh[i] = size[i] > 0 and node not in sent
-            sent.add(node)
-        if len(sent) > 1 << 20:
-            sent.clear()
-        length = np.where(fresh, size - (percent * size + 99) // 100 + 1, 0)
-        if not length.sum():
-            continue
-        token = np.concatenate([s[:k] for s, k in zip(x.sets, length.tolist(), strict=True)])
-        position = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(token.view(np.int64)), pa.array(np.repeat(nodes, length)), pa.array(np.repeat(size << 32, length) | position)], ["token", "node", "place"]
-        )
+        yield pa.RecordBatch.from_arrays(columns, ["id", "node", "other", "size", "ranges", "fine", "finest", "prefix"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch], n: int, seed: int, level: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(id, text) -> id and its set, once for repeated rows in one task."""
     sent: set[tuple[int, int]] = set()
     for batch in (s for b in batches for s in steps(b)):
+        if len(sent) > 1 << 18:
+            sent.clear()  # repeated rows only cost time
         x = Sets(batch, n, seed, level)
         rows = [*dict.fromkeys(zip(batch.column(0).to_pylist(), x.nodes().tolist(), strict=True))]
         at = {r: i for i, r in enumerate(zip(batch.column(0).to_pylist(), x.nodes().tolist(), strict=True))}
@@ -219,14 +202,20 @@ class Judge:
         self.sets: DataFrame | None = None
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        fresh = written(pairs if self.done is None else pairs.join(self.done, ["a", "b"], "left_anti"), "pairs", free=True)
+        fresh = written(pairs if self.done is None else pairs.join(self.done, ["a", "b"], "left_anti"), "pairs")
         self.done = fresh if self.done is None else self.done.unionByName(fresh)
         left = written(near(fresh, self.nodes, self.percent), "near")
         ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        ids = written(ids if self.sets is None else ids.join(self.sets.select("id"), "id", "left_anti"), "wanted")
-        made = written(self.docs.join(ids, "id").mapInArrow(lean(self.whole), "id long, set array<long>"), "sets", free=True)
+        wanted = written(ids if self.sets is None else ids.join(self.sets.select("id"), "id", "left_anti"), "wanted")
+        made = written(self.docs.join(wanted, "id").mapInArrow(lean(self.whole), "id long, set array<long>"), "sets")
         self.sets = made if self.sets is None else self.sets.unionByName(made)
-        return written(verified(left, self.sets, self.percent).distinct(), "links", free=True)
+        links = written(verified(left, self.sets, self.percent).distinct(), "links")
+        dropped(left, wanted)
+        return links
+
+    def close(self) -> None:
+        """Removes the tables of sets and pairs."""
+        dropped(*(t for t in (self.done, self.sets) if t is not None))
 
 
 def _between(table: pa.Table, percent: int) -> pa.Table:
@@ -266,14 +255,13 @@ def _between(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": joined[0], "b": joined[1]})
 
 
-def _across(placed: DataFrame, counts: DataFrame, nodes: DataFrame, percent: int, side: Callable[[str], list[Column]]) -> DataFrame:
-    """placed (token, id, place, ranges, component), counts (token, m) of keys with nodes of
-    two components or more -> all candidates (a, b) between components."""
+def _across(placed: DataFrame, counts: DataFrame, many: DataFrame, nodes: DataFrame, percent: int, side: Callable[[str], list[Column]]) -> DataFrame:
+    """placed (token, id, place, ranges, component), counts (token, m) of keys with nodes of two components
+    or more, many (placed of keys over FEW, blocks, hot) -> all candidates (a, b) between components."""
     few = placed.join(counts.filter(F.col("m") <= FEW).select("token"), "token")
     a = few.select("token", *side("a"), F.col("component").alias("part_a"))
     b = few.select("token", *side("b"), F.col("component").alias("part_b"))
     pairs = candidates(a.join(b, "token").filter("a < b AND part_a != part_b"), percent)
-    many = written(placed.join(counts.filter(F.col("m") > FEW).select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), (F.col("m") > HOT).alias("hot")), "token"), "many")
     mine = many.filter("hot").groupBy("id").agg(F.collect_set("token").alias("mine"))  # no more than its prefix
     rows = many.join(nodes.select("id", "fine"), "id").join(mine, "id", "left").withColumn("mine", F.coalesce("mine", F.array().cast("array<long>")))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -283,18 +271,25 @@ def _across(placed: DataFrame, counts: DataFrame, nodes: DataFrame, percent: int
 
 
 def _linked(keys: DataFrame, judge: Judge) -> DataFrame:
-    """keys (token, id, place, ranges) -> (node, component) for all ids that have a link."""
+    """keys (token, id, place, ranges) -> (node, component) for all ids that have a link. Removes ``keys``."""
     row = F.struct("id", "place", "ranges")
     side = lambda s: [F.col(c).alias(f"{c}_{s}" if c != "id" else s) for c in ("id", "place", "ranges")]
     both = keys.groupBy("token").agg(F.min(row).alias("low"), F.max(row).alias("high")).select("token", F.explode(F.array("low", "high")).alias("row"))
-    lead = written(both.select("token", "row.*").select("token", *side("b")), "leaders")
+    lead = both.select("token", "row.*").select("token", *side("b"))
     links = judge.links(candidates(keys.select("token", *side("a")).join(lead, "token"), judge.percent))
     parts = written(components(links), "components")
-    placed = written(keys.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed", free=True)
+    placed = written(keys.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    dropped(keys)
     counts = placed.groupBy("token").agg(F.count("*").alias("m"), (F.min("component") != F.max("component")).alias("open"))
     counts = written(counts.filter("open").select("token", "m"), "open")
-    last = judge.links(_across(placed, counts, judge.nodes, judge.percent, side))
-    return written(components(links.unionByName(last)), "components")
+    blocks = counts.filter(F.col("m") > FEW).select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), (F.col("m") > HOT).alias("hot"))
+    many = written(placed.join(blocks, "token"), "many")
+    last = judge.links(_across(placed, counts, many, judge.nodes, judge.percent, side))
+    dropped(placed, many, counts)
+    judge.close()
+    found = written(components(links.unionByName(last)), "components")
+    dropped(links, last, parts)
+    return found
 
 
 def jaccard_components(
@@ -306,20 +301,30 @@ def jaccard_components(
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     docs = rows.filter("id IS NOT NULL AND text IS NOT NULL")
     cast = df.sparkSession.sparkContext.broadcast(levels(docs, n, seed))
-    shape = "id long, node long, other long, size long, ranges long, fine binary, finest binary"
-    described = written(rows.mapInArrow(lean(lambda b: _described(b, n, seed, cast.value)), shape), "described")
-    nodes = described.filter("size > 0 AND id IS NOT NULL").groupBy("node").agg(
-        F.min("id").alias("id"), F.first("size").alias("size"), F.first("ranges").alias("ranges"), F.first("fine").alias("fine"), F.first("finest").alias("finest"), (F.min("other") != F.max("other")).alias("clash")
-    )
-    nodes = written(nodes, "nodes", free=True)
-    if nodes.filter("clash").limit(1).count():  # two sets under one hash: once in very many runs
+    shape = "id long, node long, other long, size long, ranges long, fine binary, finest binary, prefix array<long>"
+    described = written(rows.mapInArrow(lean(lambda b: _described(b, n, seed, cast.value, percent)), shape), "described")
+    ids = written(described.select("id", "node", "size"), "ids")
+    # one row for each set; its columns come from any of its texts
+    first = [F.first(c).alias(c) for c in ("size", "ranges", "fine", "finest", "prefix")]
+    nodes = described.filter("size > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), *first, (F.min("other") != F.max("other")).alias("clash"))
+    whole = written(nodes, "nodes")
+    dropped(described)
+    if whole.filter("clash").limit(1).count():  # two sets under one hash: once in very many runs
+        dropped(ids, whole)
         return jaccard_components(df, id_col, text_col, n, percent, seed + 1)
-    prefixes = docs.mapInArrow(lean(lambda b: _prefixes(b, n, seed, cast.value, percent)), "token long, node long, place long")
-    shared = written(prefixes.groupBy("token").agg((F.min("node") != F.max("node")).alias("shared")).filter("shared").select("token"), "shared", free=True)
-    found = prefixes.join(shared, "token").distinct()
-    keys = written(found.join(nodes.select("node", "id", "ranges"), "node").select("token", "id", "place", "ranges"), "keys", free=True)
+    prefixes = whole.select("id", "size", F.posexplode("prefix").alias("at", "token"))
+    shared = written(prefixes.groupBy("token").count().filter("count > 1").select("token"), "shared")
+    place = (F.shiftleft(F.col("size"), 32) + F.col("at")).alias("place")
+    found = prefixes.select("token", "id", place).join(shared, "token").join(whole.select("id", "ranges"), "id")
+    keys = written(found.select("token", "id", "place", "ranges"), "keys")
+    nodes = written(whole.select("node", "id", "n", "size", "fine", "finest"), "nodes")
+    dropped(shared, whole)
     parts = _linked(keys, Judge(nodes, docs, lambda b: _whole(b, n, seed, cast.value), percent))
-    known = written(nodes.select("node", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("component", "id").alias("component_id")), "known")
-    out = described.filter("size > 0 AND id IS NOT NULL").join(known, "node").select("id", "size", "component_id")
-    rest = described.filter("size = 0 OR id IS NULL").select("id", "size", F.col("id").alias("component_id"))
-    return out.unionByName(rest).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
+    known = written(nodes.select("node", "id", "n", "size").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("component", "id")), "known")
+    dropped(nodes, parts)
+    # a set of one text is that text's row; texts of larger groups, which may hold most rows, are dealt by id too
+    one = known.filter("n = 1").select("id", "size", "component_id")
+    many = salted_left_join(ids.filter("size > 0 AND id IS NOT NULL"), known.filter("n > 1").select("node", "component_id"), ["node"], "id")
+    rest = ids.filter("size = 0 OR id IS NULL").select("id", "size", F.col("id").alias("component_id"))
+    out = one.unionByName(many.filter("component_id IS NOT NULL").select("id", "size", "component_id")).unionByName(rest)
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")

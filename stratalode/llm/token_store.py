@@ -282,7 +282,7 @@ def write_store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     narrow = df.select(F.col(id_col).cast("long"), text_col)
     # by name: chunks meet their equals; the sort puts them side by side
     dealt = narrow.mapInArrow(lean(chunked), "task int, deal long, name binary, data binary, no int, id long, n_ids long, recipe binary").repartition("deal").sortWithinPartitions("name")
-    placed = written(dealt.mapInArrow(lean(packed), "task int, name binary, no int, place binary, id long, n_ids long, recipe binary"), "placed", free=True)
+    placed = written(dealt.mapInArrow(lean(packed), "task int, name binary, no int, place binary, id long, n_ids long, recipe binary"), "placed")
     # back to the tasks that sent the chunks: a chunk that all documents share has a row for each task, not for each document
     places = placed.filter("place IS NOT NULL").select("task", "no", "place").groupBy("task")
     recipes = placed.filter("place IS NULL").select("task", "id", "name", "n_ids", "recipe").groupBy("task")
