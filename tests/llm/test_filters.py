@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -88,9 +90,28 @@ def test_archives_round_trip(spark):
     assert b"".join(bytes(p["chunk"]) for p in parts) == big.encode() and max(len(p["chunk"]) for p in parts) <= 50
     chunked = warc.chunk_table(df, size=64).filter("page_id = 1").orderBy("chunk_no").collect()
     assert [c["chunk_no"] for c in chunked] == [*range(len(chunked))] and chunked[-1]["is_last"] and chunked[-1]["digest"] == hashlib.sha256(big.encode()).hexdigest()
+    assert {r["date"] for r in got.values()} == {got[1]["date"]} and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", got[1]["date"])
+    raw = b"".join(gzip.decompress(Path(p.removeprefix("file://")).read_bytes()) for p in warc.write_archives(df, date="2024-05-06T07:08:09Z"))
+    assert raw.count(b"WARC-Date: 2024-05-06T07:08:09Z\r\n") == raw.count(b"WARC/1.1\r\nWARC-Type") == len(rows)
     assert warc.read_archives(spark, warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_archives_of_repeated_rows_and_null_ids(spark):
+    text = "z" * 300
+    rows = [(1, "u", text), (1, "u", text), (None, "u", text), (2, "u", text), (None, "v", "only" * 50), (3, "u", "a" * 1000), (3, "u", "b" * 1000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = warc.read_archives(spark, warc.write_archives(df, size=7)).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, 300, "response", None)] * 2 + [(None, 300, "revisit", 1), (2, 300, "revisit", 1), (None, 200, "response", None)] + [(3, 1000, "response", None)] * 2, key=repr)
+
+
+def test_no_payload_is_held_whole_by_python(spark):
+    df = spark.createDataFrame([(1, "x" * 3_000_000), (2, None)], "page_id long, html string")
+    sizes = [r[0] for r in warc.chunk_table(df).selectExpr("length(chunk)").collect()]
+    assert sorted(sizes) == [0, 3_000_000 - 2 * warc.CHUNK, warc.CHUNK, warc.CHUNK]
+    plan = warc._chunks(warc._records(df, "page_id", "html", F.lit(None).cast("string")), warc.CHUNK)._jdf.queryExecution().optimizedPlan().toString()
+    assert "payload" not in plan.split("MapInArrow")[1].split("\n")[0]  # what goes to Python
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(12, 8))
