@@ -13,18 +13,21 @@ factored against reference blocks that index the documents:
     Copies are thus settled by one row for each phrase, whatever their number.
 3.  What is left are phrases at the boundaries of factors: their anchor is shared,
     their text as a whole is not. Their windows are looked up one by one.
-4.  Factors that touch are joined into spans, and the spans' words go.
+4.  Every match points to its place in the reference block, the first document that
+    holds it. A factor is extended greedily: it goes on over the next phrase or window
+    as long as the same block goes on with it, so a copied passage is one factor,
+    whatever its length. Factors that touch are joined into spans, and their words go.
 
 A serial longest-match parse would have to see all earlier documents at once; the
 anchors let blocks be searched apart from each other with the same result. All
-steps deal rows by hashes: no document, block or group of copies is ever held in
-one task, and minima over copies are taken before rows travel. Anchors and windows
-compare by two independent 64-bit hashes together.
+steps deal rows by hashes, and minima over copies are taken before rows travel. Joins
+on anchors that very many documents share rest on Spark's skew join. Anchors and
+windows compare by two independent 64-bit hashes together.
 
 Edge cases: a null text has no words; texts under ``window`` words lose nothing;
 rows without an id neither lose words nor count as earlier; rows with equal ids
-don't shorten each other; an empty table gives an empty result. Other columns are
-kept apart and not looked at.
+don't shorten each other; a text of 2^27 words or more is an error; an empty table
+gives an empty result. Other columns are kept apart and not looked at.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalode.llm._shared import bound_batches, lean, steps, written
+from stratalode.llm._shared import bound_batches, dropped, lean, steps, written
 from stratalode.llm._words import BASES, Sums, mix, words_of
 
 WINDOW, ANCHOR = 50, 12
@@ -76,6 +79,8 @@ def _parse(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Itera
         starts = w.starts(window)
         if not len(starts):
             continue
+        if len(w.hashes) >= 1 << 27:
+            raise ValueError("a text has 2^27 words or more")
         begin, n, anchors, texts = phrases(w.hashes, starts, window, anchor)
         doc = np.searchsorted(w.first, begin, "right") - 1
         crc = batch.column(2).to_numpy(zero_copy_only=False)[doc] & CRC
@@ -109,47 +114,65 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         )
 
 
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+FACTORS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("block", pa.int64()), ("block_start", pa.int64())]))
+
+
+def factors_of(found: list[dict[str, int]], window: int) -> list[dict[str, int]]:
+    """Matches of a document -> its factors, each as long as its block goes on."""
+    out: list[dict[str, int]] = []
+    for m in sorted(found, key=lambda m: m["place"]):
+        start, n, block, at = m["place"] >> PLACE, m["place"] >> COUNT & 63, m["block"], m["block_place"] >> PLACE
+        if out and (last := out[-1])["block"] == block and start + window - 1 == last["start"] + last["length"] and start - last["start"] == at - last["block_start"]:
+            last["length"] += n
+        else:
+            out.append({"start": start, "length": n + window - 1, "block": block, "block_start": at})
+    return out
+
+
 def _cut(batches: Iterator[pa.RecordBatch], window: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """(id, text, factors, rest) -> id, n_words, n_removed, kept, spans, rest."""
+    """(id, text, matches, rest) -> id, n_words, n_removed, kept, spans, factors, rest."""
     for batch in (s for b in batches for s in steps(b)):
         rows = []
-        for text, places in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             words = (text or "").encode().split()
-            spans: list[dict[str, int]] = []
-            gone = 0
-            if places.is_valid and len(places):
-                p = np.sort(places.values.to_numpy())
-                start, end = p >> PLACE, (p >> PLACE) + (p >> COUNT & 63) + window - 1
-                reach = np.maximum.accumulate(end)
-                new = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
-                ranges = [*zip(start[new].tolist(), reach[np.r_[new[1:], len(p)] - 1].tolist(), strict=True)]
-                spans = [{"start": a, "end": b} for a, b in ranges]
-                gone = sum(b - a for a, b in ranges)
-                kept = b" ".join(x for a, b in zip([0, *(b for _, b in ranges)], [*(a for a, _ in ranges), len(words)], strict=True) for x in words[a:b])
-            else:
-                kept = b" ".join(words)
-            rows.append((len(words), gone, kept.decode(), spans))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            factors = factors_of(found or [], window)
+            ranges: list[tuple[int, int]] = []
+            for f in factors:
+                start, end = f["start"], f["start"] + f["length"]
+                if ranges and start <= ranges[-1][1]:
+                    ranges[-1] = (ranges[-1][0], max(end, ranges[-1][1]))
+                else:
+                    ranges.append((start, end))
+            kept = b" ".join(x for a, b in zip([0, *(b for _, b in ranges)], [*(a for a, _ in ranges), len(words)], strict=True) for x in words[a:b])
+            rows.append((len(words), sum(b - a for a, b in ranges), kept.decode(), [{"start": a, "end": b} for a, b in ranges], factors))
+        kinds = (pa.int64(), pa.int64(), pa.string(), SPANS, FACTORS)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)), *batch.columns[3:]], names)
 
 
-def duplicate_factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(id, text, crc) -> (id, place): phrases and windows that an earlier document has."""
+def duplicate_matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(id, text, crc) -> (id, place, block, block_place): phrases and windows that an earlier document
+    has, and where the first that has them does."""
     shape = "anchor long, phrase long, id long, place long"
     parsed = docs.filter("id IS NOT NULL AND text IS NOT NULL").mapInArrow(lean(lambda b: _parse(b, window, anchor)), shape)
     # anchors that two documents have, and whether their phrases differ
     span = parsed.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), (F.min("phrase") != F.max("phrase")).alias("differ"))
     shared = written(span.filter("a < b").select("anchor", "differ"), "anchors")
     found = written(parsed.join(shared, "anchor"), "phrases")
-    firsts = written(found.groupBy("anchor", "phrase").agg(F.min("id").alias("first")), "firsts")
+    dropped(shared)
+    least = F.min(F.struct("id", "place"))
+    firsts = written(found.groupBy("anchor", "phrase").agg(least.alias("first")).select("anchor", "phrase", F.col("first.id").alias("block"), F.col("first.place").alias("block_place")), "firsts")
     looked_up = found.join(firsts, ["anchor", "phrase"])
-    factors = looked_up.filter("id > first").select("id", "place")
     # boundaries: the first document with a phrase stands for all; only it is asked window by window
-    asked = looked_up.filter("id = first AND differ").groupBy("id", crc_of(F.col("place")).alias("crc")).agg(F.collect_list("place").alias("places"))
+    asked = looked_up.filter("id = block AND differ").groupBy("id", crc_of(F.col("place")).alias("crc")).agg(F.collect_list("place").alias("places"))
     texts = docs.join(asked.hint("shuffle_hash"), ["id", "crc"]).select("id", "text", "crc", "places")
     windows = written(texts.mapInArrow(lean(lambda b: _windows(b, window)), shape), "windows")
-    first = windows.groupBy("anchor", "phrase").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
-    return factors.unionByName(windows.join(written(first, "first-windows"), ["anchor", "phrase"]).filter("id > first").select("id", "place"))
+    met = windows.groupBy("anchor", "phrase").agg(least.alias("first"), F.max("id").alias("last")).filter("first.id < last")
+    first = written(met.select("anchor", "phrase", F.col("first.id").alias("block"), F.col("first.place").alias("block_place")), "first-windows")
+    late = looked_up.filter("id > block").unionByName(windows.join(first, ["anchor", "phrase"]).filter("id > block"), allowMissingColumns=True)
+    matches = written(late.select("id", "place", "block", "block_place"), "matches")
+    dropped(found, firsts, windows, first)
+    return matches
 
 
 def crc_of(place: Column) -> Column:
@@ -159,21 +182,23 @@ def crc_of(place: Column) -> Column:
 def substring_dedup(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, keep: bool = False
 ) -> DataFrame:
-    """One row per document: id, n_words, n_removed, kept (the words that stay, joined
-    by one space) and spans (first and end word of what goes). With ``keep`` all other
-    columns stay, the text among them, but for any of these names."""
+    """One row per document: id, n_words, n_removed, kept (the words that stay, joined by one
+    space), spans (first and end word of what goes) and factors (start, length, the document
+    that is the block, start in it). With ``keep`` all other columns stay, the text among them,
+    but for any of these names."""
     if not anchor < window <= anchor + 51:
         raise ValueError("a window may have up to 51 words more than an anchor, and one more at least")
     bound_batches(df.sparkSession)
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).bitwiseAND(F.lit(CRC))
-    made = [id_col, "n_words", "n_removed", "kept", "spans"]
+    made = [id_col, "n_words", "n_removed", "kept", "spans", "factors"]
     others = [c for c in df.columns if c not in made] if keep else []
     rest = F.struct(*others).alias("rest") if others else F.lit(0).alias("rest")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), crc.alias("crc"), rest)
     docs = rows.select("id", "text", "crc")
-    lists = duplicate_factors(docs, window, anchor).groupBy("id", crc_of(F.col("place")).alias("crc")).agg(F.collect_list("place").alias("places"))
-    ready = rows.join(lists.hint("shuffle_hash"), ["id", "crc"], "left").select("id", "text", "places", *(["rest"] if others else []))
-    shape = f"`{id_col}` long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>"
+    matches = duplicate_matches(docs, window, anchor)
+    lists = matches.groupBy("id", crc_of(F.col("place")).alias("crc")).agg(F.collect_list(F.struct("place", "block", "block_place")).alias("found"))
+    ready = rows.join(lists.hint("shuffle_hash"), ["id", "crc"], "left").select("id", "text", "found", *(["rest"] if others else []))
+    shape = f"`{id_col}` long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>, factors array<struct<start:long,length:long,block:long,block_start:long>>"
     if others:
         kind = dict(ready.dtypes)["rest"]
         return ready.mapInArrow(lean(lambda b: _cut(b, window, [*made, "rest"])), f"{shape}, rest {kind}").select(*made, "rest.*")

@@ -71,6 +71,16 @@ def test_substring_dedup_spans_and_empty_table(spark):
     assert out[1]["spans"] == [] and [(s["start"], s["end"]) for s in out[2]["spans"]] == [(2, 62)] and out[2]["kept"] == "a b c"
 
 
+def test_a_copied_passage_is_one_factor_of_its_block(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    passage, other = [word() for _ in range(500)], [word() for _ in range(80)]
+    rows = [(7, " ".join([word() for _ in range(30)] + passage)), (8, " ".join(other + [word()])), (9, " ".join([word() for _ in range(11)] + passage + [word() for _ in range(5)] + other))]
+    out = {r["doc_id"]: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert [tuple(f) for f in out[9]["factors"]] == [(11, 500, 7, 30), (516, 80, 8, 0)] and out[7]["factors"] == out[8]["factors"] == []
+    assert out[9]["n_removed"] == 580
+
+
 def shingles(text: str | None) -> frozenset:
     ws = words("".join(c.lower() if c.isascii() else c for c in text or ""))
     return frozenset(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else frozenset()
