@@ -74,6 +74,29 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(df, host_rules=[], patterns=["x.*y"], otherwise="block").filter("verdict = 'block'").count() == len(rows)
 
 
+def test_url_patterns_with_alternatives_and_optional_parts(spark):
+    patterns = [r"\bfoo\b|\bbar\b", r"(?:/ads/)?banner", r"/ad/*x", r"\bq(?:uick|uack)\b", r"[/-]zip[./]", r"(?i)\bFLIP\b", r"\p{Digit}{9}", r"(?:one|two)-(?:red|blue)\b"]
+    urls = ["http://h.net/foo", "http://h.net/bar", "http://h.net/banner", "http://h.net/ads/banners", "http://h.net/adx", "http://h.net/ad//x", "http://h.net/quack", "http://h.net/quuick", "http://h.net/a-zip.b", "http://h.net/flip", "http://h.net/123456789", "http://h.net/two-blue", "http://h.net/two-green", "http://h.net/foobar", "http://h.net/_foo", None]
+    import re as python
+
+    read = [python.compile(p.replace(r"\p{Digit}", "[0-9]")) for p in patterns]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(df, host_rules=[], patterns=patterns).collect()}
+    assert got == {i: "block" if any(p.search((u or "").lower()) for p in read) else "allow" for i, u in enumerate(urls)}
+    tokens = {p: set(url_filter.pattern_rule(p).tokens) for p in patterns}
+    assert tokens[patterns[0]] == {("foo",), ("bar",)} and tokens[patterns[1]] == {()} and tokens[patterns[3]] == {("quick",), ("quack",)} and tokens[patterns[4]] == {("zip",)} and tokens[patterns[5]] == {("flip",)} and tokens[patterns[6]] == {()}
+    assert tokens[patterns[7]] == {("red",), ("blue",)}
+
+
+def test_many_url_rules(spark):
+    rules = [(f"h{i}.net", "/", "block") for i in range(10_000)]
+    df = spark.range(500).selectExpr("id AS page_id", "concat('http://h', id * 40, '.net/x') AS url")
+    out = url_filter.filter_urls(df, host_rules=rules)
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString().lower().replace("jsontostructs", "from_json")
+    rows = out.collect()
+    assert all((r["rule"] == f"h{r['page_id'] * 40}.net/") == (r["page_id"] < 250) and r["n_candidates"] < 12 for r in rows)
+
+
 def test_archives_round_trip(spark):
     big, small = "ä<p>" * 900, "tiny"
     rows = [(3, "http://a", big), (1, "http://b", big), (2, None, small), (4, "http://c", small), (5, "bad\r\nurl", None), (6, "x", ""), (7, "y", "WARC/1.1\r\n\r\n" * 40), (8, "z", "q" * 100), (9, "z", "q" * 100), (10, "z", "q" * 99), (11, "z", "q" * 99)]
