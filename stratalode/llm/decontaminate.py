@@ -7,9 +7,10 @@ pattern ``" w1 w2 ... "`` of the automaton, which then reads each normalised
 document once. Hits are mapped back to word numbers and to character offsets of
 the original text.
 
-The patterns are parameters of the scan. They travel as broadcasts of at most
-``block_bytes``; a larger benchmark is split over several automata, and the
-documents pass one after the other in the same tasks.
+Patterns are made, and items with one pattern gathered, by Spark. They are dealt by hash
+into blocks of about ``block_bytes`` (one for a benchmark of usual size) that are stored as
+files in the shared folder; the driver sees the files' names only. A task reads documents
+``AT_ONCE`` bytes at a time over one automaton after the other, of which it holds one.
 
 Edge cases: a null or word-less text has no words, no hits and is not
 contaminated; a null or word-less item gives no pattern; two items with one
@@ -19,6 +20,7 @@ empty tables give an empty result or no hits. Other columns are not looked at.
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 from collections.abc import Iterator
@@ -26,13 +28,14 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalode.llm._shared import bound_batches
+from stratalode.llm._shared import bound_batches, dropped, lean, shared_path, written
 
-#: Cuts a normalised benchmark: bytes of patterns in one automaton.
-BLOCK_BYTES = 16 << 20
+#: Bytes of patterns in one automaton, which takes some thirty times that, and of documents that pass one at a time.
+BLOCK_BYTES, AT_ONCE = 4 << 20, 16 << 20
 WINDOW = 13
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _WORD_BYTES = {*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -48,62 +51,102 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_NORMAL).split() if text else []
 
 
-def patterns(items: Iterator[tuple[object, str | None]], window: int = WINDOW) -> dict[str, tuple[int, list[str]]]:
-    """Pattern -> its number of words and the items that hold it."""
-    found: dict[str, tuple[int, list[str]]] = {}
-    for item, text in items:
-        ws = words(text)
-        n = min(window, len(ws))
-        for i in range(len(ws) - n + 1 if n else 0):
-            held = found.setdefault(f" {b' '.join(ws[i : i + n]).decode()} ", (n, []))[1]
-            if str(item) not in held:
-                held.append(str(item))
-    return found
-
-
-def blocks(found: dict[str, tuple[int, list[str]]], block_bytes: int) -> list[dict[str, tuple[int, list[str]]]]:
-    out: list[dict[str, tuple[int, list[str]]]] = [{}]
-    size = 0
-    for p, x in found.items():
-        if out[-1] and size + len(p) > block_bytes:
-            out.append({})
-            size = 0
-        out[-1][p] = x
-        size += len(p)
-    return out
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(item, text) -> (pattern, its number of words, item), each once for an item."""
+    for batch in batches:
+        rows: dict[tuple[str, int, str], None] = {}
+        for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ws = words(text)
+            n = min(window, len(ws))
+            for i in range(len(ws) - n + 1 if n else 0):
+                rows[f" {b' '.join(ws[i : i + n]).decode()} ", n, item] = None
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["pattern", "n", "item"])
+
+
+def _stored(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """A task's patterns -> one file for each of its blocks."""
+    files, base = fs.FileSystem.from_uri(folder)
+    blocks: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for no, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            blocks.setdefault(no, []).append(tuple(row))
+    names = []
+    for rows in blocks.values():
+        names.append(f"block-{uuid.uuid4().hex}")
+        with files.open_output_stream(f"{base}/{names[-1]}", compression=None) as out:
+            out.write(pickle.dumps(rows))
+    yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{x}" for x in names], pa.string())], ["file"])
+
+
+def store_patterns(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list[str]:
+    """Files of the benchmark's patterns; a file counts once its finished task has reported it."""
+    spark = benchmark.sparkSession
+    folder = shared_path(spark, "patterns")
+    files, base = fs.FileSystem.from_uri(folder)
+    files.create_dir(base, recursive=True)
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("None")), text_col)
+    made = items.mapInArrow(lean(lambda b: _windows(b, window)), "pattern string, n int, item string")
+    held = written(made.groupBy("pattern", "n").agg(F.collect_set("item").alias("items")), "patterns")
+    size = held.agg(F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes))
+    dealt = held.select(F.pmod(F.xxhash64("pattern"), F.lit(blocks)).alias("no"), "pattern", "n", "items").repartition(blocks, "no")
+    found = [r["file"] for r in dealt.mapInArrow(lean(lambda b: _stored(b, folder)), "file string").collect()]  # a row for each block
+    dropped(held)
+    return sorted(found)
 
 
 _built: dict[str, ahocorasick.Automaton] = {}
 
 
-def automaton(key: str, block: dict[str, tuple[int, list[str]]]) -> ahocorasick.Automaton | None:
-    """Built once in each Python worker; only the latest few are kept."""
-    if key not in _built:
-        while len(_built) >= 2:
-            _built.pop(next(iter(_built)))
+def automaton(file: str) -> ahocorasick.Automaton:
+    """Built in a Python worker from a block's file; only the latest is kept."""
+    if file not in _built:
+        _built.clear()
+        files, path = fs.FileSystem.from_uri(file)
+        with files.open_input_stream(path, compression=None) as f:
+            rows = pickle.loads(f.read())
         a = ahocorasick.Automaton()
-        for p, (n, items) in block.items():
-            a.add_word(p, (n, items))
+        for pattern, n, items in rows:
+            a.add_word(pattern, (n, items))
         a.make_automaton()
-        _built[key] = a
-    return _built[key] if block else None
+        _built[file] = a
+    return _built[file]
 
 
-def hits(ws: list[bytes], machines: list[ahocorasick.Automaton | None]) -> tuple[list[tuple[int, int]], list[str]]:
-    """Merged [first, end) word ranges inside occurrences, and the items, sorted."""
+def occurrences(ws: list[bytes], machine: ahocorasick.Automaton) -> tuple[list[tuple[int, int]], set[str]]:
+    """[first, end) word ranges of occurrences, and the items that hold them."""
     text = f" {b' '.join(ws).decode()} "
-    found = [x for a in machines if a is not None for x in a.iter(text)]
+    found = [*machine.iter(text)]
     if not found:
-        return [], []
+        return [], set()
     gaps = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 0x20)
-    ends = np.searchsorted(gaps, [e for e, _ in found])
+    ends = np.searchsorted(gaps, [e for e, _ in found]).tolist()
+    held: set[str] = set()
+    for items in {id(items): items for _, (_, items) in found}.values():
+        held.update(items)
+    return [(e - n, e) for e, (_, (n, _)) in zip(ends, found, strict=True)], held
+
+
+def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     ranges: list[tuple[int, int]] = []
-    for start, end in sorted({(int(e) - n, int(e)) for e, (_, (n, _)) in zip(ends, found, strict=True)}):
+    for start, end in sorted(set(found)):
         if ranges and start <= ranges[-1][1]:
             ranges[-1] = (ranges[-1][0], max(end, ranges[-1][1]))
         else:
             ranges.append((start, end))
-    return ranges, sorted({i for _, (_, items) in found for i in items})
+    return ranges
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of about ``most`` bytes."""
+    group: list[pa.RecordBatch] = []
+    for batch in batches:
+        group.append(batch)
+        if sum(b.nbytes for b in group) >= most:
+            yield group
+            group = []
+    if group:
+        yield group
 
 
 def find_contamination(
@@ -122,31 +165,38 @@ def find_contamination(
     word numbers). With ``keep`` all other columns of documents stay, but for any of these names."""
     spark = documents.sparkSession
     bound_batches(spark)
-    items = benchmark.select(item_col, item_text_col).toLocalIterator()
-    cast = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in blocks(patterns(((r[0], r[1]) for r in items), window), block_bytes)]
+    blocks = store_patterns(benchmark, item_col, item_text_col, window, block_bytes)
     shape = pa.schema([
         ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))),
     ])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [automaton(key, b.value) for key, b in cast]
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                text = text.as_py()
-                ws = words(text)
-                ranges, held = hits(ws, machines) if ws else ([], [])
-                at = [m.span() for m in WORD.finditer(text)] if ranges else []
-                spans = [{"start": at[a][0], "end": at[b - 1][1], "first_word": a, "end_word": b} for a, b in ranges]
-                rows.append({"n_words": len(ws), "n_hit": sum(b - a for a, b in ranges), "items": held, "spans": spans})
-            out = pa.RecordBatch.from_pylist(rows, shape)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *out.columns], [id_col, *others, *shape.names])
+        for group in gathered(batches, AT_ONCE if len(blocks) > 1 else 0):
+            # of each document: words, ranges of occurrences, items
+            hits: list[list[list]] = [[[0, [], set()] for _ in range(b.num_rows)] for b in group]
+            for machine in map(automaton, blocks):
+                for batch, found in zip(group, hits, strict=True):
+                    for hit, text in zip(found, batch.column(1), strict=True):
+                        if ws := words(text.as_py()):
+                            more, items = occurrences(ws, machine)
+                            hit[0] = len(ws)
+                            hit[1] += more
+                            hit[2] |= items
+            for batch, found in zip(group, hits, strict=True):
+                rows = []
+                for text, (n, some, held) in zip(batch.column(1), found, strict=True):
+                    ranges = merged(some)
+                    at = [m.span() for m in WORD.finditer(text.as_py())] if ranges else []
+                    spans = [{"start": at[a][0], "end": at[b - 1][1], "first_word": a, "end_word": b} for a, b in ranges]
+                    rows.append({"n_words": n, "n_hit": sum(b - a for a, b in ranges), "items": sorted(held), "spans": spans})
+                out = pa.RecordBatch.from_pylist(rows, shape)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *out.columns], [id_col, *others, *shape.names])
 
     others = [c for c in documents.columns if c != id_col and c not in shape.names] if keep else []
     whole = documents.select(id_col, F.col(text_col).alias("_text"), *others)
     kinds = dict(documents.dtypes)
-    return whole.mapInArrow(scan, ", ".join([*(f"`{c}` {kinds[c]}" for c in [id_col, *others]), SCHEMA]))
+    return whole.mapInArrow(lean(scan), ", ".join([*(f"`{c}` {kinds[c]}" for c in [id_col, *others]), SCHEMA]))
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
