@@ -4,19 +4,23 @@ Vectors with equal labels link when their cosine, in double precision, is at lea
 ``threshold``; each group of links keeps its vector with the smallest id.
 
 1.  Equal vectors of one label are one class, compared once, whatever their number.
-2.  Centroids come from spherical k-means on ``sample`` classes (a bound, chosen by
-    hash); they only steer the search. Every class goes to its nearest centroid's cell.
+2.  Centroids come from spherical k-means; they only steer the search. There are so many
+    cells that the largest label has about ``fill`` classes in each, so cells don't grow
+    with the input. They are fitted on a sample drawn by hash, ``PER_CELL`` classes for
+    each cell, of at most ``SAMPLE_BYTES``; beyond that bound cells do grow. Every class
+    goes to its nearest centroid's cell.
 3.  Links over a border are not lost: a vector within the threshold's angle of the
     plane between its own cell and one with a smaller number also visits that cell.
     Two linked vectors are thus compared once, in the smaller of their cells' numbers.
-4.  A cell of more than ``BLOCK`` rows is cut into blocks, dealt as pairs of blocks; a
-    task holds two blocks and multiplies them in pieces. It counts links and returns a row for each vector that has
-    one (its links, the smallest id it is joined to there), never pairs.
+4.  A cell's own vectors are cut into blocks of ``BLOCK``, its visitors into blocks of
+    ``VISITORS``. A task multiplies one block of the cell's own with itself and with one
+    other block; visitors are never multiplied with each other. It counts links and
+    returns a row for each vector that has one (its links, the smallest id it is joined
+    to there), never pairs.
 5.  Those rows are edges of a graph whose components are the groups.
 
-A cell whose vectors all differ is compared as a whole, blocks by blocks: exact counts
-of links ask for that. Rows sent are size^2 / BLOCK of the cell; k-means keeps cells
-of unrelated vectors small, classes take the copies out.
+How many cells a vector visits depends on the data: few where vectors lie in clusters,
+many where they are spread at random over all directions, as exact links ask for it.
 
 Edge cases: a null, empty or zero vector, one with a null or non-finite component, and one
 without label or id link with nothing; vectors of different lengths don't link; rows
@@ -36,9 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalode.llm._components import components
-from stratalode.llm._shared import bound_batches, written
+from stratalode.llm._shared import bound_batches, dropped, lean, salted_left_join, written
 
-THRESHOLD, SAMPLE, CELLS, BLOCK = 0.98, 4096, 32, 2048
+THRESHOLD, FILL, BLOCK, VISITORS = 0.98, 512, 1024, 4096
+PER_CELL, SAMPLE_BYTES = 32, 64 << 20
 #: Rows of a product computed at a time.
 CHUNK = 512
 #: Far above what rounding in double precision can shift a product of unit vectors.
@@ -70,42 +75,41 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _visits(batches: Iterator[pa.RecordBatch], centres: dict[int, np.ndarray], angle: float) -> Iterator[pa.RecordBatch]:
-    """(label, size, first, n, vector) -> a row for each cell that a class visits."""
-    names = ["label", "size", "cell", "native", "first", "n", "vector"]
+def _assigned(batches: Iterator[pa.RecordBatch], centres: dict[int, np.ndarray], angle: float) -> Iterator[pa.RecordBatch]:
+    """(..., size, vector) -> the same with the cells that a class visits, its own last."""
     for batch in batches:
-        sizes = batch.column(1).to_numpy()
+        sizes, cells = batch.column("size").to_numpy(), np.empty(batch.num_rows, object)
         for size in np.unique(sizes):
-            part = batch.take(pa.array(np.flatnonzero(sizes == size)))
-            if int(size) in centres:
-                c, x = centres[int(size)], unit(_matrix(part.column(4)))
+            rows = np.flatnonzero(sizes == size)
+            if int(size) not in centres:
+                cells[rows] = [[0]] * len(rows)
+                continue
+            c = centres[int(size)]
+            between = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))
+            for some in np.array_split(rows, -(-len(rows) * len(c) // (1 << 20))):
+                x = unit(_matrix(batch.column("vector").take(pa.array(some))))
                 near = x @ c.T
                 own = near.argmax(1)
                 across = near[np.arange(len(x)), own][:, None] - near
-                between = np.sqrt(np.maximum(((c[own][:, None, :] - c[None]) ** 2).sum(2), 0)) if len(x) <= 512 else np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[own]
-                goes = (across <= (math.sin(angle) + SLACK) * between + SLACK) & (np.arange(len(c)) < own[:, None])
-                goes[np.arange(len(x)), own] = True
-                row, cell = np.nonzero(goes)
-                native = cell == own[row]
-            else:
-                row, cell, native = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64), np.ones(part.num_rows, bool)
-            taken = part.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(cell.astype(np.int32)), pa.array(native), *taken.columns[2:]], names)
+                goes = (across <= (math.sin(angle) + SLACK) * between[own] + SLACK) & (np.arange(len(c)) < own[:, None])
+                for i, visits, home in zip(some.tolist(), goes, own.tolist(), strict=True):
+                    cells[i] = [*np.flatnonzero(visits).tolist(), home]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.tolist(), pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
 
 
 def _products(table: pa.Table, threshold: float) -> pa.Table:
     """A task's rows -> for each vector with a link here: first, links, least."""
-    table = table.combine_chunks()
-    first, n = table.column("first").to_numpy(), table.column("n").to_numpy()
-    native, block = table.column("native").to_numpy(zero_copy_only=False), table.column("block").to_numpy()
-    x = unit(_matrix(table.column("vector").chunk(0)))
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-    linked = np.empty((len(x), len(x)), bool)
-    for i in range(0, len(x), CHUNK):
-        part = slice(i, i + CHUNK)
-        linked[part] = (x[part] @ x.T >= threshold) & (native[part, None] | native[None])
-        if low != high:  # pairs inside a block are another task's
-            linked[part] &= block[part, None] != block[None]
+    own = table.column("native").to_numpy(zero_copy_only=False) & (table.column("block").to_numpy() == low)
+    table = table.take(pa.array(np.argsort(~own, kind="stable"))).combine_chunks()
+    first, n, k = table.column("first").to_numpy(), table.column("n").to_numpy(), int(own.sum())
+    x = unit(_matrix(table.column("vector").chunk(0))) if len(table) else np.zeros((0, 1))
+    linked = np.zeros((len(x), len(x)), bool)
+    for i in range(0, k, CHUNK):
+        linked[i : min(i + CHUNK, k)] = x[i : min(i + CHUNK, k)] @ x.T >= threshold
+    if low != high:  # pairs inside a block are another task's
+        linked[:k, :k] = False
+    linked[k:, :k] = linked[:k, k:].T
     np.fill_diagonal(linked, False)
     at = np.flatnonzero(linked.any(1))
     linked = linked[np.ix_(at, at)]
@@ -117,42 +121,72 @@ def _products(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"first": pa.array(first[at], pa.int64()), "links": pa.array(links, pa.int64()), "least": pa.array(least, pa.int64())})
 
 
+def fitted(classes: DataFrame, fill: int) -> dict[int, np.ndarray]:
+    """Centroids by length of vectors. Lengths of at most ``fill`` classes to a label are one cell."""
+    most = classes.groupBy("label", "size").agg(F.count("*").alias("n")).groupBy("size").agg(F.max("n").alias("most"), F.sum("n").alias("n")).collect()  # a row for each length
+    wanted = {r["size"]: -(-r["most"] // fill) for r in most}
+    total = sum(k * PER_CELL * size * 8 for size, k in wanted.items() if k > 1)
+    cells = {size: max(2, int(k * min(1.0, SAMPLE_BYTES / total))) for size, k in wanted.items() if k > 1}
+    centres: dict[int, np.ndarray] = {}
+    for r in most:
+        if k := cells.get(r["size"]):
+            share = min(1.0, k * PER_CELL / r["n"])  # of all classes of this length
+            drawn = classes.filter((F.col("size") == r["size"]) & (F.pmod(F.xxhash64("first", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))).select("first", "vector").toArrow()
+            if drawn.num_rows:
+                order = pa.array(np.argsort(drawn.column("first").to_numpy(), kind="stable"))
+                centres[r["size"]] = spherical_kmeans(unit(_matrix(drawn.column("vector").combine_chunks().take(order))), k)
+    return centres
+
+
+def dealt(assigned: DataFrame, block: int, visitors: int) -> DataFrame:
+    """A row for each task that a class has a part in."""
+    cell = ["label", "size", "cell"]
+    visits = assigned.select("label", "size", "first", "n", "vector", F.posexplode("cells").alias("at", "cell"), F.size("cells").alias("visits"))
+    visits = visits.withColumn("native", F.col("at") == F.col("visits") - 1)
+    blocks = lambda test, most: F.greatest(F.ceil(F.count_if(test) / most), F.lit(1)).cast("int")
+    counted = assigned.select("label", "size", F.posexplode("cells").alias("at", "cell"), F.size("cells").alias("visits")).groupBy(cell).agg(
+        blocks(F.col("at") == F.col("visits") - 1, block).alias("own"), blocks(F.col("at") < F.col("visits") - 1, visitors).alias("others"))
+    placed = visits.join(counted, cell).withColumn("block", F.pmod(F.xxhash64("first"), F.when(F.col("native"), F.col("own")).otherwise(F.col("others"))).cast("int"))
+    task = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+    me, own = F.col("block"), F.col("own")
+    count = lambda n: F.sequence(F.lit(0), n - 1)
+    # the first block of visitors goes along where a block of the cell's own is multiplied with itself
+    native = F.concat(F.transform(count(own), lambda j: task(F.least(j, me), F.greatest(j, me))), F.transform(F.filter(count(F.col("others")), lambda k: k > 0), lambda k: task(me, own + k)))
+    guest = F.transform(count(own), lambda i: task(i, F.when(me == 0, i).otherwise(own + me)))
+    rows = placed.withColumn("task", F.explode(F.when(F.col("native"), native).otherwise(guest)))
+    return rows.select(*cell, "task.low", "task.high", "block", "native", "first", "n", "vector")
+
+
 def link_vectors(
     df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    threshold: float = THRESHOLD, sample: int = SAMPLE, cells: int = CELLS, block: int = BLOCK,
+    threshold: float = THRESHOLD, fill: int = FILL, block: int = BLOCK, visitors: int = VISITORS,
 ) -> DataFrame:
     """One row per vector: id, n_links (other vectors linked directly), component_id
     (the smallest id reachable by links) and kept (it is that one)."""
-    spark = df.sparkSession
-    bound_batches(spark)
+    bound_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     odd = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     sound = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0) & ~odd & F.exists("vector", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("sound", sound)
+    hashes = [F.xxhash64("label", "vector").alias("h1"), F.xxhash64(F.lit(1), "label", "vector").alias("h2")]
     classes = rows.filter("sound").groupBy("label", "vector").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    classes = written(classes.withColumn("size", F.size("vector")), "classes")
-    drawn = classes.select("size", "vector", "first").orderBy(F.xxhash64("first"), "first").limit(sample).collect()  # at most ``sample`` rows
-    centres: dict[int, np.ndarray] = {}
-    for size in {r["size"] for r in drawn}:
-        x = np.array([r["vector"] for r in drawn if r["size"] == size], np.float64)
-        if len(x) >= 4 * cells:
-            centres[size] = spherical_kmeans(unit(x), cells)
-    angle = math.acos(threshold)
-    kind = dict(classes.dtypes)
-    shape = f"label {kind['label']}, size int, cell int, native boolean, first long, n long, vector {kind['vector']}"
-    visits = written(classes.select("label", "size", "first", "n", "vector").mapInArrow(lambda b: _visits(b, centres, angle), shape), "visits")
-    cell = ["label", "size", "cell"]
-    counted = written(visits.groupBy(cell).count().select(*cell, F.ceil(F.col("count") / block).cast("int").alias("blocks")), "cells")
-    dealt = visits.join(counted, cell).withColumn("block", F.pmod(F.xxhash64("first"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    tasks = dealt.select(*cell, "low", "high", "block", "native", "first", "n", "vector").groupBy(*cell, "low", "high")
+    classes = written(classes.select("*", F.size("vector").alias("size")), "classes")
+    centres, angle = fitted(classes, fill), math.acos(threshold)
+    narrow = classes.select("label", "size", "first", "n", "vector")
+    kinds = ", ".join(f"{c} {k}" for c, k in narrow.dtypes)
+    assigned = written(narrow.mapInArrow(lean(lambda b: _assigned(b, centres, angle)), f"{kinds}, cells array<int>"), "assigned")
+    tasks = dealt(assigned, block, visitors).groupBy("label", "size", "cell", "low", "high")
     found = written(tasks.applyInArrow(lambda t: _products(t, threshold), "first long, links long, least long"), "links")
+    dropped(assigned)
     links = found.groupBy("first").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("first").alias("a"), F.col("least").alias("b")))
     known = links.join(parts.withColumnRenamed("node", "first"), "first", "left")
-    described = written(classes.select("label", "vector", "first", "n").join(known, "first", "left").select(
-        "label", "vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component_id")), "described")
-    good = rows.filter("sound").join(described, ["label", "vector"]).select("id", "n_links", "component_id")
+    described = written(classes.select("first", "n", *hashes).join(known, "first", "left").select(
+        "first", "n", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component_id")), "described")
+    dropped(classes, found)
+    # a class of one vector is that vector's row; vectors of larger classes, which may hold most rows, are dealt by id too
+    one = described.filter("n = 1").select(F.col("first").alias("id"), "n_links", "component_id")
+    many = salted_left_join(rows.filter("sound").select("id", *hashes), described.filter("n > 1").select("h1", "h2", "n_links", "component_id"), ["h1", "h2"], "id")
     rest = rows.filter("NOT sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return good.unionByName(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    out = one.unionByName(many.filter("n_links IS NOT NULL").select("id", "n_links", "component_id")).unionByName(rest)
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

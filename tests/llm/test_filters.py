@@ -142,7 +142,7 @@ def test_vectors_equal_brute_force(spark):
     for i in range(150):
         v = (base[rng.integers(12)] + rng.normal(size=8) * rng.choice([0.0, 0.08, 0.5])).astype(np.float32).tolist()
         rows.append((i, v, int(rng.integers(3))))
-    rows += [(200, None, 1), (201, [0.0] * 8, 1), (202, [1.0, None] + [0.0] * 6, 1), (203, [float("nan")] * 8, 1), (204, rows[0][1], None), (205, [], 1), (206, [1.0, 2.0], 1), (207, [2.0, 4.0], 1), (None, rows[0][1], rows[0][2]), (0, rows[0][1], rows[0][2]), (208, [3e38] * 8, 1), (209, [1e-30] * 8, 1)]
+    rows += [(200, None, 1), (201, [0.0] * 8, 1), (202, [1.0, None] + [0.0] * 6, 1), (203, [float("nan")] * 8, 1), (204, rows[0][1], None), (205, [], 1), (206, [1.0, 2.0], 1), (207, [2.0, 4.0], 1), (None, rows[0][1], rows[0][2]), (0, rows[0][1], rows[0][2]), (208, [3e38] * 8, 1), (209, [1e-30] * 8, 1), (210, [0.0, 1.0], 1), (211, [-0.0, 1.0], 1), (212, [0.0, 1.0], 1)]
     ok = [i is not None and k is not None and bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(v) for i, v, k in rows]
     n, link = len(rows), {}
     for a in range(n):
@@ -163,12 +163,28 @@ def test_vectors_equal_brute_force(spark):
         seen[a] = min((rows[b][0] for b in reach if rows[b][0] is not None), default=None)
     expected = [(rows[a][0], len(link.get(a, ())), seen[a], rows[a][0] is not None and rows[a][0] == seen[a]) for a in range(n)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, kept int").repartition(3)
-    for block in (2048, 5):
-        out = embedding_dedup.link_vectors(df, cells=6, block=block)
+    for block, visitors in ((2048, 4096), (5, 4)):
+        out = embedding_dedup.link_vectors(df, fill=8, block=block, visitors=visitors)
         assert sorted(map(tuple, out.collect()), key=repr) == sorted(expected, key=repr)
     assert embedding_dedup.link_vectors(df.limit(0)).count() == 0
 
 
+def test_rows_sent_grow_like_the_vectors(spark):
+    """Ten times the vectors of ten times the clusters; no rare length falls back to one cell."""
+    sent = {}
+    for n in (2_000, 20_000):
+        rng = np.random.default_rng(3)
+        base = rng.normal(size=(n // 20, 16))
+        rows = [(i, (base[i % len(base)] + rng.normal(size=16) * 0.05).tolist(), 0) for i in range(n)] + [(n + i, rng.normal(size=3).tolist(), 0) for i in range(100)]
+        classes = spark.createDataFrame(rows, "first long, vector array<double>, label int").selectExpr("label", "int(size(vector)) AS size", "first", "1L AS n", "vector")
+        centres = embedding_dedup.fitted(classes, 50)
+        assert set(centres) == {16, 3} and len(centres[16]) == -(-n // 50)
+        kinds = ", ".join(f"{c} {k}" for c, k in classes.dtypes)
+        assigned = classes.mapInArrow(lambda b, c=centres: embedding_dedup._assigned(b, c, np.arccos(0.98)), f"{kinds}, cells array<int>")
+        sent[n] = embedding_dedup.dealt(assigned, 1024, 4096).count()
+    assert sent[20_000] < 25 * sent[2_000]
+
+
 def test_toxicity_learns_and_covers_all_windows(spark):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("aeiouwnstr") for _ in range(rnd.randint(2, 7)))
