@@ -7,14 +7,15 @@ direction; attention pools the states of a window, and a text's score is that of
 worst window. All windows of the whole text are scored.
 
 Training is plain numpy on the driver, on a bounded sample: at most ``clean_rows`` and
-``toxic_rows`` labelled texts of at most ``most_bytes``, chosen by hash of the id.
+``toxic_rows`` labelled texts of at most ``most_bytes``, drawn by hash of the id.
 A text's label holds for its worst window, chosen anew in every round. Nothing but the
 words of a text is an input. The model is a few megabytes, whatever the corpus.
 
 Edge cases: null texts and texts without words score 0; without rows of either label
 the model is the share of toxic rows in the sample (0 for none); null labels are not
 learnt from; rows without an id are scored; repeated rows are scored one by one; an
-empty table gives an empty result. Other columns are not looked at.
+empty table gives an empty result; of texts that repeat a labelled id one is learnt from.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ MANY_WORDS = 20_000
 #: Bytes of text that are cut at a time, unless one text alone is longer.
 WIDE_STEP = 2 << 20
 CLEAN_ROWS, TOXIC_ROWS, MOST_BYTES = 2700, 900, 60_000
+#: A toxic window counts as so many clean ones in training.
+TOXIC_WEIGHT = 3.0
 #: From this score on a text is rejected.
 REJECT = 0.7
 _WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
@@ -142,14 +145,14 @@ class Model:
     def score(self, gates: list[np.ndarray], ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
         return self.pool(self.states(gates, ids, mask), mask)[2]
 
-    def gradients(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, truth: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Of the mean cross entropy, by weight, and for each row of inputs."""
+    def gradients(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, truth: np.ndarray, weight: np.ndarray | float = 1.0) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the mean cross entropy, windows weighed by ``weight``: by name, and for each row of inputs."""
         w, keep, n = self.weights, [], len(ids)
         gates = self.gates(x)
         states = self.states(gates, ids, mask, keep)
         share, pooled, p = self.pool(states, mask)
         grad: dict[str, np.ndarray] = {k: np.zeros_like(v) for k, v in w.items() if k not in ("word", "gram")}
-        d_logit = ((p - truth) / n).astype(np.float32)
+        d_logit = ((p - truth) * weight / n).astype(np.float32)
         grad["out"] += pooled.T @ d_logit
         grad["bias"] += d_logit.sum()
         d_pooled = d_logit[:, None] * w["out"]
@@ -193,7 +196,7 @@ def cut_windows(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return ids[np.where(mask, at + offset[text][:, None], 0)] if len(ids) else np.zeros(at.shape, np.int64), mask, text
 
 
-def train(texts: list[str | None], labels: list[int], rounds: int = 5, least_steps: int = 200, batch: int = 64, rate: float = 0.01, table_rate: float = 0.004, seed: int = 0) -> Model:
+def train(texts: list[str | None], labels: list[int], rounds: int = 5, least_steps: int = 200, batch: int = 64, rate: float = 0.01, table_rate: float = 0.004, toxic_weight: float = TOXIC_WEIGHT, seed: int = 0) -> Model:
     truth = np.array(labels, np.float32)
     model = Model(float(truth.mean()) if len(truth) else 0.0)
     if not 0 < model.share < 1:
@@ -202,6 +205,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 5, least_ste
     word, grams, first = all_slots(vocabulary)
     at, mask, text = cut_windows(ids, counts)
     rng = np.random.default_rng(seed)
+    weight = np.where(truth > 0, toxic_weight, 1.0)
     w = model.weights
     for name, size in (("word", WORD_SLOTS), ("gram", GRAM_SLOTS)):
         seen = np.zeros((2, size))  # texts of either label that have what is in a slot
@@ -236,7 +240,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 5, least_ste
             start = np.cumsum(span) - span
             g = grams[np.repeat(of_word[own] - start, span) + np.arange(span.sum())]
             x = model.inputs(word[own], g, start)
-            grad, d_x = model.gradients(x, inverse.reshape(at[some].shape), mask[some], truth[text[some]])
+            grad, d_x = model.gradients(x, inverse.reshape(at[some].shape), mask[some], truth[text[some]], weight[text[some]])
             for name, rows, d in (("word", word[own], d_x[:, :WIDTH]), ("gram", g, np.repeat(d_x[:, WIDTH:], span, 0) * (w["gram"][g] == np.repeat(x[:, WIDTH:], span, 0)))):
                 slot, back = np.unique(rows, return_inverse=True)
                 grad[name] = np.zeros((len(slot), WIDTH), np.float32)
@@ -302,12 +306,16 @@ def train_on(
     documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     clean_rows: int = CLEAN_ROWS, toxic_rows: int = TOXIC_ROWS, most_bytes: int = MOST_BYTES,
 ) -> Model:
-    """A model from at most ``clean_rows`` and ``toxic_rows`` rows that are not held out."""
-    usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND NOT coalesce(label NOT IN (0, 1), true)").filter(~held_out(F.col("id")))
+    """A model from at most ``clean_rows`` and ``toxic_rows`` rows that are not held out, drawn by hash of
+    the id from all labelled texts of at most ``most_bytes``. Of texts with one id the least is taken."""
+    ids = F.col(id_col).cast("long").alias("id")
+    texts = documents.select(ids, F.col(text_col).alias("text")).filter(F.octet_length("text") <= most_bytes)
+    usable = labels.select(ids, F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND NOT coalesce(label NOT IN (0, 1), true)").filter(~held_out(F.col("id")))
+    usable = usable.join(texts.select("id"), "id", "left_semi").distinct()
     drawn = [usable.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in ((0, clean_rows), (1, toxic_rows))]
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= most_bytes)
-    rows = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "id").select("id", "label", "text").collect()  # so many ids at most
-    rows = sorted(rows, key=lambda r: (r["id"], r["label"], r["text"]))[: 2 * (clean_rows + toxic_rows)]
+    picked = F.broadcast(drawn[0].unionByName(drawn[1]))  # so many rows at most
+    rows = texts.join(picked, "id").groupBy("id", "label").agg(F.min("text").alias("text")).collect()  # as many
+    rows = sorted(rows, key=lambda r: (r["id"], r["label"]))
     return train([r["text"] for r in rows], [r["label"] for r in rows])
 
 
