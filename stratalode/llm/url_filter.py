@@ -164,7 +164,7 @@ def token_counts(urls: DataFrame, url_col: str, tokens: set[str]) -> dict[str, i
         return {}
     if sum(map(len, tokens)) > MOST_BYTES:
         raise ValueError("the rules' tokens are more than an index may hold")
-    wanted = urls.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "token string")
+    wanted = urls.sparkSession.range(1).select(F.explode(_constant(sorted(tokens), "array<string>")).alias("token"))
     found = urls.select(F.explode(url_tokens(F.col(url_col))).alias("token")).join(F.broadcast(wanted), "token", "left_semi")
     return dict.fromkeys(tokens, 0) | {r["token"]: r["count"] for r in found.groupBy("token").count().collect()}
 
