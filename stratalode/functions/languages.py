@@ -43,6 +43,7 @@ _SHARP = r"^\s*public\s+(?:sealed\s+|abstract\s+|static\s+|virtual\s+|override\s
 _SWIFT = r"^\s*(?:public\s+|open\s+|internal\s+|fileprivate\s+|private\s+)?"
 _C = r"^\s*(?!static\b)(?:[\w][\w\s\*<>:,&]*?)\s+(\w+)\s*\([^)]*\)\s*"
 
+# Comment marks, branches, declarations and where documentation starts, by family.
 RULES: dict[str, Rules] = {
     "python": Rules(("#",), ()),
     "js": Rules(
@@ -108,52 +109,58 @@ def family(ext: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in K.FAMILY_BY_EXT.items() for x in kv)), ext)
 
 
-def _state(stripped: Column, outside: Callable[[Column], Column], inside: int) -> Column:
-    """Counts lines by a block-comment state that is carried from line to line: ``outside``
-    gives what a line counts for outside a block, ``inside`` what one inside counts."""
+def _among(fam: Column, test: Callable[[Rules], bool]) -> Column:
+    """Whether a family's rules pass."""
+    return fam.isin([name for name, rules in RULES.items() if test(rules)])
+
+
+def _counted(stripped: Column, outside: Callable[[Column], Column], opening: Callable[[Column], Column], inside: int) -> Column:
+    """Counts lines by a block-comment state that is carried from line to line: ``outside`` and
+    ``opening`` say if a line outside a block, or one that opens a block, counts; those inside
+    count ``inside``. Texts without a block need no state."""
 
     def step(acc: Column, s: Column) -> Column:
         closes = s.contains("*/")
         opens = s.contains("/*") & ~closes
         within = F.when(s == "", acc["within"]).when(acc["within"], ~closes).otherwise(opens)
-        add = F.when(s == "", 0).when(acc["within"], inside).otherwise(outside(s))
-        return F.struct(within.alias("within"), (acc["n"] + add).cast("int").alias("n"))
+        add = F.when(s == "", False).when(acc["within"], bool(inside)).when(opens, opening(s)).otherwise(outside(s))
+        return F.struct(within.alias("within"), (acc["n"] + add.cast("int")).cast("int").alias("n"))
+
+    stated = F.aggregate(stripped, F.struct(F.lit(False).alias("within"), F.lit(0).cast("int").alias("n")), step, lambda acc: acc["n"])
+    return F.when(F.exists(stripped, lambda s: s.contains("/*")), stated).otherwise(F.size(F.filter(stripped, lambda s: (s != "") & outside(s))))
+
+
+def _comment(fam: Column) -> Callable[[Column], Column]:
+    """Whether a stripped line starts with a comment mark of its family."""
+    marks = {m: _among(fam, lambda r, m=m: m in r.comments) for m in ("//", "#", "/*")}
+    return lambda s: (s.startswith("//") & marks["//"]) | (s.startswith("#") & marks["#"]) | (s.startswith("/*") & marks["/*"])
 
-    return F.aggregate(stripped, F.struct(F.lit(False).alias("within"), F.lit(0).cast("int").alias("n")), step, lambda acc: acc["n"])
+
+def _starred(fam: Column) -> Callable[[Column], Column]:
+    starred = _among(fam, lambda r: r.starred)
+    return lambda s: s.startswith("*") & starred & ~s.startswith("*/")
 
 
 def logical_loc(fam: Column, stripped: Column) -> Column:
     """Lines that are neither blank nor comment, from an array of stripped lines."""
+    comment, starred, preprocessor = _comment(fam), _starred(fam), _among(fam, lambda r: r.preprocessor)
 
-    def of(rules: Rules) -> Column:
-        def outside(s: Column) -> Column:
-            before = strip(F.substring_index(s, "/*", 1))
-            out = F.when(s.contains("/*") & ~s.contains("*/"), F.when((before != "") & ~before.startswith("//"), 1).otherwise(0))
-            if rules.preprocessor:
-                out = out.when(s.startswith("#"), 1)
-            if rules.starred:
-                out = out.when(s.startswith("*") & ~s.startswith("*/"), 0)
-            return out.when(starts_any(s, rules.comments) & (F.length(s) > 2), 0).otherwise(1)
+    def opening(s: Column) -> Column:
+        before = strip(F.substring_index(s, "/*", 1))
+        return (before != "") & ~before.startswith("//")
 
-        return _state(stripped, outside, 0)
+    def outside(s: Column) -> Column:
+        return (s.startswith("#") & preprocessor) | ~(starred(s) | (comment(s) & (F.length(s) > 2)))
 
-    return by_family(fam, lambda _, r: of(r), F.lit(None).cast("int"))
+    return F.when(_among(fam, lambda r: True), _counted(stripped, outside, opening, 0))
 
 
 def comment_ratio(fam: Column, stripped: Column) -> Column:
     """Comment lines over all lines, 0 for no lines."""
-
-    def of(rules: Rules) -> Column:
-        def outside(s: Column) -> Column:
-            out = F.when(s.contains("/*") & ~s.contains("*/"), 1)
-            if rules.starred:
-                out = out.when(s.startswith("*") & ~s.startswith("*/"), 1)
-            return out.when(starts_any(s, rules.comments), 1).otherwise(0)
-
-        return _state(stripped, outside, 1)
-
+    comment, starred = _comment(fam), _starred(fam)
     n = F.size(stripped)
-    return F.when(n > 0, by_family(fam, lambda _, r: of(r), F.lit(0)) / n).otherwise(0.0)
+    found = F.when(_among(fam, lambda r: True), _counted(stripped, lambda s: starred(s) | comment(s), lambda s: F.lit(True), 1)).otherwise(0)
+    return F.when(n > 0, found / n).otherwise(0.0)
 
 
 def first_part(c: Column, mark: str = ".") -> Column:
@@ -345,7 +352,7 @@ def docstring(fam: Column, lines: Column, stripped: Column) -> Column:
     return by_family(fam, of, F.lit(""))
 
 
-PARSED = "struct<names:array<string>,complexity:int,relative:array<struct<name:string,level:int>>,doc:string>"
+PARSED = "struct<names:array<string>,complexity:int,relative:array<struct<name:string,level:int>>,doc:string,err:string>"
 
 
 def _uncommented(line: str) -> str:
@@ -387,10 +394,10 @@ def python_relative(content: str) -> list[tuple[str, int]]:
 
 
 def python_tree(content: str) -> tuple[list[str], int]:
-    """Public names, breadth first, and the cyclomatic complexity; nothing and 0 if it doesn't parse."""
+    """Public names, breadth first, and the cyclomatic complexity; nothing and 0 for wrong syntax."""
     try:
         nodes = [*ast.walk(ast.parse(content))]
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    except SyntaxError:
         return [], 0
     names = [n.name for n in nodes if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and n.name[0] != "_"]
     total = 1
@@ -436,12 +443,19 @@ def go_doc(content: str) -> str:
 def _parsed(fam: pd.Series, content: pd.Series) -> pd.DataFrame:
     rows = []
     for f, c in zip(fam, content, strict=True):
-        names, total = python_tree(c) if f == "python" and c else ([], 0)
-        relative = [{"name": n, "level": k} for n, k in python_relative(c)] if f == "python" and c else []
-        rows.append((names, total, relative, go_doc(c) if f == "go" and c else ""))
-    return pd.DataFrame(rows, columns=["names", "complexity", "relative", "doc"])
+        names, total, relative, doc, err = [], 0, [], "", None
+        try:
+            if f == "python" and c:
+                names, total = python_tree(c)
+                relative = [{"name": n, "level": k} for n, k in python_relative(c)]
+            elif f == "go" and c:
+                doc = go_doc(c)
+        except (ValueError, RecursionError, MemoryError) as e:  # of this one file: it is left out and counted
+            err = type(e).__name__
+        rows.append((names, total, relative, doc, err))
+    return pd.DataFrame(rows, columns=["names", "complexity", "relative", "doc", "err"])
 
 
 def parsed(fam: Column, content: Column) -> Column:
-    """What needs a parser, of Python and Go files; others get empty values."""
+    """What needs a parser, of Python and Go files; others get empty values. ``err`` names what a file made fail."""
     return F.pandas_udf(_parsed, PARSED)(fam, content)

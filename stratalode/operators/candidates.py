@@ -21,6 +21,7 @@ def documentation_lines(content: Column) -> Column:
     return F.aggregate(found, F.lit(0), lambda n, m: (n + F.length(m) - F.length(F.replace(m, F.lit("\n"), F.lit("")))).cast("int"))
 
 
+# The texts of reasons, here and below.
 def skip_reason(path: Column, ext: Column, content: Column, all_lines: Column, stripped: Column, loc: Column) -> Column:
     """Why a file is no real candidate, or null; the first rule that holds."""
     file, total = name(path), F.size(all_lines)
@@ -79,23 +80,36 @@ def reasons(c=F.col) -> Column:
     return F.when(F.size(kept) == 0, F.array(F.lit("Passed extractable heuristics"))).otherwise(kept)
 
 
+def fenced(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows that pass, whose columns are computed once each: a filter doesn't move below a
+    column that is not deterministic, so what it reads is not written out again in it."""
+    return df.withColumn("_fence", F.monotonically_increasing_id()).filter(condition & (F.col("_fence") >= 0)).drop("_fence")
+
+
 def detect(files: DataFrame, has_license: DataFrame | None = None, whole: DataFrame | None = None) -> DataFrame:
-    """Candidates, active and skipped, one row per file that passes the hard gates.
+    """Candidates, active and skipped; see ``examine``."""
+    return examine(files, has_license, whole)[0]
+
+
+def examine(files: DataFrame, has_license: DataFrame | None = None, whole: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Candidates, active and skipped, one row per file that passes the hard gates; and the files that
+    made a parser fail (repo, path, error), which are no candidates.
 
     ``has_license`` (repo, has_license) may come from a scan before a language filter;
-    ``whole`` are the files that siblings, tests and the graph are looked for in. Content is
-    carried no further than the signals; only files that pass the cheap gates are parsed.
+    ``whole`` are the files that siblings, tests and the graph are looked for in. One pass over the
+    contents writes the signals of all files; those that the cheap gates stop get the reason alone.
     """
     whole = files if whole is None else whole
     col = F.col
+    fam = col("fam")
     base = files.filter(scan.hard_gate(col("path"), col("ext"))).select("repo", "path", "ext", "content")
     base = base.withColumns({"language": L.language(col("ext")), "fam": L.family(col("ext")), "lines": lines(col("content"))})
-    base = base.withColumn("stripped", F.transform("lines", strip)).withColumn("loc", L.logical_loc(col("fam"), col("stripped"))).filter("loc >= 10")
-    base = base.withColumn("reason", skip_reason(col("path"), col("ext"), col("content"), col("lines"), col("stripped"), col("loc")))
-    early = base.filter("reason IS NOT NULL").select("repo", "path", "language", "loc", col("reason").alias("skip_reason"))
-    live = base.filter("reason IS NULL").withColumn("parsed", L.parsed(col("fam"), F.when(col("fam").isin("python", "go"), col("content"))))
-    fam = col("fam")
-    live = live.withColumns({
+    base = base.withColumn("stripped", F.transform("lines", strip)).withColumn("loc", L.logical_loc(fam, col("stripped")))
+    base = fenced(base, col("loc") >= 10)
+    base = fenced(base.withColumn("skip_reason", skip_reason(col("path"), col("ext"), col("content"), col("lines"), col("stripped"), col("loc"))), F.lit(True))
+    live = col("skip_reason").isNull()
+    base = base.withColumn("parsed", L.parsed(fam, F.when(live & fam.isin("python", "go"), col("content"))))
+    signals = {
         "doc": F.when(fam == "go", col("parsed.doc")).otherwise(L.docstring(fam, col("lines"), col("stripped"))),
         "imports": L.external_imports(fam, col("lines")),
         "relative": F.when(fam == "python", col("parsed.relative")).otherwise(L.relative_imports(fam, col("content"))),
@@ -103,15 +117,19 @@ def detect(files: DataFrame, has_license: DataFrame | None = None, whole: DataFr
         "function_names": F.when(fam == "python", col("parsed.names")).otherwise(L.public_api(fam, col("content"))),
         "cc": F.when(fam == "python", col("parsed.complexity")).otherwise(L.complexity(fam, col("content"))).cast("int"),
         "refs": project_refs(col("content")), "ratio": L.comment_ratio(fam, col("stripped")), "first_lines": F.array_join(F.slice("lines", 1, 30), "\n"),
-    }).drop("content", "lines", "stripped", "parsed")
-    live = graph.cut_lineage(live)
+    }
+    told = graph.cut_lineage(base.select("repo", "path", "language", "fam", "loc", "skip_reason", col("parsed.err").alias("err"), *(F.when(live, c).alias(name) for name, c in signals.items())))
+    early = told.filter("skip_reason IS NOT NULL").select("repo", "path", "language", "loc", "skip_reason")
+    errors = told.filter("err IS NOT NULL").select("repo", "path", col("err").alias("error"))
+    live = told.filter("skip_reason IS NULL AND err IS NULL").drop("skip_reason", "err")
+    paths = graph.cut_lineage(whole.select("repo", "path", "ext"))  # all that the joins between files look at
     key = ["repo", "path"]
     edges = graph.cut_lineage(graph.import_edges(whole))
-    inside = resolve.internal_of_python(live.select(*key, "roots"), resolve.project_modules(whole))
+    inside = resolve.internal_of_python(live.select(*key, "roots"), resolve.project_modules(paths))
     joined = (
-        live.join(inside, key, "left").join(resolve.tested(whole).withColumn("tested", F.lit(True)), key, "left")
-        .join(graph.fan_in(whole, edges), key, "left").join(graph.import_cycles(edges).select(*key, F.lit(True).alias("cyclic")), key, "left")
-        .join(resolve.resolve_siblings(live.select(*key, "fam", "relative"), whole), key, "left")
+        live.join(inside, key, "left").join(resolve.tested(paths).withColumn("tested", F.lit(True)), key, "left")
+        .join(graph.fan_in(paths, edges), key, "left").join(graph.import_cycles(edges).select(*key, F.lit(True).alias("cyclic")), key, "left")
+        .join(resolve.resolve_siblings(live.select(*key, "fam", "relative"), paths), key, "left")
     )
     empty = F.array().cast("array<string>")
     row = joined.withColumns({
@@ -148,6 +166,6 @@ def detect(files: DataFrame, has_license: DataFrame | None = None, whole: DataFr
             "api_surface_count": F.lit(0), "is_stdlib_only": F.lit(False), "has_project_specific_refs": F.lit(False), "function_names": empty, "comment_ratio": F.lit(0.0),
             "relative_imports": empty, "sibling_paths": empty, "missing_siblings": empty, "extraction_type": F.lit("single"), "skipped": F.lit(True)}
     everything = late.unionByName(early.withColumns(none))
-    licenses = scan.licenses(whole) if has_license is None else has_license
+    licenses = scan.licenses(paths) if has_license is None else has_license
     out = everything.join(licenses, "repo", "left").withColumn("source_has_license", F.coalesce("has_license", F.lit(False))).drop("has_license")
-    return graph.cut_lineage(out).withColumn("why_extractable", F.when(col("skipped"), empty).otherwise(reasons()))
+    return graph.cut_lineage(out).withColumn("why_extractable", F.when(col("skipped"), empty).otherwise(reasons())), errors

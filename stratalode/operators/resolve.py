@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalode.functions import constants as K
-from stratalode.functions.text import in_folder, name, parent, parts, stem, suffix
+from stratalode.functions.text import ancestors, in_folder, name, parent, parts, stem, suffix
 
 #: What a sibling's name may be completed to, first choice first.
 SIBLING_FORMS = {
@@ -48,18 +48,19 @@ def resolve_siblings(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def tested(files: DataFrame) -> DataFrame:
-    """(repo, path) of files that have a test, found from the tests' side: a source names its
-    tests, equal names meet by a join, and folders decide."""
+    """(repo, path) of files that have a test: one beside the file, or one in a test folder of the file's
+    own folder or of one above it. Folder and name are join keys, so namesakes elsewhere never meet."""
     path = F.col("path")
     s, e = stem(path), suffix(path)
     bare = F.array(F.concat(F.lit("test_"), s, e), F.concat(s, F.lit("_test"), e), F.concat(s, F.lit("Test"), e), F.concat(s, F.lit(".test"), e), F.concat(s, F.lit(".spec"), e))
-    sources = files.select("repo", "path", parent(path).alias("home"), F.posexplode(F.concat(bare, F.array(F.concat(s, e)))).alias("form", "file"))
-    at = parent(path)
-    in_tests = F.element_at(parts(at), -1).isin(K.TEST_SUBDIRS)
-    tests = files.select("repo", name(path).alias("file"), at.alias("at"), in_tests.alias("in_tests"), parent(at).alias("base"))
-    own = F.col("in_tests") & ((F.col("base") == "") | (F.col("home") == F.col("base")) | F.col("home").startswith(F.concat("base", F.lit("/"))))
-    beside = (F.col("at") == F.col("home")) & (F.col("home") != "") & (F.col("form") < 5)
-    return sources.join(tests, ["repo", "file"]).filter(own | beside).select("repo", "path").distinct()
+    above = F.array_distinct(F.concat(F.array(parent(path)), ancestors(path), F.array(F.lit(""))))
+    beside = files.select("repo", "path", parent(path).alias("at"), F.explode(bare).alias("file")).filter("at != ''")
+    own = files.select("repo", "path", F.explode(F.concat(bare, F.array(F.concat(s, e)))).alias("file"), above.alias("above")).select("repo", "path", "file", F.explode("above").alias("at"))
+    there = files.select("repo", parent(path).alias("at"), name(path).alias("file"))
+    in_tests = there.filter(F.element_at(parts(F.col("at")), -1).isin(K.TEST_SUBDIRS)).withColumn("at", parent(F.col("at")))
+    keys = ["repo", "at", "file"]
+    found = beside.join(there, keys, "left_semi").select("repo", "path").unionByName(own.join(in_tests, keys, "left_semi").select("repo", "path"))
+    return found.distinct()
 
 
 def project_modules(files: DataFrame) -> DataFrame:

@@ -31,9 +31,36 @@ def similar_projects(candidates: DataFrame, projects: DataFrame, asof: str, min_
     since = F.date_sub(F.lit(asof).cast("date"), days).cast("string")
     live = projects.filter((F.col("stars") >= min_stars) & (F.col("pushed_at") >= since))
     offered = live.withColumn("token", F.explode(F.array_distinct("tokens"))).drop("tokens")
+    best = [F.desc("stars"), F.col("full_name")]
+    # only the first few of a word can be among a candidate's first few
+    offered = offered.withColumn("place", F.row_number().over(Window.partitionBy("language", "token").orderBy(*best))).filter(F.col("place") <= limit).drop("place")
     met = words.join(offered, ["language", "token"]).drop("token").distinct()
-    order = Window.partitionBy("repo", "path").orderBy(F.desc("stars"), "full_name")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("repo", "path").orderBy(*best))).filter(F.col("rank") <= limit)
+
+
+def with_similar(candidates: DataFrame, projects: DataFrame, asof: str, min_stars: int = 5, limited: DataFrame | None = None) -> DataFrame:
+    """Candidates (with a query) and what was found for them: similar_projects (best first), similar_count
+    and search_status. ``limited`` (repo, path) are those whose search was refused: their count is -1,
+    which stands for unknown. Skipped candidates are not searched for."""
+    asked = candidates.filter("NOT skipped").select("repo", "path", "language", "query")
+    if limited is not None:
+        asked = asked.join(limited.select("repo", "path").distinct(), ["repo", "path"], "left_anti")
+    fields = ["full_name", "html_url", "stars", "description", "pushed_at", "license", "open_issues", "forks", "language"]
+    top = similar_projects(asked, projects, asof, min_stars).select("repo", "path", F.struct("rank", *(fields)).alias("p"))
+    listed = top.groupBy("repo", "path").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.dropFields("rank")).alias("similar_projects"))
+    out = candidates.join(listed, ["repo", "path"], "left")
+    if limited is not None:
+        out = out.join(limited.select("repo", "path", F.lit(True).alias("_refused")).distinct(), ["repo", "path"], "left")
+    else:
+        out = out.withColumn("_refused", F.lit(None).cast("boolean"))
+    status = F.when(F.col("skipped"), "none").when(F.col("_refused"), "rate_limited").otherwise("ok")
+    count = F.when(status == "ok", F.coalesce(F.size("similar_projects"), F.lit(0))).otherwise(-1)
+    return out.withColumns({"search_status": status, "similar_count": count.cast("int")}).drop("_refused")
+
+
+def rate_limited(candidates: DataFrame) -> DataFrame:
+    """(repo, rate_limited): candidates whose search was refused."""
+    return candidates.groupBy("repo").agg(F.count_if(F.col("search_status") == "rate_limited").alias("rate_limited"))
 
 
 def months_since(pushed_at: Column, asof: str) -> Column:

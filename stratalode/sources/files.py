@@ -21,12 +21,14 @@ FILE_SCHEMA = "repo string, path string, ext string, size long, content string,
 
 
 def listing(root: str) -> Iterator[tuple[str, str]]:
-    """(path, extension) of plain files under root; links are not followed, skipped folders not entered."""
+    """(path, extension) of plain files under root; links are not followed, skipped folders not entered,
+    and nothing whose resolved path lies elsewhere is listed."""
+    home = os.path.realpath(root)
     for folder, dirs, names in os.walk(root, followlinks=False):
         dirs[:] = sorted(d for d in dirs if d.lower() not in SKIP_DIRS and not os.path.islink(os.path.join(folder, d)))
         for n in sorted(names):
             whole = os.path.join(folder, n)
-            if not os.path.islink(whole):
+            if not os.path.islink(whole) and os.path.commonpath([home, os.path.realpath(whole)]) == home:
                 yield os.path.relpath(whole, root).replace(os.sep, "/"), os.path.splitext(n)[1].lower()
 
 

@@ -190,10 +190,43 @@ def test_repo_arguments(spark):
     assert one(spark, "read:org, delete:x,repo", scan.write_scopes) == ["delete:x", "repo"]
 
 
-def test_what_it_does():
-    assert describe.what_it_does('"""Title of it\n=====\nDoes useful things.\n"""', "p", "") == "Does useful things."
-    assert describe.what_it_does("", "p", "func A(x) {}\ntype B struct\nfunc _c(x) {}\n") == "Exports: A, B"
-    assert describe.what_it_does("", "p", "package x\n") == "Package 'x' — contains declarations" and describe.what_it_does("", "p.c", "") == "Source file at p.c"
+def test_what_it_does(spark):
+    rows = [
+        ('"""Title of it\n=====\nDoes useful things.\n"""', "p", "", "Does useful things."), ("", "p", "func A(x) {}\ntype B struct\nfunc _c(x) {}\n", "Exports: A, B"),
+        ("", "p", "package x\n", "Package 'x' — contains declarations"), ("", "p.c", "", "Source file at p.c"), (None, "q", None, "Source file at q"),
+        ("@param x\n// Copyright 2020\n * Reads a file\'", "p", "", "Reads a file"), ("", "p", "".join(f"def f{i}(a):\n    pass\n" for i in range(7)), "Exports: f0, f1, f2, f3, f4 (+2 more)"),
+        ("", "p", "import x\nrun all\n\n# no\nx = 1\nok\nlast one\n", "run all | x = 1 | last one"), ("", "p", "#ifdef _W\n", "Conditional compilation for _W"),
+    ]
+    df = spark.createDataFrame(rows, "doc string, path string, content string, told string")
+    assert [r[0] for r in df.select(describe.described(F.col("doc"), F.col("path"), F.col("content"))).collect()] == [r[3] for r in rows]
+
+
+def test_files_that_make_a_parser_fail_are_counted(spark):
+    deep = "x = " + "(" * 150 + ")" * 150 + "\n"
+    body = "def f():\n" + "    x = 1\n" * 30
+    table = files(spark, [("a/deep.py", deep + body), ("a/nul.py", body + "y = '\0'\n"), ("a/bad.py", body + "def (:\n"), ("a/good.py", body), ("a/minus.py", "x = " + "-" * 200_000 + "1\n" + body)])
+    found, errors = candidates.examine(table)
+    assert {r["path"] for r in found.collect()} | {r["path"] for r in errors.collect()} == {"a/deep.py", "a/nul.py", "a/bad.py", "a/good.py", "a/minus.py"}
+    assert {r["path"]: r["error"] for r in errors.collect()}.keys() == {"a/minus.py"}
+
+
+def test_candidates_meet_similar_projects(spark):
+    rows = [("r", "a.py", "Python", "slug text", False), ("r", "b.py", "Python", "none", False), ("r", "c.py", "Python", "slug", True), ("r", "d.py", "Python", "slug", False)]
+    cands = spark.createDataFrame(rows, "repo string, path string, language string, query string, skipped boolean")
+    catalogue = spark.createDataFrame([(f"o/p{i}", "u", i * 10, "", "2025-01-01", "MIT", 1, 1, "Python", ["slug", "text"]) for i in range(9)], "full_name string, html_url string, stars long, description string, pushed_at string, license string, open_issues long, forks long, language string, tokens array<string>")
+    limited = spark.createDataFrame([("r", "d.py")], "repo string, path string")
+    got = {r["path"]: r for r in search.with_similar(cands, catalogue, "2025-06-30", limited=limited).collect()}
+    assert {p: (r["similar_count"], r["search_status"]) for p, r in got.items()} == {"a.py": (5, "ok"), "b.py": (0, "ok"), "c.py": (-1, "none"), "d.py": (-1, "rate_limited")}
+    assert [p["full_name"] for p in got["a.py"]["similar_projects"]] == ["o/p8", "o/p7", "o/p6", "o/p5", "o/p4"]
+    assert search.rate_limited(search.with_similar(cands, catalogue, "2025-06-30", limited=limited)).first()["rate_limited"] == 1
+
+
+def test_token_checks(spark):
+    df = spark.createDataFrame([(200, "read:org", "me", None), (200, "", "me", None), (200, "repo, delete:x", "me", None), (401, None, None, None), (403, None, None, None), (500, "", None, None), (None, None, None, "timed out")], "status int, scopes string, login string, failure string")
+    got = [tuple(r[0]) for r in df.select(scan.scope_check(F.col("status"), F.col("scopes"), F.col("login"), F.col("failure"))).collect()]
+    assert [(r[0], r[1], r[4]) for r in got] == [(True, "me", True), (True, "me", False), (False, None, True)] + [(False, None, False)] * 4
+    assert got[0][3] is None and "cannot be verified" in got[1][3] and got[2][2] == "token may write: repo, delete:x" and got[6][2] == "network error: timed out"
+    assert one(spark, "no abc here", lambda c: scan.redact(c, F.lit("abc"))) == "no *** here" and one(spark, "abc", lambda c: scan.redact(c, F.lit(""))) == "abc"
 
 
 def test_directory_scan(spark, tmp_path):
