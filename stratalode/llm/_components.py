@@ -50,9 +50,10 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield joined()
 
 
-def _star(edges: DataFrame, large: bool, least: DataFrame) -> DataFrame:
-    """Edges (a, b) with a > b -> the same after one star step; ``least`` (a, m) is the smallest node each sees."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Edges (a, b) with a > b -> the same after one star step."""
     seen = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
+    least = seen.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
     met = seen.join(least, "a")
     if large:
         new = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -61,26 +62,18 @@ def _star(edges: DataFrame, large: bool, least: DataFrame) -> DataFrame:
     return new.filter("a > b")
 
 
-def _least(edges: DataFrame, large: bool) -> DataFrame:
-    seen = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    return seen.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, component): the smallest node reachable, for every node that has
     an edge. Null ends and loops are left out; direction and repeats don't matter."""
     now = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).filter("a > b")
     last: list[DataFrame] = []
     while True:
-        now = written(now.mapInArrow(_forest, "a long, b long"), "edges")
+        now = written(now.mapInArrow(_forest, "a long, b long"), "edges", narrow=True)
         dropped(*last)
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up")))
         seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("low"))
         # done when every node points up once at most, and those pointed to nowhere
         if not seen.filter("up > 1 OR (up > 0 AND low = 0)").limit(1).count():
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component")))
-        first = written(_least(now, True), "least")
-        large = written(_star(now, True, first), "edges")
-        second = written(_least(large, False), "least")
-        last = [now, first, large, second]
-        now = _star(large, False, second)
+        large = written(_star(now, True), "edges", narrow=True)
+        last, now = [now, large], _star(large, False)

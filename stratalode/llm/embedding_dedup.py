@@ -182,7 +182,7 @@ def link_vectors(
     parts = components(found.select(F.col("first").alias("a"), F.col("least").alias("b")))
     known = links.join(parts.withColumnRenamed("node", "first"), "first", "left")
     described = written(classes.select("first", "n", *hashes).join(known, "first", "left").select(
-        "first", "n", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component_id")), "described")
+        "first", "n", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component_id")), "described", narrow=True)
     dropped(classes, found)
     # a class of one vector is that vector's row; vectors of larger classes, which may hold most rows, are dealt by id too
     one = described.filter("n = 1").select(F.col("first").alias("id"), "n_links", "component_id")

@@ -202,15 +202,15 @@ class Judge:
         self.sets: DataFrame | None = None
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        fresh = written(pairs if self.done is None else pairs.join(self.done, ["a", "b"], "left_anti"), "pairs")
+        fresh = written(pairs if self.done is None else pairs.join(self.done, ["a", "b"], "left_anti"), "pairs", narrow=True)
         self.done = fresh if self.done is None else self.done.unionByName(fresh)
-        left = written(near(fresh, self.nodes, self.percent), "near")
+        left = written(near(fresh, self.nodes, self.percent), "near", narrow=True)
         ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = written(ids if self.sets is None else ids.join(self.sets.select("id"), "id", "left_anti"), "wanted")
+        wanted = ids if self.sets is None else ids.join(self.sets.select("id"), "id", "left_anti")
         made = written(self.docs.join(wanted, "id").mapInArrow(lean(self.whole), "id long, set array<long>"), "sets")
         self.sets = made if self.sets is None else self.sets.unionByName(made)
-        links = written(verified(left, self.sets, self.percent).distinct(), "links")
-        dropped(left, wanted)
+        links = written(verified(left, self.sets, self.percent).distinct(), "links", narrow=True)
+        dropped(left)
         return links
 
     def close(self) -> None:
@@ -277,17 +277,17 @@ def _linked(keys: DataFrame, judge: Judge) -> DataFrame:
     both = keys.groupBy("token").agg(F.min(row).alias("low"), F.max(row).alias("high")).select("token", F.explode(F.array("low", "high")).alias("row"))
     lead = both.select("token", "row.*").select("token", *side("b"))
     links = judge.links(candidates(keys.select("token", *side("a")).join(lead, "token"), judge.percent))
-    parts = written(components(links), "components")
+    parts = components(links)
     placed = written(keys.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     dropped(keys)
     counts = placed.groupBy("token").agg(F.count("*").alias("m"), (F.min("component") != F.max("component")).alias("open"))
-    counts = written(counts.filter("open").select("token", "m"), "open")
+    counts = written(counts.filter("open").select("token", "m"), "open", narrow=True)
     blocks = counts.filter(F.col("m") > FEW).select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), (F.col("m") > HOT).alias("hot"))
     many = written(placed.join(blocks, "token"), "many")
     last = judge.links(_across(placed, counts, many, judge.nodes, judge.percent, side))
     dropped(placed, many, counts)
     judge.close()
-    found = written(components(links.unionByName(last)), "components")
+    found = components(links.unionByName(last))
     dropped(links, last, parts)
     return found
 
@@ -303,7 +303,7 @@ def jaccard_components(
     cast = df.sparkSession.sparkContext.broadcast(levels(docs, n, seed))
     shape = "id long, node long, other long, size long, ranges long, fine binary, finest binary, prefix array<long>"
     described = written(rows.mapInArrow(lean(lambda b: _described(b, n, seed, cast.value, percent)), shape), "described")
-    ids = written(described.select("id", "node", "size"), "ids")
+    ids = written(described.select("id", "node", "size"), "ids", narrow=True)
     # one row for each set; its columns come from any of its texts
     first = [F.first(c).alias(c) for c in ("size", "ranges", "fine", "finest", "prefix")]
     nodes = described.filter("size > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), *first, (F.min("other") != F.max("other")).alias("clash"))
@@ -313,14 +313,14 @@ def jaccard_components(
         dropped(ids, whole)
         return jaccard_components(df, id_col, text_col, n, percent, seed + 1)
     prefixes = whole.select("id", "size", F.posexplode("prefix").alias("at", "token"))
-    shared = written(prefixes.groupBy("token").count().filter("count > 1").select("token"), "shared")
+    shared = written(prefixes.groupBy("token").count().filter("count > 1").select("token"), "shared", narrow=True)
     place = (F.shiftleft(F.col("size"), 32) + F.col("at")).alias("place")
     found = prefixes.select("token", "id", place).join(shared, "token").join(whole.select("id", "ranges"), "id")
     keys = written(found.select("token", "id", "place", "ranges"), "keys")
     nodes = written(whole.select("node", "id", "n", "size", "fine", "finest"), "nodes")
     dropped(shared, whole)
     parts = _linked(keys, Judge(nodes, docs, lambda b: _whole(b, n, seed, cast.value), percent))
-    known = written(nodes.select("node", "id", "n", "size").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("component", "id")), "known")
+    known = written(nodes.select("node", "id", "n", "size").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("component", "id")), "known", narrow=True)
     dropped(nodes, parts)
     # a set of one text is that text's row; texts of larger groups, which may hold most rows, are dealt by id too
     one = known.filter("n = 1").select("id", "size", "component_id")
