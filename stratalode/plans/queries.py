@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stratalode.functions import languages as L
 from stratalode.functions.text import lines, parent, stem, strip
 from stratalode.operators import candidates, describe, extract, graph, naming, report, resolve, scan, scoring, search
+from stratalode.plans import fixture_queries
 from stratalode.plans.corpus import source_files
 
 ASOF = "2025-06-30"
@@ -64,24 +65,37 @@ def dependency_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lined(spark, sf_dir).select("repo", "path", weight["weight"].alias("weight"), weight["stdlib_only"].alias("stdlib_only"))
 
 
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all families; only Python and Go contents go through a parser."""
+    files = source_files(spark, sf_dir).withColumn("fam", L.family(F.col("ext"))).filter("fam IS NOT NULL")
+    return files.withColumn("p", L.parsed(F.col("fam"), F.when(F.col("fam").isin("python", "go"), F.col("content"))))
+
+
 def public_api(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = L.public_api(F.col("fam"), F.col("content"))
-    return _lined(spark, sf_dir).filter("fam != 'python'").select("repo", "path", F.size(found).cast("long").alias("n"), F.array_join(found, ",").alias("names"))
+    """Names of public declarations of every file, in order."""
+    found = F.when(F.col("fam") == "python", F.col("p.names")).otherwise(L.public_api(F.col("fam"), F.col("content")))
+    return _parsed(spark, sf_dir).select("repo", "path", F.size(found).cast("long").alias("n"), F.array_join(found, ",").alias("names"))
 
 
 def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lined(spark, sf_dir).filter("fam != 'python'").select("repo", "path", L.complexity(F.col("fam"), F.col("content")).cast("long").alias("complexity"))
+    """One more than the branches of every file."""
+    total = F.when(F.col("fam") == "python", F.col("p.complexity")).otherwise(L.complexity(F.col("fam"), F.col("content")))
+    return _parsed(spark, sf_dir).select("repo", "path", total.cast("long").alias("complexity"))
+
+
+def _relative() -> Column:
+    return F.when(F.col("fam") == "python", F.col("p.relative")).otherwise(L.relative_imports(F.col("fam"), F.col("content")))
 
 
 def relative_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = L.relative_imports(F.col("fam"), F.col("content"))
-    return _lined(spark, sf_dir).filter("fam IN ('js', 'rust')").select("repo", "path", F.explode(found).alias("item")).select("repo", "path", "item.name", F.col("item.level").cast("long").alias("level"))
+    """Imports of neighbours: name and how many folders up."""
+    return _parsed(spark, sf_dir).select("repo", "path", F.explode(_relative()).alias("item")).select("repo", "path", "item.name", F.col("item.level").cast("long").alias("level"))
 
 
 def python_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Syntax trees: public names, complexity and relative imports of Python files."""
     files = source_files(spark, sf_dir).filter("ext = '.py'").select("repo", "path", L.parsed(F.lit("python"), F.col("content")).alias("p"))
-    return files.select("repo", "path", F.array_join("p.names", ",").alias("names"), "p.complexity", F.size("p.relative").alias("n_relative"))
+    return files.select("repo", "path", F.array_join("p.names", ",").alias("names"), F.col("p.complexity").cast("long").alias("complexity"), F.size("p.relative").cast("long").alias("n_relative"))
 
 
 def docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,10 +116,8 @@ def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sibling_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Siblings of JavaScript files; what is not found is missing."""
-    files = source_files(spark, sf_dir)
-    wanted = files.withColumn("fam", L.family(F.col("ext"))).filter("fam = 'js'").select("repo", "path", "fam", L.relative_imports(F.col("fam"), F.col("content")).alias("relative"))
-    found = resolve.resolve_siblings(wanted, files)
+    """Siblings that files import; what is not found is missing."""
+    found = resolve.resolve_siblings(_parsed(spark, sf_dir).select("repo", "path", "fam", _relative().alias("relative")), source_files(spark, sf_dir))
     return found.select("repo", "path", F.array_join("sibling_paths", ",").alias("sibling_paths"), F.array_join("missing", ",").alias("missing"))
 
 
@@ -119,7 +131,10 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir)
+    """Every candidate, active or skipped, with its signals; lists as text."""
+    found = _candidates(spark, sf_dir)
+    kept = [F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c).cast("long").alias(c) if t == "int" else F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes]
+    return found.select(*kept)
 
 
 def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +254,7 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_files(spark, sf_dir).select("repo", "path", stem(F.col("path")).alias("stem"), parent(F.col("path")).alias("parent"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (
+QUERIES: dict[str, Query] = fixture_queries.QUERIES | {f.__name__: f for f in (
     loc_by_language, primary_language, scan_filters, hard_gates, filename_score, license_present, logical_loc, comment_ratio, external_imports,
     dependency_weight, public_api, complexity, relative_imports, python_metrics, docstrings, import_edges, fan_in, import_cycles, sibling_resolution,
     has_test, detect_candidates, scored_candidates, report_summary, report_top, extract_plan, fix_relative_imports, sanitize_pages, score_grid,
