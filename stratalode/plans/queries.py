@@ -140,15 +140,18 @@ def detect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scoring.score(_candidates(spark, sf_dir))
     path, doc, names = F.col("path"), F.col("docstring_snippet"), F.col("function_names")
-    return scored.select("repo", "path", "skipped", "combined_score", "ship_effort_hours", naming.suggest_name(path, doc, names).alias("suggested_name"), F.array_join(naming.suggest_tags(path, F.col("language"), doc), ",").alias("tags"), naming.search_query(path, doc, names, F.col("first_lines")).alias("query"))
+    return scored.select("repo", "path", "skipped", F.round("combined_score", 6).alias("combined_score"), "ship_effort_hours", naming.suggest_name(path, doc, names).alias("suggested_name"), F.array_join(naming.suggest_tags(path, F.col("language"), doc), ",").alias("tags"), naming.search_query(path, doc, names, F.col("first_lines")).alias("query"))
 
 
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.summary(scoring.score(_candidates(spark, sf_dir)), 5.0)
+    """Counts and sums of each repository over candidates that score 5 or more."""
+    told = report.summary(scoring.score(_candidates(spark, sf_dir)), 5.0)
+    return told.withColumn("avg_complexity", F.round("avg_complexity", 6))
 
 
 def report_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.ranked(scoring.score(_candidates(spark, sf_dir))).select("repo", "path", "combined_score")
+    """The ten best candidates."""
+    return report.ranked(scoring.score(_candidates(spark, sf_dir))).select("repo", "path", F.round("combined_score", 6).alias("combined_score"))
 
 
 def extract_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,9 +159,9 @@ def extract_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = scan.scan_filter(source_files(spark, sf_dir))
     scored = graph.cut_lineage(scoring.score(_candidates(spark, sf_dir)))
     named = scored.withColumns({"suggested_name": naming.suggest_name(F.col("path"), F.col("docstring_snippet"), F.col("function_names")), "suggested_tags": naming.suggest_tags(F.col("path"), F.col("language"), F.col("docstring_snippet"))})
-    picked = graph.cut_lineage(extract.chosen(named, 5, 6.0))
+    picked = graph.cut_lineage(extract.chosen(named, 5, 4.0))
     told = picked.join(files.select("repo", "path", "content"), ["repo", "path"]).withColumn("what_it_does", describe.described(F.col("docstring_snippet"), F.col("path"), F.col("content"))).drop("content")
-    return extract.package_files(told, files).select("repo", "package", "rel_path", F.length("content").alias("n_chars"))
+    return extract.package_files(told, files).select("repo", "package", "rel_path")
 
 
 def fix_relative_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
