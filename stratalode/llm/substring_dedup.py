@@ -20,9 +20,11 @@ factored against reference blocks that index the documents:
 
 A serial longest-match parse would have to see all earlier documents at once; the
 anchors let blocks be searched apart from each other with the same result. All
-steps deal rows by hashes, and minima over copies are taken before rows travel. Joins
-on anchors that very many documents share rest on Spark's skew join. Anchors and
-windows compare by two independent 64-bit hashes together.
+steps deal rows by hashes. Copies of a whole text are settled in the task that meets
+them, so a group of copies has phrases once a task and not once a copy; minima over
+what is left are taken before rows travel. Joins on anchors of passages that very many
+different texts share rest on Spark's skew join. Anchors, windows and whole texts compare
+by two independent 64-bit hashes together.
 
 Edge cases: a null text has no words; texts under ``window`` words lose nothing;
 rows without an id neither lose words nor count as earlier; rows with equal ids
@@ -40,11 +42,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalode.llm._shared import bound_batches, dropped, lean, steps, written
-from stratalode.llm._words import BASES, Sums, mix, words_of
+from stratalode.llm._words import BASES, Sums, Words, mix, words_of
 
 WINDOW, ANCHOR = 50, 12
 #: A place is start << 36 | windows << 30 | part of the text's CRC-32.
 PLACE, COUNT, CRC = 36, 30, (1 << 30) - 1
+MOST_WINDOWS = 63
+#: Texts that a task remembers.
+MOST_SEEN = 1 << 18
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -72,8 +77,27 @@ def phrases(hashes: np.ndarray, starts: np.ndarray, window: int, anchor: int) ->
     return begin, n, runs[chosen[first].astype(np.int64)], other.runs(begin, begin + n + window - 1)
 
 
+def _copies(w: Words, ids: list[int], window: int, seen: dict[tuple[int, int], int]) -> dict[int, int]:
+    """Numbers of texts whose words a text of this task with a smaller id has too -> that id. ``seen`` has
+    the smallest id of each text so far."""
+    if len(seen) > MOST_SEEN:
+        seen.clear()
+    found = {}
+    long = np.flatnonzero(w.counts() >= window)
+    begin, end = w.first[:-1][long], w.first[1:][long]
+    keys = (Sums(mix(w.hashes)).runs(begin, end), Sums(mix(w.hashes ^ np.uint64(BASES[1])), BASES[1]).runs(begin, end))
+    for i, key in zip(long.tolist(), zip(*(k.tolist() for k in keys), strict=True), strict=True):
+        if (first := seen.setdefault(key, ids[i])) < ids[i]:
+            found[i] = first
+        else:
+            seen[key] = ids[i]
+    return found
+
+
 def _parse(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """(id, text, crc) -> the phrases of each text."""
+    """(id, text, crc) -> the phrases of each text. A copy of a text that the task has met under a smaller id
+    has none: it gives its windows by the dozen, without an anchor, and that id for a phrase."""
+    seen: dict[tuple[int, int], int] = {}
     for batch in (s for b in batches for s in steps(b)):
         w = words_of(batch.column(1))
         starts = w.starts(window)
@@ -81,13 +105,25 @@ def _parse(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Itera
             continue
         if len(w.hashes) >= 1 << 27:
             raise ValueError("a text has 2^27 words or more")
-        begin, n, anchors, texts = phrases(w.hashes, starts, window, anchor)
-        doc = np.searchsorted(w.first, begin, "right") - 1
-        crc = batch.column(2).to_numpy(zero_copy_only=False)[doc] & CRC
-        place = (begin - w.first[doc]) << PLACE | n << COUNT | crc
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(anchors.view(np.int64)), pa.array(texts.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(place)], ["anchor", "phrase", "id", "place"]
-        )
+        crcs = batch.column(2).to_numpy(zero_copy_only=False) & CRC
+        copies = _copies(w, batch.column(0).to_pylist(), window, seen)
+        own = np.ones(batch.num_rows, bool)
+        own[[*copies]] = False
+        starts = starts[own[np.searchsorted(w.first, starts, "right") - 1]]
+        parts = []
+        if len(starts):
+            begin, n, anchors, texts = phrases(w.hashes, starts, window, anchor)
+            doc = np.searchsorted(w.first, begin, "right") - 1
+            parts.append((pa.array(anchors.view(np.int64)), texts.view(np.int64), doc, (begin - w.first[doc]) << PLACE | n << COUNT | crcs[doc]))
+        if copies:
+            doc = np.array([*copies])
+            windows = w.counts()[doc] - window + 1
+            rows = -(-windows // MOST_WINDOWS)
+            at = (np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)) * MOST_WINDOWS
+            n, doc, first = np.minimum(np.repeat(windows, rows) - at, MOST_WINDOWS), np.repeat(doc, rows), np.repeat(np.array([*copies.values()]), rows)
+            parts.append((pa.nulls(len(at), pa.int64()), first, doc, at << PLACE | n << COUNT | crcs[doc]))
+        for anchors, texts, doc, place in parts:
+            yield pa.RecordBatch.from_arrays([anchors, pa.array(texts), batch.column(0).take(pa.array(doc)), pa.array(place)], ["anchor", "phrase", "id", "place"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -154,7 +190,8 @@ def duplicate_matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     """(id, text, crc) -> (id, place, block, block_place): phrases and windows that an earlier document
     has, and where the first that has them does."""
     shape = "anchor long, phrase long, id long, place long"
-    parsed = docs.filter("id IS NOT NULL AND text IS NOT NULL").mapInArrow(lean(lambda b: _parse(b, window, anchor)), shape)
+    whole = written(docs.filter("id IS NOT NULL AND text IS NOT NULL").mapInArrow(lean(lambda b: _parse(b, window, anchor)), shape), "parsed")
+    parsed = whole.filter("anchor IS NOT NULL")
     # anchors that two documents have, and whether their phrases differ
     span = parsed.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), (F.min("phrase") != F.max("phrase")).alias("differ"))
     shared = written(span.filter("a < b").select("anchor", "differ"), "anchors")
@@ -170,8 +207,9 @@ def duplicate_matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     met = windows.groupBy("anchor", "phrase").agg(least.alias("first"), F.max("id").alias("last")).filter("first.id < last")
     first = written(met.select("anchor", "phrase", F.col("first.id").alias("block"), F.col("first.place").alias("block_place")), "first-windows")
     late = looked_up.filter("id > block").unionByName(windows.join(first, ["anchor", "phrase"]).filter("id > block"), allowMissingColumns=True)
-    matches = written(late.select("id", "place", "block", "block_place"), "matches")
-    dropped(found, firsts, windows, first)
+    copies = whole.filter("anchor IS NULL").select("id", "place", F.col("phrase").alias("block"), F.col("place").alias("block_place"))
+    matches = written(late.select("id", "place", "block", "block_place").unionByName(copies), "matches")
+    dropped(whole, found, firsts, windows, first)
     return matches
 
 

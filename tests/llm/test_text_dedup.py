@@ -81,6 +81,19 @@ def test_a_copied_passage_is_one_factor_of_its_block(spark):
     assert out[9]["n_removed"] == 580
 
 
+def test_a_group_of_copies_has_phrases_once_a_task(spark):
+    """Half the rows are copies of one text: no key has a row for each of them, and they go as a whole."""
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    text = " ".join(word() for _ in range(400))
+    rows = [(i, text if i % 2 else " ".join(word() for _ in range(120))) for i in range(600)] + [(0, text)]
+    df = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "text", "1L AS crc").repartition(6)
+    parsed = df.mapInArrow(lambda b: substring_dedup._parse(b, 50, 12), "anchor long, phrase long, id long, place long").filter("anchor IS NOT NULL").groupBy("anchor").count()
+    assert parsed.agg({"count": "max"}).first()[0] <= 6 * 12  # a few smaller ids may come later in a task
+    out = {r["doc_id"]: r for r in substring_dedup.substring_dedup(df.select(df["id"].alias("doc_id"), "text")).filter("doc_id % 2 = 1").collect()}
+    assert len(out) == 300 and all(r["n_removed"] == r["n_words"] == 400 and r["kept"] == "" for r in out.values())
+
+
 def shingles(text: str | None) -> frozenset:
     ws = words("".join(c.lower() if c.isascii() else c for c in text or ""))
     return frozenset(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else frozenset()
