@@ -23,44 +23,54 @@ def _lined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loc_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and files of each repository and language."""
     return scan.loc_by_language(source_files(spark, sf_dir))
 
 
 def primary_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each repository's language with most lines."""
     return scan.primary_language(source_files(spark, sf_dir))
 
 
 def scan_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that a scan keeps."""
     return scan.scan_filter(source_files(spark, sf_dir)).select("repo", "path", "size", "loc")
 
 
 def hard_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that may hold a candidate by their path."""
     return source_files(spark, sf_dir).filter(scan.hard_gate(F.col("path"), F.col("ext"))).select("repo", "path")
 
 
 def filename_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What file names tell, and which are routes of a framework."""
     path = F.col("path")
     return source_files(spark, sf_dir).select("repo", "path", scan.filename_score(path).alias("filename_score"), scan.framework_route(path).alias("is_route"))
 
 
 def license_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories with a licence file at their root."""
     return scan.licenses(source_files(spark, sf_dir))
 
 
 def logical_loc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are neither blank nor comment."""
     return _lined(spark, sf_dir).select("repo", "path", L.logical_loc(F.col("fam"), F.col("stripped")).alias("loc"))
 
 
 def comment_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comment lines over all lines."""
     return _lined(spark, sf_dir).select("repo", "path", F.round(L.comment_ratio(F.col("fam"), F.col("stripped")), 6).alias("comment_ratio"))
 
 
 def external_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules that files import, in order."""
     found = L.external_imports(F.col("fam"), F.col("lines"))
     return _lined(spark, sf_dir).select("repo", "path", F.posexplode(found).alias("pos", "module")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def dependency_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heaviest module that a file imports, and whether all are of the standard library."""
     weight = L.dependency_weight(F.col("fam"), L.external_imports(F.col("fam"), F.col("lines")))
     return _lined(spark, sf_dir).select("repo", "path", weight["weight"].alias("weight"), weight["stdlib_only"].alias("stdlib_only"))
 
@@ -99,19 +109,23 @@ def python_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documentation of files that need no parser."""
     return _lined(spark, sf_dir).select("repo", "path", L.docstring(F.col("fam"), F.col("lines"), F.col("stripped")).alias("docstring"))
 
 
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which Python file imports which."""
     return graph.import_edges(source_files(spark, sf_dir))
 
 
 def fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files import each Python file."""
     files = source_files(spark, sf_dir)
     return graph.fan_in(files, graph.import_edges(files)).withColumn("fan_in", F.col("fan_in").cast("long"))
 
 
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python files that import each other in a circle."""
     return graph.import_cycles(graph.import_edges(source_files(spark, sf_dir)))
 
 
@@ -122,6 +136,7 @@ def sibling_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def has_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that have a test."""
     return resolve.tested(source_files(spark, sf_dir))
 
 
@@ -138,6 +153,7 @@ def detect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with score, effort, name, tags and search words."""
     scored = scoring.score(_candidates(spark, sf_dir))
     path, doc, names = F.col("path"), F.col("docstring_snippet"), F.col("function_names")
     return scored.select("repo", "path", "skipped", F.round("combined_score", 6).alias("combined_score"), "ship_effort_hours", naming.suggest_name(path, doc, names).alias("suggested_name"), F.array_join(naming.suggest_tags(path, F.col("language"), doc), ",").alias("tags"), naming.search_query(path, doc, names, F.col("first_lines")).alias("query"))
@@ -165,11 +181,13 @@ def extract_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fix_relative_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents with imports of neighbours turned into notes."""
     fixed = extract.fix_relative_imports(F.col("content"), F.col("ext"))
     return source_files(spark, sf_dir).select("repo", "path", F.sha2(fixed, 256).alias("fixed_sha256"))
 
 
 def sanitize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without scripts, fences that close, or secrets."""
     clean = report.redact_secrets(report.sanitize_markdown(F.col("html")))
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.length(clean).cast("long").alias("n_chars"), F.sha2(clean, 256).alias("clean_sha256"))
 
@@ -197,6 +215,7 @@ LOCS, FANS, CCS = [9, 10, 19, 20, 49, 50, 149, 150, 200, 201, 299, 300, 301, 400
 
 
 def score_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dimensions of the score over boundary values."""
     dims = ["code_quality", "relevance", "usefulness", "maintainability", "uniqueness", "combined_score"]
     scored = scoring.score(signal_grid(spark, sf_dir))
     return scored.select("l_orderkey", "l_linenumber", *(F.round(d, 6).alias(d) for d in dims), "ship_effort_hours")
@@ -221,6 +240,7 @@ def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best similar projects of each candidate."""
     return search.similar_projects(_wanted(spark, sf_dir), projects(spark, sf_dir), ASOF).select("path", F.col("rank").cast("long").alias("rank"), "full_name", "stars")
 
 
@@ -238,11 +258,13 @@ HEADERS = ["", "read:org, repo", "write:packages,gist", "admin:anything, read:us
 
 
 def repo_arg_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners and names of repository arguments."""
     rows = spark.createDataFrame([(a,) for a in ARGS], "arg string")
     return rows.select("arg", scan.parse_repo_arg(F.col("arg")).alias("p")).select("arg", "p.owner", "p.name", F.col("p.error").isNull().alias("fits"))
 
 
 def scope_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes that may write."""
     rows = spark.createDataFrame([(h,) for h in HEADERS], "scopes string")
     return rows.select("scopes", F.array_join(scan.write_scopes(F.col("scopes")), ",").alias("offending"))
 
@@ -254,6 +276,7 @@ def license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems and folders of paths."""
     return source_files(spark, sf_dir).select("repo", "path", stem(F.col("path")).alias("stem"), parent(F.col("path")).alias("parent"))
 
 
