@@ -73,9 +73,10 @@ src AS (SELECT *, CAST(strlen(content) AS BIGINT) AS size,
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file table made from the documents of a data folder."""
     from stratalode.sources.files import from_table
+    from stratalode.sources.tables import read_table
 
     view = f"documents_{uuid.uuid4().hex}"
-    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView(view)
+    read_table(spark, f"{sf_dir}/documents.parquet").createOrReplaceTempView(view)
     sql = SRC_SQL.replace("\\", "\\\\").replace("FROM documents", f"FROM {view}")  # backslashes escape here, not in the other engine
     made = spark.sql(sql).select("repo", "path", "content")
     spark.catalog.dropTempView(view)

@@ -12,6 +12,7 @@ from stratalode.functions.text import lines, parent, stem, strip
 from stratalode.operators import candidates, describe, extract, graph, naming, report, resolve, scan, scoring, search
 from stratalode.plans import fixture_queries
 from stratalode.plans.corpus import source_files
+from stratalode.sources.tables import read_table
 
 ASOF = "2025-06-30"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,12 +190,12 @@ def fix_relative_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sanitize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages without scripts, fences that close, or secrets."""
     clean = report.redact_secrets(report.sanitize_markdown(F.col("html")))
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.length(clean).cast("long").alias("n_chars"), F.sha2(clean, 256).alias("clean_sha256"))
+    return read_table(spark, f"{sf_dir}/pages.parquet").select("page_id", F.length(clean).cast("long").alias("n_chars"), F.sha2(clean, 256).alias("clean_sha256"))
 
 
 def signal_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item as scoring inputs, by modular arithmetic over boundary values."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    items = read_table(spark, f"{sf_dir}/lineitem.parquet")
     key = F.col("l_orderkey") * 7 + F.col("l_linenumber")
 
     def pick(values: list, by: int) -> Column:
@@ -272,7 +273,7 @@ def scope_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by how many of their first 30 lines speak of licences."""
     legal = F.filter(F.slice(lines(F.col("text")), 1, 30), lambda x: F.lower(x).rlike("copyright|licensed under|apache license|mit license|permission is hereby granted"))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(legal).cast("long").alias("n_legal"), F.size(lines(F.col("text"))).cast("long").alias("n_lines"))
+    return read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", F.size(legal).cast("long").alias("n_legal"), F.size(lines(F.col("text"))).cast("long").alias("n_lines"))
 
 
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
