@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalode.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, substring_dedup, token_counts, token_store, toxicity, url_filter, warc
+from stratalode.sources.tables import read_table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 50-word windows that an earlier one has."""
-    cut = substring_dedup.substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    cut = substring_dedup.substring_dedup(read_table(spark, f"{sf_dir}/documents.parquet"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -35,7 +36,7 @@ FROM cut LEFT JOIN kept USING (doc_id)
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of vectors of one label linked by a cosine of 0.98."""
-    return embedding_dedup.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return embedding_dedup.link_vectors(read_table(spark, f"{sf_dir}/embeddings.parquet"))
 
 
 OP2_SQL = """
@@ -60,7 +61,7 @@ FROM embeddings LEFT JOIN lowest ON lowest.node = vec_id LEFT JOIN counts ON cou
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every 13-word window of the benchmark."""
     found = decontaminate.find_contamination(
-        spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+        read_table(spark, f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     )
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -99,7 +100,7 @@ FROM norm LEFT JOIN words USING (doc_id) LEFT JOIN held USING (doc_id)
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the host rules, else by the patterns."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = read_table(spark, f"{sf_dir}/pages.parquet")
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -127,7 +128,7 @@ FROM judged
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for every page written to archives and read back."""
-    archives = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    archives = warc.write_archives(read_table(spark, f"{sf_dir}/pages.parquet"))
     return warc.read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -143,24 +144,24 @@ FROM whole LEFT JOIN firsts USING (p)
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document written to a content-addressed store and read back."""
-    store = token_store.write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    store = token_store.write_store(read_table(spark, f"{sf_dir}/documents.parquet"))
     return token_store.read_store(spark, store)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether they are over 4096."""
-    counted = token_counts.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    counted = token_counts.count_tokens(read_table(spark, f"{sf_dir}/documents.parquet"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the ranks and decoded again."""
-    return byte_bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return byte_bpe.round_trip(read_table(spark, f"{sf_dir}/documents.parquet"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learnt from labelled rows that are not held out."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = read_table(spark, f"{sf_dir}/documents.parquet")
     model = toxicity.train_on(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(documents, model)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= toxicity.REJECT, 1).otherwise(0).alias("predicted"))
@@ -168,7 +169,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by a similarity of 0.8 over five-word shingles."""
-    return jaccard_join.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_join.jaccard_components(read_table(spark, f"{sf_dir}/documents.parquet"))
 
 
 OP10_SQL = r"""
