@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from stratalode.llm import byte_bpe, decontaminate, jaccard_join, substring_dedup, toxicity
 from stratalode.llm._shared import shared_path
+from stratalode.sources.tables import read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -68,7 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         kept = stage(spark, docs, sf_dir)
         path = shared_path(spark, name)
