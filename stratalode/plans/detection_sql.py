@@ -110,8 +110,8 @@ SQL = {
         UNION ALL SELECT repo, package, unnest(list_concat(['README.md', 'LICENSE-REVIEW.md'], CASE e WHEN '.py' THEN ['pyproject.toml', replace(package, '-', '_') || '/__init__.py'] WHEN '.rs' THEN ['Cargo.toml'] WHEN '.go' THEN ['go.mod']
             ELSE CASE WHEN e IN ('.ts', '.tsx', '.js', '.jsx') THEN ['package.json', 'index.js'] ELSE [] END END)) FROM picked
         UNION ALL SELECT picked.repo, package, 'SOURCE-LICENSE' FROM picked JOIN src ON src.repo = picked.repo AND src.path = 'LICENSE'""",
-    "report_summary": f"""{_SCORED}, shown AS (SELECT *, NOT skipped AND round(combined_score, 9) >= 5.0 AS s FROM scored) SELECT repo, count(*) AS analyzed, count_if(s) AS shown, count_if(NOT skipped AND NOT s) AS hidden, count_if(skipped) AS skipped,
-        count_if(s AND extraction_type = 'single') AS single, count_if(s AND extraction_type = 'multi') AS multi, count_if(s AND extraction_type = 'blocked') AS blocked, CAST(coalesce(sum(loc) FILTER (s), 0) AS BIGINT) AS total_loc,
-        round(coalesce(sum(complexity) FILTER (s), 0) / greatest(count_if(s), 1), 6) AS avg_complexity, count_if(s AND is_stdlib_only) AS stdlib_only, count_if(s AND NOT source_has_license) AS no_license FROM shown GROUP BY repo""",
+    "report_summary": f"""{_SCORED}, shown AS (SELECT *, NOT skipped AND round(combined_score, 9) >= 5.0 AS s FROM scored) SELECT repo, count(*) AS analyzed, CAST(count_if(s) AS BIGINT) AS shown, CAST(count_if(NOT skipped AND NOT s) AS BIGINT) AS hidden, CAST(count_if(skipped) AS BIGINT) AS skipped,
+        CAST(count_if(s AND extraction_type = 'single') AS BIGINT) AS single, CAST(count_if(s AND extraction_type = 'multi') AS BIGINT) AS multi, CAST(count_if(s AND extraction_type = 'blocked') AS BIGINT) AS blocked, CAST(coalesce(sum(loc) FILTER (s), 0) AS BIGINT) AS total_loc,
+        round(coalesce(sum(complexity) FILTER (s), 0) / greatest(count_if(s), 1), 6) AS avg_complexity, CAST(count_if(s AND is_stdlib_only) AS BIGINT) AS stdlib_only, CAST(count_if(s AND NOT source_has_license) AS BIGINT) AS no_license FROM shown GROUP BY repo""",
     "report_top": f"{_SCORED} SELECT repo, path, round(combined_score, 6) AS combined_score FROM scored WHERE NOT skipped ORDER BY round(combined_score, 9) DESC, repo, path LIMIT 10",
 }
