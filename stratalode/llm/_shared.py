@@ -37,11 +37,11 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends here, a lost executor
     costs no more than the tasks that read it, and the shuffle files behind it go at once.
-    ``narrow`` tables of a few numbers a row come in four files for each core, not in one for
-    each shuffle partition."""
+    ``narrow`` tables of a few numbers a row come in a file for six shuffle partitions, but no fewer
+    than four for each core."""
     spark = df.sparkSession
     if narrow:
-        df = df.coalesce(max(32, 4 * spark.sparkContext.defaultParallelism))
+        df = df.coalesce(max(32, 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 6))
     path = shared_path(spark, name)
     shape = df.schema
     before = spark.conf.get(CLEAN_UP, None)
