@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalode.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, substring_dedup, token_counts, token_store, toxicity, url_filter, warc
+from stratalode.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, sharding, substring_dedup, token_counts, token_store, toxicity, url_filter, warc
 from stratalode.sources.tables import read_table
 
 
@@ -193,5 +193,13 @@ FROM cut LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON node = cut.doc_id
 """
 
 
-QUERIES = {"op9_toxicity": op9_toxicity, "op2_embedding_dedup": op2_embedding_dedup, "op10_jaccard_join": op10_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op5_warc": op5_warc, "op6_token_store": op6_token_store, "op7_token_counts": op7_token_counts, "op8_byte_bpe": op8_byte_bpe, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op4_url_filters": op4_url_filters}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in sixteen shards whose numbers of rows differ by one at most, shuffled uniformly."""
+    text = F.coalesce("text", F.lit(""))
+    narrow = read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    placed = sharding.shuffle_into_shards(narrow)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {"op9_toxicity": op9_toxicity, "op2_embedding_dedup": op2_embedding_dedup, "op10_jaccard_join": op10_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op5_warc": op5_warc, "op6_token_store": op6_token_store, "op7_token_counts": op7_token_counts, "op8_byte_bpe": op8_byte_bpe, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op4_url_filters": op4_url_filters, "op11_sharding": op11_sharding}
 SQL = {"op2_embedding_dedup": OP2_SQL, "op10_jaccard_join": OP10_SQL, "op1_substring_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op3_benchmark_decontamination": OP3_SQL, "op4_url_filters": OP4_SQL}
