@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalode.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, sharding, substring_dedup, token_counts, token_store, toxicity, url_filter, warc
+from stratalode.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, lexical_search, sharding, substring_dedup, token_counts, token_store, toxicity, url_filter, warc
 from stratalode.sources.tables import read_table
 
 
@@ -201,5 +201,33 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op9_toxicity": op9_toxicity, "op2_embedding_dedup": op2_embedding_dedup, "op10_jaccard_join": op10_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op5_warc": op5_warc, "op6_token_store": op6_token_store, "op7_token_counts": op7_token_counts, "op8_byte_bpe": op8_byte_bpe, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op4_url_filters": op4_url_filters, "op11_sharding": op11_sharding}
-SQL = {"op2_embedding_dedup": OP2_SQL, "op10_jaccard_join": OP10_SQL, "op1_substring_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op3_benchmark_decontamination": OP3_SQL, "op4_url_filters": OP4_SQL}
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item by its words."""
+    index = lexical_search.build_index(read_table(spark, f"{sf_dir}/documents.parquet"))
+    return lexical_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP12_SQL = r"""
+WITH held AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents
+), postings AS (SELECT doc_id, t, count(*) AS tf FROM held GROUP BY doc_id, t
+), docs AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM postings GROUP BY doc_id
+), totals AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM docs
+), spread AS (SELECT doc_id, 20 * (100 - 50 + (50 * n * nn) // ll) AS s FROM docs, totals
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM postings, totals GROUP BY t, nn
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + s))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (t) JOIN postings USING (t) JOIN spread USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+QUERIES = {"op9_toxicity": op9_toxicity, "op2_embedding_dedup": op2_embedding_dedup, "op10_jaccard_join": op10_jaccard_join, "op1_substring_dedup": op1_substring_dedup, "op5_warc": op5_warc, "op6_token_store": op6_token_store, "op7_token_counts": op7_token_counts, "op8_byte_bpe": op8_byte_bpe, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op4_url_filters": op4_url_filters, "op11_sharding": op11_sharding, "op12_lexical_search": op12_lexical_search}
+SQL = {"op2_embedding_dedup": OP2_SQL, "op10_jaccard_join": OP10_SQL, "op1_substring_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op3_benchmark_decontamination": OP3_SQL, "op4_url_filters": OP4_SQL, "op12_lexical_search": OP12_SQL}
