@@ -5,8 +5,8 @@ Vectors with equal labels link when their cosine, in double precision, is at lea
 
 1.  Equal vectors of one label are one class, compared once, whatever their number.
 2.  Centroids come from spherical k-means; they only steer the search. There are so many
-    cells that the largest label has about ``fill`` classes in each, so cells don't grow
-    with the input. They are fitted on a sample drawn by hash, ``PER_CELL`` classes for
+    cells that the largest label has about ``fill`` classes in each, two at least, so cells don't
+    grow with the input. They are fitted on a sample drawn by hash, ``PER_CELL`` classes for
     each cell, of at most ``SAMPLE_BYTES``; beyond that bound cells do grow. Every class
     goes to its nearest centroid's cell.
 3.  Links over a border are not lost: a vector within the threshold's angle of the
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from stratalode.llm._components import components
 from stratalode.llm._shared import bound_batches, dropped, lean, salted_left_join, written
 
-THRESHOLD, FILL, BLOCK, VISITORS = 0.98, 512, 1024, 4096
+THRESHOLD, FILL, BLOCK, VISITORS = 0.98, 128, 1024, 4096
 PER_CELL, SAMPLE_BYTES = 32, 64 << 20
 #: Rows of a product computed at a time.
 CHUNK = 512
@@ -77,6 +77,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _assigned(batches: Iterator[pa.RecordBatch], centres: dict[int, np.ndarray], angle: float) -> Iterator[pa.RecordBatch]:
     """(..., size, vector) -> the same with the cells that a class visits, its own last."""
+    apart = {size: np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) for size, c in centres.items()}
     for batch in batches:
         sizes, cells = batch.column("size").to_numpy(), np.empty(batch.num_rows, object)
         for size in np.unique(sizes):
@@ -84,8 +85,7 @@ def _assigned(batches: Iterator[pa.RecordBatch], centres: dict[int, np.ndarray],
             if int(size) not in centres:
                 cells[rows] = [[0]] * len(rows)
                 continue
-            c = centres[int(size)]
-            between = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))
+            c, between = centres[int(size)], apart[int(size)]
             for some in np.array_split(rows, -(-len(rows) * len(c) // (1 << 20))):
                 x = unit(_matrix(batch.column("vector").take(pa.array(some))))
                 near = x @ c.T
@@ -122,19 +122,19 @@ def _products(table: pa.Table, threshold: float) -> pa.Table:
 
 
 def fitted(classes: DataFrame, fill: int) -> dict[int, np.ndarray]:
-    """Centroids by length of vectors. Lengths of at most ``fill`` classes to a label are one cell."""
+    """Centroids by length of vectors, two at least."""
     most = classes.groupBy("label", "size").agg(F.count("*").alias("n")).groupBy("size").agg(F.max("n").alias("most"), F.sum("n").alias("n")).collect()  # a row for each length
     wanted = {r["size"]: -(-r["most"] // fill) for r in most}
-    total = sum(k * PER_CELL * size * 8 for size, k in wanted.items() if k > 1)
-    cells = {size: max(2, int(k * min(1.0, SAMPLE_BYTES / total))) for size, k in wanted.items() if k > 1}
+    total = sum(k * PER_CELL * size * 8 for size, k in wanted.items())
+    cells = {size: max(2, int(k * min(1.0, SAMPLE_BYTES / total))) for size, k in wanted.items()}
     centres: dict[int, np.ndarray] = {}
     for r in most:
-        if k := cells.get(r["size"]):
-            share = min(1.0, k * PER_CELL / r["n"])  # of all classes of this length
-            drawn = classes.filter((F.col("size") == r["size"]) & (F.pmod(F.xxhash64("first", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))).select("first", "vector").toArrow()
-            if drawn.num_rows:
-                order = pa.array(np.argsort(drawn.column("first").to_numpy(), kind="stable"))
-                centres[r["size"]] = spherical_kmeans(unit(_matrix(drawn.column("vector").combine_chunks().take(order))), k)
+        k = cells[r["size"]]
+        share = min(1.0, k * PER_CELL / r["n"])  # of all classes of this length
+        drawn = classes.filter((F.col("size") == r["size"]) & (F.pmod(F.xxhash64("first", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))).select("first", "vector").toArrow()
+        if drawn.num_rows:
+            order = pa.array(np.argsort(drawn.column("first").to_numpy(), kind="stable"))
+            centres[r["size"]] = spherical_kmeans(unit(_matrix(drawn.column("vector").combine_chunks().take(order))), k)
     return centres
 
 
