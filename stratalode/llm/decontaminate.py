@@ -13,7 +13,7 @@ files in the shared folder; the driver sees the files' names only. A task reads
 ``AT_ONCE`` bytes at a time over one automaton after the other, of which it holds one.
 
 Edge cases: a null or word-less text has no words, no hits and is not
-contaminated; a null or word-less item gives no pattern; two items with one
+contaminated; a null or word-less item gives no pattern, and without any pattern words are counted all the same; two items with one
 window are both reported; repeated rows of either table are judged one by one;
 empty tables give an empty result or no hits. Other columns are not looked at.
 """
@@ -175,12 +175,13 @@ def find_contamination(
         for group in gathered(batches, AT_ONCE if len(blocks) > 1 else 0):
             # of each document: words, ranges of occurrences, items
             hits: list[list[list]] = [[[0, [], set()] for _ in range(b.num_rows)] for b in group]
-            for machine in map(automaton, blocks):
+            for machine in map(automaton, blocks) if blocks else [None]:
                 for batch, found in zip(group, hits, strict=True):
                     for hit, text in zip(found, batch.column(1), strict=True):
-                        if ws := words(text.as_py()):
+                        ws = words(text.as_py())
+                        hit[0] = len(ws)
+                        if ws and machine is not None:
                             more, items = occurrences(ws, machine)
-                            hit[0] = len(ws)
                             hit[1] += more
                             hit[2] |= items
             for batch, found in zip(group, hits, strict=True):
