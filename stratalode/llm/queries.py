@@ -145,7 +145,7 @@ FROM whole LEFT JOIN firsts USING (p)
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document written to a content-addressed store and read back."""
     store = token_store.write_store(read_table(spark, f"{sf_dir}/documents.parquet"))
-    return token_store.read_store(spark, store)
+    return token_store.read_store(spark, token_store.open_store(store.path))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import math
 import random
 import re
 from pathlib import Path
@@ -55,7 +56,10 @@ def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert decontaminate.find_contamination(none, some.withColumnRenamed("doc_id", "item_id")).count() == 0
-    assert decontaminate.find_contamination(some, none.withColumnRenamed("doc_id", "item_id")).first()["n_hit"] == 0
+    wordless = spark.createDataFrame([(1, None), (2, " ! "), (3, "")], "item_id long, text string")
+    for items in (none.withColumnRenamed("doc_id", "item_id"), wordless):
+        row = decontaminate.find_contamination(some, items).first()
+        assert (row["n_words"], row["n_hit"], row["items"]) == (2, 0, [])
 
 
 def test_url_rules(spark):
@@ -169,6 +173,21 @@ def test_vectors_equal_brute_force(spark):
     assert embedding_dedup.link_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_given_vectors_are_dealt_over_cells(spark, sf):
+    """The query's k-means runs on tables of every size: labels have vectors in more than one cell."""
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").filter("embedding IS NOT NULL AND label IS NOT NULL")
+    classes = rows.groupBy("label", F.col("embedding").alias("vector")).agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).withColumn("size", F.size("vector")).filter("size > 0")
+    centres = embedding_dedup.fitted(classes, embedding_dedup.FILL)
+    assert centres and all(len(c) > 1 for c in centres.values())
+    batches = classes.select("label", "size", "first", "n", "vector").toArrow().to_batches()
+    own = {(label, size): set() for b in batches for label, size in zip(b.column("label").to_pylist(), b.column("size").to_pylist(), strict=True)}
+    for b in embedding_dedup._assigned(iter(batches), centres, math.acos(embedding_dedup.THRESHOLD)):
+        for label, size, cells in zip(b.column("label").to_pylist(), b.column("size").to_pylist(), b.column("cells").to_pylist(), strict=True):
+            own[label, size].add(cells[-1])
+    assert any(len(cells) > 1 for cells in own.values())
+
+
 def test_rows_sent_grow_like_the_vectors(spark):
     """Ten times the vectors of ten times the clusters; no rare length falls back to one cell."""
     sent = {}
