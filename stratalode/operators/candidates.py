@@ -124,11 +124,11 @@ def examine(files: DataFrame, has_license: DataFrame | None = None, whole: DataF
     live = told.filter("skip_reason IS NULL AND err IS NULL").drop("skip_reason", "err")
     paths = graph.cut_lineage(whole.select("repo", "path", "ext"))  # all that the joins between files look at
     key = ["repo", "path"]
-    edges = graph.cut_lineage(graph.import_edges(whole, paths))
+    imports = graph.import_graph(whole, paths)
     inside = resolve.internal_of_python(live.select(*key, "roots"), resolve.project_modules(paths))
     joined = (
         live.join(inside, key, "left").join(resolve.tested(paths).withColumn("tested", F.lit(True)), key, "left")
-        .join(graph.fan_in(paths, edges), key, "left").join(graph.import_cycles(edges).select(*key, F.lit(True).alias("cyclic")), key, "left")
+        .join(graph.fan_in(paths, imports), key, "left").join(graph.import_cycles(imports).select(*key, F.lit(True).alias("cyclic")), key, "left")
         .join(resolve.resolve_siblings(live.select(*key, "fam", "relative"), paths), key, "left")
     )
     empty = F.array().cast("array<string>")

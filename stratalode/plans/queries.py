@@ -116,18 +116,18 @@ def docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which Python file imports which."""
-    return graph.import_edges(source_files(spark, sf_dir))
+    return graph.import_edges(graph.import_graph(source_files(spark, sf_dir)))
 
 
 def fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many files import each Python file."""
     files = source_files(spark, sf_dir)
-    return graph.fan_in(files, graph.import_edges(files)).withColumn("fan_in", F.col("fan_in").cast("long"))
+    return graph.fan_in(files, graph.import_graph(files)).withColumn("fan_in", F.col("fan_in").cast("long"))
 
 
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python files that import each other in a circle."""
-    return graph.import_cycles(graph.import_edges(source_files(spark, sf_dir)))
+    return graph.import_cycles(graph.import_graph(source_files(spark, sf_dir)))
 
 
 def sibling_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,11 +111,12 @@ def test_siblings_and_tests(spark):
 
 def test_graph(spark):
     table = files(spark, [("p/a.py", "from .b import x\n"), ("p/b.py", "from p import a\n"), ("c.py", "import p\nimport c\n"), ("d.py", "import e\n"), ("e.py", "import f\n"), ("f.py", "import d\nimport c\n"), ("g.py", "")])
-    edges = graph.import_edges(table)
+    imports = graph.import_graph(table)
+    edges = graph.import_edges(imports)
     assert {(r["src"], r["dst"]) for r in edges.collect()} == {("p/a.py", "p/b.py"), ("p/b.py", "p/a.py"), ("c.py", "p/a.py"), ("c.py", "p/b.py"), ("d.py", "e.py"), ("e.py", "f.py"), ("f.py", "d.py"), ("f.py", "c.py")}
-    assert {r["path"]: r["fan_in"] for r in graph.fan_in(table, edges).collect()} == {"p/a.py": 2, "p/b.py": 2, "c.py": 1, "d.py": 1, "e.py": 1, "f.py": 1, "g.py": 0}
-    for most in (graph.IN_ONE_TASK, 0):
-        assert {r["path"]: r["scc_id"] for r in graph.import_cycles(edges, most).collect()} == {"p/a.py": "p/a.py", "p/b.py": "p/a.py", "d.py": "d.py", "e.py": "d.py", "f.py": "d.py"}
+    assert {r["path"]: r["fan_in"] for r in graph.fan_in(table, imports).collect()} == {"p/a.py": 2, "p/b.py": 2, "c.py": 1, "d.py": 1, "e.py": 1, "f.py": 1, "g.py": 0}
+    for most in (graph.IN_ONE_TASK, 3, 1):
+        assert {r["path"]: r["scc_id"] for r in graph.import_cycles(imports, most).collect()} == {"p/a.py": "p/a.py", "p/b.py": "p/a.py", "d.py": "d.py", "e.py": "d.py", "f.py": "d.py"}
 
 
 SLUGIFY = '"""Turn text into slugs."""\nimport re\nimport unicodedata\n\ndef slugify(text):\n    text = text.lower()\n    text = re.sub("x", "y", text)\n    text = text.strip()\n    return text\n\ndef unslugify(text):\n    text = text.upper()\n    return text\n\ndef is_slug(text):\n    return text.islower()\n'
