@@ -21,10 +21,9 @@ def documentation_lines(content: Column) -> Column:
     return F.aggregate(found, F.lit(0), lambda n, m: (n + F.length(m) - F.length(F.replace(m, F.lit("\n"), F.lit("")))).cast("int"))
 
 
-# The texts of reasons, here and below.
-def skip_reason(path: Column, ext: Column, content: Column, all_lines: Column, stripped: Column, loc: Column) -> Column:
-    """Why a file is no real candidate, or null; the first rule that holds."""
-    file, total = name(path), F.size(all_lines)
+def shape(ext: Column, content: Column, all_lines: Column, stripped: Column, loc: Column) -> Column:
+    """What a content is made of, as far as it may be a reason to pass a file over."""
+    total = F.size(all_lines)
     modifiers = "(public|private|protected|static|final|abstract|open|sealed|suspend|inline|override|async|synchronized|internal|fileprivate|companion)"
     function = rf"{L.UM}^\s*{modifiers}*\s*(def |func |fn |function |void |int |string |bool |var |let |const |public |private |protected )"
     classes = rf"{L.UM}^\s*(public|private|protected|static|final|abstract|open|sealed|internal|fileprivate|data|companion)*\s*(class |struct |interface |enum |trait |impl |object |protocol |record )"
@@ -32,18 +31,30 @@ def skip_reason(path: Column, ext: Column, content: Column, all_lines: Column, s
     exports = _share(stripped, lambda s: starts_any(s, ["pub mod ", "pub use "]))
     constants = _share(all_lines, lambda x: x.rlike(L.U + r"^\s*[A-Z_][A-Z_0-9]*\s*="))
     legal = _share(F.slice(all_lines, 1, 30), lambda x: contains_any(F.lower(x), ["copyright", "licensed under", "apache license", "mit license", "permission is hereby granted"]))
-    python = ext == ".py"
+    python, rust, documentation = ext == ".py", ext == ".rs", documentation_lines(content)
+    return F.struct(
+        (rust & (loc <= 30) & (modules >= loc * 0.5)).alias("modules"), (rust & (loc <= 30) & (exports >= loc * 0.5)).alias("exports"),
+        ((loc < 20) & ~content.rlike(function) & ~content.rlike(classes)).alias("bare"), (python & (loc <= 50) & (constants >= loc * 0.6)).alias("constants"),
+        F.substring(content, 1, 500).contains("automatically generated by SWIG").alias("swig"), ((legal >= total * 0.6) & (loc <= 15) & (total <= 40)).alias("legal"),
+        (python & (documentation > 0) & (documentation >= loc * 0.5) & (loc > 10)).alias("documentation"),
+    )
+
+
+# The texts of reasons, here and below.
+def skip_reason(path: Column, shape: Column) -> Column:
+    """Why a file is no real candidate, or null; the first rule that holds."""
+    file = name(path)
     return (
         F.when(contains_any(F.lower(path), K.GENERATED_PATTERNS), "Generated/auto-generated file")
-        .when((file == "mod.rs") & (loc <= 30) & (modules >= loc * 0.5), "Rust mod.rs with only module declarations")
-        .when((file == "lib.rs") & (loc <= 30) & (exports >= loc * 0.5), "Rust lib.rs with only re-exports")
-        .when((loc < 20) & ~content.rlike(function) & ~content.rlike(classes), "Under 20 LOC with no function/class definitions")
-        .when(python & (loc <= 50) & (constants >= loc * 0.6), "Mostly constant definitions")
+        .when((file == "mod.rs") & shape["modules"], "Rust mod.rs with only module declarations")
+        .when((file == "lib.rs") & shape["exports"], "Rust lib.rs with only re-exports")
+        .when(shape["bare"], "Under 20 LOC with no function/class definitions")
+        .when(shape["constants"], "Mostly constant definitions")
         .when(path.endswith(".d.ts"), "TypeScript declaration file (.d.ts)")
-        .when(F.substring(content, 1, 500).contains("automatically generated by SWIG"), "SWIG auto-generated file")
-        .when((legal >= total * 0.6) & (loc <= 15) & (total <= 40), "Mostly copyright/license comments")
+        .when(shape["swig"], "SWIG auto-generated file")
+        .when(shape["legal"], "Mostly copyright/license comments")
         .when(file.isin(K.CONFIG_NAMES), "Configuration file")
-        .when(python & (documentation_lines(content) > 0) & (documentation_lines(content) >= loc * 0.5) & (loc > 10), "Documentation-only file (string variables dominate)")
+        .when(shape["documentation"], "Documentation-only file (string variables dominate)")
     )
 
 
@@ -91,24 +102,31 @@ def detect(files: DataFrame, has_license: DataFrame | None = None, whole: DataFr
     return examine(files, has_license, whole)[0]
 
 
-def examine(files: DataFrame, has_license: DataFrame | None = None, whole: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Candidates, active and skipped, one row per file that passes the hard gates; and the files that
-    made a parser fail (repo, path, error), which are no candidates.
+def file_keys(files: DataFrame) -> DataFrame:
+    """(repo, path, ext, digest, gated) of files: the name of a content, and whether the path may be a candidate's."""
+    return files.select("repo", "path", "ext", F.sha2("content", 256).alias("digest"), F.coalesce(scan.hard_gate(F.col("path"), F.col("ext")), F.lit(False)).alias("gated"))
 
-    ``has_license`` (repo, has_license) may come from a scan before a language filter;
-    ``whole`` are the files that siblings, tests and the graph are looked for in. One pass over the
-    contents writes the signals of all files; those that the cheap gates stop get the reason alone.
-    """
-    whole = files if whole is None else whole
+
+def distinct_contents(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """(digest, ext, gated, content): each content once for an extension, whatever the number of its files. The
+    first file of each is looked up among contents, which are dealt once and never sorted."""
+    needed = keys.filter("gated OR ext = '.py'").groupBy("digest", "ext").agg(F.min(F.struct("repo", "path")).alias("at"), F.bool_or("gated").alias("gated"))
+    firsts = needed.select("at.repo", "at.path", "digest", "gated")
+    return files.select("repo", "path", "ext", "content").join(firsts.hint("shuffle_hash"), ["repo", "path"]).select("digest", "ext", "gated", "content")
+
+
+def content_facts(contents: DataFrame) -> DataFrame:
+    """All that detection takes from a content: (digest, ext, gated, content) -> digest, ext, gated, the names that
+    a Python file imports and, where ``gated`` and of ten lines or more, its signals. Only contents that no rule
+    of their own passes over go through a parser."""
     col = F.col
-    fam = col("fam")
-    base = files.filter(scan.hard_gate(col("path"), col("ext"))).select("repo", "path", "ext", "content")
-    base = base.withColumns({"language": L.language(col("ext")), "fam": L.family(col("ext")), "lines": lines(col("content"))})
-    base = base.withColumn("stripped", F.transform("lines", strip)).withColumn("loc", L.logical_loc(fam, col("stripped")))
-    base = fenced(base, col("loc") >= 10)
-    base = fenced(base.withColumn("skip_reason", skip_reason(col("path"), col("ext"), col("content"), col("lines"), col("stripped"), col("loc"))), F.lit(True))
-    live = col("skip_reason").isNull()
-    base = base.withColumn("parsed", L.parsed(fam, F.when(live & fam.isin("python", "go"), col("content"))))
+    fam, gated = col("fam"), col("gated")
+    base = contents.withColumns({"fam": L.family(col("ext")), "lines": F.when(gated, lines(col("content")))})
+    base = base.withColumn("stripped", F.transform("lines", strip)).withColumn("loc", F.when(gated, L.logical_loc(fam, col("stripped"))))
+    base = fenced(base, F.lit(True)).withColumn("shape", F.when(col("loc") >= 10, shape(col("ext"), col("content"), col("lines"), col("stripped"), col("loc"))))
+    base = fenced(base, F.lit(True))
+    worth = col("shape").isNotNull() & ~(col("shape.bare") | col("shape.constants") | col("shape.swig") | col("shape.legal") | col("shape.documentation"))
+    base = base.withColumn("parsed", L.parsed(fam, F.when(worth & fam.isin("python", "go"), col("content"))))
     signals = {
         "doc": F.when(fam == "go", col("parsed.doc")).otherwise(L.docstring(fam, col("lines"), col("stripped"))),
         "imports": L.external_imports(fam, col("lines")),
@@ -118,13 +136,39 @@ def examine(files: DataFrame, has_license: DataFrame | None = None, whole: DataF
         "cc": F.when(fam == "python", col("parsed.complexity")).otherwise(L.complexity(fam, col("content"))).cast("int"),
         "refs": project_refs(col("content")), "ratio": L.comment_ratio(fam, col("stripped")), "first_lines": F.array_join(F.slice("lines", 1, 30), "\n"),
     }
-    told = graph.cut_lineage(base.select("repo", "path", "language", "fam", "loc", "skip_reason", col("parsed.err").alias("err"), *(F.when(live, c).alias(name) for name, c in signals.items())))
+    names = F.when(col("ext") == ".py", graph.import_names(col("content"))).alias("names")
+    return base.select("digest", "ext", "gated", names, "loc", "shape", col("parsed.err").alias("err"), *(F.when(worth, c).alias(n) for n, c in signals.items()))
+
+
+def examine(files: DataFrame, has_license: DataFrame | None = None, whole: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Candidates, active and skipped, one row per file that passes the hard gates; and the files that
+    made a parser fail (repo, path, error), which are no candidates.
+
+    ``has_license`` (repo, has_license) may come from a scan before a language filter;
+    ``whole`` are the files that siblings, tests and the graph are looked for in. Each distinct content is
+    looked at once, however many files have it, and everything else comes from narrow tables.
+    """
+    everything = files if whole is None else whole
+    keys = graph.cut_lineage(file_keys(everything))
+    facts = graph.cut_lineage(content_facts(distinct_contents(everything, keys)))
+    wanted = keys if whole is None else keys.join(files.select("repo", "path"), ["repo", "path"], "left_semi")
+    return judged(wanted, facts, keys, has_license)
+
+
+def judged(wanted: DataFrame, facts: DataFrame, keys: DataFrame, has_license: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What ``examine`` returns for the files ``wanted``, from keys of files and facts of contents alone;
+    ``keys`` are all files of their repositories."""
+    col = F.col
+    fam, paths = col("fam"), keys
+    told = wanted.filter("gated").join(facts.drop("gated", "names").filter("loc >= 10"), ["digest", "ext"])
+    told = told.withColumns({"language": L.language(col("ext")), "fam": L.family(col("ext")), "skip_reason": skip_reason(col("path"), col("shape"))})
+    told = graph.cut_lineage(told.drop("digest", "ext", "shape", "gated"))
     early = told.filter("skip_reason IS NOT NULL").select("repo", "path", "language", "loc", "skip_reason")
-    errors = told.filter("err IS NOT NULL").select("repo", "path", col("err").alias("error"))
+    errors = told.filter("skip_reason IS NULL AND err IS NOT NULL").select("repo", "path", col("err").alias("error"))
     live = told.filter("skip_reason IS NULL AND err IS NULL").drop("skip_reason", "err")
-    paths = graph.cut_lineage(whole.select("repo", "path", "ext"))  # all that the joins between files look at
+    named = keys.filter("ext = '.py'").select("repo", "path", "digest", "ext").join(facts.filter(F.size("names") > 0).select("digest", "ext", "names"), ["digest", "ext"])
+    imports = graph.linked(named.select("repo", "path", "names"), paths)
     key = ["repo", "path"]
-    imports = graph.import_graph(whole, paths)
     inside = resolve.internal_of_python(live.select(*key, "roots"), resolve.project_modules(paths))
     joined = (
         live.join(inside, key, "left").join(resolve.tested(paths).withColumn("tested", F.lit(True)), key, "left")
