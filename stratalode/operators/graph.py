@@ -8,8 +8,6 @@ found on these, and nothing grows faster than import lines and files.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -18,19 +16,7 @@ from pyspark.sql import functions as F
 
 from stratalode.functions.languages import U
 from stratalode.functions.text import in_folder, lines, name, parent, parts, stem
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir and read again; where that is
-    unset, as in tests, to a temporary folder that is then set there."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='stratalode-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from stratalode.sources.tables import cut_lineage
 
 
 @dataclass(frozen=True)

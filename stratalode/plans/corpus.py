@@ -70,14 +70,21 @@ src AS (SELECT *, CAST(strlen(content) AS BIGINT) AS size,
         CAST(length(content) - length(replace(content, chr(10), '')) + CASE WHEN content <> '' AND NOT ends_with(content, chr(10)) THEN 1 ELSE 0 END AS INT) AS loc FROM src0)"""
 
 
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The file table made from the documents of a data folder."""
+def as_files(documents: DataFrame) -> DataFrame:
+    """The file table made from rows of documents."""
     from stratalode.sources.files import from_table
-    from stratalode.sources.tables import read_table
 
+    spark = documents.sparkSession
     view = f"documents_{uuid.uuid4().hex}"
-    read_table(spark, f"{sf_dir}/documents.parquet").createOrReplaceTempView(view)
+    documents.createOrReplaceTempView(view)
     sql = SRC_SQL.replace("\\", "\\\\").replace("FROM documents", f"FROM {view}")  # backslashes escape here, not in the other engine
     made = spark.sql(sql).select("repo", "path", "content")
     spark.catalog.dropTempView(view)
     return from_table(made)
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file table made from the documents of a data folder."""
+    from stratalode.sources.tables import read_table
+
+    return as_files(read_table(spark, f"{sf_dir}/documents.parquet"))

@@ -98,13 +98,13 @@ _TAGS = "list_concat([" + O._map("language", K.LANGUAGE_TAGS) + ", " + ", ".join
 )
 _CALLED = f"list_filter(list_transform(function_names, lambda n: lower(n)), lambda n: length(n) >= 4 AND n NOT IN ({O._list(list(K.QUERY_NOISE))}))[1:2]"
 #: Of the corpus's names, none of which is generic.
-_NAMED = f"""{_SCORED}, tagged AS (SELECT *, list_filter({_TAGS}, lambda t: t IS NOT NULL) AS t, {_CALLED} AS called FROM scored), firsts AS (SELECT *, list_filter(t, lambda x, i: list_position(t, x) = i)[1:5] AS tags FROM tagged),
+NAMED = f"""{_SCORED}, tagged AS (SELECT *, list_filter({_TAGS}, lambda t: t IS NOT NULL) AS t, {_CALLED} AS called FROM scored), firsts AS (SELECT *, list_filter(t, lambda x, i: list_position(t, x) = i)[1:5] AS tags FROM tagged),
 named AS (SELECT *, regexp_replace(regexp_replace({_STEM}, '[^a-z0-9-]+', '-', 'g'), '^-|-$', '', 'g') AS package FROM firsts)"""
 _LISTS = ("function_names", "relative_imports", "sibling_paths", "missing_siblings", "why_extractable")
 SQL = {
     "detect_candidates": f"{DETECTED} SELECT * REPLACE (" + ", ".join(f"coalesce(array_to_string({c}, ','), '') AS {c}" for c in _LISTS) + ") FROM detected",
-    "scored_candidates": f"{_NAMED} SELECT repo, path, skipped, round(combined_score, 6) AS combined_score, ship_effort_hours, package AS suggested_name, array_to_string(tags, ',') AS tags, array_to_string(list_concat([{O.STEM}], called), ' ') AS query FROM named",
-    "extract_plan": rf"""{_NAMED}, picked AS (SELECT *, regexp_extract(path, '\.[^.]*$') AS e FROM named WHERE NOT skipped AND round(combined_score, 9) >= 4.0 ORDER BY round(combined_score, 9) DESC, repo, path LIMIT 5),
+    "scored_candidates": f"{NAMED} SELECT repo, path, skipped, round(combined_score, 6) AS combined_score, ship_effort_hours, package AS suggested_name, array_to_string(tags, ',') AS tags, array_to_string(list_concat([{O.STEM}], called), ' ') AS query FROM named",
+    "extract_plan": rf"""{NAMED}, picked AS (SELECT *, regexp_extract(path, '\.[^.]*$') AS e FROM named WHERE NOT skipped AND round(combined_score, 9) >= 4.0 ORDER BY round(combined_score, 9) DESC, repo, path LIMIT 5),
         parts AS (SELECT repo, package, e, unnest(list_concat([path], sibling_paths)) AS p, unnest(generate_series(0, len(sibling_paths))) AS k FROM picked)
         SELECT repo, package, CASE WHEN e = '.py' THEN replace(package, '-', '_') || '/' WHEN e IN ('.ts', '.tsx', '.js', '.jsx', '.rs') THEN 'src/' ELSE '' END || CASE WHEN e = '.rs' AND k = 0 THEN 'lib.rs' ELSE regexp_extract(p, '[^/]*$') END AS rel_path FROM parts
         UNION ALL SELECT repo, package, unnest(list_concat(['README.md', 'LICENSE-REVIEW.md'], CASE e WHEN '.py' THEN ['pyproject.toml', replace(package, '-', '_') || '/__init__.py'] WHEN '.rs' THEN ['Cargo.toml'] WHEN '.go' THEN ['go.mod']

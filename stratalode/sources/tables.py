@@ -1,8 +1,71 @@
-"""Parquet tables as they come from a folder."""
+"""Parquet tables as they come from a folder, and intermediate ones in the shared folder."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+_open: list[list[str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one that is then set there."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='stratalode-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    for paths in _open[-1:]:
+        paths.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that ``cut_lineage`` has written meanwhile."""
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield
+    finally:
+        _open.remove(paths)
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stream_of(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
+    """The Parquet files at ``path`` as a stream, those that come later too. ``path`` may be a single file, which
+    streams take only as what a pattern finds."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    single = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]" if single else path)
+
+
+def table_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The table at ``path``, or none of its rows where nothing has been written yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
+def replaced(df: DataFrame, path: str, by: str) -> None:
+    """Writes ``df`` to the table at ``path`` in place of the partitions that it has rows of."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
