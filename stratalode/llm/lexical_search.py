@@ -42,7 +42,7 @@ from stratalode.llm._words import bounds, bytes_of, different
 
 BLOCK = 128
 #: A segment ends at this many bytes of text or documents.
-SEGMENT_BYTES, SEGMENT_DOCS = 32 << 20, 1 << 16
+SEGMENT_BYTES, SEGMENT_DOCS = 12 << 20, 1 << 15
 #: Items that a task has at a time; stretches that are scored first, and at most together.
 ITEMS, FIRST, TOGETHER = 512, 8, 256
 PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
