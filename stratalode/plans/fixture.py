@@ -1,12 +1,17 @@
-"""A few fixed repositories: one file for each gate, reason, form of import, declaration and documentation.
+"""Repositories that documents stand for: one file for each gate, reason, form of import, declaration and documentation.
 
-The data tables hold none of these forms. Queries over them are compared with fixed results
-in ``golden``, which were derived from the rules by hand.
+The texts of the data tables hold none of these forms. So each document stands for one file by its id: every
+115 documents make three repositories that hold all of them, and as many as there are documents for are made.
+Texts, answers and names to judge are chosen by the id too. Results are in ``golden``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratalode.sources.files import from_table
+from stratalode.sources.tables import read_table
 
 _STEPS = "".join(f"    step{i} = {i}\n" for i in range(12))
 _PY = f"def work(a):\n{_STEPS}"
@@ -54,11 +59,22 @@ GRAPH = {
 REPOS = {"fix/gates": GATES, "fix/langs": LANGS, "fix/graph": GRAPH}
 
 
-def code_fixture(spark: SparkSession) -> DataFrame:
-    from stratalode.sources.files import from_table
+#: Files of the three repositories, in order.
+FILES = [(repo, path, content) for repo, files in REPOS.items() for path, content in files.items()]
+
+
+def chosen(spark: SparkSession, sf_dir: str, rows: list[tuple], kind: str) -> DataFrame:
+    """(doc_id, no, *kind): for each document the row of its id; the rows are a fixed few."""
+    few = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"no long, {kind}")
+    ids = read_table(spark, f"{sf_dir}/documents.parquet").filter("doc_id IS NOT NULL").select("doc_id", F.pmod("doc_id", F.lit(len(rows))).alias("no"))
+    return ids.join(few, "no")
+
 
-    rows = [(repo, path, content) for repo, files in REPOS.items() for path, content in files.items()]
-    return from_table(spark.createDataFrame(rows, "repo string, path string, content string"))
+def code_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of all whole groups of documents; a group's number ends the names of its repositories."""
+    each = chosen(spark, sf_dir, FILES, "repo string, path string, content string").withColumn("group", F.floor(F.col("doc_id") / len(FILES)))
+    whole = each.groupBy("group").agg(F.countDistinct("no").alias("n")).filter(F.col("n") == len(FILES)).select("group")
+    return from_table(each.join(whole, "group").select(F.concat_ws("-", "repo", "group").alias("repo"), "path", "content").distinct())
 
 
 #: Texts around obviously false secrets, one for each pattern, and what rendered text must not hold.

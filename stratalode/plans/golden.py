@@ -1,4 +1,4 @@
-"""Fixed results of the queries over the fixed repositories.
+"""Fixed results of the queries over the repositories of ``fixture``, once for each group of documents or for each document.
 
 ``golden.json`` holds the columns, their types and the rows of each query. The rows were recorded
 once and then read against the rules: reasons, gates, names, imports, complexities, siblings and
@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+from stratalode.plans import fixture
+
 TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
@@ -32,4 +34,16 @@ def results() -> dict[str, dict]:
     return json.loads(Path(__file__).with_name("golden.json").read_text(encoding="utf-8"))
 
 
-SQL = {name: _select(x["columns"], x["rows"]) for name, x in results().items()}
+def _sql(name: str, columns: list[list[str]], rows: list[list[object]]) -> str:
+    if (few := {"fixture_clean_text": fixture.TEXTS, "fixture_license_headers": fixture.HEADERS, "fixture_token_checks": fixture.ANSWERS, "fixture_responses": fixture.RESPONSES}.get(name)) is not None:
+        return f"SELECT doc_id, t.* FROM documents JOIN ({_select(columns, rows)}) t ON doc_id % {len(few)} = no"
+    if name == "fixture_names":
+        number = " ".join(f"WHEN {_literal(r[0])} THEN {i}" for i, r in enumerate(fixture.NAMES))
+        return f"WITH t AS (SELECT CAST(CASE path {number} END AS BIGINT) AS no, * FROM ({_select(columns, rows)})) SELECT doc_id, t.* FROM documents JOIN t ON doc_id % {len(fixture.NAMES)} = no"
+    n = len(fixture.FILES)
+    groups = f"WITH groups AS (SELECT doc_id // {n} AS g FROM documents WHERE doc_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id % {n}) = {n})"
+    own = "t.* REPLACE (repo || '-' || g AS repo)" if ["repo", "string"] in columns else "t.*"
+    return f"{groups} SELECT {own} FROM groups, ({_select(columns, rows)}) t"
+
+
+SQL = {name: _sql(name, x["columns"], x["rows"]) for name, x in results().items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from stratalode.functions import constants as K
 from stratalode.plans import golden
 from stratalode.plans.corpus import SRC_CTE
-from stratalode.plans.queries import ARGS, ASOF, CCS, FANS, HEADERS, LOCS
+from stratalode.plans.queries import ASOF, CCS, FANS, LOCS
 
 
 def _list(values: list[str]) -> str:
@@ -200,10 +200,22 @@ SQL = golden.SQL | {
     "demand_signal": f"""{TOP}, each AS (SELECT *, CASE WHEN stars > 0 THEN least(10.0, stars / 100) ELSE 0 END + CASE WHEN forks > 0 THEN least(5.0, forks / 50) ELSE 0 END + CASE WHEN issues > 0 THEN least(3.0, issues / 10) ELSE 0 END
         + CASE WHEN stars > 0 AND forks > 0 THEN CASE WHEN stars / forks > 50 THEN 0 WHEN stars / forks < 5 THEN 1.5 ELSE 0.5 END ELSE 0 END AS score, {_MONTHS} AS months FROM top)
         SELECT path, round(least(10.0, sum(score / rank) / sum(1 / rank) / 1.8), 6) AS demand, first(months ORDER BY rank) AS months, count(*) FILTER (months > 12) AS stale FROM each GROUP BY path""",
-    "repo_arg_parse": f"""WITH a AS (SELECT unnest([{_list(ARGS)}]) AS arg), t AS (SELECT arg, CASE WHEN starts_with(arg, 'git@') THEN replace(regexp_extract(arg, '[^:]*$'), '.git', '') WHEN starts_with(arg, 'http') THEN regexp_replace(regexp_extract(arg, '^[^:]+://[^/]*/?(.*)$', 1), '\\.git$', '') ELSE regexp_replace(arg, '\\.git$', '') END AS tail FROM a),
-        f AS (SELECT arg, tail, regexp_matches(tail, '^[^/]+/[^/]+$') AND (NOT starts_with(arg, 'http') OR regexp_matches(arg, '^https?://(www\\.)?github\\.com/')) AS fits FROM t)
-        SELECT arg, CASE WHEN fits THEN split_part(tail, '/', 1) END AS owner, CASE WHEN fits THEN split_part(tail, '/', 2) END AS name, fits FROM f""",
-    "scope_check": f"SELECT scopes, array_to_string(list_filter(list_transform(string_split(scopes, ','), lambda s: trim(s)), lambda s: s IN ({_list(K.WRITE_SCOPES)}) OR regexp_matches(s, '^(admin|write|delete):')), ',') AS offending FROM (SELECT unnest([{_list(HEADERS)}]) AS scopes)",
+    "repo_arg_parse": r"""WITH a AS (SELECT c_custkey, CASE WHEN c_custkey % 19 = 4 THEN '' ELSE replace(
+          ['{}', 'https://github.com/{}', 'https://www.github.com/{}.git', 'git@github.com:{}.git', 'http://github.com/{}/', 'http://example.org/{}', 'git@example.org:{}.git', '{}/more', '{}.git', ' {} '][c_custkey % 10 + 1],
+          '{}', CASE WHEN c_custkey % 17 = 3 THEN '' ELSE regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g') END || '/n' || c_nationkey) END AS arg FROM customer),
+        t AS (SELECT *, CASE WHEN starts_with(trim(arg), 'git@') THEN replace(regexp_extract(trim(arg), '[^:]*$'), '.git', '')
+          WHEN starts_with(trim(arg), 'http') THEN regexp_replace(trim(regexp_extract(trim(arg), '^[^:]+://[^/]*(.*)$', 1), '/'), '\.git$', '') ELSE regexp_replace(trim(arg), '\.git$', '') END AS tail FROM a),
+        f AS (SELECT *, regexp_matches(tail, '^[^/]+/[^/]+$') AND (NOT starts_with(trim(arg), 'git@') OR contains(arg, 'github.com'))
+          AND (NOT starts_with(trim(arg), 'http') OR regexp_extract(trim(arg), '^[^:]+://([^/]*)', 1) IN ('github.com', 'www.github.com')) AS fits FROM t)
+        SELECT c_custkey, arg, CASE WHEN fits THEN split_part(tail, '/', 1) END AS owner, CASE WHEN fits THEN split_part(tail, '/', 2) END AS name, fits FROM f""",
+    "scope_check": r"""WITH a AS (SELECT event_id, CAST(user_id AS VARCHAR) AS login, event_id % 29 = 0 AS silent, CASE WHEN event_id % 5 = 1 THEN 401 WHEN event_id % 5 = 2 THEN 403 WHEN event_id % 35 = 3 THEN 500 ELSE 200 END AS status,
+          ['', 'read:org', ' repo', 'write:packages', 'admin:org', 'delete_repo', 'public_repo', 'user:email', 'delete:packages', 'gist'] AS s FROM events),
+        h AS (SELECT *, CASE event_id % 3 WHEN 0 THEN s[event_id % 10 + 1] || ',' || s[event_id // 10 % 10 + 1] WHEN 1 THEN s[event_id // 100 % 10 + 1] END AS header FROM a),
+        o AS (SELECT *, list_filter(list_transform(string_split(coalesce(header, ''), ','), lambda x: trim(x)), lambda x: x IN ('repo', 'repo:status', 'repo_deployment', 'public_repo', 'delete_repo') OR regexp_matches(x, '^(admin|write|delete):')) AS bad FROM h),
+        e AS (SELECT *, CASE WHEN silent THEN 'network error: timed out' WHEN status = 401 THEN 'token is invalid or expired' WHEN status = 403 THEN 'token may not read the user' WHEN status <> 200 THEN 'unexpected status: ' || status
+          WHEN len(bad) > 0 THEN 'token may write: ' || array_to_string(bad, ', ') END AS error FROM o)
+        SELECT event_id, array_to_string(bad, ',') AS offending, error IS NULL AS ok, CASE WHEN error IS NULL THEN login END AS user_name, error,
+          CASE WHEN error IS NULL AND coalesce(header, '') = '' THEN 'fine-grained token: its scopes cannot be verified' END AS warning, status = 200 AND NOT silent AND coalesce(header, '') <> '' AS is_classic FROM e""",
     "license_lines": f"SELECT doc_id, len(list_filter(({LINES.replace('content', 'text')})[1:30], lambda x: regexp_matches(lower(x), 'copyright|licensed under|apache license|mit license|permission is hereby granted'))) AS n_legal, len({LINES.replace('content', 'text')}) AS n_lines FROM documents",
     "path_parts": f"{SRC_CTE} SELECT repo, path, {STEM} AS stem, {PARENT} AS parent FROM src",
 }

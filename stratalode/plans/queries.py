@@ -254,20 +254,29 @@ def demand_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("path", F.round(scoring.demand(F.col("similar")), 6).alias("demand"), search.months_since(F.col("similar")[0]["pushed_at"], ASOF).cast("long").alias("months"), stale.cast("long").alias("stale"))
 
 
-ARGS = ["alice/repo", "https://github.com/alice/repo", "https://www.github.com/alice/repo.git", "git@github.com:alice/repo.git", "http://example.org/a/b", "alice", "alice/repo/more", "", "/repo", "https://github.com/alice"]
-HEADERS = ["", "read:org, repo", "write:packages,gist", "admin:anything, read:user", "public_repo", "user:email"]
+ARG_FORMS = ["{}", "https://github.com/{}", "https://www.github.com/{}.git", "git@github.com:{}.git", "http://github.com/{}/", "http://example.org/{}", "git@example.org:{}.git", "{}/more", "{}.git", " {} "]
+SCOPES = ["", "read:org", " repo", "write:packages", "admin:org", "delete_repo", "public_repo", "user:email", "delete:packages", "gist"]
 
 
 def repo_arg_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Owners and names of repository arguments."""
-    rows = spark.createDataFrame([(a,) for a in ARGS], "arg string")
-    return rows.select("arg", scan.parse_repo_arg(F.col("arg")).alias("p")).select("arg", "p.owner", "p.name", F.col("p.error").isNull().alias("fits"))
+    """Owners and names of repository arguments: customers own their nation's repository, in one of ten forms; some names are empty."""
+    key = F.col("c_custkey")
+    owner = F.when(key % 17 == 3, "").otherwise(F.regexp_replace(F.lower("c_name"), "[^a-z0-9]+", "-"))
+    plain = F.concat(owner, F.lit("/n"), F.col("c_nationkey").cast("string"))
+    arg = F.when(key % 19 == 4, "").otherwise(F.replace(F.element_at(F.array(*map(F.lit, ARG_FORMS)), (key % 10 + 1).cast("int")), F.lit("{}"), plain))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", arg.alias("arg"))
+    return rows.select("c_custkey", "arg", scan.parse_repo_arg(F.col("arg")).alias("p")).select("c_custkey", "arg", "p.owner", "p.name", F.col("p.error").isNull().alias("fits"))
 
 
 def scope_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scopes that may write."""
-    rows = spark.createDataFrame([(h,) for h in HEADERS], "scopes string")
-    return rows.select("scopes", F.array_join(scan.write_scopes(F.col("scopes")), ",").alias("offending"))
+    """Answers to token checks, by events: status, a list of scopes, or no answer at all."""
+    key = F.col("event_id")
+    pick = lambda by: F.element_at(F.array(*map(F.lit, SCOPES)), (F.floor(key / by) % 10 + 1).cast("int"))
+    status = F.when(key % 5 == 1, 401).when(key % 5 == 2, 403).when(key % 35 == 3, 500).otherwise(200)
+    header = F.when(key % 3 == 0, F.concat_ws(",", pick(1), pick(10))).when(key % 3 == 1, pick(100))
+    rows = read_table(spark, f"{sf_dir}/events.parquet").select("event_id", status.alias("status"), header.alias("scopes"), F.when(key % 29 == 0, "timed out").alias("failure"), F.col("user_id").cast("string").alias("login"))
+    c = scan.scope_check(F.col("status"), F.col("scopes"), F.col("login"), F.col("failure"))
+    return rows.select("event_id", F.array_join(scan.write_scopes(F.col("scopes")), ",").alias("offending"), c["ok"].alias("ok"), c["user"].alias("user_name"), c["error"].alias("error"), c["warning"].alias("warning"), c["is_classic"].alias("is_classic"))
 
 
 def license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
