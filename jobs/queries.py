@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from jobs import portfolio_report, watch_repositories
 from stratalode.plans.detection_sql import NAMED
-from stratalode.plans.oracle import LANG, STEM
+from stratalode.plans.oracle import LANG
 from stratalode.sources.tables import shared_folder
 
 
@@ -51,5 +51,5 @@ SQL = {
         SELECT repo, rank, path, ranks.language, loc, round(combined_score, 6) AS combined_score, ship_effort_hours, extraction_type, package AS suggested_name, array_to_string(tags, ',') AS tags,
                mains.language AS main_language, analyzed, shown, least(shown, 10) AS cards FROM ranks JOIN sums USING (repo) JOIN mains USING (repo)""",
     "job2_watch_repositories": f"""{NAMED} SELECT repo, path, language, skipped, skip_reason, fan_in, in_cycle, round(combined_score, 6) AS combined_score, ship_effort_hours, package AS suggested_name,
-        array_to_string(tags, ',') AS tags, array_to_string(list_concat([{STEM}], called), ' ') AS query FROM named""",
+        array_to_string(tags, ',') AS tags, query FROM named""",
 }

@@ -3,6 +3,8 @@
 Each document becomes one file: its id chooses repository, language, folder and name,
 a generated head gives imports and declarations, and its text follows as comments.
 Imports point to ``doc_id + 357``, which has the same repository, folder and language.
+Some ids also stand for a test of their file, beside it, in a test folder or at the root, for a file
+that a rule on contents or names passes over, or for one of the many that import one module.
 """
 
 from __future__ import annotations
@@ -51,7 +53,30 @@ _HUB = "CASE WHEN doc_id % 17 = 0 AND doc_id % 3 = 0 THEN 'import shared' || chr
 _FOLDER = "CASE WHEN doc_id % 29 = 3 THEN 'tests/' WHEN doc_id % 31 = 3 THEN 'app/' WHEN doc_id % 37 = 3 THEN 'vendor/' WHEN doc_id % 23 = 3 THEN '' ELSE 'pkg' || cast(doc_id % 7 AS varchar(20)) || '/' END"
 _NAME = f"CASE WHEN doc_id % 41 = 5 THEN 'test_mod' WHEN doc_id % 43 = 5 THEN 'zz_generated_' WHEN doc_id % 19 = 5 THEN 'parse_helper' WHEN doc_id % 47 = 5 THEN 'spec_' ELSE 'mod' END || {_ID}"
 
-#: (repo, path, ext, content), one row for each document.
+_STEPS = [f"    step{i} = {i}" for i in range(12)]
+_EXT = _case("doc_id % 17", [f"'{e}'" for e in EXTS], "''")
+#: Ids, path, extension, content.
+_MORE = [
+    ("doc_id % 11 = 2", f"{_FOLDER} || 'test_' || {_NAME} || {_EXT}", _EXT, _rows("x = 1")),
+    ("doc_id % 13 = 3", f"{_FOLDER} || 'tests/' || {_NAME} || {_EXT}", _EXT, _rows("x = 1")),
+    ("doc_id % 19 = 7", f"'tests/' || {_NAME} || '_test' || {_EXT}", _EXT, _rows("x = 1")),
+    ("doc_id % 3 = 0", f"'use/u' || {_ID} || '.py'", "'.py'", f"CASE WHEN doc_id % 9 = 0 THEN {_rows('from django.conf import settings')} ELSE '' END || " + _rows("import hub", "def use_{id}(a):", *_STEPS)),
+    ("doc_id % 17 = 6 AND doc_id % 2 = 0", f"'crate' || {_ID} || '/mod.rs'", "'.rs'", _rows(*(f"pub mod part{i};" for i in range(12)))),
+    ("doc_id % 17 = 6 AND doc_id % 2 = 1", f"'crate' || {_ID} || '/lib.rs'", "'.rs'", _rows(*(f"pub use part{i}::X;" for i in range(12)))),
+    ("doc_id % 17 = 0 AND doc_id % 5 = 0", f"'util' || {_ID} || '/utils.py'", "'.py'", _rows("def parse_{id}(a):", *_STEPS)),
+    ("doc_id % 17 = 0 AND doc_id % 5 = 1", f"'const' || {_ID} || '/limits.py'", "'.py'", _rows(*(f"LIMIT_{i} = {i}" for i in range(12)), "def f():", "    pass")),
+    ("doc_id % 17 = 0 AND doc_id % 5 = 2", f"'wrap' || {_ID} || '/wrap.py'", "'.py'", _rows("# This file was automatically generated by SWIG", "def wrap(a):", *_STEPS)),
+    ("doc_id % 17 = 0 AND doc_id % 5 = 3", f"'conf' || {_ID} || '/settings.py'", "'.py'", _rows("def f(a):", *_STEPS)),
+    ("doc_id % 17 = 0 AND doc_id % 5 = 4", f"'run' || {_ID} || '/main.py'", "'.py'", _rows("def f(a):", *_STEPS)),
+    ("doc_id % 17 = 0 AND doc_id % 7 = 1", f"'text' || {_ID} || '/texts.py'", "'.py'", _rows('HELP = """', *["words"] * 14, '"""', "def f():", "    return HELP")),
+    ("doc_id % 17 = 1 AND doc_id % 3 = 0", f"'types' || {_ID} || '/shape.d.ts'", "'.ts'", _rows("interface A {", *["  a: number;"] * 20, "}")),
+    ("doc_id % 17 = 1 AND doc_id % 3 = 1", f"'legal' || {_ID} || '/legal.js'", "'.js'", _rows(*["// Copyright A"] * 16, "function f() {", *["  x();"] * 8, "}")),
+    ("doc_id % 17 = 1 AND doc_id % 3 = 2", f"'bare' || {_ID} || '/bare.js'", "'.js'", _rows(*["call();"] * 12)),
+    ("doc_id % 17 = 5 AND doc_id % 2 = 1", f"'box' || {_ID} || '/box.go'", "'.go'", _rows("// Package box holds boxes.", "// More of it.", "package box", "func Open{id}(a int) int {", *["\tx = 1"] * 12, "}")),
+]
+_MORE_SQL = "".join(f"UNION ALL SELECT 'acme/repo' || cast(doc_id % 3 AS varchar(20)), {path}, {ext}, {content} FROM documents WHERE {ids}\n" for ids, path, ext, content in _MORE)
+
+#: (repo, path, ext, content), one row for each document and some more.
 SRC_SQL = f"""
 SELECT 'acme/repo' || cast(doc_id % 3 AS varchar(20)) AS repo, {_FOLDER} || {_NAME} || {_case('doc_id % 17', [f"'{e}'" for e in EXTS], "''")} AS path,
        {_case('doc_id % 17', [f"'{e}'" for e in EXTS], "''")} AS ext,
@@ -62,7 +87,8 @@ FROM documents
 UNION ALL SELECT 'acme/repo0', 'LICENSE', '', 'MIT License' || chr(10)
 UNION ALL SELECT 'acme/repo0', 'shared.py', '.py', 'def shared():' || chr(10) || repeat('    step = 1' || chr(10), 30)
 UNION ALL SELECT 'acme/repo1', 'docs/LICENSE', '', 'MIT License' || chr(10)
-"""
+UNION ALL SELECT 'acme/repo0', 'hub.py', '.py', 'def hub():' || chr(10) || repeat('    step = 1' || chr(10), 30)
+{_MORE_SQL}"""
 
 #: The same with physical lines; starts a WITH clause.
 SRC_CTE = f"""WITH RECURSIVE src0 AS ({SRC_SQL}),

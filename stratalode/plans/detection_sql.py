@@ -19,8 +19,8 @@ def _any(c: str, values: list[str]) -> str:
     return f"len(list_filter([{O._list(values)}], lambda v: contains({c}, v))) > 0"
 
 
-_KEPT = O.SQL["scan_filters"].split("WHERE", 1)[1]
-_GATE = O.SQL["hard_gates"].split("WHERE", 1)[1]
+_KEPT = _after(O.SQL["scan_filters"], SRC_CTE).split("WHERE", 1)[1]
+_GATE = _after(O.SQL["hard_gates"], SRC_CTE).split("WHERE", 1)[1]
 _SCORE = O.SQL["filename_score"].split("SELECT repo, path,", 2)[2].split("AS filename_score", 1)[0].replace("(s, p)", f"(lower({O.STEM}), p)").replace("WHEN s IN", f"WHEN lower({O.STEM}) IN").replace("contains(s,", f"contains(lower({O.STEM}),")
 _DOCS = _after(O.SQL["docstrings"], O.LINED).replace("marked", "hashed")
 _HITS = _after(O.SQL["sibling_resolution"], f"{O.LINED}, {O.RELATIVE}", "SELECT repo, path, coalesce(string_agg")
@@ -57,9 +57,15 @@ fans AS (SELECT py.repo, py.path, count(src) AS fan FROM py LEFT JOIN edges ON p
 siblings AS (SELECT repo, path, list(name ORDER BY pos) AS wanted_names, coalesce(list(target ORDER BY pos) FILTER (target IS NOT NULL), []) AS found, coalesce(list(name ORDER BY pos) FILTER (target IS NULL), []) AS missing FROM hit GROUP BY repo, path),
 project AS (SELECT DISTINCT repo, CASE WHEN len(cut) = 1 THEN stem ELSE cut[1] END AS module FROM py), rooted AS (SELECT read.repo, src AS path, count(*) AS n FROM read JOIN project ON read.repo = project.repo AND key = module WHERE NOT regexp_matches(line, '^\s*from\s+\.') GROUP BY 1, 2),
 weights AS (SELECT repo, path, max(w) AS weight, count(*) AS outside FROM weighed GROUP BY 1, 2),
-signals AS (SELECT fams.*, {O.LANG} AS language, CAST(logic.loc AS BIGINT) AS lines, CASE WHEN logic.loc < 20 AND NOT regexp_matches(content, '{_FUNCTION}') AND NOT regexp_matches(content, '{_CLASS}') THEN 'Under 20 LOC with no function/class definitions'
+signals AS (SELECT fams.*, {O.LANG} AS language, CAST(logic.loc AS BIGINT) AS lines, CASE WHEN ends_with(path, '/mod.rs') AND logic.loc <= 30 AND 2 * len(list_filter(ls, lambda x: regexp_matches(x, '^\s*pub (mod |\(crate\) mod )'))) >= logic.loc THEN 'Rust mod.rs with only module declarations'
+    WHEN ends_with(path, '/lib.rs') AND logic.loc <= 30 AND 2 * len(list_filter(ls, lambda x: regexp_matches(x, '^\s*pub (mod|use) '))) >= logic.loc THEN 'Rust lib.rs with only re-exports'
+    WHEN logic.loc < 20 AND NOT regexp_matches(content, '{_FUNCTION}') AND NOT regexp_matches(content, '{_CLASS}') THEN 'Under 20 LOC with no function/class definitions'
     WHEN ext = '.py' AND logic.loc <= 50 AND len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[A-Z_][A-Z_0-9]*\s*='))) >= logic.loc * 0.6 THEN 'Mostly constant definitions'
-    WHEN logic.loc <= 15 AND len(ls) <= 40 AND len(list_filter(ls[1:30], lambda x: regexp_matches(lower(x), 'copyright|licensed under|apache license|mit license|permission is hereby granted'))) >= 0.6 * len(ls) THEN 'Mostly copyright/license comments' END AS early,
+    WHEN ends_with(path, '.d.ts') THEN 'TypeScript declaration file (.d.ts)'
+    WHEN contains(left(content, 500), 'automatically generated by SWIG') THEN 'SWIG auto-generated file'
+    WHEN logic.loc <= 15 AND len(ls) <= 40 AND len(list_filter(ls[1:30], lambda x: regexp_matches(lower(x), 'copyright|licensed under|apache license|mit license|permission is hereby granted'))) >= 0.6 * len(ls) THEN 'Mostly copyright/license comments'
+    WHEN {O.NAME} IN ('conf.py', 'settings.py', 'config.py', 'settings_prod.py', 'settings_dev.py') THEN 'Configuration file'
+    WHEN ext = '.py' AND logic.loc > 10 AND 2 * list_sum(list_transform(regexp_extract_all(content, '(?ms)^\s*[A-Z][A-Z_]+\s*=\s*r?["]{{3}}.*?["]{{3}}'), lambda x: length(x) - length(replace(x, chr(10), '')))) >= logic.loc THEN 'Documentation-only file (string variables dominate)' END AS early,
     tested.path IS NOT NULL AS tests, docs.docstring AS doc, {_OWN} + coalesce(rooted.n, 0) AS internal, coalesce(outside, 0) AS outside, {_SCORE} AS fscore, array_to_string(ls[1:30], chr(10)) AS head, {_COMPLEXITY} AS cc,
     coalesce(fan, -1) AS fan, cycles.path IS NOT NULL AS cyclic, coalesce(weight, 0) AS weight, regexp_matches(content, '{'|'.join(K.PROJECT_REFS)}') AS refs, CASE fam {O._API} END AS names, comment_ratio AS ratio,
     coalesce(wanted_names, []) AS wanted_names, coalesce(found, []) AS found, coalesce(missing, []) AS missing, has_license AS licensed
@@ -97,21 +103,26 @@ _TAGS = "list_concat([" + O._map("language", K.LANGUAGE_TAGS) + ", " + ", ".join
     rf"list_filter(list_transform(string_split_regex(lower(docstring_snippet), '\s+'), lambda w: regexp_replace(w, '^[.,;:!?()\[\]{{}}'']+|[.,;:!?()\[\]{{}}'']+$', '', 'g')), lambda w: length(w) BETWEEN 4 AND 19 AND regexp_matches(w, '^\pL+$') AND w NOT IN ({O._list(list(K.TAG_NOISE))})))"
 )
 _CALLED = f"list_filter(list_transform(function_names, lambda n: lower(n)), lambda n: length(n) >= 4 AND n NOT IN ({O._list(list(K.QUERY_NOISE))}))[1:2]"
-#: Of the corpus's names, none of which is generic.
-NAMED = f"""{_SCORED}, tagged AS (SELECT *, list_filter({_TAGS}, lambda t: t IS NOT NULL) AS t, {_CALLED} AS called FROM scored), firsts AS (SELECT *, list_filter(t, lambda x, i: list_position(t, x) = i)[1:5] AS tags FROM tagged),
-named AS (SELECT *, regexp_replace(regexp_replace({_STEM}, '[^a-z0-9-]+', '-', 'g'), '^-|-$', '', 'g') AS package FROM firsts)"""
+_FOLDER = "regexp_extract(path, '([^/]*)/[^/]*$', 1)"
+_WORD = f"list_filter(function_names, lambda n: length(n) >= 3 AND NOT starts_with(n, '_') AND lower(n) NOT IN ({O._list(list(K.HINT_NOISE))}))[1]"
+_SLUG = "regexp_replace(regexp_replace({}, '[^a-z0-9-]+', '-', 'g'), '^-|-$', '', 'g')"
+#: The corpus's generic names stand in folders that tell something and don't repeat it.
+NAMED = f"""{_SCORED}, tagged AS (SELECT *, list_filter({_TAGS}, lambda t: t IS NOT NULL) AS t, {_CALLED} AS called, lower({O.STEM}) AS low FROM scored), firsts AS (SELECT *, list_filter(t, lambda x, i: list_position(t, x) = i)[1:5] AS tags FROM tagged),
+searched AS (SELECT * REPLACE (list_concat(CASE WHEN low IN ('util', 'utils', 'helper', 'helpers', 'common', 'lib', 'tool', 'tools', 'misc', 'mod', 'init', 'types', 'conf') THEN [] ELSE [{O.STEM}] END, called) AS called) FROM firsts),
+named AS (SELECT *, CASE WHEN len(called) = 0 THEN {O.STEM} ELSE array_to_string(called, ' ') END AS query, CASE WHEN low IN ('mod', 'lib') THEN {_SLUG.format(f'lower({_FOLDER})')}
+  WHEN low IN ({O._list(K.GENERIC_NAMES)}) AND {_FOLDER} <> '' THEN {_SLUG.format(f"lower({_FOLDER} || coalesce('-' || {_WORD}, ''))")} ELSE {_SLUG.format("regexp_replace(low, '[.]d$', '')")} END AS package FROM searched)"""
 _LISTS = ("function_names", "relative_imports", "sibling_paths", "missing_siblings", "why_extractable")
 SQL = {
     "detect_candidates": f"{DETECTED} SELECT * REPLACE (" + ", ".join(f"coalesce(array_to_string({c}, ','), '') AS {c}" for c in _LISTS) + ") FROM detected",
-    "scored_candidates": f"{NAMED} SELECT repo, path, skipped, round(combined_score, 6) AS combined_score, ship_effort_hours, package AS suggested_name, array_to_string(tags, ',') AS tags, array_to_string(list_concat([{O.STEM}], called), ' ') AS query FROM named",
-    "extract_plan": rf"""{NAMED}, picked AS (SELECT *, regexp_extract(path, '\.[^.]*$') AS e FROM named WHERE NOT skipped AND round(combined_score, 9) >= 4.0 ORDER BY round(combined_score, 9) DESC, repo, path LIMIT 5),
+    "scored_candidates": f"{NAMED} SELECT repo, path, skipped, round(combined_score, 6) AS combined_score, ship_effort_hours, package AS suggested_name, array_to_string(tags, ',') AS tags, query FROM named",
+    "extract_plan": rf"""{NAMED}, picked AS (SELECT *, regexp_extract(path, '\.[^.]*$') AS e FROM named WHERE NOT skipped AND combined_score >= 4.0 ORDER BY combined_score DESC, repo, path LIMIT 5),
         parts AS (SELECT repo, package, e, unnest(list_concat([path], sibling_paths)) AS p, unnest(generate_series(0, len(sibling_paths))) AS k FROM picked)
         SELECT repo, package, CASE WHEN e = '.py' THEN replace(package, '-', '_') || '/' WHEN e IN ('.ts', '.tsx', '.js', '.jsx', '.rs') THEN 'src/' ELSE '' END || CASE WHEN e = '.rs' AND k = 0 THEN 'lib.rs' ELSE regexp_extract(p, '[^/]*$') END AS rel_path FROM parts
         UNION ALL SELECT repo, package, unnest(list_concat(['README.md', 'LICENSE-REVIEW.md'], CASE e WHEN '.py' THEN ['pyproject.toml', replace(package, '-', '_') || '/__init__.py'] WHEN '.rs' THEN ['Cargo.toml'] WHEN '.go' THEN ['go.mod']
             ELSE CASE WHEN e IN ('.ts', '.tsx', '.js', '.jsx') THEN ['package.json', 'index.js'] ELSE [] END END)) FROM picked
         UNION ALL SELECT picked.repo, package, 'SOURCE-LICENSE' FROM picked JOIN src ON src.repo = picked.repo AND src.path = 'LICENSE'""",
-    "report_summary": f"""{_SCORED}, shown AS (SELECT *, NOT skipped AND round(combined_score, 9) >= 5.0 AS s FROM scored) SELECT repo, count(*) AS analyzed, CAST(count_if(s) AS BIGINT) AS shown, CAST(count_if(NOT skipped AND NOT s) AS BIGINT) AS hidden, CAST(count_if(skipped) AS BIGINT) AS skipped,
+    "report_summary": f"""{_SCORED}, shown AS (SELECT *, NOT skipped AND combined_score >= 5.0 AS s FROM scored) SELECT repo, count(*) AS analyzed, CAST(count_if(s) AS BIGINT) AS shown, CAST(count_if(NOT skipped AND NOT s) AS BIGINT) AS hidden, CAST(count_if(skipped) AS BIGINT) AS skipped,
         CAST(count_if(s AND extraction_type = 'single') AS BIGINT) AS single, CAST(count_if(s AND extraction_type = 'multi') AS BIGINT) AS multi, CAST(count_if(s AND extraction_type = 'blocked') AS BIGINT) AS blocked, CAST(coalesce(sum(loc) FILTER (s), 0) AS BIGINT) AS total_loc,
         round(coalesce(sum(complexity) FILTER (s), 0) / greatest(count_if(s), 1), 6) AS avg_complexity, CAST(count_if(s AND is_stdlib_only) AS BIGINT) AS stdlib_only, CAST(count_if(s AND NOT source_has_license) AS BIGINT) AS no_license FROM shown GROUP BY repo""",
-    "report_top": f"{_SCORED} SELECT repo, path, round(combined_score, 6) AS combined_score FROM scored WHERE NOT skipped ORDER BY round(combined_score, 9) DESC, repo, path LIMIT 10",
+    "report_top": f"{_SCORED} SELECT repo, path, round(combined_score, 6) AS combined_score FROM scored WHERE NOT skipped ORDER BY combined_score DESC, repo, path LIMIT 10",
 }

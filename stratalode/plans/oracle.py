@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stratalode.functions import constants as K
-from stratalode.plans import golden
+from stratalode.plans import fixture, golden
 from stratalode.plans.corpus import SRC_CTE
 from stratalode.plans.queries import ASOF, CCS, FANS, LOCS
 
@@ -100,7 +100,7 @@ def _cleaned(text: str) -> str:
     return rf"regexp_replace({out}, '(^|[^A-Za-z0-9])[a-f0-9]{{64,}}($|[^A-Za-z0-9])', '\1***REDACTED***\2', 'g')"
 
 
-_CLEAN = _cleaned("html")
+_CLEAN = _cleaned(f"(html || chr(10) || [{_list(fixture.TEXTS)}][page_id % {len(fixture.TEXTS)} + 1])")
 
 
 def _pick(values: list, by: int) -> str:
@@ -170,10 +170,11 @@ SQL = golden.SQL | {
     "public_api": f"{LINED}, named AS (SELECT repo, path, CASE fam {_API} END AS names FROM fams WHERE fam IS NOT NULL) SELECT repo, path, CAST(len(names) AS BIGINT) AS n, array_to_string(names, ',') AS names FROM named",
     "relative_imports": f"{LINED}, {RELATIVE} SELECT DISTINCT repo, path, name, level FROM relative",
     # in this corpus only Ruby files have documentation: the first run of marked lines among their first twenty
-    "docstrings": rf"""{LINED}, top AS (SELECT repo, path, fam, list_filter(ls[1:20], lambda x: NOT (starts_with(trim(x), '#') AND regexp_matches(x, 'frozen_string_literal|encoding:|coding:'))) AS t FROM fams WHERE fam IS NOT NULL),
+    "docstrings": rf"""{LINED}, top AS (SELECT repo, path, fam, content, list_filter(ls[1:20], lambda x: NOT (starts_with(trim(x), '#') AND regexp_matches(x, 'frozen_string_literal|encoding:|coding:'))) AS t FROM fams WHERE fam IS NOT NULL),
         marked AS (SELECT *, list_transform(t, lambda x: starts_with(trim(x), '#')) AS m FROM top), begun AS (SELECT *, coalesce(list_position(m, true), 0) AS i FROM marked),
         ended AS (SELECT *, coalesce(list_position(m[i:], false), 0) AS n FROM begun)
-        SELECT repo, path, CASE WHEN fam = 'ruby' AND i > 0 THEN regexp_replace(array_to_string((t[i:])[1:CASE WHEN n > 0 THEN n - 1 ELSE 20 END], chr(10)), '^\s+|\s+$', '', 'g') ELSE '' END AS docstring FROM ended""",
+        SELECT repo, path, CASE WHEN fam = 'ruby' AND i > 0 THEN regexp_replace(array_to_string((t[i:])[1:CASE WHEN n > 0 THEN n - 1 ELSE 20 END], chr(10)), '^\s+|\s+$', '', 'g')
+          WHEN fam = 'go' THEN rtrim(regexp_extract(content, '^((?://[^\n]*\n)+)package ', 1), chr(10)) ELSE '' END AS docstring FROM ended""",
     "sanitize_pages": f"SELECT page_id, CAST(length(c) AS BIGINT) AS n_chars, sha256(c) AS clean_sha256 FROM (SELECT page_id, {_CLEAN} AS c FROM pages)",
     "import_edges": f"{EDGES} SELECT repo, src, dst FROM edges",
     "fan_in": f"{EDGES} SELECT py.repo, py.path, count(src) AS fan_in FROM py LEFT JOIN edges ON py.repo = edges.repo AND py.path = edges.dst GROUP BY 1, 2",
