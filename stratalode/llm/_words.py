@@ -63,6 +63,17 @@ IS_WORD = np.ones(256, bool)
 IS_WORD[list(BLANKS)] = False
 
 
+#: Longer words are not kept from one step to the next: in scripts without blanks a word may be a whole paragraph.
+LONGEST = 64
+
+
+def forget_long(kept: dict, words: list) -> None:
+    """Removes words that were kept for one step alone, so that a table is bounded in bytes by its number of words."""
+    for w in words:
+        if len(w) > LONGEST:
+            del kept[w]
+
+
 @dataclass
 class Words:
     """Words of a column of texts: hash of each, and the first word of each text (one more at the end)."""

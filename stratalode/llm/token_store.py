@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalode.llm._shared import bound_batches, lean, shared_path, steps, written
-from stratalode.llm._words import IS_WORD, bounds, bytes_of, different
+from stratalode.llm._words import IS_WORD, bounds, bytes_of, different, forget_long
 
 MAGIC = b"IDSTORE1"
 HEAD, ENTRY = "<?qQI", "<IQI32s"  # of a document, of a chunk
@@ -121,6 +121,7 @@ class Words:
         if new := [w for w, x in zip(words, found, strict=True) if x is None]:
             self.learn(new)
             found = [*map(self.kept.__getitem__, words)]
+            forget_long(self.kept, new)
         flat = np.frombuffer(b"".join(found), f"<u{self.width}")
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
         # each word's ids, and one place after each text's last word
