@@ -31,7 +31,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 
 from stratalode.llm._shared import bound_batches, lean, steps
-from stratalode.llm._words import bytes_of, different
+from stratalode.llm._words import bytes_of, different, forget_long
 
 MODEL = "piece_bpe_32k.model"
 KEPT_WORDS = 400_000
@@ -181,6 +181,7 @@ class Merges:
         if new := [w for w, x in zip(words, found, strict=True) if x is None]:
             self.learn(new)
             found = [*map(self.kept.__getitem__, words)]
+            forget_long(self.kept, new)
         sums = np.concatenate([[0], np.cumsum(np.array(found, np.int64)[number])])
         own = np.cumsum([0, *(filled + np.diff(np.searchsorted(at, offsets)))])
         return sums[own[1:]] - sums[own[:-1]]
