@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from stratalode.llm._shared import bound_batches, lean, steps
+from stratalode.llm._words import forget_long
 
 #: Pieces that a worker keeps; the table starts anew when it is full.
 KEPT_PIECES = 300_000
@@ -76,7 +77,9 @@ class Codec:
         for p, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.kept[p] = np.array(e.ids, "<u4").tobytes()
         look_up = self.kept.__getitem__
-        return [b"".join(map(look_up, p)) for p in pieces]
+        coded = [b"".join(map(look_up, p)) for p in pieces]
+        forget_long(self.kept, new)
+        return coded
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.errors import PythonException
@@ -74,6 +75,21 @@ def test_round_trip_equals_encode_and_decode(spark):
     assert byte_bpe.round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("make", [
+    lambda: (c := byte_bpe.codec(P.path(byte_bpe.RANKS), P.PATTERN), lambda texts: c.encode(texts)),
+    lambda: (c := token_counts.merges(P.path(token_counts.MODEL)), lambda texts: c.count(pa.array(texts))),
+    lambda: (c := token_store.words_of(P.path(token_store.VOCABULARY)), lambda texts: c.encode(pa.array(texts), 2)),
+], ids=["byte_bpe", "token_counts", "token_store"])
+def test_kept_words_are_bounded_in_bytes(make):
+    """Paragraphs without blanks pass through, short words stay."""
+    coder, encode = make()
+    coder.kept.clear()
+    for i in range(40):
+        encode([f"{i}_{j}".replace("_", "x") + "長" * 340 + " word" + chr(97 + j % 26) for j in range(50)])
+    assert coder.kept and max(map(len, coder.kept)) <= 64
+    coder.kept.clear()
+
+
 def test_store_round_trip(spark):
     from tokenizers import Tokenizer
 
