@@ -36,7 +36,7 @@ from stratalode.llm._words import bounds, bytes_of, different, mix
 WINDOW, STRIDE = 48, 36
 WORD_SLOTS, GRAM_SLOTS, GRAMS = 1 << 16, 1 << 17, (3, 4, 5, 6)
 WIDTH, HIDDEN = 6, 8
-KEPT_WORDS = 150_000
+KEPT_WORDS, KEPT_BYTES = 150_000, 16 << 20
 #: Words whose grams are worked on at a time.
 MANY_WORDS = 20_000
 #: Bytes of text that are cut at a time, unless one text alone is longer.
@@ -269,6 +269,7 @@ class Reader:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.bytes = 0
         self.gates = [np.zeros((0, 3 * HIDDEN), np.float32) for _ in "fb"]
 
     def learn(self, new: list[bytes]) -> None:
@@ -281,10 +282,11 @@ class Reader:
             for g, m in zip(self.gates, more, strict=True):
                 g[at + i : at + i + len(m)] = m
         self.number.update(zip(new, range(at, end), strict=True))
+        self.bytes += sum(map(len, new))
 
     def score(self, texts: pa.Array) -> np.ndarray:
         ws, number, counts = cut_words(texts)
-        if len(self.number) > KEPT_WORDS:
+        if len(self.number) > KEPT_WORDS or self.bytes > KEPT_BYTES:
             self.clear()
         found = [*map(self.number.get, ws)]
         if new := [w for w, x in zip(ws, found, strict=True) if x is None]:
