@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalode.llm import byte_bpe, decontaminate, jaccard_join, substring_dedup, toxicity
-from stratalode.llm._shared import shared_path
+from stratalode.llm._shared import dropped, shared_path
 from stratalode.sources.tables import read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -68,11 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again."""
-    docs = read_table(spark, f"{sf_dir}/documents.parquet")
+    """All stages over documents; each stage's rows are written, read again, and removed once the next stage's are written."""
+    docs, before = read_table(spark, f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         kept = stage(spark, docs, sf_dir)
         path = shared_path(spark, name)
         kept.write.parquet(path)
+        dropped(*before)
         docs = spark.read.schema(kept.schema).parquet(path)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
