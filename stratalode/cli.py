@@ -46,6 +46,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--max-extract", type=int, default=5, help="packages to write")
     p.add_argument("--extract-min-score", type=float, default=6.0, help="score from which packages are written")
     p.add_argument("--scopes", help="scopes header of the token in use; one that may write is refused")
+    p.add_argument("--token-variable", default="SOURCE_HOST_TOKEN", metavar="NAME", help="environment variable of the token in use, which no message shows")
     p.add_argument("--master", default="local[*]")
     p.add_argument("--verbose", action="store_true", help="tell each step")
     p.add_argument("--debug", action="store_true", help="show where errors come from")
@@ -119,6 +120,12 @@ def run(a: argparse.Namespace) -> None:
     print(f"Report written: {a.output}" + (f"; best: {best['path']} ({best['combined_score']:.1f}/10)" if best else ""))
 
 
+def redacted(message: str, a: argparse.Namespace) -> str:
+    """A message without the token in it; the same rule as ``scan.redact``, where no session may be left to ask."""
+    token = os.environ.get(a.token_variable, "")
+    return message.replace(token, "***") if token else message
+
+
 def main(argv: list[str] | None = None) -> int:
     try:
         a = arguments(argv)
@@ -127,15 +134,15 @@ def main(argv: list[str] | None = None) -> int:
     try:
         run(a)
     except Failure as e:
-        print(f"Error: {e}", file=sys.stderr)
+        print(f"Error: {redacted(str(e), a)}", file=sys.stderr)
         return e.code
     except KeyboardInterrupt:
         print("Interrupted.", file=sys.stderr)
         return INTERRUPTED
     except Exception as e:  # the last place to tell it
-        print(f"Error: {e}", file=sys.stderr)
+        print(f"Error: {redacted(str(e), a)}", file=sys.stderr)
         if a.debug:
-            traceback.print_exc()
+            print(redacted(traceback.format_exc(), a), file=sys.stderr)
         return ERROR
     return 0
 

@@ -8,6 +8,7 @@ Python files and comments before Go declarations (``parsed``, an Arrow function)
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -355,42 +356,21 @@ def docstring(fam: Column, lines: Column, stripped: Column) -> Column:
 PARSED = "struct<names:array<string>,complexity:int,relative:array<struct<name:string,level:int>>,doc:string,err:string>"
 
 
-def _uncommented(line: str) -> str:
-    quote = ""
-    at = 0
-    while at < len(line):
-        ch = line[at]
-        if quote:
-            if ch == "\\" and at + 1 < len(line):
-                at += 1
-            elif ch == quote:
-                quote = ""
-        elif ch in "\"'":
-            quote = ch
-        elif ch == "#":
-            return line[:at]
-        at += 1
-    return line
+#: A line up to its comment: strings, closed or not, and whatever else is no ``#``.
+_CODE = re.compile(r"""(?:[^"'#]|"(?:\\.|[^"\\])*(?:"|\\?$)|'(?:\\.|[^'\\])*(?:'|\\?$))*""")
+#: A relative import: dots, module, and its names up to the end of the line, or in brackets up to a line that ends with one.
+_RELATIVE = re.compile(r"^[^\S\n]*from[^\S\n]+(\.+)([\w.]*)[^\S\n]+import[^\S\n]+(\((?s:.*?)\)[^\S\n]*$|\((?s:.*)\Z|[^(\s].*$)", re.M)
 
 
 def python_relative(content: str) -> list[tuple[str, int]]:
-    import re
-
-    rest = iter(content.splitlines())
-    found: dict[tuple[str, int], None] = {}
-    for line in rest:
-        m = re.match(r"\s*from\s+(\.+)([\w.]*)\s+import\s+(.+)$", _uncommented(line))
-        if not m:
-            continue
-        level, module, names = len(m[1]), m[2].split(".")[0] if m[2] else "", m[3].strip()
-        if names.startswith("(") and not names.endswith(")"):
-            for more in map(_uncommented, rest):  # a list in brackets goes on over lines
-                names += f" {more}"
-                if more.rstrip().endswith(")"):
-                    break
-        listed = [module] if module else [n.strip().split(" as ")[0].strip() for n in names.translate({40: 32, 41: 32}).split(",")]
-        found |= {(n, level): None for n in listed if n and (module or (n != "*" and n[0] != "."))}
-    return [*found]
+    """(module, or each name where only dots are said; number of dots) of relative imports, each once."""
+    code = "\n".join(_CODE.match(x)[0] for x in content.splitlines())
+    found: list[tuple[str, int]] = []
+    for dots, module, names in _RELATIVE.findall(code):
+        plain = [n.strip().partition(" as ")[0].strip() for n in re.sub("[()\n]", " ", re.sub(r"[^\S\n]*\n", " ", names, count=1)).split(",")]
+        said = [module.partition(".")[0]] if module else [n for n in plain if n != "*" and n[:1] not in ("", ".")]
+        found += [(n, len(dots)) for n in said]
+    return list(dict.fromkeys(found))
 
 
 def python_tree(content: str) -> tuple[list[str], int]:
@@ -414,8 +394,6 @@ def python_tree(content: str) -> tuple[list[str], int]:
 
 def go_doc(content: str) -> str:
     """The comment before ``package``, or else before the first exported declaration that has one."""
-    import re
-
     lines = content.splitlines()
     bare = [x.strip() for x in lines]
     package = next((i for i, s in enumerate(bare[:100]) if s.startswith("package ")), None)

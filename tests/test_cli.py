@@ -38,6 +38,10 @@ def test_exit_codes(spark, tmp_path, monkeypatch, capsys):
         monkeypatch.setattr(cli, "run", fail)
         assert cli.main([folder, "--repo", "o/r"]) == code
     assert "Error: odd" in capsys.readouterr().err
+    monkeypatch.setenv("MY_TOKEN", "od")
+    assert cli.main([folder, "--repo", "o/r", "--token-variable", "MY_TOKEN", "--debug"]) == cli.ERROR
+    said = capsys.readouterr().err
+    assert "Error: ***d" in said and "odd" not in said and "Traceback" in said
 
 
 def test_public_names():
