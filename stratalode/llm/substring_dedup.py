@@ -155,12 +155,13 @@ FACTORS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("b
 
 
 def factors_of(found: list[dict[str, int]], window: int) -> list[dict[str, int]]:
-    """Matches of a document -> its factors, each as long as its block goes on."""
+    """Matches of a document -> its factors, each as long as its block goes on. Rows that are repeated bring
+    a match more than once, and may cut a passage at other places; such matches lie inside a factor or go on from it."""
     out: list[dict[str, int]] = []
     for m in sorted(found, key=lambda m: m["place"]):
         start, n, block, at = m["place"] >> PLACE, m["place"] >> COUNT & 63, m["block"], m["block_place"] >> PLACE
-        if out and (last := out[-1])["block"] == block and start + window - 1 == last["start"] + last["length"] and start - last["start"] == at - last["block_start"]:
-            last["length"] += n
+        if out and (last := out[-1])["block"] == block and start + window - 1 <= last["start"] + last["length"] and start - last["start"] == at - last["block_start"]:
+            last["length"] = max(last["length"], start - last["start"] + n + window - 1)
         else:
             out.append({"start": start, "length": n + window - 1, "block": block, "block_start": at})
     return out

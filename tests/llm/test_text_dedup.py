@@ -145,3 +145,12 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()))
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {i: 100 for i in range(100, 161)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_copied_passage_of_repeated_rows_is_one_factor(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (2, " ".join(words)), (3, "own " + " ".join(words[20:280]) + " more")]
+    for parts in (1, 4):
+        found = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        got = sorted((r["doc_id"], [(f["start"], f["length"], f["block"], f["block_start"]) for f in r["factors"]]) for r in found)
+        assert got == [(1, []), (2, [(0, 300, 1, 0)]), (2, [(0, 300, 1, 0)]), (3, [(1, 260, 1, 20)])]
