@@ -1,6 +1,6 @@
 """Language rules as data, and the column expressions made from them.
 
-A ``Rules`` entry describes one family; ``RULES`` is the registry. Everything is
+A ``Rules`` entry describes one family; ``RULES`` is the registry, and ``register`` adds to it. Everything is
 expressed with built-in functions but for what needs a parser: the syntax tree of
 Python files and comments before Go declarations (``parsed``, an Arrow function).
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,6 +33,24 @@ class Rules:
     doc_open: tuple[str, ...] = ("/*",)
     starred: bool = False  # a line that starts with * continues a block comment
     preprocessor: bool = False
+    # Expressions of a family's own, where its patterns don't say it all; families without one get none of it.
+    #: lines -> modules that are imported, in order
+    imports: Callable[[Column], Column] | None = None
+    #: content -> array<struct<name, level>> of neighbours that are imported
+    relative: Callable[[Column], Column] | None = None
+    #: found names by pattern, content -> names of public declarations
+    names: Callable[[list[Column], Column], Column] | None = None
+    #: lines, stripped lines -> documentation
+    doc: Callable[[Column, Column], Column] | None = None
+    #: a line -> whether it imports from the project
+    internal: Callable[[Column], Column] | None = None
+    #: a module -> 0 for the standard library, 3 for a heavy one, else 1
+    weight: Callable[[Column], Column] | None = None
+    #: what a neighbour's name may be completed to, first choice first
+    siblings: tuple[str, ...] = ()
+    #: content -> any of names, complexity, relative, doc; ``parses`` says which
+    parse: Callable[[str], dict] | None = None
+    parses: tuple[str, ...] = ()
 
 
 IF, FOR, WHILE, CASE, CATCH = r"\bif\s*\(", r"\bfor\s*\(", r"\bwhile\s*\(", r"\bcase\s+", r"\bcatch\s*\("
@@ -93,6 +111,16 @@ RULES: dict[str, Rules] = {
 }
 
 
+def register(family: str, rules: Rules, languages: dict[str, str], tag: str = "") -> None:
+    """Adds a family, or replaces one: every operator knows its files from then on. ``languages`` are its extensions
+    and the language of each. Its functions must be ones that executors can import, or be given by value."""
+    RULES[family] = rules
+    for ext, language_name in languages.items():
+        K.LANGUAGE_BY_EXT[ext], K.FAMILY_BY_EXT[ext] = language_name, family
+        if tag:
+            K.LANGUAGE_TAGS[language_name] = tag
+
+
 def by_family(family: Column, make: Callable[[str, Rules], Column | None], otherwise: Column) -> Column:
     """A CASE over families; families without an expression of their own get ``otherwise``."""
     out = None
@@ -168,78 +196,128 @@ def first_part(c: Column, mark: str = ".") -> Column:
     return F.substring_index(c, mark, 1)
 
 
-def external_imports(fam: Column, lines: Column) -> Column:
-    """Modules that are imported, each once, in order."""
+def modules(found: Column, keep: Callable[[Column], Column], cut: Callable[[Column], Column]) -> Column:
+    """Modules that are kept, cut to the part that counts, each once, in order."""
+    kept = F.transform(F.filter(found, lambda m: (m != "") & keep(m)), lambda m: cut(m))
+    return F.array_distinct(F.filter(kept, lambda m: m != ""))
+
+
+def said(pattern: str, group: int = 1) -> Callable[[Column], Column]:
+    return lambda line: F.regexp_extract(line, U + pattern, group)
+
+
+def _always(m: Column) -> Column:
+    return F.lit(True)
+
+
+def _python_imports(lines: Column) -> Column:
+    named, plain = said(r"^\s*from\s+([\w.]+)\s+import"), said(r"^\s*import\s+([\w.]+)")
+    return modules(F.transform(lines, lambda x: F.when(x.rlike(U + r"^\s*from\s+\."), "").otherwise(F.coalesce(filled(named(x)), plain(x)))), _always, first_part)
+
+
+def _js_imports(lines: Column) -> Column:
+    return modules(F.transform(lines, said(r"""(?:from|require\()\s*['"]([\w@/\-]+)['"]""")), lambda m: ~m.startswith("/"), lambda m: first_part(F.regexp_replace(m, "^@+", ""), "/"))
+
+
+def _go_imports(lines: Column) -> Column:
+    return modules(F.transform(lines, said(r'^\s*(?:import\s+)?"([\w./\-]+)"')), lambda m: m.contains("/"), lambda m: m)
+
+
+def _rust_imports(lines: Column) -> Column:
+    used = said(r"^\s*use\s+([\w:]+)")
+    return modules(F.transform(lines, lambda x: F.when(x.rlike(U + r"^\s*use\s+(super|crate|self)::"), "").otherwise(used(x))), _always, lambda m: first_part(m, "::"))
+
+
+def _foreign(m: Column) -> Column:
+    return ~starts_any(m, K.JAVA_STDLIB_PREFIXES)
+
+
+def _java_imports(lines: Column) -> Column:
+    return modules(F.transform(lines, said(r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;")), _foreign, first_part)
+
 
-    def each(pattern: str, group: int = 1) -> Callable[[Column], Column]:
-        return lambda line: F.regexp_extract(line, U + pattern, group)
+def _kotlin_imports(lines: Column) -> Column:
+    return modules(F.transform(lines, said(r"^\s*import\s+([\w.]+)(?:\s+as\s+\w+)?\s*$")), lambda m: _foreign(m) & ~m.startswith("kotlin."), first_part)
 
-    def collect(found: Column, keep: Callable[[Column], Column], cut: Callable[[Column], Column]) -> Column:
-        kept = F.transform(F.filter(found, lambda m: (m != "") & keep(m)), lambda m: cut(m))
-        return F.array_distinct(F.filter(kept, lambda m: m != ""))
 
-    always = lambda m: F.lit(True)
-    python = F.transform(lines, lambda x: F.when(x.rlike(U + r"^\s*from\s+\."), "").otherwise(F.coalesce(filled(each(r"^\s*from\s+([\w.]+)\s+import")(x)), each(r"^\s*import\s+([\w.]+)")(x))))
-    c_quoted, c_angled = each(r'^\s*#include\s+"([^"]+)"'), each(r"^\s*#include\s+<([^>]+)>")
+def _c_imports(lines: Column) -> Column:
+    quoted, angled = said(r'^\s*#include\s+"([^"]+)"'), said(r"^\s*#include\s+<([^>]+)>")
     top = lambda m: first_part(first_part(m, "/"))
-    c_known = strings([*K.C_STDLIB, *K.CPP_STDLIB])
-    c_found = F.transform(lines, lambda x: F.coalesce(filled(top(c_quoted(x))), F.when(c_quoted(x) == "", F.when(F.array_contains(c_known, top(c_angled(x))), "").otherwise(top(c_angled(x)))), F.lit("")))
-    prefixes = lambda m: ~starts_any(m, K.JAVA_STDLIB_PREFIXES)
-    made = {
-        "python": collect(python, always, first_part),
-        "js": collect(F.transform(lines, each(r"""(?:from|require\()\s*['"]([\w@/\-]+)['"]""")), lambda m: ~m.startswith("/"), lambda m: first_part(F.regexp_replace(m, "^@+", ""), "/")),
-        "go": collect(F.transform(lines, each(r'^\s*(?:import\s+)?"([\w./\-]+)"')), lambda m: m.contains("/"), lambda m: m),
-        "rust": collect(F.transform(lines, lambda x: F.when(x.rlike(U + r"^\s*use\s+(super|crate|self)::"), "").otherwise(each(r"^\s*use\s+([\w:]+)")(x))), always, lambda m: first_part(m, "::")),
-        "java": collect(F.transform(lines, each(r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;")), prefixes, first_part),
-        "kotlin": collect(F.transform(lines, each(r"^\s*import\s+([\w.]+)(?:\s+as\s+\w+)?\s*$")), lambda m: prefixes(m) & ~m.startswith("kotlin."), first_part),
-        "c": collect(c_found, always, lambda m: m),
-        "csharp": collect(F.transform(lines, each(r"^\s*(?:global\s+)?using\s+(?:static\s+)?(?:(\w+)\s*=\s*)?([\w.]+)\s*;", 2)), lambda m: ~m.startswith("System") & (first_part(m) != "Microsoft"), first_part),
-        "ruby": collect(F.transform(lines, each(r"^\s*require\s+['\"]([^'\"]+)['\"]")), always, lambda m: first_part(m, "/")),
-        "php": collect(F.transform(lines, each(r"^\s*use\s+([\w\\]+)")), always, lambda m: first_part(F.regexp_replace(m, r"^\\+", ""), "\\")),
-        "swift": collect(F.transform(lines, each(r"^\s*import\s+(\w+)")), lambda m: ~F.array_contains(strings(K.SWIFT_STDLIB), m), lambda m: m),
-    }
-    return by_family(fam, lambda name, _: made[name], F.array().cast("array<string>"))
+    known = strings([*K.C_STDLIB, *K.CPP_STDLIB])
+    outside = lambda x: F.when(F.array_contains(known, top(angled(x))), "").otherwise(top(angled(x)))
+    return modules(F.transform(lines, lambda x: F.coalesce(filled(top(quoted(x))), F.when(quoted(x) == "", outside(x)), F.lit(""))), _always, lambda m: m)
 
 
-def relative_imports(fam: Column, content: Column) -> Column:
-    """array<struct<name, level>> of JavaScript and Rust; Python's come from ``parsed``."""
-    kind = "array<struct<name:string,level:int>>"
+def _csharp_imports(lines: Column) -> Column:
+    used = said(r"^\s*(?:global\s+)?using\s+(?:static\s+)?(?:(\w+)\s*=\s*)?([\w.]+)\s*;", 2)
+    return modules(F.transform(lines, used), lambda m: ~m.startswith("System") & (first_part(m) != "Microsoft"), first_part)
+
+
+def _ruby_imports(lines: Column) -> Column:
+    return modules(F.transform(lines, said(r"^\s*require\s+['\"]([^'\"]+)['\"]")), _always, lambda m: first_part(m, "/"))
+
+
+def _php_imports(lines: Column) -> Column:
+    return modules(F.transform(lines, said(r"^\s*use\s+([\w\\]+)")), _always, lambda m: first_part(F.regexp_replace(m, r"^\\+", ""), "\\"))
+
+
+def _swift_imports(lines: Column) -> Column:
+    return modules(F.transform(lines, said(r"^\s*import\s+(\w+)")), lambda m: ~F.array_contains(strings(K.SWIFT_STDLIB), m), lambda m: m)
+
+
+def external_imports(fam: Column, lines: Column) -> Column:
+    """Modules that are imported, each once, in order."""
+    return by_family(fam, lambda _, rules: rules.imports and rules.imports(lines), F.array().cast("array<string>"))
+
+
+NEIGHBOURS = "array<struct<name:string,level:int>>"
 
-    def js(path: Column) -> Column:
+
+def _js_relative(content: Column) -> Column:
+    def of(path: Column) -> Column:
         level = F.when(path.startswith("./"), 1).otherwise((F.length(path) - F.length(F.replace(path, F.lit("../"), F.lit("")))) / 3 + 1).cast("int")
         cut = F.split(F.regexp_replace(F.regexp_replace(path, r"^\.*/*", ""), "/+$", ""), "/")
         last = F.regexp_replace(F.element_at(cut, -1), r"\.(js|ts|jsx|tsx|mjs|cjs)$", "")
         named = F.when(last == "index", F.coalesce(F.get(cut, F.size(cut) - 2), F.lit(""))).otherwise(last)
         return F.struct(named.alias("name"), level.alias("level"))
 
-    found = F.transform(matches(content, U + r"""(?:from|require\()\s*['"](\.{1,2}/[\w./@\-~]+)['"]"""), js)
-    rust_at = U + r"^\s*use\s+(super|crate|self)(?:::([\w.]+))?"  # only at the very start of a file
-    word, inner = F.regexp_extract(content, rust_at, 1), first_part(F.regexp_extract(content, rust_at, 2))
-    rust = F.when(inner != "", F.array(F.struct(inner.alias("name"), F.when(word == "super", 2).otherwise(1).cast("int").alias("level")))).otherwise(F.array().cast(kind))
-    js_all = F.array_distinct(F.filter(found, lambda s: s["name"] != "")).cast(kind)
-    return F.when(fam == "js", js_all).when(fam == "rust", rust).otherwise(F.array().cast(kind))
+    found = F.transform(matches(content, U + r"""(?:from|require\()\s*['"](\.{1,2}/[\w./@\-~]+)['"]"""), of)
+    return F.array_distinct(F.filter(found, lambda s: s["name"] != "")).cast(NEIGHBOURS)
+
+
+def _rust_relative(content: Column) -> Column:
+    at = U + r"^\s*use\s+(super|crate|self)(?:::([\w.]+))?"  # only at the very start of a file
+    word, inner = F.regexp_extract(content, at, 1), first_part(F.regexp_extract(content, at, 2))
+    return F.when(inner != "", F.array(F.struct(inner.alias("name"), F.when(word == "super", 2).otherwise(1).cast("int").alias("level")))).otherwise(F.array().cast(NEIGHBOURS))
+
+
+def relative_imports(fam: Column, content: Column) -> Column:
+    """array<struct<name, level>> of families that need no parser for it."""
+    return by_family(fam, lambda _, rules: rules.relative and rules.relative(content), F.array().cast(NEIGHBOURS))
+
+
+def _but(*words: str) -> Callable[[Column], Column]:
+    return lambda names: F.filter(names, lambda n: ~n.isin(*words))
+
+
+def _c_names(found: list[Column], content: Column) -> Column:
+    kept = [_but("if", "for", "while", "switch", "return", "sizeof")(x) for x in found]
+    return F.concat(kept[0], F.array_distinct(F.array_except(kept[1], kept[0])))
+
+
+def _swift_names(found: list[Column], content: Column) -> Column:
+    named = lambda p: lambda m: F.regexp_extract(m, U + p, 1)
+    return F.concat(*(F.transform(F.filter(matches(content, UM + p, 0), lambda m: ~m.contains("private")), named(p)) for p in RULES["swift"].api))
 
 
 def public_api(fam: Column, content: Column) -> Column:
-    """Names of public declarations in order of the patterns; Python's come from ``parsed``."""
+    """Names of public declarations in order of the patterns, of families that need no parser for it."""
 
-    def of(name: str, rules: Rules) -> Column | None:
+    def of(_: str, rules: Rules) -> Column | None:
         if not rules.api:
             return None
         found = [matches(content, UM + p) for p in rules.api]
-        if name == "js":
-            return F.array_distinct(F.filter(found[0], lambda n: n != "default"))
-        if name == "java":
-            found[1] = F.filter(found[1], lambda n: ~n.isin("class", "interface", "enum"))
-        if name == "csharp":
-            found[1] = F.filter(found[1], lambda n: ~n.isin("class", "interface", "struct", "enum"))
-        if name == "c":
-            found = [F.filter(x, lambda n: ~n.isin("if", "for", "while", "switch", "return", "sizeof")) for x in found]
-            return F.concat(found[0], F.array_distinct(F.array_except(found[1], found[0])))
-        if name == "swift":
-            named = lambda p: lambda m: F.regexp_extract(m, U + p, 1)
-            found = [F.transform(F.filter(matches(content, UM + p, 0), lambda m: ~m.contains("private")), named(p)) for p in rules.api]
-        return F.concat(*found)
+        return rules.names(found, content) if rules.names else F.concat(*found)
 
     return by_family(fam, of, F.array().cast("array<string>"))
 
@@ -258,22 +336,17 @@ def complexity(fam: Column, content: Column) -> Column:
     return by_family(fam, of, F.lit(0))
 
 
-def internal_lines(fam: Column, lines: Column) -> Column:
-    """Lines that import from the project, of families that show it by themselves."""
+def _js_internal(x: Column) -> Column:
+    came = F.regexp_extract(x, U + r"""^\s*import\s+.*from\s+["']([\w./@\-~]+)""", 1)
+    scope = F.regexp_extract(came, "^@([^/]*)/", 1)
+    need = F.regexp_extract(x, U + r"""^\s*(?:const|let|var)\s+\w+\s*=\s*require\(["']([\w./@\-~]+)["']\)""", 1)
+    own = starts_any(came, [".", "/", "@/", "~/"]) | (came.rlike("^@.[^/]*/|^@/.*/") & ~F.array_contains(strings(K.EXTERNAL_SCOPES), scope))
+    return own | starts_any(need, [".", "@/", "~/"])
 
-    def js(x: Column) -> Column:
-        came = F.regexp_extract(x, U + r"""^\s*import\s+.*from\s+["']([\w./@\-~]+)""", 1)
-        scope = F.regexp_extract(came, "^@([^/]*)/", 1)
-        need = F.regexp_extract(x, U + r"""^\s*(?:const|let|var)\s+\w+\s*=\s*require\(["']([\w./@\-~]+)["']\)""", 1)
-        own = starts_any(came, [".", "/", "@/", "~/"]) | (came.rlike("^@.[^/]*/|^@/.*/") & ~F.array_contains(strings(K.EXTERNAL_SCOPES), scope))
-        return own | starts_any(need, [".", "@/", "~/"])
 
-    count = lambda test: F.size(F.filter(lines, test))
-    return (
-        F.when(fam == "js", count(js)).when(fam == "rust", count(lambda x: x.rlike(U + r"^\s*use\s+(crate|super|self)")))
-        .when(fam == "ruby", count(lambda x: x.rlike(U + r"^\s*require_relative\s+")))
-        .when(fam == "python", count(lambda x: x.rlike(U + r"^\s*from\s+\."))).otherwise(0)
-    )
+def internal_lines(fam: Column, lines: Column) -> Column:
+    """Lines that import from the project, of families that show it by themselves."""
+    return by_family(fam, lambda _, rules: rules.internal and F.size(F.filter(lines, rules.internal)), F.lit(0))
 
 
 def python_roots(lines: Column) -> Column:
@@ -282,73 +355,86 @@ def python_roots(lines: Column) -> Column:
     return F.transform(F.filter(found, lambda m: m != ""), lambda m: first_part(m))
 
 
+def _among_names(known: list[str], heavy: list[str]) -> Callable[[Column], Column]:
+    return lambda m: F.when(F.array_contains(strings(known), F.lower(m)), 0).when(F.array_contains(strings(heavy), F.lower(m)), 3).otherwise(1)
+
+
+def _go_weight(m: Column) -> Column:
+    return F.when(F.array_contains(strings(K.GO_STDLIB), first_part(F.lower(m), "/")), 0).when(contains_any(F.lower(m), K.GO_HEAVY), 3).otherwise(1)
+
+
 def dependency_weight(fam: Column, imports: Column) -> Column:
     """struct<weight, stdlib_only>: 0 for the standard library, 3 for heavy modules, else 1."""
+    weights = by_family(fam, lambda _, rules: rules.weight and F.transform(imports, rules.weight), F.transform(imports, lambda m: F.lit(1)))
+    return F.struct(F.coalesce(F.array_max(weights), F.lit(0)).cast("int").alias("weight"), F.forall(weights, lambda w: w == 0).alias("stdlib_only"))
 
-    def weigh(known: list[str], heavy: list[str]) -> Column:
-        return F.transform(imports, lambda m: F.when(F.array_contains(strings(known), F.lower(m)), 0).when(F.array_contains(strings(heavy), F.lower(m)), 3).otherwise(1))
 
-    go = F.transform(imports, lambda m: F.when(F.array_contains(strings(K.GO_STDLIB), first_part(F.lower(m), "/")), 0).when(contains_any(F.lower(m), K.GO_HEAVY), 3).otherwise(1))
-    weights = (
-        F.when(fam == "python", weigh(K.PYTHON_STDLIB, K.PYTHON_HEAVY)).when(fam == "js", weigh([""], K.JS_HEAVY)).when(fam == "go", go)
-        .when(fam == "rust", weigh(K.RUST_STDLIB, [""])).otherwise(F.transform(imports, lambda m: F.lit(1)))
-    )
-    return F.struct(F.coalesce(F.array_max(weights), F.lit(0)).cast("int").alias("weight"), F.forall(weights, lambda w: w == 0).alias("stdlib_only"))
+def _top(stripped: Column, skip: str, window: int) -> Column:
+    """How many lines at the top, among the first ``window``, match ``skip``."""
+    used = F.transform(F.slice(stripped, 1, window), lambda s: ~s.rlike(skip))
+    at = F.array_position(used, F.lit(True)).cast("int")
+    return F.when(at > 0, at - 1).otherwise(F.size(used))
 
 
-def docstring(fam: Column, lines: Column, stripped: Column) -> Column:
-    """The module's documentation or '', of families that need no parser."""
-
-    def start_of(skip: str, window: int) -> Column:
-        """Lines at the top, among the first ``window``, that match ``skip``."""
-        used = F.transform(F.slice(stripped, 1, window), lambda s: ~s.rlike(skip))
-        at = F.array_position(used, F.lit(True)).cast("int")
-        return F.when(at > 0, at - 1).otherwise(F.size(used))
-
-    def until(block: Column, last: Callable[[Column], Column]) -> Column:
-        """``block`` up to the first line that ends it, that one included."""
-        at = F.array_position(F.transform(block, last), F.lit(True)).cast("int")
-        return F.when(at > 0, F.slice(block, 1, F.greatest(at, F.lit(1)))).otherwise(block)
-
-    def joined(block: Column) -> Column:
-        return strip(F.array_join(block, "\n"))
-
-    def block_of(rules: Rules) -> Column:
-        at = start_of(rules.skip_before_doc, rules.doc_window)
-        opened = starts_any(F.coalesce(F.get(stripped, at), F.lit("")), rules.doc_open)
-        return F.when(opened, joined(until(F.slice(lines, at + 1, 30), lambda x: strip(x).endswith("*/")))).otherwise("")
-
-    def run_of(test: Callable[[Column], Column], window: int, skipped: Callable[[Column], Column] | None = None) -> Column:
-        """The first run of lines that pass, among the first ``window``."""
-        some = F.slice(lines, 1, window)
-        if skipped is not None:
-            some = F.filter(some, lambda x: ~skipped(strip(x)))
-        at = F.array_position(F.transform(some, lambda x: test(strip(x))), F.lit(True)).cast("int")
-        rest = F.slice(some, F.greatest(at, F.lit(1)), window)
-        end = F.array_position(F.transform(rest, lambda x: test(strip(x))), F.lit(False)).cast("int")
-        return F.when(at > 0, joined(F.slice(rest, 1, F.when(end > 0, end - 1).otherwise(window)))).otherwise("")
-
-    at = start_of("^$|^#|coding:|^from __future__|^import __future__", 10)
+def _until(block: Column, last: Callable[[Column], Column]) -> Column:
+    """``block`` up to the first line that ends it, that one included."""
+    at = F.array_position(F.transform(block, last), F.lit(True)).cast("int")
+    return F.when(at > 0, F.slice(block, 1, F.greatest(at, F.lit(1)))).otherwise(block)
+
+
+def _joined(block: Column) -> Column:
+    return strip(F.array_join(block, "\n"))
+
+
+def _block_doc(rules: Rules, lines: Column, stripped: Column) -> Column:
+    """A block comment at the top."""
+    at = _top(stripped, rules.skip_before_doc, rules.doc_window)
+    opened = starts_any(F.coalesce(F.get(stripped, at), F.lit("")), rules.doc_open)
+    return F.when(opened, _joined(_until(F.slice(lines, at + 1, 30), lambda x: strip(x).endswith("*/")))).otherwise("")
+
+
+def _run_doc(lines: Column, test: Callable[[Column], Column], window: int, skipped: Callable[[Column], Column] | None = None) -> Column:
+    """The first run of lines that pass, among the first ``window``."""
+    some = F.slice(lines, 1, window)
+    if skipped is not None:
+        some = F.filter(some, lambda x: ~skipped(strip(x)))
+    at = F.array_position(F.transform(some, lambda x: test(strip(x))), F.lit(True)).cast("int")
+    rest = F.slice(some, F.greatest(at, F.lit(1)), window)
+    end = F.array_position(F.transform(rest, lambda x: test(strip(x))), F.lit(False)).cast("int")
+    return F.when(at > 0, _joined(F.slice(rest, 1, F.when(end > 0, end - 1).otherwise(window)))).otherwise("")
+
+
+def _python_doc(lines: Column, stripped: Column) -> Column:
+    at = _top(stripped, "^$|^#|coding:|^from __future__|^import __future__", 10)
     opening = F.coalesce(F.get(stripped, at), F.lit(""))
     quote = F.when(opening.contains('"""'), F.lit('"""')).otherwise(F.lit("'''"))
     closed = F.length(opening) - F.length(F.replace(opening, quote, F.lit(""))) >= 6
-    rest = until(F.slice(lines, at + 2, 20), lambda x: x.contains(quote))
+    rest = _until(F.slice(lines, at + 2, 20), lambda x: x.contains(quote))
     first = F.regexp_replace(F.coalesce(F.get(lines, at), F.lit("")), "^\\s+", "")
-    python = F.when(~starts_any(opening, ['"""', "'''"]), "").when(closed, strip(first)).otherwise(joined(F.concat(F.array(first), rest)))
+    return F.when(~starts_any(opening, ['"""', "'''"]), "").when(closed, strip(first)).otherwise(_joined(F.concat(F.array(first), rest)))
+
+
+def _ruby_doc(lines: Column, stripped: Column) -> Column:
     begin = F.array_position(F.transform(F.slice(stripped, 1, 100), lambda s: s == "=begin"), F.lit(True)).cast("int")
-    ruby_block = F.when(begin > 0, joined(F.concat(F.array(F.element_at(lines, F.greatest(begin, F.lit(1)))), until(F.slice(lines, begin + 1, 29), lambda x: strip(x) == "=end")))).otherwise("")
-    ruby = F.coalesce(filled(run_of(lambda s: s.startswith("#"), 20, lambda s: s.startswith("#") & s.rlike("frozen_string_literal|encoding:|coding:"))), ruby_block)
-
-    def of(name: str, rules: Rules) -> Column | None:
-        if name == "python":
-            return python
-        if name == "rust":
-            return run_of(lambda s: starts_any(s, ["///", "//!"]), 30)
-        if name == "ruby":
-            return ruby
-        if name == "csharp":
-            return F.coalesce(filled(block_of(rules)), run_of(lambda s: s.startswith("///"), 30))
-        return block_of(rules) if rules.skip_before_doc else None
+    block = F.when(begin > 0, _joined(F.concat(F.array(F.element_at(lines, F.greatest(begin, F.lit(1)))), _until(F.slice(lines, begin + 1, 29), lambda x: strip(x) == "=end")))).otherwise("")
+    return F.coalesce(filled(_run_doc(lines, lambda s: s.startswith("#"), 20, lambda s: s.startswith("#") & s.rlike("frozen_string_literal|encoding:|coding:"))), block)
+
+
+def _rust_doc(lines: Column, stripped: Column) -> Column:
+    return _run_doc(lines, lambda s: starts_any(s, ["///", "//!"]), 30)
+
+
+def _csharp_doc(lines: Column, stripped: Column) -> Column:
+    return F.coalesce(filled(_block_doc(RULES["csharp"], lines, stripped)), _run_doc(lines, lambda s: s.startswith("///"), 30))
+
+
+def docstring(fam: Column, lines: Column, stripped: Column) -> Column:
+    """The module's documentation or '', of families that need no parser for it."""
+
+    def of(_: str, rules: Rules) -> Column | None:
+        if rules.doc:
+            return rules.doc(lines, stripped)
+        return _block_doc(rules, lines, stripped) if rules.skip_before_doc else None
 
     return by_family(fam, of, F.lit(""))
 
@@ -418,22 +504,66 @@ def go_doc(content: str) -> str:
     return ""
 
 
-def _parsed(fam: pd.Series, content: pd.Series) -> pd.DataFrame:
-    rows = []
-    for f, c in zip(fam, content, strict=True):
-        names, total, relative, doc, err = [], 0, [], "", None
-        try:
-            if f == "python" and c:
-                names, total = python_tree(c)
-                relative = [{"name": n, "level": k} for n, k in python_relative(c)]
-            elif f == "go" and c:
-                doc = go_doc(c)
-        except (ValueError, RecursionError, MemoryError) as e:  # of this one file: it is left out and counted
-            err = type(e).__name__
-        rows.append((names, total, relative, doc, err))
-    return pd.DataFrame(rows, columns=["names", "complexity", "relative", "doc", "err"])
+def _parse_python(content: str) -> dict:
+    names, total = python_tree(content)
+    return {"names": names, "complexity": total, "relative": [{"name": n, "level": k} for n, k in python_relative(content)]}
+
+
+def _parse_go(content: str) -> dict:
+    return {"doc": go_doc(content)}
+
+
+def by_parser(what: str = "") -> list[str]:
+    """Families whose parser gives ``what``, or anything."""
+    return [name for name, rules in RULES.items() if rules.parse and (not what or what in rules.parses)]
 
 
 def parsed(fam: Column, content: Column) -> Column:
-    """What needs a parser, of Python and Go files; others get empty values. ``err`` names what a file made fail."""
-    return F.pandas_udf(_parsed, PARSED)(fam, content)
+    """What needs a parser; others get empty values. ``err`` names what a file made fail."""
+    parsers = {name: RULES[name].parse for name in by_parser()}
+
+    def run(fam: pd.Series, content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for f, c in zip(fam, content, strict=True):
+            found, err = {}, None
+            try:
+                if c and f in parsers:
+                    found = parsers[f](c)
+            except (ValueError, RecursionError, MemoryError) as e:  # of this one file: it is left out and counted
+                err = type(e).__name__
+            rows.append((found.get("names", []), found.get("complexity", 0), found.get("relative", []), found.get("doc", ""), err))
+        return pd.DataFrame(rows, columns=["names", "complexity", "relative", "doc", "err"])
+
+    return F.pandas_udf(run, PARSED)(fam, content)
+
+
+def told(what: str, fam: Column, parsed: Column, otherwise: Column) -> Column:
+    """``what`` from the parser, of families whose parser gives it, else the expression."""
+    return F.when(fam.isin(by_parser(what)), parsed[what]).otherwise(otherwise)
+
+
+_JS_ENDS = (".ts", ".tsx", ".js", ".jsx")
+_OWN = {
+    "python": {
+        "imports": _python_imports, "doc": _python_doc, "internal": lambda x: x.rlike(U + r"^\s*from\s+\."), "weight": _among_names(K.PYTHON_STDLIB, K.PYTHON_HEAVY),
+        "siblings": ("{}.py", "{}/__init__.py"), "parse": _parse_python, "parses": ("names", "complexity", "relative"),
+    },
+    "js": {
+        "imports": _js_imports, "relative": _js_relative, "names": lambda found, content: F.array_distinct(_but("default")(found[0])), "internal": _js_internal, "weight": _among_names([""], K.JS_HEAVY),
+        "siblings": tuple(f"{{}}{mid}{e}" for mid in ("", "/index") for e in _JS_ENDS),
+    },
+    "go": {"imports": _go_imports, "weight": _go_weight, "parse": _parse_go, "parses": ("doc",)},
+    "rust": {
+        "imports": _rust_imports, "relative": _rust_relative, "doc": _rust_doc, "internal": lambda x: x.rlike(U + r"^\s*use\s+(crate|super|self)"), "weight": _among_names(K.RUST_STDLIB, [""]),
+        "siblings": ("{}.rs", "{}/mod.rs"),
+    },
+    "java": {"imports": _java_imports, "names": lambda found, content: F.concat(found[0], _but("class", "interface", "enum")(found[1]))},
+    "kotlin": {"imports": _kotlin_imports},
+    "c": {"imports": _c_imports, "names": _c_names},
+    "csharp": {"imports": _csharp_imports, "doc": _csharp_doc, "names": lambda found, content: F.concat(found[0], _but("class", "interface", "struct", "enum")(found[1]))},
+    "ruby": {"imports": _ruby_imports, "doc": _ruby_doc, "internal": lambda x: x.rlike(U + r"^\s*require_relative\s+")},
+    "php": {"imports": _php_imports},
+    "swift": {"imports": _swift_imports, "names": _swift_names},
+}
+for _family, _more in _OWN.items():
+    RULES[_family] = replace(RULES[_family], **_more)

@@ -126,14 +126,14 @@ def content_facts(contents: DataFrame) -> DataFrame:
     base = fenced(base, F.lit(True)).withColumn("shape", F.when(col("loc") >= 10, shape(col("ext"), col("content"), col("lines"), col("stripped"), col("loc"))))
     base = fenced(base, F.lit(True))
     worth = col("shape").isNotNull() & ~(col("shape.bare") | col("shape.constants") | col("shape.swig") | col("shape.legal") | col("shape.documentation"))
-    base = base.withColumn("parsed", L.parsed(fam, F.when(worth & fam.isin("python", "go"), col("content"))))
+    base = base.withColumn("parsed", L.parsed(fam, F.when(worth & fam.isin(L.by_parser()), col("content"))))
     signals = {
-        "doc": F.when(fam == "go", col("parsed.doc")).otherwise(L.docstring(fam, col("lines"), col("stripped"))),
+        "doc": L.told("doc", fam, col("parsed"), L.docstring(fam, col("lines"), col("stripped"))),
         "imports": L.external_imports(fam, col("lines")),
-        "relative": F.when(fam == "python", col("parsed.relative")).otherwise(L.relative_imports(fam, col("content"))),
+        "relative": L.told("relative", fam, col("parsed"), L.relative_imports(fam, col("content"))),
         "own_lines": L.internal_lines(fam, col("lines")), "roots": F.when(fam == "python", L.python_roots(col("lines"))).otherwise(F.array().cast("array<string>")),
-        "function_names": F.when(fam == "python", col("parsed.names")).otherwise(L.public_api(fam, col("content"))),
-        "cc": F.when(fam == "python", col("parsed.complexity")).otherwise(L.complexity(fam, col("content"))).cast("int"),
+        "function_names": L.told("names", fam, col("parsed"), L.public_api(fam, col("content"))),
+        "cc": L.told("complexity", fam, col("parsed"), L.complexity(fam, col("content"))).cast("int"),
         "refs": project_refs(col("content")), "ratio": L.comment_ratio(fam, col("stripped")), "first_lines": F.array_join(F.slice("lines", 1, 30), "\n"),
     }
     names = F.when(col("ext") == ".py", graph.import_names(col("content"))).alias("names")

@@ -6,16 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalode.functions import constants as K
+from stratalode.functions.languages import RULES
 from stratalode.functions.text import ancestors, in_folder, name, parent, parts, stem, suffix
 
-#: What a sibling's name may be completed to, first choice first.
-SIBLING_FORMS = {
-    "python": ["{}.py", "{}/__init__.py"],
-    "js": [f"{{}}{mid}{e}" for mid in ("", "/index") for e in (".ts", ".tsx", ".js", ".jsx")],
-    "rust": ["{}.rs", "{}/mod.rs"],
-}
-
-
 def sibling_paths(path: Column, fam: Column, sibling: Column, level: Column) -> Column:
     """Paths a relative import may mean, first choice first; empty above the root."""
     cut = parts(path)
@@ -23,7 +16,7 @@ def sibling_paths(path: Column, fam: Column, sibling: Column, level: Column) ->
     folder = F.when(depth > 0, F.array_join(F.slice(cut, 1, F.greatest(depth, F.lit(0))), "/")).otherwise("")
     none = F.array().cast("array<string>")
     out = None
-    for f, forms in SIBLING_FORMS.items():
+    for f, forms in ((f, rules.siblings) for f, rules in RULES.items() if rules.siblings):
         made = F.array(*(in_folder(folder, F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in (sibling, form[2:])))) for form in forms))
         out = F.when(fam == f, made) if out is None else out.when(fam == f, made)
     return F.when((depth <= 0) & (level > F.size(cut)), none).otherwise(out.otherwise(none))

@@ -80,7 +80,7 @@ def dependency_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of all families; only Python and Go contents go through a parser."""
     files = source_files(spark, sf_dir).withColumn("fam", L.family(F.col("ext"))).filter("fam IS NOT NULL")
-    return files.withColumn("p", L.parsed(F.col("fam"), F.when(F.col("fam").isin("python", "go"), F.col("content"))))
+    return files.withColumn("p", L.parsed(F.col("fam"), F.when(F.col("fam").isin(L.by_parser()), F.col("content"))))
 
 
 def public_api(spark: SparkSession, sf_dir: str) -> DataFrame:
