@@ -143,10 +143,12 @@ def _among(fam: Column, test: Callable[[Rules], bool]) -> Column:
     return fam.isin([name for name, rules in RULES.items() if test(rules)])
 
 
-def _counted(stripped: Column, outside: Callable[[Column], Column], opening: Callable[[Column], Column], inside: int) -> Column:
-    """Counts lines by a block-comment state that is carried from line to line: ``outside`` and
-    ``opening`` say if a line outside a block, or one that opens a block, counts; those inside
-    count ``inside``. Texts without a block need no state."""
+Test = Callable[[Column], Column]
+
+
+def _stated(stripped: Column, outside: Test, opening: Test, inside: int, start: Column) -> Column:
+    """struct<within, n>: after lines of a text that begin inside a block comment or not (``start``), whether
+    they end inside one, and how many of them count."""
 
     def step(acc: Column, s: Column) -> Column:
         closes = s.contains("*/")
@@ -155,8 +157,15 @@ def _counted(stripped: Column, outside: Callable[[Column], Column], opening: Cal
         add = F.when(s == "", False).when(acc["within"], bool(inside)).when(opens, opening(s)).otherwise(outside(s))
         return F.struct(within.alias("within"), (acc["n"] + add.cast("int")).cast("int").alias("n"))
 
-    stated = F.aggregate(stripped, F.struct(F.lit(False).alias("within"), F.lit(0).cast("int").alias("n")), step, lambda acc: acc["n"])
-    return F.when(F.exists(stripped, lambda s: s.contains("/*")), stated).otherwise(F.size(F.filter(stripped, lambda s: (s != "") & outside(s))))
+    return F.aggregate(stripped, F.struct(start.alias("within"), F.lit(0).cast("int").alias("n")), step)
+
+
+def _counted(stripped: Column, outside: Test, opening: Test, inside: int) -> Column:
+    """Counts lines by a block-comment state that is carried from line to line: ``outside`` and
+    ``opening`` say if a line outside a block, or one that opens a block, counts; those inside
+    count ``inside``. Texts without a block need no state."""
+    plain = F.size(F.filter(stripped, lambda s: (s != "") & outside(s)))
+    return F.when(F.exists(stripped, lambda s: s.contains("/*")), _stated(stripped, outside, opening, inside, F.lit(False))["n"]).otherwise(plain)
 
 
 def _comment(fam: Column) -> Callable[[Column], Column]:
@@ -170,20 +179,40 @@ def _starred(fam: Column) -> Callable[[Column], Column]:
     return lambda s: s.startswith("*") & starred & ~s.startswith("*/")
 
 
-def logical_loc(fam: Column, stripped: Column) -> Column:
-    """Lines that are neither blank nor comment, from an array of stripped lines."""
+def _code_lines(fam: Column) -> tuple[Test, Test]:
+    """Whether a line outside block comments, or one that opens one, is code."""
     comment, starred, preprocessor = _comment(fam), _starred(fam), _among(fam, lambda r: r.preprocessor)
 
     def opening(s: Column) -> Column:
         before = strip(F.substring_index(s, "/*", 1))
         return (before != "") & ~before.startswith("//")
 
-    def outside(s: Column) -> Column:
-        return (s.startswith("#") & preprocessor) | ~(starred(s) | (comment(s) & (F.length(s) > 2)))
+    return (lambda s: (s.startswith("#") & preprocessor) | ~(starred(s) | (comment(s) & (F.length(s) > 2)))), opening
+
 
+def logical_loc(fam: Column, stripped: Column) -> Column:
+    """Lines that are neither blank nor comment, from an array of stripped lines."""
+    outside, opening = _code_lines(fam)
     return F.when(_among(fam, lambda r: True), _counted(stripped, outside, opening, 0))
 
 
+def loc_passage(fam: Column, stripped: Column) -> Column:
+    """What some lines of a file do to its count, for either state they may begin in: struct<out, in>, each
+    struct<within, n>. Passages of a file, in order, give its count by ``joined_loc``."""
+    outside, opening = _code_lines(fam)
+    return F.struct(*(_stated(stripped, outside, opening, 0, F.lit(k == "in")).alias(k) for k in ("out", "in")))
+
+
+def joined_loc(passages: Column) -> Column:
+    """Lines of code of a file from the array of its passages in order."""
+
+    def step(acc: Column, p: Column) -> Column:
+        next_ = F.when(acc["within"], p["in"]).otherwise(p["out"])
+        return F.struct(next_["within"].alias("within"), (acc["n"] + next_["n"]).alias("n"))
+
+    return F.aggregate(passages, F.struct(F.lit(False).alias("within"), F.lit(0).cast("long").alias("n")), step, lambda acc: acc["n"])
+
+
 def comment_ratio(fam: Column, stripped: Column) -> Column:
     """Comment lines over all lines, 0 for no lines."""
     comment, starred = _comment(fam), _starred(fam)

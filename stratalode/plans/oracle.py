@@ -220,3 +220,4 @@ SQL = golden.SQL | {
     "license_lines": f"SELECT doc_id, len(list_filter(({LINES.replace('content', 'text')})[1:30], lambda x: regexp_matches(lower(x), 'copyright|licensed under|apache license|mit license|permission is hereby granted'))) AS n_legal, len({LINES.replace('content', 'text')}) AS n_lines FROM documents",
     "path_parts": f"{SRC_CTE} SELECT repo, path, {STEM} AS stem, {PARENT} AS parent FROM src",
 }
+SQL["chunked_loc"] = SQL["logical_loc"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalode.functions import languages as L
 from stratalode.functions.text import lines, parent, stem, strip
-from stratalode.operators import candidates, describe, extract, graph, naming, report, resolve, scan, scoring, search
+from stratalode.operators import candidates, chunks, describe, extract, graph, naming, report, resolve, scan, scoring, search
 from stratalode.plans import fixture_queries
 from stratalode.plans.corpus import source_files
 from stratalode.plans.fixture import TEXTS
@@ -60,6 +60,11 @@ def logical_loc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lined(spark, sf_dir).select("repo", "path", L.logical_loc(F.col("fam"), F.col("stripped")).alias("loc"))
 
 
+def chunked_loc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from files that are cut into rows of seven lines."""
+    return chunks.logical_loc(chunks.cut(source_files(spark, sf_dir), 7))
+
+
 def comment_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comment lines over all lines."""
     return _lined(spark, sf_dir).select("repo", "path", F.round(L.comment_ratio(F.col("fam"), F.col("stripped")), 6).alias("comment_ratio"))
@@ -295,7 +300,7 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = fixture_queries.QUERIES | {f.__name__: f for f in (
-    loc_by_language, primary_language, scan_filters, hard_gates, filename_score, license_present, logical_loc, comment_ratio, external_imports,
+    loc_by_language, primary_language, scan_filters, hard_gates, filename_score, license_present, logical_loc, chunked_loc, comment_ratio, external_imports,
     dependency_weight, public_api, complexity, relative_imports, python_metrics, docstrings, import_edges, fan_in, import_cycles, sibling_resolution,
     has_test, detect_candidates, scored_candidates, report_summary, report_top, extract_plan, fix_relative_imports, sanitize_pages, score_grid,
     similar_top5, demand_signal, repo_arg_parse, scope_check, license_lines, path_parts,

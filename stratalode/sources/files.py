@@ -54,26 +54,27 @@ class SourceTree(DataSource):
     """``spark.read.format("source_tree").load(folder)``: path, ext, size and content of the files of a checked-out
     repository that a scan may keep by their paths. ``folder`` is one that all machines see. Bytes that are no UTF-8
     are dropped; a file that can't be read has no row. With the option ``pushdown``, which asks for
-    spark.sql.python.filterPushdown.enabled, filters on ext and path choose what is read."""
+    spark.sql.python.filterPushdown.enabled, filters on ext and path choose what is read. With the option ``chunk_bytes``
+    a file comes as rows of about that many bytes, numbered by pos and cut where lines end."""
 
     @classmethod
     def name(cls) -> str:
         return "source_tree"
 
     def schema(self) -> str:
-        return "path string, ext string, size long, content string"
+        return "path string, ext string, size long, content string" + ", pos int" * ("chunk_bytes" in self.options)
 
     def reader(self, schema: object) -> SourceTreeReader:
         kind = FilteringReader if self.options.get("pushdown") == "true" else SourceTreeReader
-        return kind(self.options["path"].removeprefix("file://"))
+        return kind(self.options["path"].removeprefix("file://"), int(self.options.get("chunk_bytes", 0)))
 
 
 class SourceTreeReader(DataSourceReader):
     """The first ``FOLDERS`` folders, level by level, are a partition each with their own files; those below
     the last of them are listed by the partition they lie in. Only folders come to the driver."""
 
-    def __init__(self, root: str) -> None:
-        self.root = root
+    def __init__(self, root: str, chunk_bytes: int = 0) -> None:
+        self.root, self.chunk_bytes = root, chunk_bytes
         self.exts: set[str] | None = None
         self.prefix = ""
 
@@ -93,25 +94,40 @@ class SourceTreeReader(DataSourceReader):
             if part.deep:
                 todo += _below(self.root, folder)
 
+    def _pieces(self, path: str) -> Iterator[bytes]:
+        """A file's bytes, whole or in pieces that end with a line."""
+        with open(os.path.join(self.root, path), "rb") as f:
+            if not self.chunk_bytes:
+                yield f.read()
+                return
+            held, none = b"", True
+            while data := f.read(self.chunk_bytes):
+                held += data
+                if end := held.rfind(b"\n") + 1:
+                    yield held[:end]
+                    held, none = held[end:], False
+            if held or none:
+                yield held
+
     def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+        shape = _ROWS.append(pa.field("pos", pa.int32())) if self.chunk_bytes else _ROWS
         rows, held = [], 0
         for path in self._paths(partition):
             ext = os.path.splitext(path)[1].lower()
             if not path.startswith(self.prefix) or (self.exts is not None and ext not in self.exts):
                 continue
             try:
-                with open(os.path.join(self.root, path), "rb") as f:
-                    data = f.read()
+                for pos, data in enumerate(self._pieces(path)):
+                    text = data.decode(errors="ignore").replace("\r\n", "\n").replace("\r", "\n")
+                    rows.append({"path": path, "ext": ext, "size": len(data), "content": text, "pos": pos})
+                    held += len(data)
+                    if held >= AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(rows, shape)
+                        rows, held = [], 0
             except OSError:
                 continue
-            text = data.decode(errors="ignore").replace("\r\n", "\n").replace("\r", "\n")
-            rows.append({"path": path, "ext": ext, "size": len(data), "content": text})
-            held += len(data)
-            if held >= AT_ONCE:
-                yield pa.RecordBatch.from_pylist(rows, _ROWS)
-                rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, _ROWS)
+            yield pa.RecordBatch.from_pylist(rows, shape)
 
 
 class FilteringReader(SourceTreeReader):

@@ -8,7 +8,9 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from stratalode.operators import candidates, extract, scan
+from stratalode.functions import languages as L
+from stratalode.functions.text import lines, strip
+from stratalode.operators import candidates, chunks, extract, scan
 from stratalode.sources import files
 from stratalode.sources.files import FilteringReader, SourceTree, SourceTreeReader, from_directory, from_table
 
@@ -104,3 +106,20 @@ def test_scan_filter_agrees_with_the_reader(spark, tmp_path):
     kept = from_table(spark.createDataFrame([("r", p, "x") for p in paths], "repo string, path string, content string")).filter(scan.kept_path(F.col("path"), F.col("ext")))
     reader = SourceTreeReader(str(tmp_path))
     assert {r["path"] for r in kept.collect()} == {r["path"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()}
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1 << 20])
+def test_a_file_in_chunks_has_the_same_lines_of_code(spark, tmp_path, size):
+    """Blocks that go on over chunks, lines longer than a chunk, an empty file."""
+    texts = {"a.c": "int a; /* one\n\n two\n*/ int b;\n// x\n#define A\n" * 9, "b.js": "/* open\n" + "x();\n" * 30, "c.py": "#\n# comment\nx = 1\n\n" * 5 + "y = '" + "z" * 300 + "'", "d.go": "", "e.rs": "fn a() {}\n*/\n/*/\nfn b() {}\n"}
+    for path, text in texts.items():
+        (tmp_path / path).write_text(text)
+    spark.dataSource.register(SourceTree)
+    rows = spark.read.format("source_tree").option("chunk_bytes", size).load(str(tmp_path)).withColumn("repo", F.lit("r"))
+    whole = from_table(spark.createDataFrame([("r", p, t) for p, t in texts.items()], "repo string, path string, content string"))
+    fam, ls = L.family(F.col("ext")), F.transform(lines(F.col("content")), strip)
+    expected = {r["path"]: r["loc"] for r in whole.select("path", L.logical_loc(fam, ls).alias("loc")).collect()}
+    assert {r["path"]: r["loc"] for r in chunks.logical_loc(rows).collect()} == expected
+    assert {r["path"]: r["loc"] for r in chunks.logical_loc(chunks.cut(whole, 3)).collect()} == expected
+    longest = {p: max(map(len, t.split("\n"))) + 1 for p, t in texts.items()}
+    assert all(r["size"] <= size + longest[r["path"]] for r in rows.collect()) and rows.groupBy("path").agg(F.sum("size")).count() == 5
