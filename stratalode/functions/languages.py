@@ -13,6 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,6 +122,18 @@ def register(family: str, rules: Rules, languages: dict[str, str], tag: str = ""
             K.LANGUAGE_TAGS[language_name] = tag
 
 
+_made: dict[tuple, object] = {}
+
+
+def once(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` makes, kept for the Spark context and the registry as they are: expressions over all families take
+    thousands of calls to build, and don't change."""
+    key = (id(SparkContext._active_spark_context), name, *map(id, RULES.values()))
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
 def by_family(family: Column, make: Callable[[str, Rules], Column | None], otherwise: Column) -> Column:
     """A CASE over families; families without an expression of their own get ``otherwise``."""
     out = None

@@ -119,14 +119,17 @@ def content_facts(contents: DataFrame) -> DataFrame:
     """All that detection takes from a content: (digest, ext, gated, content) -> digest, ext, gated, the names that
     a Python file imports and, where ``gated`` and of ten lines or more, its signals. Only contents that no rule
     of their own passes over go through a parser."""
+    e = L.once("content_facts", _fact_expressions)
+    base = contents.withColumns(e["family"]).withColumns(e["stripped"]).withColumns(e["loc"])
+    base = fenced(fenced(base, F.lit(True)).withColumns(e["shape"]), F.lit(True)).withColumns(e["parsed"])
+    return base.select("digest", "ext", "gated", *e["facts"])
+
+
+def _fact_expressions() -> dict:
+    """The columns of ``content_facts``, step by step."""
     col = F.col
     fam, gated = col("fam"), col("gated")
-    base = contents.withColumns({"fam": L.family(col("ext")), "lines": F.when(gated, lines(col("content")))})
-    base = base.withColumn("stripped", F.transform("lines", strip)).withColumn("loc", F.when(gated, L.logical_loc(fam, col("stripped"))))
-    base = fenced(base, F.lit(True)).withColumn("shape", F.when(col("loc") >= 10, shape(col("ext"), col("content"), col("lines"), col("stripped"), col("loc"))))
-    base = fenced(base, F.lit(True))
     worth = col("shape").isNotNull() & ~(col("shape.bare") | col("shape.constants") | col("shape.swig") | col("shape.legal") | col("shape.documentation"))
-    base = base.withColumn("parsed", L.parsed(fam, F.when(worth & fam.isin(L.by_parser()), col("content"))))
     signals = {
         "doc": L.told("doc", fam, col("parsed"), L.docstring(fam, col("lines"), col("stripped"))),
         "imports": L.external_imports(fam, col("lines")),
@@ -137,7 +140,13 @@ def content_facts(contents: DataFrame) -> DataFrame:
         "refs": project_refs(col("content")), "ratio": L.comment_ratio(fam, col("stripped")), "first_lines": F.array_join(F.slice("lines", 1, 30), "\n"),
     }
     names = F.when(col("ext") == ".py", graph.import_names(col("content"))).alias("names")
-    return base.select("digest", "ext", "gated", names, "loc", "shape", col("parsed.err").alias("err"), *(F.when(worth, c).alias(n) for n, c in signals.items()))
+    return {
+        "family": {"fam": L.family(col("ext")), "lines": F.when(gated, lines(col("content")))}, "stripped": {"stripped": F.transform("lines", strip)},
+        "loc": {"loc": F.when(gated, L.logical_loc(fam, col("stripped")))},
+        "shape": {"shape": F.when(col("loc") >= 10, shape(col("ext"), col("content"), col("lines"), col("stripped"), col("loc")))},
+        "parsed": {"parsed": L.parsed(fam, F.when(worth & fam.isin(L.by_parser()), col("content")))},
+        "facts": [names, col("loc"), col("shape"), col("parsed.err").alias("err"), *(F.when(worth, c).alias(n) for n, c in signals.items())],
+    }
 
 
 def examine(files: DataFrame, has_license: DataFrame | None = None, whole: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -192,7 +201,7 @@ def judged(wanted: DataFrame, facts: DataFrame, keys: DataFrame, has_license: Da
     row = graph.cut_lineage(row.withColumn("skip_reason", gate).drop("roots", "own_lines", "tested", "missing", "relative"))
     active, blocked = col("skip_reason").isNull(), col("skip_reason").startswith("References missing")
     on = lambda value, otherwise: F.when(active, value).otherwise(otherwise)
-    weight = L.dependency_weight(fam, col("imports"))
+    weight = L.once("weight of imports", lambda: L.dependency_weight(F.col("fam"), F.col("imports")))
     late = row.select(
         "repo", "path", "language", "loc", "has_tests", "has_docstring", "internal_imports", "external_imports", "filename_score",
         on(col("doc"), "").alias("docstring_snippet"), on(col("first_lines"), "").alias("first_lines"),
@@ -212,4 +221,4 @@ def judged(wanted: DataFrame, facts: DataFrame, keys: DataFrame, has_license: Da
     everything = late.unionByName(early.withColumns(none))
     licenses = scan.licenses(paths) if has_license is None else has_license
     out = everything.join(licenses, "repo", "left").withColumn("source_has_license", F.coalesce("has_license", F.lit(False))).drop("has_license")
-    return graph.cut_lineage(out).withColumn("why_extractable", F.when(col("skipped"), empty).otherwise(reasons())), errors
+    return graph.cut_lineage(out).withColumn("why_extractable", F.when(col("skipped"), empty).otherwise(L.once("reasons", reasons))), errors
