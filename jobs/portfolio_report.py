@@ -4,7 +4,7 @@
 
 DOCUMENTS is a Parquet table of source files (repo, path, content) or of documents, whose texts then
 stand for files. The job detects and scores candidates of every repository and writes Parquet tables
-under OUT, each partitioned by language and replaced by partition:
+under OUT, each partitioned by language; a run replaces the tables of the one before:
 
 * ``ranking``: a row for each active candidate, with its rank in its repository and what it scores;
 * ``summary``: a row for each repository, by its main language;
@@ -58,18 +58,20 @@ def run(spark: SparkSession, documents: str, out: str, config: dict) -> dict[str
         found, errors = candidates.examine(kept, scan.licenses(files))
         scored = cut_lineage(named(found))
         LOG.info("%d files made a parser fail", failed := errors.count())
-        replaced(report.placed(scored, least).select(RANKING), f"{out}/ranking", "language")
         main = scan.primary_language(files)
-        replaced(report.summary(scored, least).join(main, "repo"), f"{out}/summary", "language")
+        tables = {
+            "ranking": replaced(report.placed(scored, least).select(RANKING), f"{out}/ranking", "language", whole=True),
+            "summary": replaced(report.summary(scored, least).join(main, "repo"), f"{out}/summary", "language", whole=True),
+        }
         # contents are needed once more, for the line on what each card's file does
         cards = report.placed(scored, least).filter(F.col("rank") <= most).select("repo", "path")
         told = kept.select("repo", "path", "content").join(cards, ["repo", "path"], "left_semi").join(scored.select("repo", "path", "docstring_snippet"), ["repo", "path"])
         told = told.select("repo", "path", describe.described(F.col("docstring_snippet"), F.col("path"), F.col("content")).alias("what_it_does"))
         whole = scored.join(told, ["repo", "path"], "left").withColumn("what_it_does", F.coalesce("what_it_does", F.lit("")))
         pages = report.reports(whole, main, config["generated"], most, least)
-        replaced(pages.join(main, "repo"), f"{out}/reports", "language")
-    counts = {"read": read, "errors": failed} | {t: spark.read.parquet(f"{out}/{t}").count() for t in ("ranking", "summary", "reports")}
-    LOG.info("wrote %s", ", ".join(f"{out}/{t}: {counts[t]} rows" for t in ("ranking", "summary", "reports")))
+        tables["reports"] = replaced(pages.join(main, "repo"), f"{out}/reports", "language", whole=True)
+    counts = {"read": read, "errors": failed} | {name: t.count() for name, t in tables.items()}
+    LOG.info("wrote %s", ", ".join(f"{out}/{t}: {counts[t]} rows" for t in tables))
     return counts
 
 

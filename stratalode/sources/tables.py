@@ -63,9 +63,11 @@ def table_or_empty(spark: SparkSession, path: str, schema: StructType | str) ->
     return spark.createDataFrame([], schema)
 
 
-def replaced(df: DataFrame, path: str, by: str) -> None:
-    """Writes ``df`` to the table at ``path`` in place of the partitions that it has rows of."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+def replaced(df: DataFrame, path: str, by: str, whole: bool = False) -> DataFrame:
+    """Writes ``df`` to the table at ``path`` in place of the partitions that it has rows of, or of the ``whole`` table;
+    the table as it then stands."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static" if whole else "dynamic").partitionBy(by).parquet(path)
+    return table_or_empty(df.sparkSession, path, df.schema)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

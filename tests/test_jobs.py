@@ -48,6 +48,15 @@ def test_portfolio_of_small_repositories(spark, tmp_path):
     assert once == {t: rows(spark.read.parquet(f"{tmp_path}/out/{t}")) for t in once}
 
 
+def test_portfolio_without_candidates(spark, tmp_path):
+    """An empty table, and one that had candidates before and has none now."""
+    code = f"def slugify(a):\n{BODY}"
+    for name, table, ranked in (("one", [("a/x", "p/s.py", code)], 1), ("none", [("a/x", "README", "n")], 0), ("empty", [], 0)):
+        added(spark, f"{tmp_path}/{name}", table)
+        told = portfolio_report.run(spark, f"{tmp_path}/{name}", f"{tmp_path}/out", CONFIG)
+        assert (told["read"], told["ranking"], told["summary"], told["reports"]) == (len(table), ranked, ranked, min(len(table), 1))
+
+
 def detected(files):
     kept = candidates.detect(scan.scan_filter(files), scan.licenses(files))
     return rows(kept.select("repo", "path", "skipped", "skip_reason", "fan_in", "in_cycle", "has_tests", "loc", F.to_json("why_extractable")))
