@@ -19,7 +19,8 @@ Jaccard similarity is at least ``percent`` / 100.
     component need no more, so a group of copies costs rows in proportion to its size.
     Then every pair between components is a candidate: of keys with few nodes by a join,
     of the others in blocks of nodes, two blocks to a task, where a pair is filtered in
-    arrays and, of frequent keys that it shares, handed on under the smallest.
+    arrays and, of frequent keys that it shares, handed on under the smallest. Blocks of a key with more than
+    one hold nodes of like size, and only blocks whose sizes may fit are paired.
 
 Rows are dealt by hashes and pre-aggregated; each intermediate table goes as soon as what
 replaces it is written, but for two that the result is read from. Sets compare by 56-bit hashes of n-grams,
@@ -34,6 +35,7 @@ gives an empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -52,6 +54,8 @@ BLOCKS = 256
 #: Keys of up to FEW nodes are joined; others are compared in blocks of BLOCK nodes. Nodes know which
 #: keys of over HOT nodes they have, so a pair is handed on under one of those at most.
 FEW, HOT, BLOCK, CHUNK = 16, 32, 2048, 256
+#: More blocks than a class of sizes has.
+MANY_BLOCKS = 1 << 32
 RANGES, FINE, FINEST = 8, 64, 256
 
 
@@ -257,19 +261,35 @@ def _between(table: pa.Table, percent: int) -> pa.Table:
 
 def _across(placed: DataFrame, counts: DataFrame, many: DataFrame, nodes: DataFrame, percent: int, side: Callable[[str], list[Column]]) -> DataFrame:
     """placed (token, id, place, ranges, component), counts (token, m) of keys with nodes of two components
-    or more, many (placed of keys over FEW, blocks, hot) -> all candidates (a, b) between components."""
+    or more, many (placed of keys over FEW, large, hot) -> all candidates (a, b) between components."""
     few = placed.join(counts.filter(F.col("m") <= FEW).select("token"), "token")
     a = few.select("token", *side("a"), F.col("component").alias("part_a"))
     b = few.select("token", *side("b"), F.col("component").alias("part_b"))
     pairs = candidates(a.join(b, "token").filter("a < b AND part_a != part_b"), percent)
     mine = many.filter("hot").groupBy("id").agg(F.collect_set("token").alias("mine"))  # no more than its prefix
     rows = many.join(nodes.select("id", "fine"), "id").join(mine, "id", "left").withColumn("mine", F.coalesce("mine", F.array().cast("array<long>")))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    dealt = rows.select("token", "hot", "low", "high", "block", "id", "component", "place", "fine", "mine").groupBy("token", "low", "high")
+    dealt = _dealt(rows, percent).select("token", "hot", "low", "high", "block", "id", "component", "place", "fine", "mine").groupBy("token", "low", "high")
     return pairs.unionByName(dealt.applyInArrow(lambda t: _between(t, percent), "a long, b long")).distinct()
 
 
+def _dealt(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, id, place, large, ...) of keys -> one for each pair of blocks (low, high) that a node is in (block).
+    Nodes of a ``large`` key, one of more than a block, are parted by the logarithm of their size, so that sizes that may
+    belong to similar sets lie in one class or in neighbours; blocks of other classes never meet."""
+    step = math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-6
+    size = F.shiftright("place", 32)
+    rows = rows.withColumn("class", F.when(F.col("large"), F.floor(F.log(size.cast("double")) / step)).otherwise(0).cast("long"))
+    counts = rows.groupBy("token", "class").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    met = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
+    others = counts.select("token", met.alias("class"), F.struct("class", "blocks").alias("met")).groupBy("token", "class").agg(F.collect_list("met").alias("met"))
+    placed = rows.join(counts.join(others, ["token", "class"]), ["token", "class"])
+    code = lambda c, block: (c * MANY_BLOCKS + block).cast("long")
+    placed = placed.withColumn("block", code(F.col("class"), F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    every = F.flatten(F.transform("met", lambda m: F.transform(F.sequence(F.lit(0).cast("long"), m["blocks"] - 1), lambda j: code(m["class"], j))))
+    placed = placed.withColumn("other", F.explode(every))
+    return placed.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+
 def _linked(keys: DataFrame, judge: Judge) -> DataFrame:
     """keys (token, id, place, ranges) -> (node, component) for all ids that have a link. Removes ``keys``."""
     row = F.struct("id", "place", "ranges")
@@ -282,8 +302,8 @@ def _linked(keys: DataFrame, judge: Judge) -> DataFrame:
     dropped(keys)
     counts = placed.groupBy("token").agg(F.count("*").alias("m"), (F.min("component") != F.max("component")).alias("open"))
     counts = written(counts.filter("open").select("token", "m"), "open", narrow=True)
-    blocks = counts.filter(F.col("m") > FEW).select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), (F.col("m") > HOT).alias("hot"))
-    many = written(placed.join(blocks, "token"), "many")
+    common = counts.filter(F.col("m") > FEW).select("token", (F.col("m") > BLOCK).alias("large"), (F.col("m") > HOT).alias("hot"))
+    many = written(placed.join(common, "token"), "many")
     last = judge.links(_across(placed, counts, many, judge.nodes, judge.percent, side))
     dropped(placed, many, counts)
     judge.close()

@@ -154,3 +154,42 @@ def test_a_copied_passage_of_repeated_rows_is_one_factor(spark):
         found = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
         got = sorted((r["doc_id"], [(f["start"], f["length"], f["block"], f["block_start"]) for f in r["factors"]]) for r in found)
         assert got == [(1, []), (2, [(0, 300, 1, 0)]), (2, [(0, 300, 1, 0)]), (3, [(1, 260, 1, 20)])]
+
+
+def test_blocks_of_a_hot_key_meet_by_size(spark, monkeypatch):
+    """A key that all nodes have: every pair whose sizes may fit meets once, and rows are far fewer than nodes times blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    sizes = [int(5 * 1.01**i) + 1 for i in range(600)]
+    rows = spark.createDataFrame([(7, i, n << 32, True) for i, n in enumerate(sizes)], "token long, id long, place long, large boolean")
+    dealt = jaccard_join._dealt(rows, 80).select("low", "high", "block", "id").collect()
+    tasks: dict[tuple, list[tuple]] = {}
+    for r in dealt:
+        tasks.setdefault((r["low"], r["high"]), []).append((r["block"], r["id"]))
+    met = [frozenset((a, b)) for (low, high), xs in tasks.items() for block, a in xs for other, b in xs if a < b and (low == high or block != other)]
+    assert len(met) == len(set(met))
+    assert {frozenset((a, b)) for a in range(600) for b in range(a) if 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b])} <= set(met)
+    assert len(dealt) < 0.4 * 600 * (600 // 16)
+    assert max(len(x) for x in tasks.values()) < 80
+
+
+def test_a_hot_shingle_in_blocks_equals_brute_force(spark, monkeypatch):
+    for name, value in (("FEW", 2), ("HOT", 3), ("BLOCK", 4)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(4)
+    hot = [f"h{i}" for i in range(5)]
+    base = [[f"b{k}w{i}" for i in range(rng.choice([6, 12, 40, 41]))] for k in range(8)]
+    texts = []
+    for i in range(60):
+        words = list(base[i % 8])
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(999)}"
+        texts.append((i, " ".join(hot + words)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts for w in [t.split()]}
+    least = {i: i for i in sets}
+    while True:
+        new = {a: min(least[b] for b in sets if a == b or 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])) for a in sets}
+        if new == least:
+            break
+        least = new
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == least and len(set(least.values())) < 50
