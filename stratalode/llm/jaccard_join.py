@@ -276,18 +276,20 @@ def _dealt(rows: DataFrame, percent: int) -> DataFrame:
     """Rows (token, id, place, large, ...) of keys -> one for each pair of blocks (low, high) that a node is in (block).
     Nodes of a ``large`` key, one of more than a block, are parted by the logarithm of their size, so that sizes that may
     belong to similar sets lie in one class or in neighbours; blocks of other classes never meet."""
+    one = F.lit(0).cast("long")
+    alone = rows.filter("NOT large").select("*", *(one.alias(c) for c in ("block", "low", "high")))
     step = math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-6
-    size = F.shiftright("place", 32)
-    rows = rows.withColumn("class", F.when(F.col("large"), F.floor(F.log(size.cast("double")) / step)).otherwise(0).cast("long"))
+    size = F.shiftright("place", 32).cast("double")
+    rows = rows.filter("large").withColumn("class", F.floor(F.log(size) / step).cast("long"))
     counts = rows.groupBy("token", "class").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     met = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
     others = counts.select("token", met.alias("class"), F.struct("class", "blocks").alias("met")).groupBy("token", "class").agg(F.collect_list("met").alias("met"))
-    placed = rows.join(counts.join(others, ["token", "class"]), ["token", "class"])
+    placed = salted_left_join(rows, counts.join(others, ["token", "class"]), ["token", "class"], "id")
     code = lambda c, block: (c * MANY_BLOCKS + block).cast("long")
     placed = placed.withColumn("block", code(F.col("class"), F.pmod(F.xxhash64("id"), F.col("blocks"))))
     every = F.flatten(F.transform("met", lambda m: F.transform(F.sequence(F.lit(0).cast("long"), m["blocks"] - 1), lambda j: code(m["class"], j))))
-    placed = placed.withColumn("other", F.explode(every))
-    return placed.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    placed = placed.withColumn("other", F.explode(every)).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    return alone.unionByName(placed.select(alone.columns))
 
 
 def _linked(keys: DataFrame, judge: Judge) -> DataFrame:
