@@ -71,7 +71,7 @@ def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
-def _trim() -> None:
+def trim() -> None:
     """Gives freed memory back to the system; Python workers stay alive between tasks."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -86,7 +86,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            _trim()
+            trim()
 
     return held
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalode.llm._shared import bound_batches, lean, steps
+from stratalode.llm._shared import bound_batches, lean, steps, trim
 from stratalode.llm._words import bounds, bytes_of, different, mix
 
 WINDOW, STRIDE = 48, 36
@@ -318,7 +318,10 @@ def train_on(
     picked = F.broadcast(drawn[0].unionByName(drawn[1]))  # so many rows at most
     rows = texts.join(picked, "id").groupBy("id", "label").agg(F.min("text").alias("text")).collect()  # as many
     rows = sorted(rows, key=lambda r: (r["id"], r["label"]))
-    return train([r["text"] for r in rows], [r["label"] for r in rows])
+    model = train([r["text"] for r in rows], [r["label"] for r in rows])
+    del rows
+    trim()  # some 100 MB of the driver's
+    return model
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
