@@ -60,9 +60,10 @@ def linked(named: DataFrame, paths: DataFrame) -> ImportGraph:
     return ImportGraph(cut_lineage(hops), cut_lineage(members), cut_lineage(near))
 
 
-def import_graph(files: DataFrame, paths: DataFrame | None = None) -> ImportGraph:
-    """The graph of files with contents; ``paths`` (repo, path, ext) may stand for them where only names are looked at."""
-    return linked(files.filter("ext = '.py'").select("repo", "path", import_names(F.col("content")).alias("names")), files if paths is None else paths)
+def import_graph(files: DataFrame) -> ImportGraph:
+    """The graph of files with contents, which are read once."""
+    read = cut_lineage(files.select("repo", "path", "ext", F.when(F.col("ext") == ".py", import_names(F.col("content"))).alias("names")))
+    return linked(read.filter(F.size("names") > 0), read)
 
 
 def import_edges(graph: ImportGraph) -> DataFrame:
