@@ -42,7 +42,7 @@ def named(found: DataFrame) -> DataFrame:
     """Candidates with scores, names and tags."""
     path, doc, names = F.col("path"), F.col("docstring_snippet"), F.col("function_names")
     return scoring.score(found).withColumns({
-        "suggested_name": naming.suggest_name(path, doc, names), "suggested_tags": naming.suggest_tags(path, F.col("language"), doc),
+        "suggested_name": naming.suggest_name(path, doc, names, F.col("skipped")), "suggested_tags": naming.suggest_tags(path, F.col("language"), doc),
         "query": naming.search_query(path, doc, names, F.col("first_lines")),
     })
 

@@ -19,7 +19,9 @@ def hint(doc: Column, functions: Column) -> Column:
     return F.lower(F.coalesce(F.get(named, F.lit(0)), F.get(said, F.lit(0)), F.lit("")))
 
 
-def suggest_name(path: Column, doc: Column, functions: Column) -> Column:
+def suggest_name(path: Column, doc: Column, functions: Column, passed_over: Column | None = None) -> Column:
+    """A package's name. Of files that were ``passed_over`` no documentation and no functions are known; where their
+    folder tells nothing either they keep their own name."""
     s, folder = stem(path), name(parent(path))
     neutral = strings(K.NEUTRAL_DIRS)
     plain = (folder != "") & ~F.array_contains(neutral, folder)
@@ -32,8 +34,10 @@ def suggest_name(path: Column, doc: Column, functions: Column) -> Column:
     told = slug(folder)
     repeats = (slug(word) != "") & (told != "") & ((F.substring_index(told, "-", -1) == slug(word)) | (told == slug(word)) | told.endswith(F.concat(F.lit("-"), slug(word))))
     fallback = F.lit("extracted-utility")
-    generic = F.when(plain, F.when((word != "") & ~repeats, slug(F.concat(folder, F.lit("-"), word))).otherwise(told)).when(word != "", slug(word)).otherwise(fallback)
-    usual = F.when(~F.array_contains(strings(K.GENERIC_NAMES), F.lower(typed)), F.coalesce(filled(slug(kebab)), fallback)).otherwise(generic)
+    own = F.coalesce(filled(slug(kebab)), fallback)
+    last = fallback if passed_over is None else F.when(passed_over, own).otherwise(fallback)
+    generic = F.when(plain, F.when((word != "") & ~repeats, slug(F.concat(folder, F.lit("-"), word))).otherwise(told)).when(word != "", slug(word)).otherwise(last)
+    usual = F.when(~F.array_contains(strings(K.GENERIC_NAMES), F.lower(typed)), own).otherwise(generic)
     return F.when(s.isin("mod", "lib") & plain, told).when(s.isin("mod", "lib") & outer.isNotNull(), slug(outer)).otherwise(usual)
 
 
