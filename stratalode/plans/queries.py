@@ -165,7 +165,7 @@ def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with score, effort, name, tags and search words."""
     scored = scoring.score(_candidates(spark, sf_dir))
     path, doc, names = F.col("path"), F.col("docstring_snippet"), F.col("function_names")
-    return scored.select("repo", "path", "skipped", F.round("combined_score", 6).alias("combined_score"), "ship_effort_hours", naming.suggest_name(path, doc, names).alias("suggested_name"), F.array_join(naming.suggest_tags(path, F.col("language"), doc), ",").alias("tags"), naming.search_query(path, doc, names, F.col("first_lines")).alias("query"))
+    return scored.select("repo", "path", "skipped", F.round("combined_score", 6).alias("combined_score"), "ship_effort_hours", naming.suggest_name(path, doc, names, F.col("skipped")).alias("suggested_name"), F.array_join(naming.suggest_tags(path, F.col("language"), doc), ",").alias("tags"), naming.search_query(path, doc, names, F.col("first_lines")).alias("query"))
 
 
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

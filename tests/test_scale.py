@@ -17,7 +17,7 @@ def hub(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["job2_watch_repositories"])
+@pytest.mark.parametrize("name", ["scored_candidates", "job2_watch_repositories"])
 def test_a_hub_that_is_passed_over_is_named_as_in_sql(spark, hub, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{hub}/documents.parquet/*.parquet')")
