@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratalode.functions import constants as K
 from stratalode.functions.languages import RULES
 from stratalode.functions.text import ancestors, in_folder, name, parent, parts, stem, suffix
+from stratalode.sources.tables import cut_lineage
 
 def sibling_paths(path: Column, fam: Column, sibling: Column, level: Column) -> Column:
     """Paths a relative import may mean, first choice first; empty above the root."""
@@ -42,20 +43,45 @@ def resolve_siblings(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 def tested(files: DataFrame) -> DataFrame:
     """(repo, path) of files that have a test: one beside the file, or one in a test folder of the file's
-    own folder or of one above it. Folder and name are join keys, so namesakes elsewhere never meet."""
-    path = F.col("path")
-    s, e = stem(path), suffix(path)
-    bare = F.array(F.concat(F.lit("test_"), s, e), F.concat(s, F.lit("_test"), e), F.concat(s, F.lit("Test"), e), F.concat(s, F.lit(".test"), e), F.concat(s, F.lit(".spec"), e))
+    own folder or of one above it. Folder and name are join keys, so namesakes elsewhere never meet.
+
+    A file's name says what it may be a test of, so a file travels once for itself and each folder above, not
+    once for each name that a test of it may have. Paths are written once, dealt evenly: tasks of very different
+    sizes would stay so in the joins."""
+    path, folder = F.col("path"), F.col("at")
+    files = cut_lineage(files.select("repo", "path").repartition("repo", "path"))
     above = F.array_distinct(F.concat(F.array(parent(path)), ancestors(path), F.array(F.lit(""))))
-    beside = files.select("repo", "path", parent(path).alias("at"), F.explode(bare).alias("file")).filter("at != ''")
-    own = files.select("repo", "path", F.explode(F.concat(bare, F.array(F.concat(s, e)))).alias("file"), above.alias("above")).select("repo", "path", "file", F.explode("above").alias("at"))
+    beside = files.select("repo", "path", parent(path).alias("at"), name(path).alias("file")).filter("at != ''")
+    own = files.select("repo", "path", name(path).alias("file"), F.explode(above).alias("at"))
     there = files.select("repo", parent(path).alias("at"), name(path).alias("file"))
-    in_tests = there.filter(F.element_at(parts(F.col("at")), -1).isin(K.TEST_SUBDIRS)).withColumn("at", parent(F.col("at")))
+    near = there.select("repo", "at", F.explode(tested_names(F.col("file"))).alias("file"))
+    in_tests = there.filter(F.element_at(parts(folder), -1).isin(K.TEST_SUBDIRS))
+    in_tests = in_tests.select("repo", parent(folder).alias("at"), F.explode(F.concat(tested_names(F.col("file")), F.array("file"))).alias("file"))
     keys = ["repo", "at", "file"]
-    found = beside.join(there, keys, "left_semi").select("repo", "path").unionByName(own.join(in_tests, keys, "left_semi").select("repo", "path"))
+    found = beside.join(near.distinct(), keys, "left_semi").select("repo", "path").unionByName(own.join(in_tests.distinct(), keys, "left_semi").select("repo", "path"))
     return found.distinct()
 
 
+TEST_ENDS = ("_test", "Test", ".test", ".spec")
+
+
+def _named_like(s: Column, e: Column) -> Column:
+    """What a test of the file with stem and suffix may be called, beside it."""
+    return F.array(F.concat(F.lit("test_"), s, e), *(F.concat(s, F.lit(end), e) for end in TEST_ENDS))
+
+
+def tested_names(file: Column) -> Column:
+    """The names of files that a file of this name may be a test of."""
+    s, e = stem(file), suffix(file)
+    made = [F.when(file.startswith("test_"), F.substring(file, 6, 1 << 30))]
+    for end in TEST_ENDS:
+        cut = lambda c, end=end: F.when(c.endswith(end), F.substr(c, F.lit(1), F.length(c) - len(end)))
+        # the mark stands before the suffix, or at the very end of a file that has none
+        made += [F.concat(cut(s), e), F.when(e != "", cut(file))]
+    found = F.array_distinct(F.array_compact(F.array(*made)))
+    return F.filter(found, lambda n: F.array_contains(_named_like(stem(n), suffix(n)), file))
+
+
 def project_modules(files: DataFrame) -> DataFrame:
     """(repo, module): what a repository's Python files can be imported as, by their first name."""
     cut = parts(F.col("path"))

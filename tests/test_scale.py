@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from stratalode.functions.text import stem, suffix
+from stratalode.operators import resolve
 
 
 @pytest.fixture(scope="module")
@@ -26,3 +28,20 @@ def test_a_hub_that_is_passed_over_is_named_as_in_sql(spark, hub, name):
     rows = sorted(map(tuple, df.collect()), key=repr)
     assert rows == sorted(con.sql(f"SELECT {columns} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall(), key=repr)
     assert [r["suggested_name"] for r in df.filter("path = 'shared.py' AND skipped").collect()] == ["shared"]
+
+
+def test_a_file_name_says_what_it_may_test(spark):
+    names = ["a.py", "b", ".c", "d.e.js", "x.", "test_f.go", "Test", "_test.py", ".test"]
+    forms = lambda s, e: [f"test_{s}{e}", *(f"{s}{end}{e}" for end in resolve.TEST_ENDS)]
+    cut = spark.createDataFrame([(n,) for n in names], "n string").select("n", stem(F.col("n")).alias("s"), suffix(F.col("n")).alias("e")).collect()
+    of = {(t, r["n"]) for r in cut for t in forms(r["s"], r["e"])}
+    tests = spark.createDataFrame(sorted({(t,) for t, _ in of}), "t string").select("t", F.explode(resolve.tested_names(F.col("t"))).alias("n"))
+    assert {tuple(r) for r in tests.collect() if r["n"] in names} == of
+
+
+def test_a_file_travels_once_for_each_folder_above(spark):
+    files = spark.createDataFrame([("r", f"a/b/m{i}.py") for i in range(40)] + [("r", "a/tests/test_m7.py")], "repo string, path string")
+    found = resolve.tested(files)
+    assert sorted(tuple(r) for r in found.collect()) == [("r", "a/b/m7.py"), ("r", "a/tests/test_m7.py")]
+    # no row for each name that a test of a file may have
+    assert "explode(array(concat(test_" not in found._jdf.queryExecution().optimizedPlan().toString()
