@@ -164,6 +164,18 @@ def examine(files: DataFrame, has_license: DataFrame | None = None, whole: DataF
     return judged(wanted, facts, keys, has_license)
 
 
+#: Parts that a repository's rows are dealt into where something is told of the whole repository.
+SALTS = 256
+
+
+def told_by_repo(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """``rows`` (repo, path, ...) with what ``told`` has for their repository, a row for each. A repository's
+    rows are dealt by their path too, and what is told of it is sent to all parts."""
+    salt = F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")
+    parts = told.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(parts, ["repo", "_salt"], "left").drop("_salt")
+
+
 def judged(wanted: DataFrame, facts: DataFrame, keys: DataFrame, has_license: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """What ``examine`` returns for the files ``wanted``, from keys of files and facts of contents alone;
     ``keys`` are all files of their repositories."""
@@ -220,5 +232,5 @@ def judged(wanted: DataFrame, facts: DataFrame, keys: DataFrame, has_license: Da
             "relative_imports": empty, "sibling_paths": empty, "missing_siblings": empty, "extraction_type": F.lit("single"), "skipped": F.lit(True)}
     everything = late.unionByName(early.withColumns(none))
     licenses = scan.licenses(paths) if has_license is None else has_license
-    out = everything.join(licenses, "repo", "left").withColumn("source_has_license", F.coalesce("has_license", F.lit(False))).drop("has_license")
+    out = told_by_repo(everything, licenses).withColumn("source_has_license", F.coalesce("has_license", F.lit(False))).drop("has_license")
     return graph.cut_lineage(out).withColumn("why_extractable", F.when(col("skipped"), empty).otherwise(L.once("reasons", reasons))), errors

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from stratalode.functions.text import stem, suffix
-from stratalode.operators import resolve
+from stratalode.operators import candidates, extract, resolve
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +45,16 @@ def test_a_file_travels_once_for_each_folder_above(spark):
     assert sorted(tuple(r) for r in found.collect()) == [("r", "a/b/m7.py"), ("r", "a/tests/test_m7.py")]
     # no row for each name that a test of a file may have
     assert "explode(array(concat(test_" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_licences_are_told_to_all_parts_of_a_repository(spark):
+    rows = spark.range(4000).select(F.concat(F.lit("r"), (F.col("id") % 2).cast("string")).alias("repo"), F.col("id").cast("string").alias("path"))
+    told = candidates.told_by_repo(rows.union(spark.createDataFrame([("none", "p")], rows.schema)), spark.createDataFrame([("r0", True), ("r1", False)], "repo string, has_license boolean"))
+    assert {tuple(r) for r in told.groupBy("repo", "has_license").count().collect()} == {("r0", True, 2000), ("r1", False, 2000), ("none", None, 1)}
+    assert "Join LeftOuter, ((repo" in (plan := told._jdf.queryExecution().optimizedPlan().toString()) and "_salt" in plan
+
+
+def test_contents_of_packages_are_read_once(spark):
+    files = spark.createDataFrame([("r", f"m{i}.py", f"x = {i}\n") for i in range(9)] + [("r", "LICENSE", "free"), ("s", "LICENSE", "not")], "repo string, path string, content string")
+    picked = spark.createDataFrame([("r", "m1.py", ["m2.py", "gone.py"])], "repo string, path string, sibling_paths array<string>")
+    assert sorted(r["path"] for r in extract.needed_files(picked, files).collect()) == ["LICENSE", "m1.py", "m2.py"]
