@@ -411,17 +411,24 @@ def dependency_weight(fam: Column, imports: Column) -> Column:
     return F.struct(F.coalesce(F.array_max(weights), F.lit(0)).cast("int").alias("weight"), F.forall(weights, lambda w: w == 0).alias("stdlib_only"))
 
 
+def _first(block: Column, test: Callable[[Column], Column]) -> Column:
+    """Where the first line that passes stands, counted from 1; one more than there are lines where none does."""
+    return F.array_position(F.concat(F.transform(block, test), F.array(F.lit(True))), F.lit(True)).cast("int")
+
+
+def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is made once, however often it is used."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def _top(stripped: Column, skip: str, window: int) -> Column:
     """How many lines at the top, among the first ``window``, match ``skip``."""
-    used = F.transform(F.slice(stripped, 1, window), lambda s: ~s.rlike(skip))
-    at = F.array_position(used, F.lit(True)).cast("int")
-    return F.when(at > 0, at - 1).otherwise(F.size(used))
+    return _first(F.slice(stripped, 1, window), lambda s: ~s.rlike(skip)) - 1
 
 
 def _until(block: Column, last: Callable[[Column], Column]) -> Column:
     """``block`` up to the first line that ends it, that one included."""
-    at = F.array_position(F.transform(block, last), F.lit(True)).cast("int")
-    return F.when(at > 0, F.slice(block, 1, F.greatest(at, F.lit(1)))).otherwise(block)
+    return F.slice(block, F.lit(1), _first(block, last))
 
 
 def _joined(block: Column) -> Column:
@@ -430,9 +437,12 @@ def _joined(block: Column) -> Column:
 
 def _block_doc(rules: Rules, lines: Column, stripped: Column) -> Column:
     """A block comment at the top."""
-    at = _top(stripped, rules.skip_before_doc, rules.doc_window)
-    opened = starts_any(F.coalesce(F.get(stripped, at), F.lit("")), rules.doc_open)
-    return F.when(opened, _joined(_until(F.slice(lines, at + 1, 30), lambda x: strip(x).endswith("*/")))).otherwise("")
+
+    def of(at: Column) -> Column:
+        opened = starts_any(F.coalesce(F.get(stripped, at), F.lit("")), rules.doc_open)
+        return F.when(opened, _joined(_until(F.slice(lines, at + 1, 30), lambda x: strip(x).endswith("*/")))).otherwise("")
+
+    return _bound(_top(stripped, rules.skip_before_doc, rules.doc_window), of)
 
 
 def _run_doc(lines: Column, test: Callable[[Column], Column], window: int, skipped: Callable[[Column], Column] | None = None) -> Column:

@@ -149,43 +149,49 @@ def has_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.tested(source_files(spark, sf_dir))
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = source_files(spark, sf_dir)
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file table, made and written once where it is read more than once."""
+    return graph.cut_lineage(source_files(spark, sf_dir))
+
+
+def _candidates(whole: DataFrame) -> DataFrame:
     return candidates.detect(scan.scan_filter(whole), scan.licenses(whole))
 
 
 def detect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate, active or skipped, with its signals; lists as text."""
-    found = _candidates(spark, sf_dir)
+    found = _candidates(_written(spark, sf_dir))
     kept = [F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c).cast("long").alias(c) if t == "int" else F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes]
     return found.select(*kept)
 
 
 def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with score, effort, name, tags and search words."""
-    scored = scoring.score(_candidates(spark, sf_dir))
+    scored = scoring.score(_candidates(_written(spark, sf_dir)))
     path, doc, names = F.col("path"), F.col("docstring_snippet"), F.col("function_names")
     return scored.select("repo", "path", "skipped", F.round("combined_score", 6).alias("combined_score"), "ship_effort_hours", naming.suggest_name(path, doc, names, F.col("skipped")).alias("suggested_name"), F.array_join(naming.suggest_tags(path, F.col("language"), doc), ",").alias("tags"), naming.search_query(path, doc, names, F.col("first_lines")).alias("query"))
 
 
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and sums of each repository over candidates that score 5 or more."""
-    told = report.summary(scoring.score(_candidates(spark, sf_dir)), 5.0)
+    told = report.summary(scoring.score(_candidates(_written(spark, sf_dir))), 5.0)
     return told.withColumn("avg_complexity", F.round("avg_complexity", 6))
 
 
 def report_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best candidates."""
-    return report.ranked(scoring.score(_candidates(spark, sf_dir))).select("repo", "path", F.round("combined_score", 6).alias("combined_score"))
+    return report.ranked(scoring.score(_candidates(_written(spark, sf_dir)))).select("repo", "path", F.round("combined_score", 6).alias("combined_score"))
 
 
 def extract_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of the packages that the best five candidates become."""
-    files = scan.scan_filter(source_files(spark, sf_dir))
-    scored = graph.cut_lineage(scoring.score(_candidates(spark, sf_dir)))
+    whole = _written(spark, sf_dir)
+    files = scan.scan_filter(whole)
+    scored = graph.cut_lineage(scoring.score(_candidates(whole)))
     named = scored.withColumns({"suggested_name": naming.suggest_name(F.col("path"), F.col("docstring_snippet"), F.col("function_names")), "suggested_tags": naming.suggest_tags(F.col("path"), F.col("language"), F.col("docstring_snippet"))})
     picked = graph.cut_lineage(extract.chosen(named, 5, 4.0))
-    told = picked.join(files.select("repo", "path", "content"), ["repo", "path"]).withColumn("what_it_does", describe.described(F.col("docstring_snippet"), F.col("path"), F.col("content"))).drop("content")
+    files = extract.needed_files(picked, files)
+    told = picked.join(files, ["repo", "path"]).withColumn("what_it_does", describe.described(F.col("docstring_snippet"), F.col("path"), F.col("content"))).drop("content")
     return extract.package_files(told, files).select("repo", "package", "rel_path")
 
 
