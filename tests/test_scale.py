@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from stratalode.functions import constants as K
+from stratalode.functions import languages as L
 from stratalode.functions.text import stem, suffix
 from stratalode.operators import candidates, extract, resolve
 
@@ -58,3 +60,18 @@ def test_contents_of_packages_are_read_once(spark):
     files = spark.createDataFrame([("r", f"m{i}.py", f"x = {i}\n") for i in range(9)] + [("r", "LICENSE", "free"), ("s", "LICENSE", "not")], "repo string, path string, content string")
     picked = spark.createDataFrame([("r", "m1.py", ["m2.py", "gone.py"])], "repo string, path string, sibling_paths array<string>")
     assert sorted(r["path"] for r in extract.needed_files(picked, files).collect()) == ["LICENSE", "m1.py", "m2.py"]
+
+
+def test_patterns_that_find_the_word_first_match_the_same(spark):
+    texts = ["if (a)", "elif(x) if(", "aif (b) éif (c) if (d)", "if if(if (", "_if(x)\nif (y)", "unless x; end if", "", "whenif when", "forif for (", "1if (x) (if (y))"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in sorted({p for r in L.RULES.values() for p in r.complexity}):
+        row = df.select("t", F.regexp_count("t", F.lit(L.U + p)).alias("a"), F.regexp_count("t", F.lit(L.U + L._word_first(p))).alias("b"))
+        assert row.filter("a <> b").collect() == []
+
+
+def test_references_to_frameworks_are_looked_for_by_pieces(spark):
+    texts = ["tf.logging.x", "tf_logging.", "a next/router", "models.Model", "modelsXModel", "django.db.models", "nothing", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", candidates.project_refs(F.col("t")).alias("a"), F.col("t").rlike("|".join(K.PROJECT_REFS)).alias("b"))
+    assert df.filter("a <> b").collect() == [] and df.filter("a").count() == 4
+    assert "RLIKE" not in df.drop("b")._jdf.queryExecution().optimizedPlan().toString()
