@@ -53,18 +53,18 @@ def run(spark: SparkSession, documents: str, out: str, config: dict) -> dict[str
     with scratch(spark):
         table = spark.read.parquet(documents)
         LOG.info("read %s: %d rows", documents, read := table.count())
-        files = files_of(table)
+        files = cut_lineage(files_of(table))  # documents are made into files once
         kept = scan.scan_filter(files)
         found, errors = candidates.examine(kept, scan.licenses(files))
         scored = cut_lineage(named(found))
         LOG.info("%d files made a parser fail", failed := errors.count())
-        main = scan.primary_language(files)
+        main = cut_lineage(scan.primary_language(files))
         tables = {
             "ranking": replaced(report.placed(scored, least).select(RANKING), f"{out}/ranking", "language", whole=True),
             "summary": replaced(report.summary(scored, least).join(main, "repo"), f"{out}/summary", "language", whole=True),
         }
         # contents are needed once more, for the line on what each card's file does
-        cards = report.placed(scored, least).filter(F.col("rank") <= most).select("repo", "path")
+        cards = cut_lineage(tables["ranking"].filter(F.col("rank") <= most).select("repo", "path"))
         told = kept.select("repo", "path", "content").join(cards, ["repo", "path"], "left_semi").join(scored.select("repo", "path", "docstring_snippet"), ["repo", "path"])
         told = told.select("repo", "path", describe.described(F.col("docstring_snippet"), F.col("path"), F.col("content")).alias("what_it_does"))
         whole = scored.join(told, ["repo", "path"], "left").withColumn("what_it_does", F.coalesce("what_it_does", F.lit("")))

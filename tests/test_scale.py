@@ -10,7 +10,7 @@ import __spark_entry__
 from stratalode.functions import constants as K
 from stratalode.functions import languages as L
 from stratalode.functions.text import stem, suffix
-from stratalode.operators import candidates, extract, resolve
+from stratalode.operators import candidates, extract, report, resolve
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +75,19 @@ def test_references_to_frameworks_are_looked_for_by_pieces(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", candidates.project_refs(F.col("t")).alias("a"), F.col("t").rlike("|".join(K.PROJECT_REFS)).alias("b"))
     assert df.filter("a <> b").collect() == [] and df.filter("a").count() == 4
     assert "RLIKE" not in df.drop("b")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_of_reports_are_given_to_narrow_rows(spark):
+    plain = {"combined_score": F.lit(5.0), "loc": F.lit(20), "language": F.lit("Go"), "skipped": F.col("id") % 4 == 3, "skip_reason": F.when(F.col("id") % 4 == 3, "no").otherwise("")}
+    numbers = ("complexity", "fan_in", "internal_imports", "external_imports", "dependency_weight", "api_surface_count")
+    more = {c: F.lit(0) for c in numbers} | {c: F.lit(1.0) for c in ("code_quality", "usefulness", "uniqueness", "relevance", "maintainability", "demand_signal", "ship_effort_hours", "comment_ratio")}
+    more |= {c: F.lit(False) for c in ("has_tests", "has_docstring", "source_has_license", "in_cycle", "is_stdlib_only", "has_project_specific_refs")}
+    more |= {c: F.array().cast("array<string>") for c in ("sibling_paths", "why_extractable", "suggested_tags")}
+    more |= {"extraction_type": F.lit("single"), "what_it_does": F.lit(""), "docstring_snippet": F.lit(""), "first_lines": F.lit("package a"), "suggested_name": F.lit("n")}
+    rows = spark.range(8).withColumns({"repo": F.lit("r"), "path": F.concat(F.lit("f"), F.col("id").cast("string"))} | plain | more)
+    pages = report.reports(rows, spark.createDataFrame([("r", "Go"), ("s", "Go")], "repo string, language string"), "now", most=2)
+    got = {r["repo"]: r["report"] for r in pages.collect()}
+    assert [x.split(" —")[0] for x in got["r"].splitlines() if x.startswith(("### ", "- `"))] == ["### 1. `f0`", "### 2. `f1`", "- `f2`", "- `f4`", "- `f5`", "- `f6`", "- `f3`", "- `f7`"]
+    assert "Nothing here" in got["s"]
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert all("first_lines" not in x for x in plan.splitlines() if "Window [" in x) and plan.count("Window [") >= 2
