@@ -82,6 +82,14 @@ def take(batch: DataFrame, number: int, out: str, parts: int) -> None:
         LOG.info("batch %d: %d versions of files, %d of them new", number, came.count(), new.count())
 
 
+def marked(due: DataFrame, found: DataFrame) -> DataFrame:
+    """Candidates with the marks of their repositories, which ``due`` has; one row without a path for a repository that
+    has none. Marks are sent to the candidates, whose rows need not come together by repository."""
+    none = due.join(found.select("repo").distinct(), "repo", "left_anti")
+    rows = candidates.told_by_repo(found, due).unionByName(none, allowMissingColumns=True)
+    return rows.select(*due.columns, *(c for c in found.columns if c not in due.columns))
+
+
 def judge(spark: SparkSession, out: str) -> tuple[int, int]:
     """Repositories with files beyond their mark get their candidates anew; returns how many there were, and rows written."""
     table = f"{out}/candidates"
@@ -102,7 +110,7 @@ def judge(spark: SparkSession, out: str) -> tuple[int, int]:
         legal = own.groupBy("repo").agg(F.bool_or("license").alias("has_license"))
         found, errors = candidates.judged(keys, facts, keys, legal)
         LOG.info("%d repositories judged, %d files made a parser fail", n, errors.count())
-        scored = due.join(named(found), "repo", "left")
+        scored = marked(due, named(found))
         old = table_or_empty(spark, table, scored.schema).filter(F.col("part").isin(parts)).join(due.select("repo"), "repo", "left_anti")
         rows = cut_lineage(old.select(scored.columns).unionByName(scored))
         replaced(rows, table, "part")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from jobs import watch_repositories
 from stratalode.functions import constants as K
 from stratalode.functions import languages as L
 from stratalode.functions.text import stem, suffix
@@ -56,6 +57,26 @@ def test_licences_are_told_to_all_parts_of_a_repository(spark):
     assert "Join LeftOuter, ((repo" in (plan := told._jdf.queryExecution().optimizedPlan().toString()) and "_salt" in plan
 
 
+def test_marks_are_told_to_all_parts_of_a_repository(spark):
+    """The rows of a repository's candidates don't come together in one task, not even where nothing is broadcast."""
+    text = F.col("id").cast("string")
+    found = spark.range(4000).select(F.concat(F.lit("r"), (F.col("id") % 2).cast("string")).alias("repo"), text.alias("path"), F.repeat(text, 9).alias("first_lines"))
+    due = spark.createDataFrame([("r0", 1, 7), ("r1", 2, 8), ("none", 3, 9)], "repo string, upto long, part int")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(kept, ("-1", "40", "false"), strict=True):
+            spark.conf.set(k, v)
+        rows = watch_repositories.marked(due, found)
+        assert rows.columns == ["repo", "upto", "part", "path", "first_lines"]
+        told = {tuple(r) for r in rows.groupBy("repo", "upto", "part").agg(F.count("*"), F.count("path"), F.countDistinct("path"), F.count("first_lines")).collect()}
+        assert told == {("r0", 1, 7, 2000, 2000, 2000, 2000), ("r1", 2, 8, 2000, 2000, 2000, 2000), ("none", 3, 9, 1, 0, 0, 0)}
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 500 and sum(sizes) == 4001
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_contents_of_packages_are_read_once(spark):
     files = spark.createDataFrame([("r", f"m{i}.py", f"x = {i}\n") for i in range(9)] + [("r", "LICENSE", "free"), ("s", "LICENSE", "not")], "repo string, path string, content string")
     picked = spark.createDataFrame([("r", "m1.py", ["m2.py", "gone.py"])], "repo string, path string, sibling_paths array<string>")
